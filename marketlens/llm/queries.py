@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, token_store
+from marketlens.llm import bpe, embedding_dedup, near_dedup, token_store
 from marketlens.llm.common import read
 
 
@@ -28,6 +28,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_bpe": op2_bpe}
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, at three words and 0.85."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_bpe": op2_bpe,
+    "op3_near_dedup": op3_near_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
