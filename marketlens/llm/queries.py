@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, near_dedup, token_store
-from marketlens.llm.common import read
+from marketlens.llm import bpe, embedding_dedup, language, near_dedup, quality, token_store
+from marketlens.llm.common import fold, read
 
 
 def _vocabulary(name: str) -> str:
@@ -33,6 +33,21 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three of four folds."""
+    documents, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    learned = language.sample(documents, ~held_out)
+    return language.predict(documents, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from four of five folds of the labels."""
+    documents, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = quality.fit(documents, read(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.9."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -42,6 +57,8 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
     "op3_near_dedup": op3_near_dedup,
+    "op7_language": op7_language,
+    "op9_quality": op9_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
 }
 
