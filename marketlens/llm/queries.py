@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, language, near_dedup, quality, token_store
-from marketlens.llm.common import fold, read
+from marketlens.llm import bpe, embedding_dedup, fingerprint, language, near_dedup, packing, quality, token_store
+from marketlens.llm.common import fold, read, written
 
 
 def _vocabulary(name: str) -> str:
@@ -33,6 +33,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens, exact copies and crowding sources kept apart."""
+    documents = read(spark, sf_dir, "documents")
+    clusters = F.xxhash64(F.coalesce("text", F.lit("")))
+    counts = bpe.token_counts(documents.select("doc_id", "text", "source", clusters.alias("cluster")), _vocabulary("byte_bpe_50k.json"), ["source", "cluster"])
+    return packing.pack(written(counts, "token-counts"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from three of four folds."""
     documents, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
@@ -57,6 +70,8 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
     "op3_near_dedup": op3_near_dedup,
+    "op4_packing": op4_packing,
+    "op6_fingerprint": op6_fingerprint,
     "op7_language": op7_language,
     "op9_quality": op9_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
