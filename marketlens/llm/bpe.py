@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import slices, texts
 
 SHORT = 64  # bytes up to which the rank array is scanned
-PIECES = 300_000  # entries a worker keeps
-NONE = 1 << 60
+PIECES, WORDS = 600_000, 900_000  # entries a worker keeps
+WIDTH = 20  # bits of an id
+MASK, NONE = (1 << WIDTH) - 1, 1 << 60
 _codecs: dict[str, "ByteBPE"] = {}
 
 
@@ -49,12 +51,18 @@ class ByteBPE:
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in vocab.items() if t not in self.special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        self.pairs: dict[int, int] = {}  # a pair of ids -> its rank, and below that the id it merges into
+        for rank, m in enumerate(spec["model"]["merges"]):
+            a, b = map(raw, m.split(" ") if isinstance(m, str) else m)
+            self.pairs.setdefault(self.ids[a] << WIDTH | self.ids[b], rank << WIDTH | self.ids[a + b])
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.ambiguous = re.compile(r"\s (?:\s|$)|^ | $")
+        self.cores: dict[bytes, bytes] = {}  # of a word
+        self.marks: dict[str, bytes] = {}
+        self.marks = {m: self.word(m.encode()) for m in ".,;:!?"}
         self.known: dict[str, bytes] = {}  # of a piece after a space
         self.heads: dict[str, bytes] = {}  # of a text's first piece
         from tokenizers import pre_tokenizers
@@ -63,58 +71,70 @@ class ByteBPE:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        if word in self.ids and len(word) == 1:
-            return [self.ids[word]]
-        return self._scan(word) if len(word) <= SHORT else self._heap(word)
+        parts = [self.bytes[b] for b in word]
+        return self._scan(parts) if len(word) <= SHORT else self._heap(parts)
 
-    def _scan(self, word: bytes) -> list[int]:
-        bounds, get = list(range(len(word) + 1)), self.ranks.get
-        ranks = [get((word[i : i + 1], word[i + 1 : i + 2]), NONE) for i in range(len(word) - 1)]
+    def _scan(self, parts: list[int]) -> list[int]:
+        """``parts`` holds the id of what lies between two boundaries; ``ranks[i]`` is the rank of parts i and i + 1, with the merged id below it."""
+        get = self.pairs.get
+        ranks = [get(a << WIDTH | b, NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            part = word[bounds[i] : bounds[i + 1]]
+            parts[i] = least & MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((word[bounds[i - 1] : bounds[i]], part), NONE)
+                ranks[i - 1] = get(parts[i - 1] << WIDTH | parts[i], NONE)
             if i < len(ranks):
-                ranks[i] = get((part, word[bounds[i + 1] : bounds[i + 2]]), NONE)
-        return [self.ids[word[a:b]] for a, b in zip(bounds, bounds[1:])]
+                ranks[i] = get(parts[i] << WIDTH | parts[i + 1], NONE)
+        return parts
 
-    def _heap(self, word: bytes) -> list[int]:
-        n = len(word)
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    def _heap(self, parts: list[int]) -> list[int]:
+        n, get = len(parts), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i, 1, 1) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        queue = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << WIDTH | parts[i + 1], NONE)) != NONE]
         heapq.heapify(queue)
 
         def push(i: int) -> None:
             j = after[i]
-            if i >= 0 and j < n and (r := self.ranks.get((parts[i], parts[j]))) is not None:
-                heapq.heappush(queue, (r, i, len(parts[i]), len(parts[j])))
+            if j < n and (r := get(parts[i] << WIDTH | parts[j], NONE)) != NONE:
+                heapq.heappush(queue, (r, i, parts[i], parts[j]))
 
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            r, i, a, b = heapq.heappop(queue)
             j = after[i]
-            if parts[i] is None or j >= n or len(parts[i]) != a or len(parts[j]) != b:
+            if j >= n or parts[i] != a or parts[j] != b:
                 continue  # one of the two has been merged since
-            parts[i] += parts[j]
-            parts[j], after[i] = None, after[j]
+            parts[i], parts[j] = r & MASK, -1
+            after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
                 push(i)
             if before[i] >= 0:
                 push(before[i])
-        return [self.ids[p] for p in parts if p is not None]
+        return [p for p in parts if p >= 0]
+
+    def word(self, word: bytes) -> bytes:
+        ids = self.cores.get(word)
+        if ids is None:
+            merged = self.merge(word)
+            ids = struct.pack(f"<{len(merged)}I", *merged)
+            if len(self.cores) >= WORDS:
+                self.cores.clear()
+            self.cores[word] = ids
+        return ids
 
     def piece(self, piece: str) -> bytes:
+        core = piece[:-1] if piece[-1:] in self.marks else piece
+        if core[1:].isalpha() and core.isascii() and (core[0] == " " or core[0].isalpha()):  # the common case, without the pattern
+            return self.word(core.encode()) + self.marks.get(piece[len(core) :], b"")
         if piece.isascii() or max(piece) < "̀":
             words = [w.encode() for w in self.words.findall(piece)]
         else:  # pre-tokenised by the library, whose Unicode tables decide what a letter is
             words = [bytes(self.symbols[c] for c in w) for w, _ in self.level.pre_tokenize_str(piece)]
-        return np.array([i for w in words for i in self.merge(w)], "<u4").tobytes()
+        return b"".join([self.word(w) for w in words])
 
     def plain(self, text: str) -> bytes:
         """A text without special tokens. A boundary always precedes a space that follows no white space or is followed by none, so such pieces are encoded once and remembered."""
@@ -179,6 +199,16 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> Da
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(work, "doc_id long, n_tokens long, ids binary, text string")
 
 
-def token_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens)."""
-    return encode(documents, tokenizer_path).select("doc_id", "n_tokens")
+def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the ``keep`` columns and n_tokens."""
+    keep = ["doc_id", *(keep or [])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(tokenizer_path)
+        for batch in slices(batches, "_text"):
+            counts = [len(bpe.encode(t.decode())) // 4 for t in texts(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
+
+    rows = documents.select(*keep, F.col("text").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
+    return rows.mapInArrow(work, f"{kinds}, n_tokens long")
