@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, language, near_dedup, packing, quality, token_store
+from marketlens.llm import bpe, embedding_dedup, fingerprint, language, near_dedup, packing, pii, quality, token_store
 from marketlens.llm.common import fold, read, written
 
 
@@ -66,6 +66,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    out = pii.spans(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *(pii.count("base", k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
@@ -75,6 +81,7 @@ QUERIES = {
     "op7_language": op7_language,
     "op9_quality": op9_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
