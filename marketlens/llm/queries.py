@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, language, near_dedup, packing, pii, quality, token_store
+from marketlens.llm import bpe, embedding_dedup, fingerprint, language, lm_score, near_dedup, packing, pii, quality, token_store
 from marketlens.llm.common import fold, read, written
 
 
@@ -41,6 +41,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(counts, "token-counts"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a context tree learned from six of seven folds."""
+    documents, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 7) == 2
+    scored = lm_score.score(documents, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint.compare_edits(read(spark, sf_dir, "documents"))
@@ -77,6 +84,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op5_lm_score": op5_lm_score,
     "op6_fingerprint": op6_fingerprint,
     "op7_language": op7_language,
     "op9_quality": op9_quality,
