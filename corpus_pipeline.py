@@ -1,4 +1,63 @@
-STAGES = []
+"""The corpus pipeline: language ID, quality, near-duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and gets what the stage before it kept, written as Parquet and read again. All
+but the last return the columns of ``documents``; the last returns the pieces of documents with their windows.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketlens.llm import bpe, language, near_dedup, packing, pii, quality
+from marketlens.llm.common import read, written
+
+#: SQL has no word for most of these stages; they are tested against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose text is in one of the languages that the corpus labels."""
+    return language.accepted(docs)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the quality model, fitted on the labels, scores at 0.3 or more."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"), 0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each near-duplicate group (five words, 0.8)."""
+    groups = near_dedup.near_duplicates(docs, words=5, threshold=0.8)
+    kept = groups.filter("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind."""
+    return pii.redacted(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into windows of 4096 tokens, keeping crowding sources and equal texts apart."""
+    clusters = F.xxhash64(F.coalesce("text", F.lit("")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = bpe.token_counts(docs.select("doc_id", "text", "source", clusters.alias("cluster")), path, ["source", "cluster"])
+    return packing.pack(written(counts, "token-counts"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality", quality_filter),
+    ("near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
