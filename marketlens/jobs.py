@@ -1,4 +1,10 @@
-"""Registered queries over the given tables, and the same in SQL."""
+"""All registered jobs: name -> (spark, sf_dir) -> DataFrame, and the same in SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from marketlens.plans import retention
+
+_ALL = retention.JOBS
+
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLE_SQL = {name: text for name, (_, text) in _ALL.items() if text}
