@@ -5,9 +5,10 @@ a band are candidates. All samples are folded into an odd sketch, a parity bitma
 two sketches gives the size of the symmetric difference of the samples and with it the Jaccard similarity, most
 precisely where it is high. Candidates whose estimate is within a margin of the threshold are confirmed on full sets.
 
-Equal sets are collapsed first, so a group of exact copies costs one member. Within a band's bucket only a maximum
-spanning forest of the estimates is confirmed in the first round; the second round takes every candidate pair that is
-left between different components. No pair within a component is emitted, and none between components is lost.
+Equal sets are collapsed first, so a group of exact copies costs one member. A band's bucket gives only a spanning
+forest of its candidate pairs; the components of these forests are clusters, and every candidate pair lies within one.
+Each cluster's texts then meet once, in tiles that compare all their full sets and return spanning links. So no pair is
+emitted beyond a forest, and none is lost.
 
 Ties and repeats: rows that share a doc_id are one node. A null doc_id is linked with nothing (component null, kept).
 Null or word-free text has an empty set and is linked with nothing. Empty tables give empty results. Further columns
@@ -33,6 +34,7 @@ BITS = 1024  # of an odd sketch
 ROWS = 5  # MinHash values in a band
 SAMPLES = 256
 MISS = 1e-6  # chance that a pair at the threshold shares no band
+BLOCK_SHINGLES = 1 << 21  # of the sets that a block of a cluster holds
 MARGIN = 5.0  # standard deviations of the estimate below the threshold that are still confirmed
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -153,41 +155,27 @@ def signatures(documents: DataFrame, words: int, threshold: float, id_col: str =
     return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
-def _pairs(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of tiled members (member, part, n_shingles, sketch), of different parts only."""
+def _forest(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that span the candidate pairs of each band's members (member, n_shingles, sketch)."""
     floor = least_estimate(threshold)
 
     def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        cols = {k: np.asarray(batch.column(k)) for k in ("key", "lo", "hi", "block", "member", "part", "n_shingles")}
+        cols = {k: np.asarray(batch.column(k)) for k in ("key", "lo", "hi", "block", "member", "n_shingles")}
         return cols | {"sketch": fixed(batch.column("sketch"), BITS // 8).copy().view(U)}
 
     def tile(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, y = tiles.sides(c["block"], int(c["lo"][0]), int(c["hi"][0]))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(x), 128):
             part = x[at : at + 128]
             est = estimates(c["sketch"][part][:, None, :], c["sketch"][y][None, :, :])
             small, large = np.minimum.outer(c["n_shingles"][part], c["n_shingles"][y]), np.maximum.outer(c["n_shingles"][part], c["n_shingles"][y])
-            i, j = np.nonzero((est >= floor) & (small >= threshold * large - 1e-9) & (c["part"][part][:, None] != c["part"][y][None, :]))
-            found.append((part[i], y[j], est[i, j]))
-        a, b, est = (np.concatenate(z) for z in zip(*found))
-        once = c["member"][a] < c["member"][b]
-        a, b, est = a[once], b[once], est[once]
-        if not forest or len(a) < 2:
-            return c["member"][a], c["member"][b]
-        keep, label = [], np.arange(len(c["member"]))
-        for e in np.argsort(-est, kind="stable").tolist():  # Kruskal: the most alike first
-            p, q = int(a[e]), int(b[e])
-            while label[p] != p:
-                label[p] = label[label[p]]
-                p = int(label[p])
-            while label[q] != q:
-                label[q] = label[label[q]]
-                q = int(label[q])
-            if p != q:
-                label[max(p, q)] = min(p, q)
-                keep.append(e)
-        return c["member"][a[keep]], c["member"][b[keep]]
+            i, j = np.nonzero((est >= floor) & (small >= threshold * large - 1e-9) & (part[:, None] != y[None, :]))
+            found.append((part[i], y[j]))
+        a, b = (np.concatenate(z) for z in zip(*found))
+        root = tiles.spanning(len(c["member"]), a, b)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return c["member"][some], c["member"][root[some]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, bounds in runs(batches, ["key", "lo", "hi"], load):
@@ -196,30 +184,72 @@ def _pairs(members: DataFrame, threshold: float, forest: bool) -> DataFrame:
                 a, b = (np.concatenate(z) for z in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = tiles.sorted_tiles(tiles.dealt(members, "band", "member"))
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return tiles.sorted_tiles(tiles.dealt(members, "band", "member")).mapInArrow(work, "a long, b long").distinct()
+
+
+def linked_sets(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a from x, b from y) of the pairs of sets whose Jaccard similarity reaches the threshold, in whole numbers.
+
+    Shingles of one set alone can't be shared and are left out; the others are columns of a bit matrix, and a pair's
+    intersection is the population count of the AND of its rows.
+    """
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        yes = both > 0 and 100 * both >= hundredths * (int(sizes.sum()) - both)
+        return (np.array([0]), np.array([1])) if yes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    fresh = np.concatenate([[True], every[1:] != every[:-1]])
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    common = np.zeros((len(x), len(y)), np.int32)
+    width = 8192
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        place = column[lo:hi] - at
+        bits = np.bincount(owner[lo:hi] * (width // 8) + place // 8, 1 << (place % 8), len(sets) * (width // 8)).astype(np.uint8)
+        used = -(-(int(place.max()) + 1) // 64)  # words that hold anything
+        rows = np.ascontiguousarray(bits.reshape(len(sets), -1)).view(U)[:, :used]
+        step = max(1, (1 << 21) // max(1, used * len(y)))
+        for k in range(0, len(x), step):
+            common[k : k + step] += np.bitwise_count(rows[x[k : k + step]][:, None, :] & rows[y][None, :, :]).sum(axis=2, dtype=np.int32)
+    i, j = np.nonzero((common > 0) & (100 * common.astype(np.int64) >= hundredths * (sizes[x][:, None] + sizes[y][None, :] - common)) & (x[:, None] != y[None, :]))
+    return x[i], y[j]
+
+
+def _confirmed(clusters: DataFrame, documents: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that span the confirmed pairs within each cluster (id, component, n_shingles)."""
+    hundredths = round(threshold * 100)
 
+    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        cols = {k: np.asarray(batch.column(k)) for k in ("key", "lo", "hi", "block", "member")}
+        sets = np.empty(batch.num_rows, object)
+        sets[:] = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], words)
+        return cols | {"set": sets}
 
-def confirmed(pairs: DataFrame, documents: DataFrame, words: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold, compared in whole numbers (hundredths)."""
-    hundredths = round(threshold * 100)
+    def tile(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = tiles.sides(c["block"], int(c["lo"][0]), int(c["hi"][0]))
+        a, b = linked_sets(list(c["set"]), x, y, hundredths)
+        root = tiles.spanning(len(c["member"]), a, b)
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return c["member"][some], c["member"][root[some]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "x", 1 << 20):
-            n = batch.num_rows
-            sets = shingle_sets([t or b"" for c in ("x", "y") for t in batch.column(c).cast(pa.binary()).to_pylist()], words)
-            keep = []
-            for i in range(n):
-                p, q = sets[i], sets[n + i]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= hundredths * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    some = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = written(texts.join(some, "_id", "left_semi"), "candidate-texts")
-    x, y = texts.select(F.col("_id").alias("a"), F.col("_text").alias("x")), texts.select(F.col("_id").alias("b"), F.col("_text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+        for cols, bounds in runs(slices(batches, "text", 1 << 20), ["key", "lo", "hi"], load):
+            out = [tile({k: v[s:e] for k, v in cols.items()}) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if e - s > 1]
+            if out:
+                a, b = (np.concatenate(z) for z in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    texts = documents.select(F.col(id_col).cast("long").alias("member"), F.col(text_col).alias("text"))
+    named = clusters.select(F.col("id").alias("member"), F.col("component").alias("cluster"), "n_shingles")
+    members = written(texts.join(named.hint("merge"), "member"), "cluster-texts")  # the one shuffle of texts
+    blocks = tiles.dealt(members, "cluster", "member", weight="n_shingles", weight_limit=BLOCK_SHINGLES)
+    return tiles.sorted_tiles(blocks).mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,17 +263,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8
 
     narrow = reps.select("member", F.explode("bands").alias("band"))
     shared = narrow.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    narrow = narrow.join(shared, "band", "left_semi")
-    members = written(narrow.join(reps.select("member", "n_shingles", "sketch"), "member").withColumn("part", F.col("member")), "band-members")
-    first = written(_pairs(members, threshold, forest=True), "forest")
-    links = written(confirmed(first, documents, words, threshold, id_col, text_col), "links")
-
-    found = components(links)
-    placed = members.drop("part").join(found.withColumnRenamed("id", "member"), "member", "left").withColumn("part", F.coalesce("component", "member")).drop("component")
-    mixed = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("band")
-    rest = _pairs(placed.join(mixed, "band", "left_semi"), threshold, forest=False).join(first, ["a", "b"], "left_anti")
-    more = confirmed(written(rest, "rest"), documents, words, threshold, id_col, text_col)
-    links = written(links.unionByName(more), "links")
+    members = narrow.join(shared, "band", "left_semi").join(reps.select("member", "n_shingles", "sketch"), "member")
+    clusters = components(written(_forest(members, threshold), "forest")).join(reps.select(F.col("member").alias("id"), "n_shingles"), "id")
+    links = written(_confirmed(clusters, documents, words, threshold, id_col, text_col), "links")
 
     # representatives of different sets that share a doc_id are one node already; so are the copies of a set
     final = components(links.unionByName(_same_node(some, classes, alike)))

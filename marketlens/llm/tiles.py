@@ -11,15 +11,17 @@ LIMIT = 2048  # members of a block
 COLUMNS = "key long, lo int, hi int, block int"
 
 
-def dealt(members: DataFrame, key: str, member: str, limit: int = LIMIT) -> DataFrame:
+def dealt(members: DataFrame, key: str, member: str, limit: int = LIMIT, weight: str | None = None, weight_limit: int = 1) -> DataFrame:
     """One row for each tile that a member takes part in: key, lo, hi, block, and the member's columns.
 
-    A group of m members has ceil(m / limit) blocks, to which members are dealt by hash, and a tile for each pair of
+    A group of m members has ceil(m / limit) blocks (or more, so that a block's weights sum to about ``weight_limit``), to which members are dealt by hash, and a tile for each pair of
     blocks (lo <= hi); a tile holds two blocks at most, so no task has to hold a group. Groups of one are left out.
     Group sizes are counted with partial sums; the join with the counts can be split where it is skewed.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    out = members.join(sizes, key).withColumn("_k", F.ceil(F.col("_n") / limit).cast("int"))
+    load = F.lit(0) if weight is None else F.sum(weight)
+    sizes = members.groupBy(key).agg(F.count("*").alias("_n"), load.alias("_w")).filter("_n > 1")
+    sizes = sizes.select(key, F.greatest(F.ceil(F.col("_n") / limit), F.ceil(F.col("_w") / weight_limit)).cast("int").alias("_k"))
+    out = members.join(sizes, key)
     out = out.withColumn("block", F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col("_k")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     lo, hi = F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi")
