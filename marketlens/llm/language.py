@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import slices, texts
 
 SAMPLE = 30_000  # characters of labelled text per language
+LANGUAGES = 1000  # most frequent labels that are learned
 LETTERS = 250  # most frequent letters that have a symbol of their own
 SEGMENT = 512  # symbols that one lane parses
 UND = "und"
@@ -142,8 +143,9 @@ def sample(documents: DataFrame, training: Column, chars: int = SAMPLE) -> list[
     """
     rows = documents.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    share = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(8.0 * chars) / F.col("n")).alias("share"))
-    thin = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = totals.select("lang", F.least(F.lit(1.0), F.lit(8.0 * chars) / F.col("n")).alias("share"))
+    thin = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
     order = Window.partitionBy("lang").orderBy("h", "text")
     thin = thin.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).filter(F.col("before") < chars)
     out: dict[str, list[str]] = {}
