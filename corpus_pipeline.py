@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, language, near_dedup, packing, pii, quality
+from marketlens.llm import language, near_dedup, packing, pii, quality, token_store
 from marketlens.llm.common import read, written
 
 #: SQL has no word for most of these stages; they are tested against plain versions.
@@ -42,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into windows of 4096 tokens, keeping crowding sources and equal texts apart."""
     clusters = F.xxhash64(F.coalesce("text", F.lit("")))
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    counts = bpe.token_counts(docs.select("doc_id", "text", "source", clusters.alias("cluster")), path, ["source", "cluster"])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts = token_store.token_counts(docs.select("doc_id", "text", "source", clusters.alias("cluster")), path, ["source", "cluster"])
     return packing.pack(written(counts, "token-counts"))
 
 

@@ -37,7 +37,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens, exact copies and crowding sources kept apart."""
     documents = read(spark, sf_dir, "documents")
     clusters = F.xxhash64(F.coalesce("text", F.lit("")))
-    counts = bpe.token_counts(documents.select("doc_id", "text", "source", clusters.alias("cluster")), _vocabulary("byte_bpe_50k.json"), ["source", "cluster"])
+    counts = token_store.token_counts(documents.select("doc_id", "text", "source", clusters.alias("cluster")), _vocabulary("word_bpe_49k.json"), ["source", "cluster"])
     return packing.pack(written(counts, "token-counts"))
 
 

@@ -103,6 +103,21 @@ def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
     return rows.mapInArrow(encode, "doc_id long, ids binary, width int")
 
 
+def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the ``keep`` columns and n_tokens, without an end id."""
+    keep = ["doc_id", *(keep or [])]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = encoder(tokenizer_path)
+        for batch in slices(batches, "_text"):
+            counts = [len(memo.encode(t.decode())) // memo.type.itemsize for t in texts(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
+
+    rows = documents.select(*keep, F.col("text").alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
+    return rows.mapInArrow(count, f"{kinds}, n_tokens long")
+
+
 def _train(samples: list[bytes], size: int) -> bytes:
     """A dictionary from samples; where there is too little to train on, the samples themselves."""
     try:
@@ -193,7 +208,7 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
     blocks = spark.read.parquet(f"{path}/blocks")
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row a shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
+    shards = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))  # one row a partition of the writer
     if wanted is not None:
         hit = F.lit(False)
         for d in wanted:
@@ -219,7 +234,7 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
                     start += n
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.join(shards, "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(F.broadcast(shards), "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def build(documents: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> str:
