@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketlens.plans import inventory, retention, reviews
+from marketlens.plans import forecasts, inventory, retention, reviews
 
-_ALL = retention.JOBS | inventory.JOBS | reviews.JOBS
+_ALL = retention.JOBS | inventory.JOBS | reviews.JOBS | forecasts.JOBS
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: text for name, (_, text) in _ALL.items() if text}

@@ -13,7 +13,7 @@ from marketlens.sources import fixtures as fx
 from marketlens.sources import tables as tb
 
 L = fx.LEXICON
-DAYS, AS_OF = 2, "2024-01-05"
+DAYS, AS_OF = 2, "2024-01-04"
 
 
 def _any(words: list[str]) -> str:
