@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str, path: str | None = None, **options: str) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def aside(documents: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work``, a filter or rewrite of documents, with columns it doesn't know under names that can't clash with its own."""
+    columns = documents.columns
+    named = documents.toDF(*(c if c in KNOWN else f"_extra_{i}" for i, c in enumerate(columns)))
+    return work(named).select(*named.columns).toDF(*columns)
+
+
 def fold(key: str, mod: int) -> Column:
     """crc32 of the key's decimal text, modulo ``mod``: the fold that decides what is held out."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod

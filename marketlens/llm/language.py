@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices, texts
+from marketlens.llm.common import aside, slices, texts
 
 SAMPLE = 30_000  # characters of labelled text per language
 LANGUAGES = 1000  # most frequent labels that are learned
@@ -179,7 +179,6 @@ def accepted(documents: DataFrame, least_length: float = 1.5) -> DataFrame:
 
     Rejected are texts without letters and texts that even the best language explains no better than letter by letter.
     """
-    columns = documents.columns
     learned = sample(documents, F.lit(True))
-    out = predict(documents, learned, columns)
-    return out.filter((F.col("lang_pred") != UND) & (F.col("phrase_length") >= least_length)).select(*columns)
+    good = (F.col("lang_pred") != UND) & (F.col("phrase_length") >= least_length)
+    return aside(documents, lambda docs: predict(docs, learned, docs.columns).filter(good))

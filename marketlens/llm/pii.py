@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import written
+from marketlens.llm.common import aside, written
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, SUPPORT, PRECISION = 2, 5, 0.8
@@ -204,6 +204,10 @@ def joined(array: str) -> Column:
 
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with every span's text replaced by its kind in brackets; n_chars, where there is one, follows."""
+    return aside(documents, _redacted)
+
+
+def _redacted(documents: DataFrame) -> DataFrame:
     scan = _scanned(documents)
     every = _with_spans(scan, bootstrapped(scan)).filter(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("all").alias("_all")).dropDuplicates(["_id", "_h"])
     columns = documents.columns

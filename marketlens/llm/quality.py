@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices, texts
+from marketlens.llm.common import aside, slices, texts
 
 FIT_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
@@ -194,8 +194,5 @@ def score(documents: DataFrame, model: Gam, keep: list[str] | None = None) -> Da
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """A filter: the documents that score at least ``threshold``, with their own columns."""
-    columns = documents.columns
     model = fit(documents, labels)
-    out = score(documents.withColumnRenamed("score", "_score") if "score" in columns else documents, model, ["_score" if c == "score" else c for c in columns])
-    out = out.filter(F.col("score") >= threshold).drop("score")
-    return out.withColumnRenamed("_score", "score") if "score" in columns else out
+    return aside(documents, lambda docs: score(docs, model, docs.columns).filter(F.col("score") >= threshold))
