@@ -64,7 +64,7 @@ def swap_upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[s
 def export_csv(df: DataFrame, path: str, limit: int = 10_000) -> None:
     """All values quoted, quotes doubled, nulls empty, a header; at most ``limit`` rows in the order given.
 
-    Spark quotes the header too and writes no byte-order mark.
+    Spark quotes the header and nulls too and writes no byte-order mark.
     """
     df.limit(limit).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue="")
 
