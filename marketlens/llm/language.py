@@ -29,6 +29,7 @@ LANGUAGES = 1000  # most frequent labels that are learned
 LETTERS = 250  # most frequent letters that have a symbol of their own
 SEGMENT = 512  # symbols that one lane parses
 UND = "und"
+SHIFT = 28  # bits of a state; phrases that end are counted above
 _models: dict[tuple, "Model"] = {}
 
 
@@ -84,8 +85,11 @@ class Model:
             table = np.full((len(moves), self.pad + 1), -1, np.int32)
             for state, m in enumerate(moves):
                 table[state, list(m)] = list(m.values())
-            start = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, table, start[None, :] + (1 << 30))  # a new phrase
+            # a missing transition ends the phrase; its symbol starts the next one, or is one itself where it is unknown
+            start = np.where(table[0] >= 0, table[0] + (1 << SHIFT), 2 << SHIFT).astype(np.int32)
+            root = np.where(table[0] >= 0, table[0], 1 << SHIFT).astype(np.int32)
+            table = np.where(table >= 0, table, start[None, :])
+            table[0] = root
             table[:, self.pad] = np.arange(len(moves))
             self.tables.append(table.astype(np.int32).ravel())
             self.bits.append(np.log2(len(sequence) + 2))
@@ -112,9 +116,9 @@ class Model:
             state, count = np.zeros(lanes.sum(), np.int32), np.zeros(lanes.sum(), np.int32)
             for column in steps:
                 value = table.take(state * width + column)
-                count += value >> 30
-                state = value & ((1 << 30) - 1)
-            out[:, k] = np.bincount(owner, count, len(sequences)) + 1
+                count += value >> SHIFT
+                state = value & ((1 << SHIFT) - 1)
+            out[:, k] = np.bincount(owner, count + (state != 0), len(sequences))  # and the phrase that is open
         return out
 
     def predict(self, batch: list[bytes]) -> tuple[list[str], list[float], list[float]]:
