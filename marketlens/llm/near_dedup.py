@@ -31,7 +31,7 @@ from marketlens.llm.graph import components
 
 U = np.uint64
 BITS = 1024  # of an odd sketch
-ROWS = 5  # MinHash values in a band
+ROWS = 5  # MinHash values in a band, fewer for low thresholds
 SAMPLES = 256
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 BLOCK_SHINGLES = 1 << 21  # of the sets that a block of a cluster holds
@@ -97,15 +97,20 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def n_bands(threshold: float) -> int:
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**ROWS))
+def shape(threshold: float) -> tuple[int, int]:
+    """(bands, rows): as many rows a band, up to ROWS, as leave the samples for enough bands."""
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
+        if bands * rows <= SAMPLES:
+            break
+    return bands, rows
 
 
 def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / SAMPLES)
 
 
-def sketch(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (n, bands) and odd sketches (n, BITS / 8) of non-empty sets."""
     seed = np.random.default_rng(7)
     flips, factors = seed.integers(0, 1 << 32, SAMPLES, dtype=np.uint32), seed.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -117,8 +122,8 @@ def sketch(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
         least[:, i] = np.minimum.reduceat((low ^ flips[i]) * factors[i], starts)
     with np.errstate(over="ignore"):
         keys = np.zeros((len(sets), bands), U) + mix(np.arange(1, bands + 1).astype(U))
-        for r in range(ROWS):
-            keys = mix(keys * U(0x9E3779B97F4A7C15) + least[:, r : bands * ROWS : ROWS].astype(U))
+        for r in range(rows):
+            keys = mix(keys * U(0x9E3779B97F4A7C15) + least[:, r : bands * rows : rows].astype(U))
         place = mix(least.astype(U) + (np.arange(SAMPLES).astype(U) << U(32))) % U(BITS)
     flat = (place.astype(np.int64) + np.arange(len(sets))[:, None] * BITS).ravel()
     odd = (np.bincount(flat, minlength=len(sets) * BITS) & 1).astype(np.uint8)
@@ -135,13 +140,13 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def signatures(documents: DataFrame, words: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, s1, s2, bands, sketch): s1 and s2 identify the set."""
-    bands = n_bands(threshold)
+    bands, height = shape(threshold)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             sets = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], words)
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, odd = sketch([sets[i] for i in some], bands) if some else (np.zeros((0, bands), U), np.zeros((0, BITS // 8), np.uint8))
+            keys, odd = sketch([sets[i] for i in some], bands, height) if some else (np.zeros((0, bands), U), np.zeros((0, BITS // 8), np.uint8))
             all_keys, all_odd = np.zeros((len(sets), bands), U), np.zeros((len(sets), BITS // 8), np.uint8)
             all_keys[some], all_odd[some] = keys, odd
             with np.errstate(over="ignore"):
@@ -165,6 +170,8 @@ def _forest(members: DataFrame, threshold: float) -> DataFrame:
 
     def tile(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, y = tiles.sides(c["block"], int(c["lo"][0]), int(c["hi"][0]))
+        if not len(x):  # all members are of the other block
+            return c["member"][:0], c["member"][:0]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(x), 128):
             part = x[at : at + 128]
