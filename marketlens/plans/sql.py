@@ -21,7 +21,7 @@ PARTS = {
       substr(text, 1, 500) AS comment, doc_id % 3 = 0 AS has_image FROM documents JOIN events ON doc_id = event_id""",
     "prod": """SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand, CAST(p_retailprice AS DECIMAL(18,2)) AS price,
       CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 't' || p_partkey END AS thumbnail_url, 'i' || p_partkey AS image_url FROM part WHERE p_partkey < 40""",
-    "env": """SELECT date, s / n / 1000 AS pm2_5, 20 + n AS temp_mean, s % 50 AS precip
+    "env": """SELECT date, round(s / n / 1000, 1) AS pm2_5, 20 + n AS temp_mean, round(s % 50, 1) AS precip
       FROM (SELECT date, CAST(sum(net_sales) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM fin GROUP BY 1)""",
 }
 NEEDS = {"base": ["ord", "paid"], "bd": ["sales"], "dense": ["bd"], "env": ["fin"], "lab": ["com"], "dt": ["lab"], "weekly": ["dense"]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.numeric import rounded
 from marketlens.functions.rules import Lexicon
 
 #: Word lists that occur in the stand-in texts.
@@ -106,4 +107,4 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def env_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, pm2_5, temp_mean, precip): from order totals by day."""
     daily = financials(spark, sf_dir).groupBy("date").agg(F.sum("net_sales").cast("double").alias("s"), F.count("*").cast("double").alias("n"))
-    return daily.select("date", (F.col("s") / F.col("n") / 1000).alias("pm2_5"), (20 + F.col("n")).alias("temp_mean"), (F.col("s") % 50).alias("precip"))
+    return daily.select("date", rounded(F.col("s") / F.col("n") / 1000, 1).alias("pm2_5"), (20 + F.col("n")).alias("temp_mean"), rounded(F.col("s") % 50, 1).alias("precip"))
