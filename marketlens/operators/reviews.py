@@ -88,6 +88,11 @@ def window_summary(comments: DataFrame, days: int, as_of: Column, other: str, pr
     }
 
 
+def brand_slice(summary_brands: DataFrame, brand: str) -> DataFrame:
+    """A brand's row of a window summary with its rate of positive comments."""
+    return summary_brands.filter(F.col("brand") == brand).withColumn("positive_rate", percent(F.col("positive"), F.col("total"), 0))
+
+
 def period_compare(daily: DataFrame, days: int) -> DataFrame:
     """(period, total, urgent, score, pos_rate, avg_rating) of the last ``days`` on record and of as many before."""
     newest = daily.agg(F.max("date").alias("top"))

@@ -61,6 +61,28 @@ def stock_metrics(catalog: DataFrame, lead: int = 14, target: int = 30) -> DataF
     return rows.select("product_id", rounded(F.col("rate"), 2).alias("daily_rate"), "days_of_cover", status.alias("status"), reorder.alias("reorder_point"), quantity.alias("recommended_qty"))
 
 
+#: Statuses from the most pressing.
+PRESSING = ["urgent", "soon", "ok", "overstock", "dead", "nostock"]
+
+
+def browse_catalog(catalog: DataFrame, metrics: DataFrame, q: str = "", brand: str | None = None, status: str | None = None, limit: int = 3000) -> DataFrame:
+    """Catalog rows with their stock status, filtered by brand, a search in name, brand or id, and status.
+
+    Pressing statuses come first, then what sold most in 90 days; at most ``limit`` rows. ``catalog`` may have name and
+    brand columns.
+    """
+    named = catalog.withColumns({c: F.lit(None).cast("string") for c in ("name", "brand") if c not in catalog.columns})
+    rows = named.join(metrics.select("product_id", "status", "days_of_cover", "recommended_qty"), "product_id", "left")
+    if brand:
+        rows = rows.filter(F.col("brand") == brand)
+    if q:
+        rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "name", "brand", F.col("product_id").cast("string"))), F.lit(q.lower())))
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PRESSING)), F.col("status")), F.lit(len(PRESSING) + 1))
+    return rows.orderBy(rank, F.desc_nulls_last("units_90"), "product_id").limit(limit)
+
+
 def stock_status_counts(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("status").agg(F.count("*").alias("products"))
 

@@ -109,6 +109,10 @@ JOBS = {
     ),
     "product_catalog": (_catalog, sql(CATALOG, "bd", "bs")),
     "stock_metrics": (lambda s, d: sl.stock_metrics(_catalog(s, d), LEAD), sql(METRICS + "SELECT * FROM met", "bd", "bs")),
+    "browse_catalog": (
+        lambda s, d: sl.browse_catalog(_catalog(s, d), sl.stock_metrics(_catalog(s, d), LEAD), q="#1", status="urgent").select("product_id", "units_90", "status"),
+        sql(METRICS + "SELECT product_id, units_90, status FROM cat JOIN met USING (product_id) WHERE contains(lower(product_id), '#1') AND status = 'urgent'", "bd", "bs"),
+    ),
     "stock_status_counts": (lambda s, d: sl.stock_status_counts(sl.stock_metrics(_catalog(s, d), LEAD)), sql(METRICS + "SELECT status, count(*) AS products FROM met GROUP BY 1", "bd", "bs")),
     "latest_items": (
         lambda s, d: sl.latest_items(fx.snapshots(s, d), fx.table(s, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("item_id"))).drop("update_time"),

@@ -100,6 +100,10 @@ JOBS = {
     ),
     "window_summary_overall": (lambda s, d: _summary(s, d)["overall"], sql(f", o AS (SELECT {COUNTS}, {STARS} FROM win) SELECT *, {DIRECTION} FROM o", "win")),
     "window_summary_brands": (lambda s, d: _summary(s, d)["brands"], sql(f", o AS (SELECT bk AS brand, {COUNTS}, {STARS} FROM win GROUP BY 1) SELECT *, {DIRECTION} FROM o", "win")),
+    "brand_slice": (
+        lambda s, d: rv.brand_slice(_summary(s, d)["brands"], "src1").select("brand", "total", "positive_rate"),
+        sql("SELECT bk AS brand, count(*) AS total, round(CAST(count(*) FILTER (sentiment = 'positive') AS DOUBLE) / count(*) * 100) AS positive_rate FROM win WHERE bk = 'src1' GROUP BY 1", "win"),
+    ),
     "top_issues": (
         lambda s, d: _summary(s, d)["brand_issues"],
         sql(f"SELECT bk AS brand_key, category, count(*) AS count, CAST(row_number() OVER (PARTITION BY bk ORDER BY count(*) DESC, category) AS INTEGER) AS rank FROM win WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1, 2 QUALIFY rank <= 5", "win"),
