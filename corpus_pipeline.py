@@ -43,7 +43,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pack the documents into windows of 4096 tokens, keeping crowding sources and equal texts apart."""
     clusters = F.xxhash64(F.coalesce("text", F.lit("")))
     path = public_tokenizers.path("word_bpe_49k.json")
-    counts = token_store.token_counts(docs.select("doc_id", "text", "source", clusters.alias("cluster")), path, ["source", "cluster"])
+    counts = token_store.token_counts(docs.select("doc_id", "text", "source", clusters.alias("cluster")), path, ["source", "cluster"], chunks=150_000, words=200_000)  # small memos: the workers serve all stages
     return packing.pack(written(counts, "token-counts"))
 
 

@@ -172,10 +172,10 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
             yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "x"])
 
     found = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")  # at most ``rows`` pairs of numbers
-    got = found.mapInArrow(work, "y int, x array<double>").toPandas()
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
-    order = np.lexsort((*x.T, got["y"].to_numpy())) if len(got) else []
-    return Gam(x[order], got["y"].to_numpy(float)[order])
+    got = found.mapInArrow(work, "y int, x array<double>").toArrow()
+    x, y = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(FEATURES)), got["y"].to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))  # the same fit however rows come
+    return Gam(x[order], y[order])
 
 
 def score(documents: DataFrame, model: Gam, keep: list[str] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import scratch_dir, shuffle_partitions, slices, texts, written
 
 CHUNKS, WORDS = 800_000, 800_000  # entries a worker keeps of either memo
-_memos: dict[str, "ChunkEncoder"] = {}
+_memos: dict[tuple, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -38,7 +38,8 @@ class ChunkEncoder:
     tokenizer's own split pattern and its words go to the library's model; any other chunk goes to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CHUNKS, words: int = WORDS):
+        self.most_chunks, self.most_words = chunks, words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -58,7 +59,7 @@ class ChunkEncoder:
         if ids is None:
             tokens = self.tokenizer.model.tokenize(word if word.isascii() else self.spell(word))
             ids = struct.pack(f"<{len(tokens)}{'I' if self.wide else 'H'}", *[t.id for t in tokens])
-            if len(self.words) >= WORDS:
+            if len(self.words) >= self.most_words:
                 self.words.clear()
             self.words[word] = ids
         return ids
@@ -76,17 +77,19 @@ class ChunkEncoder:
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            if len(known) >= CHUNKS:
+            if len(known) >= self.most_chunks:
                 known.clear()
             for c in set(chunks).difference(known):
                 known[c] = self.chunk(c)
             return b"".join([known[c] for c in chunks])
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _memos:
-        _memos[path] = ChunkEncoder(path)
-    return _memos[path]
+def encoder(path: str, chunks: int = CHUNKS, words: int = WORDS) -> ChunkEncoder:
+    """The worker's encoder; memos of fewer entries trade time for memory."""
+    key = (path, chunks, words)
+    if key not in _memos:
+        _memos[key] = ChunkEncoder(*key)
+    return _memos[key]
 
 
 def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,12 +106,12 @@ def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
     return rows.mapInArrow(encode, "doc_id long, ids binary, width int")
 
 
-def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None, chunks: int = CHUNKS, words: int = WORDS) -> DataFrame:
     """doc_id, the ``keep`` columns and n_tokens, without an end id."""
     keep = ["doc_id", *(keep or [])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = encoder(tokenizer_path)
+        memo = encoder(tokenizer_path, chunks, words)
         for batch in slices(batches, "_text"):
             counts = [len(memo.encode(t.decode())) // memo.type.itemsize for t in texts(batch, "_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
