@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import slices, texts
 
 SHORT = 64  # bytes up to which the rank array is scanned
-PIECES, WORDS = 600_000, 900_000  # entries a worker keeps
+PIECES, WORDS = 450_000, 600_000  # entries a worker keeps
 WIDTH = 20  # bits of an id
 MASK, NONE = (1 << WIDTH) - 1, 1 << 60
 _codecs: dict[str, "ByteBPE"] = {}
@@ -197,18 +197,3 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(work, "doc_id long, n_tokens long, ids binary, text string")
-
-
-def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the ``keep`` columns and n_tokens."""
-    keep = ["doc_id", *(keep or [])]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(tokenizer_path)
-        for batch in slices(batches, "_text"):
-            counts = [len(bpe.encode(t.decode())) // 4 for t in texts(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
-
-    rows = documents.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
-    return rows.mapInArrow(work, f"{kinds}, n_tokens long")
