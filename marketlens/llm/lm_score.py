@@ -1,16 +1,20 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is its words, each spelled as bytes and closed by a space, and one end sign. Every byte is coded as eight binary
-decisions. The contexts of a decision are the bits of its byte so far together with the last 0, 1, ... ``DEPTH`` bytes
-(a word starts after a space; contexts don't reach into the word before). A node of the context tree counts the zeros
-and ones it saw in training; its Krichevsky-Trofimov estimate is mixed with the product of its children's weighted
-probabilities, half and half, from the deepest contexts up to the root. That gives every node the posterior weight of
-stopping there, and a decision's probability mixes the estimates on its path by these weights: an unseen context
-contributes one half. The negative logarithm is the text's code length, also given per byte.
-
-All steps are joins and sums: distinct words are counted in tasks and summed, a word's bytes are counted once however
-often it occurs, the tree's levels are folded one by one by key, and each distinct byte in context is scored once. Words
-are scored by their bytes and documents by their words. The ``HOT`` most frequent words, a table of a fixed size, go to
+A text is all its bytes, A-Z lower-cased, and one end sign. Every byte is coded as eight binary decisions. The contexts of
+a decision are the bits of its byte so far together with the last 0, 1, ... ``DEPTH`` bytes, across words and lines
+(``score_running``). ``score`` is the model of words alone: a text is its words, each closed by a space, and contexts
+don't reach into the word before. A node of the context tree counts the zeros and ones it saw in training; its
+Krichevsky-Trofimov estimate is mixed with the product of its children's weighted probabilities, half and half, from the
+deepest contexts up to the root. That gives every node the posterior weight of stopping there, and a decision's
+probability mixes the estimates on its path by these weights: an unseen context contributes one half. The negative
+logarithm is the text's code length, also given per byte.
+
+The running contexts of all documents are counted in tasks and summed; subtrees are built in one task each, the levels
+above them by the driver, and documents are scored by their bytes in context.
+
+The steps of ``score`` are joins and sums: distinct words are counted in tasks and summed, a word's bytes are counted
+once however often it occurs, the tree's levels are folded one by one by key, and each distinct byte in context is scored
+once. Words are scored by their bytes and documents by their words. The ``HOT`` most frequent words, a table of a fixed size, go to
 the tasks that read the documents, so only rarer words are shuffled.
 
 A null text counts as empty: one end sign. A null doc_id is trained on (its fold is null, so it isn't held out) and is
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices, texts, written
+from marketlens.llm.common import runs, slices, texts, written
 
 DEPTH = 6  # bytes of context; seven bytes fit a long
 HOT = 150_000  # most frequent words, resolved in the tasks
@@ -278,3 +282,242 @@ def score(documents: DataFrame, training: Column, depth: int = DEPTH, hot: int =
     out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+
+
+CLOSE = b"\xff"  # before and after a text's bytes; UTF-8 has no such byte
+_BLOCK = 2 << 20  # bytes worked on at a time
+_HELD = 2_000_000  # distinct grams a task holds before it passes them on
+_TOP = 2  # subtrees are built whole below their last two bytes of context
+
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted ctx << 8 | node, and the one and stop of each
+
+
+def blocks(texts: list[bytes], depth: int = DEPTH, size: int = _BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, place of the text of each): all bytes of whole texts, A-Z lower-cased, in their running contexts."""
+
+    def grams(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join([p for _, p in parts]), np.uint8).astype(np.int64)
+        sizes = np.array([len(p) - depth for _, p in parts])
+        part = np.repeat(np.arange(len(parts)), sizes)
+        at = np.arange(len(part)) + depth * part  # where each byte's context begins
+        gram = np.zeros(len(data) - depth, np.int64)
+        for k in range(depth + 1):
+            gram = gram << 8 | data[k : len(gram) + k]
+        return gram[at], np.array([i for i, _ in parts])[part]
+
+    held, total = [], 0
+    for i, text in enumerate(texts):
+        whole = CLOSE * depth + text.lower() + CLOSE
+        for at in range(0, len(whole) - depth, size):  # a part begins with the context of its first byte
+            held.append((i, whole[at : at + size + depth]))
+            total += len(held[-1][1])
+            if total >= size:
+                yield grams(held)
+                held, total = [], 0
+    if held:
+        yield grams(held)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, sorted, and the sums of their values."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(inverse, v, len(distinct)).astype(float) for v in values)
+
+
+def running_counts(documents: DataFrame, training: Column, depth: int = DEPTH) -> DataFrame:
+    """(gram, n): partial training counts of the grams of all documents, several rows a gram."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n = np.zeros(0, np.int64), np.zeros(0)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(gram), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)].astype(np.int64))], ["gram", "n"])
+
+        for batch in slices(batches, "text"):
+            train = np.array(batch.column("train").to_pylist(), float)
+            for found, owner in blocks(texts(batch), depth):
+                new.append(_summed(found, train[owner]))
+                if sum(len(g) for g, _ in new) > _HELD:
+                    gram, n = _summed(np.concatenate([gram, *(g for g, _ in new)]), np.concatenate([n, *(c for _, c in new)]))
+                    new = []
+                    if len(gram) > _HELD:
+                        yield from out()
+                        gram, n = gram[:0], n[:0]
+        if new or len(gram):
+            gram, n = _summed(np.concatenate([gram, *(g for g, _ in new)]), np.concatenate([n, *(c for _, c in new)]))
+            yield from out()
+
+    return documents.select("text", F.coalesce(training, F.lit(True)).alias("train")).mapInArrow(count, "gram long, n long")
+
+
+def _np_log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def lgamma(x: np.ndarray) -> np.ndarray:
+        y = x + 8
+        series = sum(c / y ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+        shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+        return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
+
+    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
+
+
+def _mask(d: int) -> np.int64:
+    return np.int64((1 << (8 * d)) - 1)
+
+
+def _decisions(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ctx << 8 | node, bit) of the eight decisions of each gram's byte, the first of all grams first."""
+    ctx, byte = gram >> 8, gram & 255
+    return np.concatenate([ctx << 8 | (256 | byte) >> (8 - k) for k in range(8)]), np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
+
+
+def _fold(code: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray | None, levels: range) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
+    """The levels from the deepest given one up, and what their parents sum: (code, a, b, below)."""
+    out: dict[int, Level] = {}
+    for d in levels:
+        kt = _np_log_kt(a, b)
+        weighted = kt if below is None else np.logaddexp(kt, below) - np.log(2)
+        stop = np.ones(len(kt)) if below is None else np.exp(kt - weighted - np.log(2))
+        out[d] = code, (b + 0.5) / (a + b + 1), stop
+        if d:
+            # the parent's context lacks the byte that lies furthest back
+            code, a, b, below = _summed((code >> 8 & _mask(d - 1)) << 8 | code & 255, a, b, weighted)
+    return out, (code, a, b, below)
+
+
+def _subtrees(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
+    code, bit = _decisions(gram[n > 0])
+    count = np.tile(n[n > 0], 8)
+    return _fold(*_summed(code, count * (1 - bit), count * bit), None, range(depth, _TOP - 1, -1))
+
+
+def _chance(code: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
+    """The mixture over each path from the root; below an unseen context it is one half."""
+    p, left = np.zeros(len(code)), np.ones(len(code))
+    for d in range(len(levels)):
+        known, one, stop = levels[d]
+        if not len(known):
+            return p + left * 0.5
+        here = (code >> 8 & _mask(d)) << 8 | code & 255
+        at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+        hit = known[at] == here
+        here_stop = np.where(hit, stop[at], 1.0)
+        p += left * here_stop * np.where(hit, one[at], 0.5)
+        left = left * (1 - here_stop)
+    return p
+
+
+def _by_subtree(grams: DataFrame) -> DataFrame:
+    key = F.shiftright("gram", 8).bitwiseAND(F.lit(int(_mask(_TOP))))
+    return grams.select("gram", "n").repartition(key).sortWithinPartitions(key, "gram")
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram, n), grams summed, of whole subtrees; one subtree is held at a time."""
+
+    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        gram = batch.column("gram").to_numpy(zero_copy_only=False)
+        return {"gram": gram, "n": batch.column("n").to_numpy(zero_copy_only=False), "key": gram >> 8 & _mask(_TOP)}
+
+    for cols, _ in runs(batches, ["key"], load):
+        yield _summed(cols["gram"], cols["n"])
+
+
+def running_scores(documents: DataFrame, training: Column, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, logp): of every distinct gram of the documents, its training count and its byte's log10 probability.
+
+    Contexts that end in the same two bytes are one subtree, built in one task; the two levels above, at most 65,280
+    nodes, are folded by the driver and go to all tasks. ``depth`` is 2 at least.
+    """
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in _whole_subtrees(batches):
+            code, a, b, below = _subtrees(gram, n, depth)[1]
+            none = pa.nulls(len(gram), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64)), none, none, none], ["gram", "n", "a", "b", "below"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.nulls(len(code), pa.int64()), pa.array(a), pa.array(b), pa.array(below)], ["gram", "n", "a", "b", "below"])
+
+    grown = written(_by_subtree(running_counts(documents, training, depth)).mapInArrow(grow, "gram long, n long, a double, b double, below double"), "running-counts")
+    top = grown.filter("n is null").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).toArrow().sort_by("gram")
+    upper = _fold(*(top[c].to_numpy() for c in ("gram", "a", "b", "below")), range(_TOP - 1, -1, -1))[0]
+    shared = documents.sparkSession.sparkContext.broadcast(upper)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in _whole_subtrees(batches):
+            code, bit = _decisions(gram)
+            distinct, inverse = np.unique(code, return_inverse=True)
+            p = _chance(distinct, shared.value | _subtrees(gram, n, depth)[0])[inverse]
+            logp = np.log10(np.where(bit == 1, p, 1 - p)).reshape(8, -1).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64)), pa.array(logp)], ["gram", "n", "logp"])
+
+    return written(_by_subtree(grown.filter("n is not null")).mapInArrow(score, "gram long, n long, logp double"), "running-scores")
+
+
+def score_running(documents: DataFrame, training: Column, depth: int = DEPTH, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
+    """``score`` with contexts that run over the whole text, across words, in place of contexts that begin with the word.
+
+    Tasks look up the most frequent words and grams themselves; rarer ones are joined, summed by document.
+    """
+    words = written(word_counts(documents, training), "word-counts")
+    totals = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
+    total, space = int(totals.N), int(totals.N + totals.V + 1)
+    scores = running_scores(documents, training, depth)
+    known = _hot(words, "n", "word", hot)
+    frequent = dict(zip(known["word"].cast(pa.binary()).to_pylist(), known["n"].to_pylist()))
+    grams = _hot(scores, "n", "gram", hot_grams).sort_by("gram")
+    shared = documents.sparkSession.sparkContext.broadcast((frequent, grams["gram"].to_numpy(), grams["logp"].to_numpy()))
+    schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, word string, gram long, k long"
+    types = [*[pa.int64()] * 5, pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, keys, values = shared.value
+        for batch in slices(batches, "text", 1 << 20):
+            rows = batch.column("row").to_numpy(zero_copy_only=False)
+            some = texts(batch)
+
+            def rare(row: np.ndarray, word: pa.Array, gram: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(row), *[pa.nulls(len(row), t) for t in types[1:7]], word, pa.array(gram), pa.array(k)], names)
+
+            logp = np.zeros(len(some))
+            for gram, owner in blocks(some, depth):
+                distinct, inverse = np.unique(gram, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+                hit = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+                value = np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct))
+                logp += np.bincount(owner, value[inverse], len(some))
+                miss = ~hit[inverse]
+                pair, k = np.unique(owner[miss] * len(distinct) + inverse[miss], return_counts=True)
+                if len(pair):
+                    yield rare(rows[pair // len(distinct)], pa.repeat(pa.scalar("", pa.string()), len(pair)), distinct[pair % len(distinct)], k.astype(np.int64))
+            whole: list[tuple] = []
+            unknown: list[tuple] = []
+            for row, doc, text, lp in zip(rows.tolist(), batch.column("doc_id").to_pylist(), some, logp.tolist()):
+                words = tokens(text)
+                counts = Counter(words)
+                counts[END.encode()] = 1
+                n_known, base = 0, 0.0
+                for w, k in counts.items():
+                    n = frequent.get(w)
+                    if n is None:
+                        unknown.append((row, w, k))
+                    else:
+                        n_known += k * (n > 0)
+                        base += k * np.log10((n + 1) / space)
+                whole.append((row, doc, len(words) + 1, len(text) + 1, n_known, base, lp, f"\t{row}", -1, 0))  # a key that is no word and spreads the rows
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), types)], names)
+            if unknown:
+                row, word, k = zip(*unknown)
+                yield rare(np.array(row, np.int64), pa.array(word, pa.binary()).cast(pa.string()), np.full(len(row), -1, np.int64), np.array(k, np.int64))
+
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = words.select("word", F.lit(-1).cast("long").alias("gram"), F.when(F.col("n") > 0, 1).otherwise(0).alias("known"), F.log10((F.col("n") + 1) / space).alias("b"), F.lit(0.0).alias("logp"))
+    table = table.unionByName(scores.select(F.lit("").alias("word"), "gram", F.lit(0).alias("known"), F.lit(0.0).alias("b"), "logp"))
+    parts = rows.mapInArrow(resolve, schema).join(table, ["word", "gram"], "left").select(
+        "row", "doc_id", "n_tokens", "n_bytes",
+        F.coalesce("n_known", F.col("k") * F.col("known")).alias("n_known"), F.coalesce("base", F.col("k") * F.col("b")).alias("base"), F.coalesce("score", F.col("k") * F.col("logp")).alias("score"),
+    )
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

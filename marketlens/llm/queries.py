@@ -44,7 +44,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a context tree learned from six of seven folds."""
     documents, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 7) == 2
-    scored = lm_score.score(documents, ~held_out)
+    scored = lm_score.score_running(documents, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

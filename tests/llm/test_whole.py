@@ -1,6 +1,7 @@
 """That operators do the whole job: contexts at full depth, long texts, near copies."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,3 +18,71 @@ def test_the_sixth_byte_of_context_counts(spark):
     got = {r.word: r.logp for r in lm_score.scored_words(table).collect()}
     assert got == {w.decode().strip(" "): pytest.approx(_ctw(words, 6, w), rel=1e-9) for w in words}
     assert lm_score.score(df, F.lit(True)).count() == 3
+
+
+def _streams(trained, depth, query):
+    """A plain context tree over whole texts, by recursion: the log10 probability of the query."""
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def bits(text):
+        s = b"\xff" * depth + text.lower() + b"\xff"
+        for i in range(depth, len(s)):
+            node = 1
+            for k in range(8):
+                bit = s[i] >> (7 - k) & 1
+                yield s[i - depth : i], node, bit
+                node = node * 2 + bit
+
+    for t in trained:
+        for ctx, node, bit in bits(t):
+            for d in range(depth + 1):
+                counts[ctx[depth - d :], node][bit] += 1
+    for ctx, node in counts:
+        if ctx:
+            children[ctx[1:], node].add(ctx)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(ctx, node):
+        own = kt(*counts[ctx, node])
+        if len(ctx) == depth:
+            return own
+        below = sum(weighted(c, node) for c in children[ctx, node])
+        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+
+    def chance(ctx, node, d=0):
+        here = ctx[depth - d :]
+        if (here, node) not in counts:
+            return 0.5
+        a, b = counts[here, node]
+        one = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return one
+        stop = math.exp(kt(a, b) - weighted(here, node) - math.log(2))
+        return stop * one + (1 - stop) * chance(ctx, node, d + 1)
+
+    return sum(math.log10(p if bit else 1 - p) for ctx, node, bit in bits(query) for p in [chance(ctx, node)])
+
+
+def test_contexts_run_over_words(spark):
+    texts = ["the cat sat on the mat", "mat the on sat cat the", "", "Cat cat\ncat dog é", None, "unseen zebra the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trained = [(t or "").encode() for i, t in enumerate(texts) if i not in (1, 5)]
+    words = {r.doc_id: r for r in lm_score.score(df, ~F.col("doc_id").isin(1, 5), depth=3).collect()}
+    for depth, hot, grams in ((3, 2, 5), (6, 100, 1000)):
+        got = {r.doc_id: r for r in lm_score.score_running(df, ~F.col("doc_id").isin(1, 5), depth, hot, grams).collect()}
+        for i, t in enumerate(texts):
+            assert got[i].score == pytest.approx(_streams(trained, depth, (t or "").encode()), rel=1e-9)
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (words[i].n_tokens, words[i].n_known, words[i].train_tokens)
+            assert got[i].base_score == pytest.approx(words[i].base_score)
+        assert got[0].score > got[1].score + 1  # a shuffle of the words is less likely
+    long = [b"abc def", b"x" * 50, b""]
+    whole, cut = next(lm_score.blocks(long, 6)), list(lm_score.blocks(long, 6, 7))
+    assert [x.tolist() for x in whole] == [sum((x[k].tolist() for x in cut), []) for k in (0, 1)]
+
+
+def test_running_scores_take_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "a"), (2, ""), (3, "é\t\n  x"), (3, "é\t\n  x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for training in (F.lit(True), F.lit(False), F.col("doc_id") == 3):
+        assert lm_score.score_running(df, training).filter("score is not null and score < 0").count() == 6
+    assert lm_score.score_running(df.limit(0), F.lit(True)).count() == 0
