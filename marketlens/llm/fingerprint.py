@@ -3,7 +3,7 @@
 A paragraph (a line) hashes to a wide vector, and a text's fingerprint is the sum of its paragraphs' vectors. So the
 order of paragraphs doesn't matter, and inserting or deleting a paragraph adds or subtracts its vector. The vector has
 two parts. ``STRONG`` lanes modulo 2**32 come from a cryptographic hash and decide equality. ``NEAR`` lanes modulo
-2**16 are a signed count sketch of the paragraph's windows of eight bytes; as sums are linear, the angle between two
+2**64 are a signed count sketch of the paragraph's windows of eight bytes; as sums are linear, the angle between two
 such parts estimates how much of two texts is alike.
 
 A null text counts as empty: its fingerprint is zero, and its likeness to another empty text 1. Fingerprints are given
@@ -32,7 +32,7 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(strong, near) of a text."""
     paragraphs = [p for p in text.split(b"\n") if p]
     if not paragraphs:
-        return np.zeros(STRONG, np.uint32), np.zeros(NEAR, np.uint16)
+        return np.zeros(STRONG, np.uint32), np.zeros(NEAR, np.uint64)
     digests = b"".join([hashlib.blake2b(p, digest_size=4 * STRONG).digest() for p in paragraphs])
     strong = np.frombuffer(digests, "<u4").reshape(-1, STRONG).sum(axis=0, dtype=np.uint32)
     data = np.frombuffer(_GAP + _GAP.join(paragraphs) + _GAP, np.uint8)  # no window reaches from one paragraph into the next
@@ -41,7 +41,7 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         x = windows * np.uint64(0x9E3779B97F4A7C15)
         x = ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)
     signed = np.bincount(x.astype(np.int64), minlength=2 * NEAR)
-    return strong, (signed[:NEAR] - signed[NEAR:]).astype(np.uint16)
+    return strong, (signed[:NEAR] - signed[NEAR:]).astype(np.uint64)
 
 
 def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +52,14 @@ def add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sign
 
 
 def text_of(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return (v[0].astype("<u4").tobytes() + v[1].astype("<u2").tobytes()).hex()
+    return (v[0].astype("<u4").tobytes() + v[1].astype("<u8").tobytes()).hex()
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; 1 for equal fingerprints."""
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    x, y = a[1].view(np.int16).astype(float), b[1].view(np.int16).astype(float)
+    x, y = a[1].view(np.int64).astype(float), b[1].view(np.int64).astype(float)
     size = np.sqrt((x @ x) * (y @ y))
     return float(min(max(x @ y / size, 0.0), 1.0)) if size else 0.0
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import lm_score
+from marketlens.llm import fingerprint, lm_score
 from tests.llm.test_brute import _ctw
 
 
@@ -86,3 +86,12 @@ def test_running_scores_take_odd_rows(spark):
     for training in (F.lit(True), F.lit(False), F.col("doc_id") == 3):
         assert lm_score.score_running(df, training).filter("score is not null and score < 0").count() == 6
     assert lm_score.score_running(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_likeness_of_long_repeated_lines():
+    text, edited, other = b"abcde\n" * 40_000, b"abcde\n" * 30_000 + b"other words\n" * 10, b"quite another line\n" * 40_000
+    v, e = fingerprint.vector(text), fingerprint.vector(edited)
+    assert fingerprint.likeness(v, e) > 0.99 > 0.5 > fingerprint.likeness(v, fingerprint.vector(other))
+    half = fingerprint.vector(b"abcde\n" * 20_000)
+    assert fingerprint.text_of(fingerprint.add(half, half)) == fingerprint.text_of(v)
+    assert fingerprint.text_of(fingerprint.add(v, half, -1)) == fingerprint.text_of(half)
