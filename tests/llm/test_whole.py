@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import fingerprint, lm_score
+from marketlens.llm import fingerprint, lm_score, queries
 from tests.llm.test_brute import _ctw
 
 
@@ -95,3 +95,16 @@ def test_likeness_of_long_repeated_lines():
     half = fingerprint.vector(b"abcde\n" * 20_000)
     assert fingerprint.text_of(fingerprint.add(half, half)) == fingerprint.text_of(v)
     assert fingerprint.text_of(fingerprint.add(v, half, -1)) == fingerprint.text_of(half)
+
+
+def test_near_copies_share_no_window(spark, tmp_path):
+    words = [f"word{i}" for i in range(120)]
+    near = [" ".join(words), " ".join(words[:-1]), " ".join(words).replace("word60 ", "other ")]
+    texts = near + [None] + [" ".join(f"x{k}y{i}" for i in range(120)) for k in range(3)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(None, near[0], "a"), (None, near[0], "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    cluster = {(r.doc_id, r.source): r.cluster for r in queries.clustered(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert len(cluster) == 9 and cluster[0, "s0"] == cluster[1, "s1"] == cluster[2, "s2"] and cluster[None, "a"] == cluster[None, "b"]
+    assert len(set(cluster.values())) == 6
+    windows = [r.bin_id for r in queries.op4_packing(spark, str(tmp_path)).collect() if r.doc_id in (0, 1, 2)]
+    assert len(windows) == len(set(windows)) == 3
