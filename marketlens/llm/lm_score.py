@@ -1,21 +1,24 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A text is all its bytes, A-Z lower-cased, and one end sign. Every byte is coded as eight binary decisions. The contexts of
-a decision are the bits of its byte so far together with the last 0, 1, ... ``DEPTH`` bytes, across words and lines
-(``score_running``). ``score`` is the model of words alone: a text is its words, each closed by a space, and contexts
-don't reach into the word before. A node of the context tree counts the zeros and ones it saw in training; its
-Krichevsky-Trofimov estimate is mixed with the product of its children's weighted probabilities, half and half, from the
-deepest contexts up to the root. That gives every node the posterior weight of stopping there, and a decision's
-probability mixes the estimates on its path by these weights: an unseen context contributes one half. The negative
-logarithm is the text's code length, also given per byte.
-
-The running contexts of all documents are counted in tasks and summed; subtrees are built in one task each, the levels
-above them by the driver, and documents are scored by their bytes in context.
-
-The steps of ``score`` are joins and sums: distinct words are counted in tasks and summed, a word's bytes are counted
-once however often it occurs, the tree's levels are folded one by one by key, and each distinct byte in context is scored
-once. Words are scored by their bytes and documents by their words. The ``HOT`` most frequent words, a table of a fixed size, go to
-the tasks that read the documents, so only rarer words are shuffled.
+a decision are the bits of its byte so far together with the last 0, 1, ... ``DEPTH`` bytes, across words and lines. A
+node of the context tree counts the zeros and ones it saw in training; its Krichevsky-Trofimov estimate is mixed with the
+product of its children's weighted probabilities, half and half, from the deepest contexts up to the root. That gives
+every node the posterior weight of stopping there, and a decision's probability mixes the estimates on its path by these
+weights: an unseen context contributes one half. The negative logarithm is the text's code length, also given per byte.
+
+Texts are gathered into chunks, and a chunk asks about each of its distinct grams (a byte with its context) and words
+once, however often they occur:
+
+1. A task reads documents into chunks of about ``CHUNK`` bytes and writes each chunk's texts, and its distinct grams and
+   words with their training counts, dealt to buckets by hash.
+2. Buckets sum the counts. The grams go on to subtrees (contexts that end in the same two bytes), each whole in one task.
+   The two levels above, at most 65,280 nodes, are folded by the driver and go to all tasks.
+3. Subtrees give each distinct gram its log probability, which goes back to the bucket.
+4. Buckets answer the chunks, and a chunk scores its texts from the answers.
+
+So what is shuffled are the distinct grams of chunks, packed into a few bytes each, never positions, and no table of
+grams or words is gathered whole. An answer is a whole number of 2**-32, so a byte's log probability is exact to 1e-10.
 
 A null text counts as empty: one end sign. A null doc_id is trained on (its fold is null, so it isn't held out) and is
 kept. Rows that share a doc_id are scored alone. Empty tables give empty results; other columns are ignored.
@@ -23,21 +26,30 @@ kept. Rows that share a doc_id are scored alone. Empty tables give empty results
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import runs, slices, texts, written
+from marketlens.llm.common import mix, shuffle_partitions, slices, texts, written
 
-DEPTH = 6  # bytes of context; seven bytes fit a long
-HOT = 150_000  # most frequent words, resolved in the tasks
-HOT_GRAMS = 1_000_000  # most frequent grams, likewise
-END = "\n"  # stands for the end sign; no word holds it
-_FLUSH = 400_000  # distinct words a task holds before it passes them on
+DEPTH = 6  # bytes of context; with its byte a gram fits 64 bits
+CHUNK = 64 << 20  # bytes of text that ask together
+BLOCK = 2 << 20  # bytes of text worked on at a time
+TOP = 2  # subtrees are built whole below their last two bytes of context
+UNIT = 1 << 20  # grams of the subtrees built at a time
+CLOSE = b"\xff"  # before and after a text's bytes, and its end sign among the words; UTF-8 has no such byte
+GRAM, WORD = 0, 1
+FRACTION = 1 << 32  # of an answer's unit
+U = np.uint64
+
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted codes of nodes, and the one and stop of each
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -45,479 +57,471 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(documents: DataFrame, training: Column) -> DataFrame:
-    """(word, n): of every word of all documents, its count in training documents (null: not held out)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-
-        def out() -> pa.RecordBatch:
-            new = [w for w in other if w not in known]
-            words = [*known, *new]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([*known.values(), *([0] * len(new))], pa.int64())], ["word", "n"])
-
-        for batch in slices(batches, "text"):
-            for text, train in zip(texts(batch), batch.column("train").to_pylist()):
-                words = tokens(text)
-                if train:
-                    known.update(words)
-                    known[END.encode()] += 1
-                else:
-                    other.update(words)
-                    other.add(END.encode())
-            if len(known) + len(other) > _FLUSH:
-                yield out()
-                known.clear()
-                other.clear()
-        if known or other:
-            yield out()
-
-    rows = documents.select("text", F.coalesce(training, F.lit(True)).alias("train"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+def _mask(d: int) -> np.uint64:
+    """The last d bytes of context in a gram: the latest lies highest, below one empty byte."""
+    return U((1 << 56) - (1 << (56 - 8 * d)))
 
-def grams_of(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of spelled words in their contexts, packed into integers of depth + 1 bytes, and each one's word."""
-    pad = b" " * depth
-    spelled = [w if w == END.encode() else w + b" " for w in words]
-    data = np.frombuffer(b"".join([pad + s for s in spelled]), np.uint8).astype(np.int64)
-    sizes = np.array([len(s) for s in spelled], np.int64)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    ends = np.arange(len(owner)) + depth * (owner + 1)  # where in data each spelled byte lies
-    gram = np.zeros(len(owner), np.int64)
-    for k in range(depth + 1):
-        gram = gram << 8 | data[ends - depth + k]
-    return gram, owner
 
+def grams(some: list[bytes], depth: int) -> np.ndarray:
+    """All bytes of whole texts and their end signs, each with its context: latest byte highest, the byte itself lowest.
 
-def _binaries(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
-def gram_counts(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): of every distinct gram of all words, its count in training words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, owner = grams_of(_binaries(batch, "word"), depth)
-            distinct, inverse = np.unique(gram, return_inverse=True)
-            n = np.bincount(inverse, np.asarray(batch.column("n"), float)[owner], len(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n.astype(np.int64))], ["gram", "n"])
-
-    return words.select("word", "n").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _bits(byte: Column) -> Column:
-    """The eight decisions of a byte: (node, bit), node being the bits so far after a leading 1."""
-    each = [F.struct(F.shiftright(byte + 256, 8 - k).cast("int").alias("node"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).cast("int").alias("bit")) for k in range(8)]
-    return F.explode(F.array(*each))
-
-
-_STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680]
-
-
-def _lgamma(x: Column) -> Column:
-    """The logarithm of the gamma function for x >= 0.5, through x + 8 and Stirling's series (error below 1e-12)."""
-    y = x + 8
-    series = sum((F.lit(c) / F.pow(y, F.lit(2 * k + 1)) for k, c in enumerate(_STIRLING)), F.lit(0.0))
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    return (y - 0.5) * F.log(y) - y + float(0.5 * np.log(2 * np.pi)) + series - shift
-
-
-def _log_kt(a: Column, b: Column) -> Column:
-    """The logarithm of the Krichevsky-Trofimov block probability of a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - float(np.log(np.pi))
-
-
-def tree(grams: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
-    """The levels of the context tree, root first: (ctx, node, stop, one).
-
-    ``one`` is the node's estimate that the next bit is 1, ``stop`` the weight of using it rather than a deeper context.
-    ``grams`` has distinct (gram, n) with n > 0.
+    So the contexts of a node are neighbours where grams are sorted.
     """
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    bits = grams.select(F.shiftright("gram", 8).alias("ctx"), "n", _bits(byte).alias("d"))
-    level = bits.groupBy("ctx", F.col("d.node").alias("node")).agg(
-        F.sum(F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0)).alias("b")
-    )
-    level = level.withColumn("below", F.lit(None).cast("double"))
-    levels: list[DataFrame] = []
-    for d in range(depth, -1, -1):
-        kt = _log_kt(F.col("a").cast("double"), F.col("b").cast("double"))
-        level = level.withColumn("kt", kt)
-        # log(exp(kt) / 2 + exp(below) / 2); a leaf has no children
-        mixed = F.greatest("kt", "below") + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - float(np.log(2))
-        level = level.withColumn("weighted", F.coalesce(mixed, F.col("kt")))
-        level = level.withColumn("stop", F.coalesce(F.exp(F.col("kt") - F.col("weighted") - float(np.log(2))), F.lit(1.0)) if d < depth else F.lit(1.0))
-        level = written(level.select("ctx", "node", "a", "b", "weighted", "stop", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("one")), f"tree-{d}")
-        levels.insert(0, level.select("ctx", "node", "stop", "one"))
-        if d:
-            # the parent's context lacks the byte that lies furthest back
-            parent = F.col("ctx").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))
-            level = level.groupBy(parent.alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
-    return levels
+    data = np.frombuffer(b"".join([CLOSE * 7 + t.lower() + CLOSE for t in some]), np.uint8)
+    windows = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
+    part = np.repeat(np.arange(len(some)), [len(t) + 1 for t in some])
+    windows = windows[np.arange(len(part)) + 7 * part]
+    return (windows & _mask(depth)) | windows >> U(56)
 
 
-def _mixed(levels: list[DataFrame]) -> DataFrame:
-    """(ctx, node, p): the mixture over the path from the root, for every node of the deepest level.
-
-    From the root down each node takes over from its parent what is mixed so far and the weight that is left.
-    """
-    state = levels[0].withColumns({"mix": F.lit(0.0), "left": F.lit(1.0)})
-    for d, level in enumerate(levels[1:], 1):
-        passed = state.select(F.col("ctx").alias("parent"), "node", (F.col("mix") + F.col("left") * F.col("stop") * F.col("one")).alias("mix"), (F.col("left") * (1 - F.col("stop"))).alias("left"))
-        state = level.withColumn("parent", F.col("ctx").bitwiseAND(F.lit((1 << (8 * (d - 1))) - 1))).join(passed, ["parent", "node"]).drop("parent")
-    return state.select("ctx", "node", (F.col("mix") + F.col("left") * F.col("one")).alias("p"))
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, sorted, and the sums of their values, as floats; quick where keys come in sorted runs."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], *(np.add.reduceat(v[order].astype(float), starts) if len(keys) else np.zeros(0) for v in values)
 
 
-def _unseen(paths: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(ctx, node, p) of paths that leave the tree somewhere: below that, an unseen context contributes one half."""
-    state = paths.select("ctx", "node").distinct().withColumns({"full": F.col("ctx"), "mix": F.lit(0.0), "left": F.lit(1.0)}).drop("ctx")
-    for d, level in enumerate(levels):
-        state = state.withColumn("ctx", F.col("full").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(level, ["ctx", "node"], "left")
-        one, stop = F.coalesce("one", F.lit(0.5)), F.coalesce("stop", F.lit(1.0))
-        state = state.select("full", "node", (F.col("mix") + F.col("left") * stop * one).alias("mix"), (F.col("left") * (1 - stop)).alias("left"))
-    return state.select(F.col("full").alias("ctx"), "node", F.col("mix").alias("p"))
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    return keys[edges[:-1]], np.diff(edges).astype(float)
 
 
-def gram_scores(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(gram, n, logp): log10 probability of a byte in its context, for distinct grams (gram, n)."""
+def _deflated(numbers: np.ndarray, steps: bool) -> bytes:
+    """64-bit numbers as compressed planes of bytes; sorted ones (``steps``) by their differences."""
+    numbers = np.diff(numbers, prepend=numbers.dtype.type(0)) if steps else numbers
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-    def scored(some: DataFrame, mixtures) -> DataFrame:
-        bits = some.select("gram", "n", F.shiftright("gram", 8).alias("ctx"), _bits(F.col("gram").bitwiseAND(F.lit(255))).alias("d")).select("gram", "n", "ctx", F.col("d.node").alias("node"), F.col("d.bit").alias("bit"))
-        p = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-        return bits.join(mixtures(bits), ["ctx", "node"]).groupBy("gram").agg(F.max("n").alias("n"), F.sum(F.log10(p)).alias("logp"))
 
-    return scored(grams.filter("n > 0"), lambda _: _mixed(levels)).unionByName(scored(grams.filter("n = 0"), lambda bits: _unseen(bits, levels)))
+def _inflated(data: bytes, kind: type, steps: bool) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    numbers = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(numbers, dtype=kind) if steps else numbers
 
 
-def _hot(table: DataFrame, order: str, key: str, limit: int) -> pa.Table:
-    """The ``limit`` rows of highest ``order``: a table of bounded size."""
-    return table.orderBy(F.desc(order), key).limit(limit).toArrow()
+def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Grams that differ in their byte and the first byte of their context alone stay together, which packs well."""
+    return (mix(keys >> U(16)) % U(n)).astype(np.int64)
 
 
-def scored_words(words: DataFrame, depth: int = DEPTH, hot: int = HOT_GRAMS) -> DataFrame:
-    """(word, n, logp): the model's log10 probability of each word, learned from the words with their counts n.
+def _parts(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(bucket, columns) of each bucket, in the order of the rows."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(bucket[a]), [c[order[a:b]] for c in columns]
 
-    Tasks look up the ``hot`` most frequent grams themselves; rarer ones are joined.
-    """
-    grams = written(gram_counts(words, depth), "gram-counts")
-    levels = tree(grams.filter("n > 0"), depth)
-    scores = written(gram_scores(grams, levels), "gram-scores")
-    known = _hot(scores, "n", "gram", hot).sort_by("gram")
-    shared = words.sparkSession.sparkContext.broadcast((known["gram"].to_numpy(), known["logp"].to_numpy()))
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
-        for batch in batches:
-            words = _binaries(batch, "word")
-            gram, owner = grams_of(words, depth)
-            at = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
-            hit = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
-            logp = np.bincount(owner[hit], values[at[hit]], len(words))
-            rest = np.flatnonzero(~hit)
-            text = batch.column("word")
-            whole = pa.RecordBatch.from_arrays([text, batch.column("n"), pa.array(-1 - np.arange(len(words))), pa.array(logp)], ["word", "n", "gram", "logp"])
-            yield whole
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([text.take(pa.array(owner[rest])), pa.array(np.zeros(len(rest), np.int64)), pa.array(gram[rest]), pa.array(np.zeros(len(rest)))], ["word", "n", "gram", "logp"])
-
-    parts = words.select("word", "n").mapInArrow(look_up, "word string, n long, gram long, logp double")
-    more = scores.select("gram", F.col("logp").alias("more"))
-    parts = parts.join(more, "gram", "left").select("word", "n", (F.when(F.col("gram") < 0, F.col("logp")).otherwise(F.col("more"))).alias("logp"))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("logp").alias("logp"))
-
-
-def score(documents: DataFrame, training: Column, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
 
-    ``training`` is a condition on the documents' columns. ``base_score`` is the log10 probability under the words'
-    own frequencies with one added to each, the end sign counting as a word; n_known counts tokens seen in training.
-    """
-    words = written(word_counts(documents, training), "word-counts")
-    table = written(scored_words(words, depth), "word-scores")
-    totals = table.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    total, space = int(totals.N), int(totals.N + totals.V + 1)
-    known = _hot(table, "n", "word", hot)
-    n = known["n"].to_numpy()
-    frequent = dict(zip(known["word"].cast(pa.binary()).to_pylist(), zip((n > 0).astype(int).tolist(), np.log10((n + 1) / space).tolist(), known["logp"].to_pylist())))
-    shared = documents.sparkSession.sparkContext.broadcast(frequent)  # ``hot`` entries
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        names = ["row", "doc_id", "n_tokens", "n_bytes", "n_known", "base", "score", "word", "k"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-        for batch in slices(batches, "text", 1 << 20):
-            whole: list[tuple] = []
-            rare: list[tuple] = []
-            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch)):
-                words = tokens(text)
-                counts = Counter(words)
-                counts[END.encode()] = 1
-                n_known, base, logp = 0, 0.0, 0.0
-                for w, k in counts.items():
-                    hit = table.get(w)
-                    if hit is None:
-                        rare.append((row, w, k))
-                    else:
-                        n_known += k * hit[0]
-                        base += k * hit[1]
-                        logp += k * hit[2]
-                # a key that is no word and spreads the rows
-                whole.append((row, doc, len(words) + 1, len(text) + 1, n_known, base, logp, f"\t{row}", 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), types)], names)
-            if rare:
-                row, word, k = zip(*rare)
-                none = [pa.nulls(len(rare), t) for t in types[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *none, pa.array(word, pa.binary()).cast(pa.string()), pa.array(k, pa.int64())], names)
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = rows.mapInArrow(resolve, "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, word string, k long")
-    rare = table.select("word", F.when(F.col("n") > 0, 1).otherwise(0).alias("known"), F.log10((F.col("n") + 1) / space).alias("b"), "logp")
-    parts = parts.join(rare, "word", "left").select(
-        "row", "doc_id", "n_tokens", "n_bytes",
-        F.coalesce("n_known", F.col("k") * F.col("known")).alias("n_known"), F.coalesce("base", F.col("k") * F.col("b")).alias("base"), F.coalesce("score", F.col("k") * F.col("logp")).alias("score"),
-    )
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+def _named(words: dict[bytes, int], n: int) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(bucket, words in order, counts) of each bucket."""
+    dealt: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        dealt.setdefault(zlib.crc32(w) % n, []).append(w)
+    for bucket, some in dealt.items():
+        yield bucket, some, [words[w] for w in some]
 
 
-CLOSE = b"\xff"  # before and after a text's bytes; UTF-8 has no such byte
-_BLOCK = 2 << 20  # bytes worked on at a time
-_HELD = 2_000_000  # distinct grams a task holds before it passes them on
-_TOP = 2  # subtrees are built whole below their last two bytes of context
+ASKED = "chunk long, kind int, bucket int, part long, keys binary, counts binary, body binary, ids array<long>, sizes array<long>"
+_ASKED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
-Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted ctx << 8 | node, and the one and stop of each
 
+def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chunk: int = CHUNK) -> DataFrame:
+    """The chunks: their texts (kind null), and their distinct grams and words with training counts by bucket."""
 
-def blocks(texts: list[bytes], depth: int = DEPTH, size: int = _BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, place of the text of each): all bytes of whole texts, A-Z lower-cased, in their running contexts."""
-
-    def grams(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join([p for _, p in parts]), np.uint8).astype(np.int64)
-        sizes = np.array([len(p) - depth for _, p in parts])
-        part = np.repeat(np.arange(len(parts)), sizes)
-        at = np.arange(len(part)) + depth * part  # where each byte's context begins
-        gram = np.zeros(len(data) - depth, np.int64)
-        for k in range(depth + 1):
-            gram = gram << 8 | data[k : len(gram) + k]
-        return gram[at], np.array([i for i, _ in parts])[part]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known: Counter[bytes] = Counter()
+        other: set[bytes] = set()
+        size = part = 0
+
+        def row(**values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"chunk": number} | values], _ASKED)
+
+        def ask() -> Iterator[pa.RecordBatch]:
+            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            for bucket, (k, c) in _parts(_bucket(keys, buckets), keys, n.astype(U)):
+                yield row(kind=GRAM, bucket=bucket, keys=_deflated(k, True), counts=_deflated(c, False))
+            words = dict(known) | {w: 0 for w in other if w not in known}
+            for bucket, some, counts in _named(words, buckets):
+                yield row(kind=WORD, bucket=bucket, keys=zstandard.compress(b"\n".join(some), 1), counts=_deflated(np.array(counts, U), False))
+
+        for batch in slices(batches, "text", BLOCK):
+            some, train = texts(batch), np.array(batch.column("train").to_pylist(), bool)
+            yield row(part=part, body=zstandard.compress(b"".join(some), 3), ids=batch.column("doc_id").to_pylist(), sizes=[len(t) for t in some])
+            for learns in (True, False):
+                mine = [t for t, x in zip(some, train.tolist()) if x == learns]
+                if not mine:
+                    continue
+                keys, n = _distinct(grams(mine, depth))
+                held.append((keys, n if learns else np.zeros(len(n))))
+                words = tokens(b"\n".join(mine))
+                if learns:
+                    known.update(words)
+                    known[CLOSE] += len(mine)
+                else:
+                    other.update(words)
+                    other.add(CLOSE)
+            size, part = size + sum(map(len, some)), part + 1
+            if len(held) > 16:
+                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+            if size >= chunk:
+                yield from ask()
+                number, size, part, held, known, other = number + 1, 0, 0, [], Counter(), set()
+        if held:
+            yield from ask()
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("train"))
+    return rows.mapInArrow(work, ASKED)
+
+
+COUNTED = "kind int, bucket int, tree int, keys binary, counts binary, total long, distinct long"
+
+
+def counted(asks: DataFrame, trees: int) -> DataFrame:
+    """Counts summed over the chunks: of grams by (bucket, tree), of words by bucket with their sum in ``total``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words: Counter[bytes] = Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = []
+            if at is not None and at[0] == GRAM:
+                keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+                for tree, (k, c) in _parts(_tree(keys, trees), keys, n.astype(U)):
+                    rows.append((GRAM, at[1], tree, _deflated(k, True), _deflated(c, False), 0, 0))
+            elif at is not None:
+                some = sorted(words)
+                n = [words[w] for w in some]
+                rows.append((WORD, at[1], -1, zstandard.compress(b"\n".join(some), 1), _deflated(np.array(n, U), False), sum(n), sum(x > 0 for x in n)))
+            for k in range(0, len(rows), 256):
+                yield _batch(rows[k : k + 256], COUNTED)
 
-    held, total = [], 0
-    for i, text in enumerate(texts):
-        whole = CLOSE * depth + text.lower() + CLOSE
-        for at in range(0, len(whole) - depth, size):  # a part begins with the context of its first byte
-            held.append((i, whole[at : at + size + depth]))
-            total += len(held[-1][1])
-            if total >= size:
-                yield grams(held)
-                held, total = [], 0
-    if held:
-        yield grams(held)
+        for batch in batches:
+            for kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts"))):
+                if at != (kind, bucket):
+                    yield from done()
+                    at, held, words = (kind, bucket), [], Counter()
+                n = _inflated(counts, U, False)
+                if kind == GRAM:
+                    held.append((_inflated(keys, U, True), n))
+                    if len(held) > 32:
+                        held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                else:
+                    for w, c in zip(zstandard.decompress(keys).split(b"\n"), n.tolist()):
+                        words[w] += c
+        yield from done()
 
+    rows = asks.filter("kind is not null").select("kind", "bucket", "keys", "counts")
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(work, COUNTED)
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys, sorted, and the sums of their values."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, *(np.bincount(inverse, v, len(distinct)).astype(float) for v in values)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
-def running_counts(documents: DataFrame, training: Column, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): partial training counts of the grams of all documents, several rows a gram."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, n = np.zeros(0, np.int64), np.zeros(0)
-        new: list[tuple[np.ndarray, np.ndarray]] = []
+def _tree(keys: np.ndarray, trees: int) -> np.ndarray:
+    """The task of each gram's subtree: contexts that end in the same two bytes are together."""
+    return (mix(keys >> U(40)) % U(trees)).astype(np.int64)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(gram), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(gram[k : k + (1 << 17)]), pa.array(n[k : k + (1 << 17)].astype(np.int64))], ["gram", "n"])
 
-        for batch in slices(batches, "text"):
-            train = np.array(batch.column("train").to_pylist(), float)
-            for found, owner in blocks(texts(batch), depth):
-                new.append(_summed(found, train[owner]))
-                if sum(len(g) for g, _ in new) > _HELD:
-                    gram, n = _summed(np.concatenate([gram, *(g for g, _ in new)]), np.concatenate([n, *(c for _, c in new)]))
-                    new = []
-                    if len(gram) > _HELD:
-                        yield from out()
-                        gram, n = gram[:0], n[:0]
-        if new or len(gram):
-            gram, n = _summed(np.concatenate([gram, *(g for g, _ in new)]), np.concatenate([n, *(c for _, c in new)]))
-            yield from out()
+_STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680]
 
-    return documents.select("text", F.coalesce(training, F.lit(True)).alias("train")).mapInArrow(count, "gram long, n long")
 
+def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The logarithm of the Krichevsky-Trofimov block probability of a zeros and b ones."""
 
-def _np_log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    def lgamma(x: np.ndarray) -> np.ndarray:
+    def lgamma(x: np.ndarray) -> np.ndarray:  # for x >= 0.5, through x + 8 and Stirling's series (error below 1e-12)
         y = x + 8
-        series = sum(c / y ** (2 * k + 1) for k, c in enumerate(_STIRLING))
-        shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+        r = 1 / y
+        q = r * r
+        series = r * (_STIRLING[0] + q * (_STIRLING[1] + q * (_STIRLING[2] + q * _STIRLING[3])))
+        shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
         return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - shift
 
     return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
 
 
-def _mask(d: int) -> np.int64:
-    return np.int64((1 << (8 * d)) - 1)
+def _folded(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weighted, one, stop) of nodes with a zeros and b ones; ``below`` is what their children are worth, None at leaves."""
+    kt = _log_kt(a, b)
+    weighted = kt if below is None else np.logaddexp(kt, below) - np.log(2)
+    stop = np.ones(len(kt)) if below is None else np.exp(kt - weighted - np.log(2))
+    return weighted, (b + 0.5) / (a + b + 1), stop
 
 
-def _decisions(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ctx << 8 | node, bit) of the eight decisions of each gram's byte, the first of all grams first."""
-    ctx, byte = gram >> 8, gram & 255
-    return np.concatenate([ctx << 8 | (256 | byte) >> (8 - k) for k in range(8)]), np.concatenate([byte >> (7 - k) & 1 for k in range(8)])
+class Subtrees:
+    """Whole subtrees below the last ``TOP`` bytes of context, from their sorted grams and training counts.
 
+    A level has the distinct (context, byte) pairs. A node is a run of them that agree in context and first bits, so all
+    nodes of a level and a number of bits are cut from one sorted array. Counts of zero are contexts that nothing
+    was learned in: their estimate is one half at every depth.
+    """
 
-def _fold(code: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray | None, levels: range) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
-    """The levels from the deepest given one up, and what their parents sum: (code, a, b, below)."""
-    out: dict[int, Level] = {}
-    for d in levels:
-        kt = _np_log_kt(a, b)
-        weighted = kt if below is None else np.logaddexp(kt, below) - np.log(2)
-        stop = np.ones(len(kt)) if below is None else np.exp(kt - weighted - np.log(2))
-        out[d] = code, (b + 0.5) / (a + b + 1), stop
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.depth, self.keys, self.counts, self.parents = depth, {depth: keys}, {depth: n.astype(float)}, {}
+        for d in range(depth - 1, TOP - 1, -1):
+            code = (self.keys[d + 1] & _mask(d)) | self.keys[d + 1] & U(255)
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            fresh = np.concatenate([[True], code[1:] != code[:-1]])
+            place = np.empty(len(code), np.int64)
+            place[order] = np.cumsum(fresh) - 1
+            self.keys[d], self.parents[d + 1] = code[fresh], place
+            self.counts[d] = np.bincount(place, self.counts[d + 1], int(fresh.sum()))
+
+    def nodes(self, d: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the nodes of ``bits`` bits begin, and each pair's node."""
+        run = self.keys[d] >> U(8 - bits)
+        fresh = np.concatenate([[True], run[1:] != run[:-1]])
+        return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+    def code(self, d: int, bits: int, starts: np.ndarray, context: int) -> np.ndarray:
+        """Names of nodes with only the last ``context`` bytes of their context."""
+        keys = self.keys[d][starts]
+        return (keys & _mask(context)) | U(1 << bits) | (keys & U(255)) >> U(8 - bits)
+
+    def _levels(self, bits: int) -> tuple[dict[int, tuple], tuple[np.ndarray, ...]]:
+        """{d: (starts, node of each pair, one, stop)}, and (code, a, b, below) that the nodes at TOP give to their parents."""
+        out, below = {}, None
+        for d in range(self.depth, TOP - 1, -1):
+            starts, node = self.nodes(d, bits)
+            total = np.add.reduceat(self.counts[d], starts)
+            b = np.add.reduceat(self.counts[d] * (self.keys[d] >> U(7 - bits) & U(1)).astype(float), starts)
+            if d < self.depth:
+                lower = out[d + 1][0]
+                below = np.bincount(node[self.parents[d + 1][lower]], weighted, len(starts))
+            weighted, one, stop = _folded(total - b, b, below)
+            out[d] = starts, node, one, stop
+        return out, (self.code(TOP, bits, starts, TOP - 1), total - b, b, weighted)
+
+    def above(self) -> tuple[np.ndarray, ...]:
+        """(code, a, b, below), summed, of the nodes one level above the subtrees."""
+        every = [self._levels(bits)[1] for bits in range(8)]
+        return _summed(*(np.concatenate(z) for z in zip(*every)))
+
+    def scores(self, upper: list[Level]) -> np.ndarray:
+        """log10 probability of each gram's byte; ``upper`` has the levels above."""
+        out = np.zeros(len(self.keys[self.depth]))
+        for bits in range(8):
+            levels = self._levels(bits)[0]
+            starts = levels[TOP][0]
+            p, left = np.zeros(len(starts)), np.ones(len(starts))
+            for d, (codes, one, stop) in enumerate(upper):
+                at = np.searchsorted(codes, self.code(TOP, bits, starts, d))
+                p, left = p + left * stop[at] * one[at], left * (1 - stop[at])
+            for d in range(TOP, self.depth + 1):
+                starts, node, one, stop = levels[d]
+                if d > TOP:
+                    up = levels[d - 1][1][self.parents[d][starts]]
+                    p, left = p[up], left[up]
+                p, left = p + left * stop * one, left * (1 - stop)
+            bit = (self.keys[self.depth] >> U(7 - bits) & U(1)) == 1
+            out += np.where(bit, np.log10(p)[node], np.log10(1 - p)[node])
+        return out
+
+
+def _upper(code: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> list[Level]:
+    """The levels above the subtrees, the root first, from the sums for the lowest of them."""
+    out: list[Level] = []
+    for d in range(TOP - 1, -1, -1):
+        weighted, one, stop = _folded(a, b, below)
+        out.insert(0, (code, one, stop))
         if d:
-            # the parent's context lacks the byte that lies furthest back
-            code, a, b, below = _summed((code >> 8 & _mask(d - 1)) << 8 | code & 255, a, b, weighted)
-    return out, (code, a, b, below)
-
+            code, a, b, below = _summed((code & _mask(d - 1)) | code & U(255), a, b, weighted)
+    return out
 
-def _subtrees(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[dict[int, Level], tuple[np.ndarray, ...]]:
-    code, bit = _decisions(gram[n > 0])
-    count = np.tile(n[n > 0], 8)
-    return _fold(*_summed(code, count * (1 - bit), count * bit), None, range(depth, _TOP - 1, -1))
 
+GROWN = "tree int, keys binary, counts binary, code long, a double, b double, below double"
 
-def _chance(code: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
-    """The mixture over each path from the root; below an unseen context it is one half."""
-    p, left = np.zeros(len(code)), np.ones(len(code))
-    for d in range(len(levels)):
-        known, one, stop = levels[d]
-        if not len(known):
-            return p + left * 0.5
-        here = (code >> 8 & _mask(d)) << 8 | code & 255
-        at = np.minimum(np.searchsorted(known, here), len(known) - 1)
-        hit = known[at] == here
-        here_stop = np.where(hit, stop[at], 1.0)
-        p += left * here_stop * np.where(hit, one[at], 0.5)
-        left = left * (1 - here_stop)
-    return p
 
+def grown(counts: DataFrame, depth: int) -> DataFrame:
+    """Rows of whole subtrees (about ``UNIT`` grams, or one subtree), and what their nodes give to the level above."""
 
-def _by_subtree(grams: DataFrame) -> DataFrame:
-    key = F.shiftright("gram", 8).bitwiseAND(F.lit(int(_mask(_TOP))))
-    return grams.select("gram", "n").repartition(key).sortWithinPartitions(key, "gram")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            unit = keys >> U(40)
+            edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            cuts = edges[np.concatenate([[True], edges[1:] // UNIT != edges[:-1] // UNIT])].tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(keys)]):
+                code, a, b, below = Subtrees(keys[s:e], n[s:e], depth).above()
+                yield _batch([(at, _deflated(keys[s:e], True), _deflated(n[s:e].astype(U), False), None, None, None, None)], GROWN)
+                none = [pa.nulls(len(code), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(code.view(np.int64)), pa.array(a), pa.array(b), pa.array(below)], [f.split()[0] for f in GROWN.split(", ")])
 
-def _whole_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, n), grams summed, of whole subtrees; one subtree is held at a time."""
-
-    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        gram = batch.column("gram").to_numpy(zero_copy_only=False)
-        return {"gram": gram, "n": batch.column("n").to_numpy(zero_copy_only=False), "key": gram >> 8 & _mask(_TOP)}
+        for batch in batches:
+            for tree, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("tree", "keys", "counts"))):
+                if at != tree:
+                    yield from done()
+                    at, held = tree, []
+                held.append((_inflated(keys, U, True), _inflated(counts, U, False)))
+        yield from done()
 
-    for cols, _ in runs(batches, ["key"], load):
-        yield _summed(cols["gram"], cols["n"])
+    rows = counts.filter(f"kind = {GRAM}").select("tree", "keys", "counts")
+    return rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(work, GROWN)
 
 
-def running_scores(documents: DataFrame, training: Column, depth: int = DEPTH) -> DataFrame:
-    """(gram, n, logp): of every distinct gram of the documents, its training count and its byte's log10 probability.
+ANSWERS = "chunk long, kind int, bucket int, keys binary, counts binary"
 
-    Contexts that end in the same two bytes are one subtree, built in one task; the two levels above, at most 65,280
-    nodes, are folded by the driver and go to all tasks. ``depth`` is 2 at least.
-    """
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, n in _whole_subtrees(batches):
-            code, a, b, below = _subtrees(gram, n, depth)[1]
-            none = pa.nulls(len(gram), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64)), none, none, none], ["gram", "n", "a", "b", "below"])
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.nulls(len(code), pa.int64()), pa.array(a), pa.array(b), pa.array(below)], ["gram", "n", "a", "b", "below"])
+def modelled(trees: DataFrame, upper: list[Level], depth: int, buckets: int) -> DataFrame:
+    """(chunk -1, kind, bucket, keys, counts): each bucket's grams with their log probabilities, as answers."""
+    shared = trees.sparkSession.sparkContext.broadcast(upper)  # at most 65,280 nodes
 
-    grown = written(_by_subtree(running_counts(documents, training, depth)).mapInArrow(grow, "gram long, n long, a double, b double, below double"), "running-counts")
-    top = grown.filter("n is null").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).toArrow().sort_by("gram")
-    upper = _fold(*(top[c].to_numpy() for c in ("gram", "a", "b", "below")), range(_TOP - 1, -1, -1))[0]
-    shared = documents.sparkSession.sparkContext.broadcast(upper)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                keys = _inflated(packed, U, True)
+                logp = Subtrees(keys, _inflated(counts, U, False), depth).scores(shared.value)
+                answer = np.rint(-logp * FRACTION).astype(U)
+                rows = [(-1, GRAM, bucket, _deflated(k, True), _deflated(v, False)) for bucket, (k, v) in _parts(_bucket(keys, buckets), keys, answer)]
+                yield _batch(rows, ANSWERS)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, n in _whole_subtrees(batches):
-            code, bit = _decisions(gram)
-            distinct, inverse = np.unique(code, return_inverse=True)
-            p = _chance(distinct, shared.value | _subtrees(gram, n, depth)[0])[inverse]
-            logp = np.log10(np.where(bit == 1, p, 1 - p)).reshape(8, -1).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64)), pa.array(logp)], ["gram", "n", "logp"])
+    return trees.filter("keys is not null").select("keys", "counts").mapInArrow(work, ANSWERS)
 
-    return written(_by_subtree(grown.filter("n is not null")).mapInArrow(score, "gram long, n long, logp double"), "running-scores")
 
+def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
+    """The model's rows (chunk -1) dealt out to the chunks that asked."""
 
-def score_running(documents: DataFrame, training: Column, depth: int = DEPTH, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
-    """``score`` with contexts that run over the whole text, across words, in place of contexts that begin with the word.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        known: list[tuple] = []
+        words: dict[bytes, int] = {}
+        for batch in batches:
+            out = []
+            for chunk, kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "bucket", "keys", "counts"))):
+                if at != (kind, bucket):
+                    at, known, words = (kind, bucket), [], {}
+                if kind == GRAM:
+                    wanted = _inflated(keys, U, True)
+                    if chunk < 0:
+                        known.append((wanted, _inflated(counts, U, False)))
+                        continue
+                    if len(known) > 1:  # distinct grams in several pieces
+                        every = np.concatenate([k for k, _ in known])
+                        order = np.argsort(every, kind="stable")
+                        known = [(every[order], np.concatenate([v for _, v in known])[order])]
+                    out.append((chunk, kind, bucket, keys, _deflated(known[0][1][np.searchsorted(known[0][0], wanted)], False)))
+                elif chunk < 0:
+                    words.update(zip(zstandard.decompress(keys).split(b"\n"), _inflated(counts, U, False).tolist()))
+                else:
+                    out.append((chunk, kind, bucket, keys, _deflated(np.array([words[w] for w in zstandard.decompress(keys).split(b"\n")], U), False)))
+            if out:
+                yield _batch(out, ANSWERS)
+
+    rows = asks.filter("kind is not null").select("chunk", "kind", "bucket", "keys", "counts").unionByName(model)
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(work, ANSWERS)
+
+
+class Table:
+    """Open addressing over distinct 64-bit keys, looked up a block at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, ~U(0), U)  # no gram: its top byte is empty
+        self.values = np.zeros(1 << self.bits)
+        todo, at = np.arange(len(keys)), self._first(keys)
+        while len(todo):
+            place = at[todo]
+            free = self.slots[place] == ~U(0)
+            self.slots[place[free]] = keys[todo[free]]
+            won = self.slots[place] == keys[todo]
+            self.values[place[won]] = values[todo[won]]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        x = keys * U(0x9E3779B97F4A7C15)
+        return (((x ^ x >> U(29)) * U(0xBF58476D1CE4E5B9)) >> U(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which the table holds."""
+        at = self._first(keys)
+        miss = np.flatnonzero(self.slots[at] != keys)
+        while len(miss):
+            at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
+            miss = miss[self.slots[at[miss]] != keys[miss]]
+        return self.values[at]
+
+
+SCORED = "doc_id long, n_tokens long, n_bytes long, n_known long, base_score double, score double"
+
+
+def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataFrame:
+    """A row for each document, from the chunks' texts and answers; ``space`` divides the base's counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        table: Table | None = None
+        words: dict[bytes, tuple[int, float]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if at != row["chunk"]:
+                    at, found, table, words = row["chunk"], [], None, {}
+                if row["kind"] == GRAM:
+                    found.append((_inflated(row["keys"], U, True), _inflated(row["counts"], U, False).astype(float) / -FRACTION))
+                    continue
+                if row["kind"] == WORD:
+                    n = _inflated(row["counts"], U, False)
+                    known, base = (n > 0).astype(int).tolist(), np.log10((n.astype(float) + 1) / space).tolist()
+                    words.update(zip(zstandard.decompress(row["keys"]).split(b"\n"), zip(known, base)))
+                    continue
+                if table is None:
+                    table, found = Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])), []
+                body, ends = zstandard.decompress(row["body"]), np.cumsum([0, *row["sizes"]]).tolist()
+                some = [body[s:e] for s, e in zip(ends, ends[1:])]
+                values = table.of(grams(some, depth))
+                starts = np.array(ends[:-1]) + np.arange(len(some))
+                score = np.add.reduceat(values, starts)
+                out = []
+                for doc, text, s in zip(row["ids"], some, score.tolist()):
+                    mine = [words[w] for w in tokens(text)]
+                    mine.append(words[CLOSE])
+                    out.append((doc, len(mine), len(text) + 1, sum(k for k, _ in mine), sum(b for _, b in mine), s))
+                yield _batch(out, SCORED)
+
+    rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
+    none = {c: F.lit(None).cast(t) for c, t in (("part", "long"), ("body", "binary"), ("ids", "array<long>"), ("sizes", "array<long>"))}
+    rows = rows.unionByName(answers.drop("bucket").withColumns(none))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, SCORED)
+
+
+def score(documents: DataFrame, training: Column, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
 
-    Tasks look up the most frequent words and grams themselves; rarer ones are joined, summed by document.
+    ``training`` is a condition on the documents' columns. ``base_score`` is the log10 probability under the words'
+    own frequencies with one added to each, the end sign counting as a word; n_known counts tokens seen in training.
+    ``depth`` is from 2 to 6.
     """
-    words = written(word_counts(documents, training), "word-counts")
-    totals = words.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    total, space = int(totals.N), int(totals.N + totals.V + 1)
-    scores = running_scores(documents, training, depth)
-    known = _hot(words, "n", "word", hot)
-    frequent = dict(zip(known["word"].cast(pa.binary()).to_pylist(), known["n"].to_pylist()))
-    grams = _hot(scores, "n", "gram", hot_grams).sort_by("gram")
-    shared = documents.sparkSession.sparkContext.broadcast((frequent, grams["gram"].to_numpy(), grams["logp"].to_numpy()))
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, score double, word string, gram long, k long"
-    types = [*[pa.int64()] * 5, pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, keys, values = shared.value
-        for batch in slices(batches, "text", 1 << 20):
-            rows = batch.column("row").to_numpy(zero_copy_only=False)
-            some = texts(batch)
-
-            def rare(row: np.ndarray, word: pa.Array, gram: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(row), *[pa.nulls(len(row), t) for t in types[1:7]], word, pa.array(gram), pa.array(k)], names)
-
-            logp = np.zeros(len(some))
-            for gram, owner in blocks(some, depth):
-                distinct, inverse = np.unique(gram, return_inverse=True)
-                at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-                hit = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                value = np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct))
-                logp += np.bincount(owner, value[inverse], len(some))
-                miss = ~hit[inverse]
-                pair, k = np.unique(owner[miss] * len(distinct) + inverse[miss], return_counts=True)
-                if len(pair):
-                    yield rare(rows[pair // len(distinct)], pa.repeat(pa.scalar("", pa.string()), len(pair)), distinct[pair % len(distinct)], k.astype(np.int64))
-            whole: list[tuple] = []
-            unknown: list[tuple] = []
-            for row, doc, text, lp in zip(rows.tolist(), batch.column("doc_id").to_pylist(), some, logp.tolist()):
-                words = tokens(text)
-                counts = Counter(words)
-                counts[END.encode()] = 1
-                n_known, base = 0, 0.0
-                for w, k in counts.items():
-                    n = frequent.get(w)
-                    if n is None:
-                        unknown.append((row, w, k))
-                    else:
-                        n_known += k * (n > 0)
-                        base += k * np.log10((n + 1) / space)
-                whole.append((row, doc, len(words) + 1, len(text) + 1, n_known, base, lp, f"\t{row}", -1, 0))  # a key that is no word and spreads the rows
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), types)], names)
-            if unknown:
-                row, word, k = zip(*unknown)
-                yield rare(np.array(row, np.int64), pa.array(word, pa.binary()).cast(pa.string()), np.full(len(row), -1, np.int64), np.array(k, np.int64))
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = words.select("word", F.lit(-1).cast("long").alias("gram"), F.when(F.col("n") > 0, 1).otherwise(0).alias("known"), F.log10((F.col("n") + 1) / space).alias("b"), F.lit(0.0).alias("logp"))
-    table = table.unionByName(scores.select(F.lit("").alias("word"), "gram", F.lit(0).alias("known"), F.lit(0.0).alias("b"), "logp"))
-    parts = rows.mapInArrow(resolve, schema).join(table, ["word", "gram"], "left").select(
-        "row", "doc_id", "n_tokens", "n_bytes",
-        F.coalesce("n_known", F.col("k") * F.col("known")).alias("n_known"), F.coalesce("base", F.col("k") * F.col("b")).alias("base"), F.coalesce("score", F.col("k") * F.col("logp")).alias("score"),
-    )
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    buckets = shuffle_partitions(documents.sparkSession)
+    asks = written(asked(documents, training, depth, buckets, chunk), "lm-asked")
+    counts = written(counted(asks, 4 * buckets), "lm-counted")
+    words = counts.filter(f"kind = {WORD}").select(F.lit(-1).cast("long").alias("chunk"), "kind", "bucket", "keys", "counts")
+    trees = written(grown(counts, depth), "lm-grown")
+    top = trees.filter("code is not null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).toArrow()
+    code = top["code"].to_numpy().astype(np.int64).view(U)
+    upper = _upper(*_summed(code, *(top[c].to_numpy() for c in ("a", "b", "below"))))
+    answers = answered(asks, modelled(trees, upper, depth, buckets).unionByName(words))
+    total, space = _totals(counts)
+    out = scored(asks, answers, space, depth)
     bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+
+
+def _totals(counts: DataFrame) -> tuple[int, int]:
+    """Training tokens, and the base's divisor: they, the distinct ones and one more."""
+    row = counts.filter(f"kind = {WORD}").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    return int(row[0]), int(row[0] + row[1] + 1)

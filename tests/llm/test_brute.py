@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, language, lm_score, near_dedup, packing, pii, quality, queries, token_store
+from marketlens.llm import bpe, embedding_dedup, fingerprint, language, near_dedup, packing, pii, quality, queries, token_store
 from marketlens.llm.common import fold
 from marketlens.llm.graph import components
 from marketlens.llm.queries import _vocabulary
@@ -183,64 +183,6 @@ def test_packing_keeps_all_tokens(spark, sf):
     assert total == Counter(counts)
 
 
-def _ctw(words, depth, query):
-    """Context-tree weighting by recursion over explicit counts."""
-    counts: dict = defaultdict(lambda: [0, 0])
-
-    def bits(word):
-        s = b" " * depth + word
-        for i in range(depth, len(s)):
-            node = 1
-            for k in range(8):
-                bit = s[i] >> (7 - k) & 1
-                yield s[i - depth : i], node, bit
-                node = node * 2 + bit
-
-    for w, n in words.items():
-        for ctx, node, bit in bits(w):
-            for d in range(depth + 1):
-                counts[ctx[depth - d :], node][bit] += n
-    children = defaultdict(set)
-    for ctx, node in counts:
-        if ctx:
-            children[ctx[1:], node].add(ctx)
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def weighted(ctx, node):
-        own = kt(*counts[ctx, node])
-        if len(ctx) == depth:
-            return own
-        below = sum(weighted(c, node) for c in children[ctx, node])
-        return max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
-
-    def chance(ctx, node, d=0):
-        here = ctx[depth - d :]
-        if (here, node) not in counts:
-            return 0.5
-        a, b = counts[here, node]
-        one = (b + 0.5) / (a + b + 1)
-        if d == depth:
-            return one
-        stop = math.exp(kt(a, b) - weighted(here, node) - math.log(2))
-        return stop * one + (1 - stop) * chance(ctx, node, d + 1)
-
-    return sum(math.log10(p if bit else 1 - p) for ctx, node, bit in bits(query) for p in [chance(ctx, node)])
-
-
-def test_context_tree_weighting(spark):
-    texts = ["the cat sat on the mat", "The dog sat", "", "cat cat cat dog é", None, "unseen zebra the"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_score.score(df, F.col("doc_id") != 5, depth=2, hot=3).collect()}
-    spell = lambda t: [w + b" " for w in (t or "").encode().lower().split()] + [b"\n"]
-    words = Counter(w for i, t in enumerate(texts) if i != 5 for w in spell(t))
-    n, v = sum(words.values()), len(words)
-    for i, t in enumerate(texts):
-        mine = spell(t)
-        assert got[i].score == pytest.approx(sum(_ctw(words, 2, w) for w in mine), rel=1e-9)
-        assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in mine))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(mine), sum(words[w] > 0 for w in mine), n)
-
-
 def test_fingerprint_is_homomorphic(spark, sf, local):
     a, b, c = b"first paragraph here", b"second one", b"third and last of them"
     v = fingerprint.vector

@@ -7,17 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.llm import fingerprint, lm_score, queries
-from tests.llm.test_brute import _ctw
-
-
-def test_the_sixth_byte_of_context_counts(spark):
-    texts = ["abcdefgx abcdefgx abcdefgx zbcdefgy zbcdefgy zbcdefgy", "qbcdefg", "abcdefgy"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = Counter(w for t in texts for w in [*(x + b" " for x in t.encode().split()), b"\n"])
-    table = spark.createDataFrame([(w.decode().strip(" "), n) for w, n in words.items()], "word string, n long")
-    got = {r.word: r.logp for r in lm_score.scored_words(table).collect()}
-    assert got == {w.decode().strip(" "): pytest.approx(_ctw(words, 6, w), rel=1e-9) for w in words}
-    assert lm_score.score(df, F.lit(True)).count() == 3
 
 
 def _streams(trained, depth, query):
@@ -63,29 +52,44 @@ def _streams(trained, depth, query):
     return sum(math.log10(p if bit else 1 - p) for ctx, node, bit in bits(query) for p in [chance(ctx, node)])
 
 
-def test_contexts_run_over_words(spark):
-    texts = ["the cat sat on the mat", "mat the on sat cat the", "", "Cat cat\ncat dog é", None, "unseen zebra the"]
+def test_whole_texts_are_scored_in_context(spark):
+    texts = ["the cat sat on the mat", "mat the on sat cat the", "", "Cat cat\ncat dog é", None, "unseen zebra the", "abcdefgx abcdefgx zbcdefgy zbcdefgy", "qbcdefg"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     trained = [(t or "").encode() for i, t in enumerate(texts) if i not in (1, 5)]
-    words = {r.doc_id: r for r in lm_score.score(df, ~F.col("doc_id").isin(1, 5), depth=3).collect()}
-    for depth, hot, grams in ((3, 2, 5), (6, 100, 1000)):
-        got = {r.doc_id: r for r in lm_score.score_running(df, ~F.col("doc_id").isin(1, 5), depth, hot, grams).collect()}
+    words = Counter(w for t in trained for w in [*t.lower().split(), b"end"])
+    n, v = sum(words.values()), len(words)
+    for depth, chunk in ((2, 1), (3, 40), (6, 1 << 20)):
+        got = {r.doc_id: r for r in lm_score.score(df, ~F.col("doc_id").isin(1, 5), depth, chunk).collect()}
         for i, t in enumerate(texts):
-            assert got[i].score == pytest.approx(_streams(trained, depth, (t or "").encode()), rel=1e-9)
-            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (words[i].n_tokens, words[i].n_known, words[i].train_tokens)
-            assert got[i].base_score == pytest.approx(words[i].base_score)
+            text = (t or "").encode()
+            assert got[i].score == pytest.approx(_streams(trained, depth, text), rel=1e-9)
+            assert got[i].bits_per_byte == pytest.approx(-got[i].score * math.log2(10) / (len(text) + 1))
+            mine = [*text.lower().split(), b"end"]
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(mine), sum(words[w] > 0 for w in mine), n)
+            assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in mine))
         assert got[0].score > got[1].score + 1  # a shuffle of the words is less likely
-    long = [b"abc def", b"x" * 50, b""]
-    whole, cut = next(lm_score.blocks(long, 6)), list(lm_score.blocks(long, 6, 7))
-    assert [x.tolist() for x in whole] == [sum((x[k].tolist() for x in cut), []) for k in (0, 1)]
 
 
-def test_running_scores_take_odd_rows(spark):
+def test_held_out_texts_gain_by_context(spark):
+    got = [r for r in queries.op5_lm_score(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_subtrees_in_several_units(spark, monkeypatch):
+    rows = [(i, f"text {i % 7} of {i} words, {i * i} more") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm_score.score(df, F.col("doc_id") % 3 > 0).collect()}
+    monkeypatch.setattr(lm_score, "UNIT", 1)
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    assert {r.doc_id: r.score for r in lm_score.score(df, F.col("doc_id") % 3 > 0, chunk=200).collect()} == pytest.approx(whole, rel=1e-9)
+
+
+def test_scores_take_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a"), (2, ""), (3, "é\t\n  x"), (3, "é\t\n  x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for training in (F.lit(True), F.lit(False), F.col("doc_id") == 3):
-        assert lm_score.score_running(df, training).filter("score is not null and score < 0").count() == 6
-    assert lm_score.score_running(df.limit(0), F.lit(True)).count() == 0
+        assert lm_score.score(df, training).filter("score is not null and score < 0").count() == 6
+    assert lm_score.score(df.limit(0), F.lit(True)).count() == 0
 
 
 def test_likeness_of_long_repeated_lines():
