@@ -246,14 +246,34 @@ def test_gam_uses_a_pair():
 
 def test_embeddings(spark):
     rnd = np.random.default_rng(5)
-    x = rnd.standard_normal((300, 16))
-    x = np.concatenate([x, x[:60] + 0.12 * rnd.standard_normal((60, 16)), x[:20] + 0.3 * rnd.standard_normal((20, 16)), x[:5]])
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    link = u @ u.T >= 0.9
-    np.fill_diagonal(link, False)
-    want = _groups(range(len(x)), list(zip(*np.nonzero(link))))
-    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
-    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+    rows = []
+    for dim in (16, 3, 40):  # vectors of different lengths in one table
+        x = rnd.standard_normal((200, dim))
+        rows += [*x, *(x[:60] + 0.12 * rnd.standard_normal((60, dim))), *(x[:40] + 0.45 * rnd.standard_normal((40, dim))), *x[:5], *(x[7:12] * 1e-200), *(x[7:12] * 1e200)]
+    rows += [np.array([2.0]), np.array([3.0]), np.array([-1.0])]
+    rnd.shuffle(rows)
+    link = np.zeros((len(rows), len(rows)), bool)
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            if len(x) == len(y):
+                u, v = x / np.abs(x).max(), y / np.abs(y).max()
+                link[i, j] = link[j, i] = u @ v / (np.linalg.norm(u) * np.linalg.norm(v)) >= 0.9
+    want = _groups(range(len(rows)), list(zip(*np.nonzero(link))))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(link[i].sum()), want[i]) for i in range(len(rows))}
+
+
+def test_pairs_in_doubt_are_computed_again():
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((300, 24))
+    x[150:] = x[:150] + 0.47 * rnd.standard_normal((150, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = dict(zip("qsae", embedding_dedup.quantised(x)))
+    pairs: dict = {}
+    embedding_dedup.judged(side, side, 0.9, lambda i, j, sure: pairs.update(zip(zip(i.tolist(), j.tolist()), sure.tolist())))
+    real = x @ x.T
+    assert all((i, j) in pairs for i, j in zip(*np.nonzero(real >= 0.9))) and all(real[p] >= 0.9 for p, sure in pairs.items() if sure)
+    assert 0 < sum(not s for s in pairs.values()) < 600
 
 
 def test_quantisation_bound_holds():
@@ -261,7 +281,7 @@ def test_quantisation_bound_holds():
     u = rnd.standard_normal((200, 32))
     u /= np.linalg.norm(u, axis=1)[:, None]
     q, s, near, err = embedding_dedup.quantised(u)
-    guess = (q @ q.T) * s[:, None] * s[None, :]
+    guess = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s[None, :]
     assert (np.abs(u @ u.T - guess) <= near[:, None] * err[None, :] + err[:, None] + 1e-6).all()
 
 
