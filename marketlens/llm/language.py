@@ -2,11 +2,17 @@
 
 For each language a suffix automaton holds its sample of labelled text. A text is parsed greedily into the longest
 phrases that the automaton contains; the language that needs the fewest phrases, weighted by the bits of a pointer into
-its sample, explains the text best. The automata become dense transition tables in which a missing transition starts
-the next phrase, so that thousands of text segments step through a table together.
+its sample, explains the text best. Every letter of the samples has a symbol of its own.
 
-The sample is bounded: per language about ``SAMPLE`` characters (at most twice that), taken in the order of a hash of
-the training rows. Predictions use whole texts. Only the text decides; labels, source and id play no part.
+An automaton's transitions lie in one array, each state's at its own offset, so memory goes with the sample and not with
+the alphabet. Thousands of segments of texts step through an automaton together, each as if a phrase began with it;
+then every segment's parse is continued into the next one until both are in the same state, from where they agree.
+So the phrases are exactly those of one greedy parse of the whole text.
+
+The sample is bounded, and is the model's only bound: per language ``SAMPLE`` characters, or an even share of ``TOTAL``
+where there are more languages (at most twice that, as the last text is taken whole), from the first ``SAMPLE`` characters
+of training rows in the order of a hash. Predictions use whole texts. Only the text decides; labels, source and id play
+no part.
 
 A null or letter-free text is ``und`` with score 0, and so is every text where nothing could be learned. Ties go to the
 first language in alphabetical order. Null labels teach nothing. Repeated rows repeat; other columns are ignored.
@@ -14,7 +20,6 @@ first language in alphabetical order. Null labels teach nothing. Repeated rows r
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +30,12 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import aside, slices, texts
 
 SAMPLE = 30_000  # characters of labelled text per language
-LANGUAGES = 1000  # most frequent labels that are learned
-LETTERS = 250  # most frequent letters that have a symbol of their own
-SEGMENT = 512  # symbols that one lane parses
+TOTAL = 3_000_000  # characters of all languages together
+SEGMENT = 512  # symbols that one lane parses at first
+WINDOW = 1 << 21  # symbols of a text that are laid out at a time
 UND = "und"
 SHIFT = 28  # bits of a state; phrases that end are counted above
+MASK = (1 << SHIFT) - 1
 _models: dict[tuple, "Model"] = {}
 
 
@@ -68,58 +74,166 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Automaton:
+    """The transitions of a suffix automaton in one array, for many lanes at once.
+
+    A state's transitions stand at its offset plus their symbols, marked with the state. A missing one ends the phrase;
+    its symbol starts the next one, or is one itself where the sample lacks it. Values hold phrases above the state.
+    """
+
+    def __init__(self, sequence: np.ndarray, symbols: int):
+        moves = automaton(sequence.tolist())
+        size = symbols + sum(map(len, moves)) * 2 + 2 * symbols
+        self.base = np.full(len(moves), symbols, np.int64)
+        self.owner, self.value = np.full(size + 2048, -1, np.int32), np.zeros(size + 2048, np.int64)
+        root = np.full(symbols, 1 << SHIFT, np.int64)
+        root[list(moves[0])] = list(moves[0].values())
+        self.miss = root + (1 << SHIFT)
+        self.owner[symbols : 2 * symbols], self.value[symbols : 2 * symbols] = 0, root
+        free = np.ones(len(self.owner), bool)
+        free[: 2 * symbols] = False
+        at = symbols  # offsets from here on are tried
+        branching = [s for s in range(1, len(moves)) if len(moves[s]) > 1]
+        for s in sorted(branching, key=lambda s: -len(moves[s])):
+            own = np.array(list(moves[s]))
+            place, tried = at, 0
+            while True:
+                if place + symbols + 1024 > len(self.owner):
+                    self.owner, self.value = (np.concatenate([x, np.full(len(x), z, x.dtype)]) for x, z in ((self.owner, -1), (self.value, 0)))
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                fits = np.logical_and.reduce([free[place + c : place + c + 1024] for c in own.tolist()])
+                k = int(fits.argmax())
+                if fits[k]:
+                    break
+                place, tried = place + 1024, tried + 1
+            if tried > 4:  # the front is crowded
+                at = place
+            own += place + k
+            self.base[s], free[own], self.owner[own], self.value[own] = place + k, False, s, list(moves[s].values())
+        single = [s for s in range(1, len(moves)) if len(moves[s]) == 1]
+        spots = np.flatnonzero(free)
+        if len(single) > len(spots) - symbols:
+            more = len(single) + symbols
+            self.owner, self.value = np.concatenate([self.owner, np.full(more, -1, np.int32)]), np.concatenate([self.value, np.zeros(more, np.int64)])
+            spots = np.concatenate([spots, np.arange(len(free), len(free) + more)])
+        spots = spots[: len(single)]
+        symbol, target = (np.array([f(moves[s]) for s in single], np.int64) for f in (lambda m: next(iter(m)), lambda m: next(iter(m.values()))))
+        self.base[single], self.owner[spots], self.value[spots] = spots - symbol, single, target
+        end = int(max(np.flatnonzero(self.owner >= 0)[-1] + 1, self.base.max() + symbols))
+        pad = end - len(self.owner)
+        self.owner = np.concatenate([self.owner, np.full(max(pad, 0), -1, np.int32)])[:end]
+        self.value = np.concatenate([self.value, np.zeros(max(pad, 0), np.int64)])[:end]
+        self.bits = float(np.log2(len(sequence) + 2))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = self.base.take(state) + symbol
+        return np.where(self.owner.take(at) == state, self.value.take(at), self.miss.take(symbol))
+
+    def phrases(self, steps: np.ndarray, active: np.ndarray, following: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases that end in each lane, and its last state, where the lanes of a text are parsed as one.
+
+        ``steps`` has a column of symbols for each lane, ``active`` how many lanes have a symbol at each step (lanes
+        stand in the order of falling length), ``following`` the next lane of the text, or -1, and ``entry`` the state
+        that a text's first lane begins with.
+        """
+        n = len(lengths)
+        states, counts = np.zeros((len(steps) + 1, n), np.int32), np.zeros((len(steps) + 1, n), np.int32)
+        state, count = entry.copy(), np.zeros(n, np.int32)
+        states[0] = state
+        for k, (symbol, m) in enumerate(zip(steps, active.tolist())):
+            value = self.step(state[:m], symbol[:m])
+            count[:m] += value >> SHIFT
+            state[:m] = value & MASK
+            states[k + 1], counts[k + 1] = state, count
+        end = state.copy()
+        total = count.astype(np.int64)
+        lane = np.flatnonzero(following >= 0)
+        lane, state = following[lane], end[lane]  # lanes to be entered, and the state that enters
+        while len(lane):  # a round leaves lanes whose last state was wrong, and their followers are entered again
+            changed: list[tuple[np.ndarray, np.ndarray]] = []
+            count = np.zeros(len(lane), np.int64)
+            for k in range(len(steps) + 1):
+                done = lengths[lane] == k
+                same = states[k, lane] == state
+                if same.any() or done.any():
+                    total[lane[same]] = count[same] + counts[lengths[lane[same]], lane[same]] - counts[k, lane[same]]
+                    late = done & ~same
+                    total[lane[late]] = count[late]
+                    changed.append((lane[late], state[late]))
+                    # what the entered lane passes on is what its own parse passed on, once they agree
+                    again = same & (end[lane] != states[lengths[lane], lane])
+                    changed.append((lane[again], states[lengths[lane[again]], lane[again]].astype(np.int64)))
+                    rest = ~(same | done)
+                    lane, state, count = lane[rest], state[rest], count[rest]
+                if not len(lane):
+                    break
+                value = self.step(state, steps[k, lane])
+                count += value >> SHIFT
+                state = value & MASK
+            which, last = (np.concatenate(z) for z in zip(*changed)) if changed else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            new = end[which] != last
+            which, last = which[new], last[new]
+            end[which] = last
+            lane, state = following[which], last
+            lane, state = lane[lane >= 0], state[lane >= 0]
+        return total, end
+
+
+def _lanes(sequences: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Non-empty sequences cut into lanes in the order of falling length, and where each sequence's first and last are."""
+    sizes = np.array([len(s) for s in sequences])
+    lanes = -(-sizes // SEGMENT)
+    ends = np.cumsum(lanes)
+    owner = np.repeat(np.arange(len(sequences)), lanes)
+    within = np.arange(len(owner)) - np.repeat(ends - lanes, lanes)
+    lengths = np.minimum(SEGMENT, sizes[owner] - within * SEGMENT)
+    order = np.argsort(-lengths, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    following = np.where(within + 1 < lanes[owner], np.concatenate([place[1:], [-1]]), -1)
+    grid = np.zeros((len(owner), SEGMENT), np.int64)
+    grid[np.arange(SEGMENT) < lengths[:, None]] = np.concatenate(sequences)
+    steps = np.ascontiguousarray(grid[order].T)[: lengths.max()]
+    active = np.searchsorted(-lengths[order], -np.arange(len(steps)), "left")
+    return {"steps": steps, "active": active, "following": following[order], "lengths": lengths[order], "owner": owner[order], "first": place[ends - lanes], "last": place[ends - 1]}
+
+
 class Model:
     def __init__(self, samples: list[tuple[str, list[str]]]):
         self.languages = [lang for lang, _ in samples]
         joined = [np.concatenate([normal(t + " ") for t in ts]) for _, ts in samples]
-        counts = Counter(c for codes in joined for c in codes.tolist() if c != 32)
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS] if c < 1 << 16]
-        self.letter = np.frombuffer(bytes(chr(c).isalpha() for c in range(1 << 16)), bool)
-        self.symbol = np.where(self.letter, 1, 0).astype(np.int64)  # 0: no letter, 1: another letter
-        self.symbol[letters] = np.arange(2, 2 + len(letters))
-        self.pad = 2 + len(letters)
-        self.tables, self.bits = [], []
-        for codes in joined:
-            sequence = self.symbols(codes)
-            moves = automaton(sequence.tolist())
-            table = np.full((len(moves), self.pad + 1), -1, np.int32)
-            for state, m in enumerate(moves):
-                table[state, list(m)] = list(m.values())
-            # a missing transition ends the phrase; its symbol starts the next one, or is one itself where it is unknown
-            start = np.where(table[0] >= 0, table[0] + (1 << SHIFT), 2 << SHIFT).astype(np.int32)
-            root = np.where(table[0] >= 0, table[0], 1 << SHIFT).astype(np.int32)
-            table = np.where(table >= 0, table, start[None, :])
-            table[0] = root
-            table[:, self.pad] = np.arange(len(moves))
-            self.tables.append(table.astype(np.int32).ravel())
-            self.bits.append(np.log2(len(sequence) + 2))
+        every = np.unique(np.concatenate([*joined, np.zeros(0, "<u4")]))
+        self.letters = every[every != 32]
+        self.alphabetic = np.frombuffer(bytes(chr(c).isalpha() for c in range(1 << 16)), bool)
+        self.automata = [Automaton(self.symbols(codes), len(self.letters) + 2) for codes in joined]
+        self.bits = [a.bits for a in self.automata]
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
-        """Symbols of code points; runs of non-letters become one 0."""
-        s = np.where(codes < 1 << 16, self.symbol[np.minimum(codes, (1 << 16) - 1)], 0)
-        for at in np.flatnonzero(codes >= 1 << 16).tolist():
+        """Symbols of code points: 0 no letter, 1 a letter that no sample has; runs of non-letters become one 0."""
+        low = codes < 1 << 16
+        s = np.where(low, self.alphabetic[np.where(low, codes, 0)], False).astype(np.int64)
+        for at in np.flatnonzero(~low).tolist():
             s[at] = int(chr(codes[at]).isalpha())
+        if len(self.letters):
+            at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+            s = np.where((self.letters[at] == codes) & (s > 0), at + 2, s)
         return s[(s != 0) | (np.concatenate([[1], s[:-1]]) != 0)] if len(s) else s
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases each text needs."""
-        lanes = np.array([-(-len(s) // SEGMENT) for s in sequences])
-        grid = np.full((lanes.sum(), SEGMENT), self.pad, np.int32)
-        ends = np.cumsum(lanes)
-        for s, end, n in zip(sequences, ends.tolist(), lanes.tolist()):
-            grid[end - n : end].ravel()[: len(s)] = s
-        steps = np.ascontiguousarray(grid.T)
-        out = np.zeros((len(sequences), len(self.tables)))
-        owner = np.repeat(np.arange(len(sequences)), lanes)
-        width = self.pad + 1
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(lanes.sum(), np.int32), np.zeros(lanes.sum(), np.int32)
-            for column in steps:
-                value = table.take(state * width + column)
-                count += value >> SHIFT
-                state = value & ((1 << SHIFT) - 1)
-            out[:, k] = np.bincount(owner, count + (state != 0), len(sequences))  # and the phrase that is open
-        return out
+        out = np.zeros((len(sequences), len(self.automata)))
+        states = np.zeros((len(self.automata), len(sequences)), np.int64)
+        for at in range(0, max(map(len, sequences)), WINDOW):
+            mine = [i for i, s in enumerate(sequences) if len(s) > at]
+            layout = _lanes([sequences[i][at : at + WINDOW] for i in mine])
+            first, last, owner = layout.pop("first"), layout.pop("last"), layout.pop("owner")
+            for k, automaton in enumerate(self.automata):
+                entry = np.zeros(len(owner), np.int64)
+                entry[first] = states[k, mine]
+                count, end = automaton.phrases(**layout, entry=entry)
+                out[mine, k] += np.bincount(owner, count, len(mine))
+                states[k, mine] = end[last]
+        return out + (states.T != 0)  # and the phrase that is open
 
     def predict(self, batch: list[bytes]) -> tuple[list[str], list[float], list[float]]:
         """Languages, scores and mean letters a phrase."""
@@ -140,16 +254,17 @@ class Model:
         return langs, scores, lengths
 
 
-def sample(documents: DataFrame, training: Column, chars: int = SAMPLE) -> list[tuple[str, list[str]]]:
+def sample(documents: DataFrame, training: Column, chars: int = SAMPLE, total: int = TOTAL) -> list[tuple[str, list[str]]]:
     """Bounded training text for each language, in alphabetical order of the languages.
 
     Rows are thinned by their hash to a few times the bound before the window, so no language is gathered whole.
     """
     rows = documents.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    chars = max(1, min(chars, total // max(1, totals.count())))
     share = totals.select("lang", F.least(F.lit(1.0), F.lit(8.0 * chars) / F.col("n")).alias("share"))
-    thin = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    thin = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).withColumn("text", F.substring("text", 1, chars))
     order = Window.partitionBy("lang").orderBy("h", "text")
     thin = thin.withColumn("before", F.sum(F.length("text")).over(order) - F.length("text")).filter(F.col("before") < chars)
     out: dict[str, list[str]] = {}
@@ -161,7 +276,7 @@ def sample(documents: DataFrame, training: Column, chars: int = SAMPLE) -> list[
 def predict(documents: DataFrame, samples: list[tuple[str, list[str]]], keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (doc_id by default) with lang_pred, score and phrase_length (letters a phrase)."""
     keep = keep or ["doc_id"]
-    shared = documents.sparkSession.sparkContext.broadcast(samples)  # bounded: languages x twice SAMPLE
+    shared = documents.sparkSession.sparkContext.broadcast(samples)  # bounded: twice TOTAL characters
     key = (id(samples), tuple((lang, sum(map(len, t))) for lang, t in samples), hash(str(samples)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,6 +226,39 @@ def test_cross_parsing_counts_phrases():
     assert m.predict([b"the lazy dog", b"ipsum dolor", b"", b"123"])[0] == ["bb", "aa", "und", "und"]
 
 
+def test_long_texts_are_parsed_as_one(monkeypatch):
+    rnd = random.Random(1)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(200)]
+    letters = [chr(0x4E00 + i) for i in range(3000)] + [chr(0x20000 + i) for i in range(300)]
+    some = lambda n, ws: " ".join(rnd.choice(ws) for _ in range(n))
+    samples = [("aa", [some(1500, words)]), ("bb", [some(700, words[::2]), "aaaa " * 50]), ("zz", ["".join(rnd.choice(letters) for _ in range(6000))])]
+    texts = [some(2000, words), "a" * 4000, "aaaa " * 900, "".join(rnd.choice(letters) for _ in range(2500)), "q", some(100, words), "x" * 600, samples[0][1][0][100:7000], "aaaa " * 205]
+    m = language.Model(samples)
+    seqs = [m.symbols(language.normal(t)) for t in texts]
+    assert max(map(len, seqs)) > 10_000
+    for window in (language.WINDOW, 1500):
+        monkeypatch.setattr(language, "WINDOW", window)
+        got = m.phrases(seqs)
+        for j, (_, ts) in enumerate(samples):
+            sample = m.symbols(np.concatenate([language.normal(t + " ") for t in ts])).tolist()
+            assert got[:, j].tolist() == [_phrases(s.tolist(), sample) for s in seqs]
+
+
+def test_languages_of_one_large_alphabet():
+    rnd = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    tongues = [[rnd.choice(letters) + rnd.choice(letters) for _ in range(6000)] for _ in range(2)]
+    m = language.Model([(f"l{k}", ["".join(rnd.choice(t) for _ in range(15_000))]) for k, t in enumerate(tongues)])
+    texts = [(k, "".join(rnd.choice(tongues[k]) for _ in range(10))) for k in (0, 1) for _ in range(60)]
+    assert np.mean([m.predict([t.encode()])[0][0] == f"l{k}" for k, t in texts]) > 0.98
+
+
+def test_many_languages_share_the_bound(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 1500)} words of language {i % 1500}", f"l{i % 1500:04}") for i in range(3000)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), total=15_000)
+    assert len(got) == 1500 and sum(len(t) for _, ts in got for t in ts) <= 30_000
+
+
 def test_language_and_quality_learn(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
