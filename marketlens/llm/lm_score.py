@@ -41,9 +41,9 @@ from marketlens.llm.common import mix, shuffle_partitions, slices, texts, writte
 
 DEPTH = 6  # bytes of context; with its byte a gram fits 64 bits
 CHUNK = 64 << 20  # bytes of text that ask together
-BLOCK = 2 << 20  # bytes of text worked on at a time
+BLOCK = 1 << 20  # bytes of text worked on at a time
 TOP = 2  # subtrees are built whole below their last two bytes of context
-UNIT = 1 << 20  # grams of the subtrees built at a time
+UNIT = 1 << 19  # grams of the subtrees built at a time
 CLOSE = b"\xff"  # before and after a text's bytes, and its end sign among the words; UTF-8 has no such byte
 GRAM, WORD = 0, 1
 FRACTION = 1 << 32  # of an answer's unit
@@ -75,17 +75,31 @@ def grams(some: list[bytes], depth: int) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys, sorted, and the sums of their values, as floats; quick where keys come in sorted runs."""
+    """The distinct keys, sorted, and the sums of their values; quick where keys come in sorted runs."""
+    if not len(keys):
+        return keys, *values
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], *(np.add.reduceat(v[order].astype(float), starts) if len(keys) else np.zeros(0) for v in values)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], *(np.add.reduceat(v[order], starts) for v in values)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+Counts = tuple[np.ndarray, np.ndarray]  # sorted keys and their counts
+
+
+def _merged(held: list[Counts]) -> Counts:
+    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])) if len(held) > 1 else held[0]
+
+
+def _held(held: list[Counts]) -> list[Counts]:
+    """The same counts, merged once the later pieces outgrow the first."""
+    return [_merged(held)] if sum(len(k) for k, _ in held[1:]) > max(len(held[0][0]), 1 << 19) else held
+
+
+def _distinct(keys: np.ndarray) -> Counts:
     keys = np.sort(keys)
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
-    return keys[edges[:-1]], np.diff(edges).astype(float)
+    return keys[edges[:-1]], np.diff(edges).astype(U)
 
 
 def _deflated(numbers: np.ndarray, steps: bool) -> bytes:
@@ -132,7 +146,7 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Counts] = []
         known: Counter[bytes] = Counter()
         other: set[bytes] = set()
         size = part = 0
@@ -141,8 +155,8 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
             return pa.RecordBatch.from_pylist([{"chunk": number} | values], _ASKED)
 
         def ask() -> Iterator[pa.RecordBatch]:
-            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            for bucket, (k, c) in _parts(_bucket(keys, buckets), keys, n.astype(U)):
+            keys, n = _merged(held)
+            for bucket, (k, c) in _parts(_bucket(keys, buckets), keys, n):
                 yield row(kind=GRAM, bucket=bucket, keys=_deflated(k, True), counts=_deflated(c, False))
             words = dict(known) | {w: 0 for w in other if w not in known}
             for bucket, some, counts in _named(words, buckets):
@@ -156,7 +170,7 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
                 if not mine:
                     continue
                 keys, n = _distinct(grams(mine, depth))
-                held.append((keys, n if learns else np.zeros(len(n))))
+                held = _held([*held, (keys, n if learns else np.zeros(len(n), U))])
                 words = tokens(b"\n".join(mine))
                 if learns:
                     known.update(words)
@@ -165,8 +179,6 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
                     other.update(words)
                     other.add(CLOSE)
             size, part = size + sum(map(len, some)), part + 1
-            if len(held) > 16:
-                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
             if size >= chunk:
                 yield from ask()
                 number, size, part, held, known, other = number + 1, 0, 0, [], Counter(), set()
@@ -185,14 +197,14 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Counts] = []
         words: Counter[bytes] = Counter()
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = []
             if at is not None and at[0] == GRAM:
-                keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-                for tree, (k, c) in _parts(_tree(keys, trees), keys, n.astype(U)):
+                keys, n = _merged(held)
+                for tree, (k, c) in _parts(_tree(keys, trees), keys, n):
                     rows.append((GRAM, at[1], tree, _deflated(k, True), _deflated(c, False), 0, 0))
             elif at is not None:
                 some = sorted(words)
@@ -201,19 +213,16 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
             for k in range(0, len(rows), 256):
                 yield _batch(rows[k : k + 256], COUNTED)
 
-        for batch in batches:
-            for kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "keys", "counts"))):
-                if at != (kind, bucket):
-                    yield from done()
-                    at, held, words = (kind, bucket), [], Counter()
-                n = _inflated(counts, U, False)
-                if kind == GRAM:
-                    held.append((_inflated(keys, U, True), n))
-                    if len(held) > 32:
-                        held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                else:
-                    for w, c in zip(zstandard.decompress(keys).split(b"\n"), n.tolist()):
-                        words[w] += c
+        for kind, bucket, keys, counts in _rows(batches, ["kind", "bucket", "keys", "counts"]):
+            if at != (kind, bucket):
+                yield from done()
+                at, held, words = (kind, bucket), [], Counter()
+            n = _inflated(counts, U, False)
+            if kind == GRAM:
+                held = _held([*held, (_inflated(keys, U, True), n)])
+            else:
+                for w, c in zip(zstandard.decompress(keys).split(b"\n"), n.tolist()):
+                    words[w] += c
         yield from done()
 
     rows = asks.filter("kind is not null").select("kind", "bucket", "keys", "counts")
@@ -226,6 +235,14 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
 
 
+def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list]:
+    """Rows one by one, so that no more than one row's values are held beside their batch."""
+    for batch in batches:
+        cols = [batch.column(c) for c in columns]
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in cols]
+
+
 def _tree(keys: np.ndarray, trees: int) -> np.ndarray:
     """The task of each gram's subtree: contexts that end in the same two bytes are together."""
     return (mix(keys >> U(40)) % U(trees)).astype(np.int64)
@@ -346,27 +363,26 @@ def grown(counts: DataFrame, depth: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Counts] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys, n = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            keys, n = _merged(held)
             unit = keys >> U(40)
             edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             cuts = edges[np.concatenate([[True], edges[1:] // UNIT != edges[:-1] // UNIT])].tolist()
             for s, e in zip(cuts, [*cuts[1:], len(keys)]):
                 code, a, b, below = Subtrees(keys[s:e], n[s:e], depth).above()
-                yield _batch([(at, _deflated(keys[s:e], True), _deflated(n[s:e].astype(U), False), None, None, None, None)], GROWN)
+                yield _batch([(at, _deflated(keys[s:e], True), _deflated(n[s:e], False), None, None, None, None)], GROWN)
                 none = [pa.nulls(len(code), t) for t in (pa.int32(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(code.view(np.int64)), pa.array(a), pa.array(b), pa.array(below)], [f.split()[0] for f in GROWN.split(", ")])
 
-        for batch in batches:
-            for tree, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("tree", "keys", "counts"))):
-                if at != tree:
-                    yield from done()
-                    at, held = tree, []
-                held.append((_inflated(keys, U, True), _inflated(counts, U, False)))
+        for tree, keys, counts in _rows(batches, ["tree", "keys", "counts"]):
+            if at != tree:
+                yield from done()
+                at, held = tree, []
+            held.append((_inflated(keys, U, True), _inflated(counts, U, False)))
         yield from done()
 
     rows = counts.filter(f"kind = {GRAM}").select("tree", "keys", "counts")
@@ -381,13 +397,12 @@ def modelled(trees: DataFrame, upper: list[Level], depth: int, buckets: int) ->
     shared = trees.sparkSession.sparkContext.broadcast(upper)  # at most 65,280 nodes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for packed, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys = _inflated(packed, U, True)
-                logp = Subtrees(keys, _inflated(counts, U, False), depth).scores(shared.value)
-                answer = np.rint(-logp * FRACTION).astype(U)
-                rows = [(-1, GRAM, bucket, _deflated(k, True), _deflated(v, False)) for bucket, (k, v) in _parts(_bucket(keys, buckets), keys, answer)]
-                yield _batch(rows, ANSWERS)
+        for packed, counts in _rows(batches, ["keys", "counts"]):
+            keys = _inflated(packed, U, True)
+            logp = Subtrees(keys, _inflated(counts, U, False), depth).scores(shared.value)
+            answer = np.rint(-logp * FRACTION).astype(U)
+            rows = [(-1, GRAM, bucket, _deflated(k, True), _deflated(v, False)) for bucket, (k, v) in _parts(_bucket(keys, buckets), keys, answer)]
+            yield _batch(rows, ANSWERS)
 
     return trees.filter("keys is not null").select("keys", "counts").mapInArrow(work, ANSWERS)
 
@@ -397,29 +412,22 @@ def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
-        known: list[tuple] = []
+        known: list[Counts] = []
         words: dict[bytes, int] = {}
-        for batch in batches:
-            out = []
-            for chunk, kind, bucket, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "bucket", "keys", "counts"))):
-                if at != (kind, bucket):
-                    at, known, words = (kind, bucket), [], {}
-                if kind == GRAM:
-                    wanted = _inflated(keys, U, True)
-                    if chunk < 0:
-                        known.append((wanted, _inflated(counts, U, False)))
-                        continue
-                    if len(known) > 1:  # distinct grams in several pieces
-                        every = np.concatenate([k for k, _ in known])
-                        order = np.argsort(every, kind="stable")
-                        known = [(every[order], np.concatenate([v for _, v in known])[order])]
-                    out.append((chunk, kind, bucket, keys, _deflated(known[0][1][np.searchsorted(known[0][0], wanted)], False)))
-                elif chunk < 0:
-                    words.update(zip(zstandard.decompress(keys).split(b"\n"), _inflated(counts, U, False).tolist()))
-                else:
-                    out.append((chunk, kind, bucket, keys, _deflated(np.array([words[w] for w in zstandard.decompress(keys).split(b"\n")], U), False)))
-            if out:
-                yield _batch(out, ANSWERS)
+        for chunk, kind, bucket, keys, counts in _rows(batches, ["chunk", "kind", "bucket", "keys", "counts"]):
+            if at != (kind, bucket):
+                at, known, words = (kind, bucket), [], {}
+            if chunk < 0 and kind == GRAM:
+                known.append((_inflated(keys, U, True), _inflated(counts, U, False)))
+            elif chunk < 0:
+                words.update(zip(zstandard.decompress(keys).split(b"\n"), _inflated(counts, U, False).tolist()))
+            elif kind == GRAM:
+                known = [_merged(known)]  # the pieces have different grams
+                answer = known[0][1][np.searchsorted(known[0][0], _inflated(keys, U, True))]
+                yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
+            else:
+                answer = np.array([words[w] for w in zstandard.decompress(keys).split(b"\n")], U)
+                yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
 
     rows = asks.filter("kind is not null").select("chunk", "kind", "bucket", "keys", "counts").unionByName(model)
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(work, ANSWERS)
@@ -429,7 +437,7 @@ class Table:
     """Open addressing over distinct 64-bit keys, looked up a block at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, ~U(0), U)  # no gram: its top byte is empty
         self.values = np.zeros(1 << self.bits)
         todo, at = np.arange(len(keys)), self._first(keys)
@@ -467,31 +475,30 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
         found: list[tuple[np.ndarray, np.ndarray]] = []
         table: Table | None = None
         words: dict[bytes, tuple[int, float]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if at != row["chunk"]:
-                    at, found, table, words = row["chunk"], [], None, {}
-                if row["kind"] == GRAM:
-                    found.append((_inflated(row["keys"], U, True), _inflated(row["counts"], U, False).astype(float) / -FRACTION))
-                    continue
-                if row["kind"] == WORD:
-                    n = _inflated(row["counts"], U, False)
-                    known, base = (n > 0).astype(int).tolist(), np.log10((n.astype(float) + 1) / space).tolist()
-                    words.update(zip(zstandard.decompress(row["keys"]).split(b"\n"), zip(known, base)))
-                    continue
-                if table is None:
-                    table, found = Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])), []
-                body, ends = zstandard.decompress(row["body"]), np.cumsum([0, *row["sizes"]]).tolist()
-                some = [body[s:e] for s, e in zip(ends, ends[1:])]
-                values = table.of(grams(some, depth))
-                starts = np.array(ends[:-1]) + np.arange(len(some))
-                score = np.add.reduceat(values, starts)
-                out = []
-                for doc, text, s in zip(row["ids"], some, score.tolist()):
-                    mine = [words[w] for w in tokens(text)]
-                    mine.append(words[CLOSE])
-                    out.append((doc, len(mine), len(text) + 1, sum(k for k, _ in mine), sum(b for _, b in mine), s))
-                yield _batch(out, SCORED)
+        worth: dict[int, tuple[int, float]] = {}  # of a word, by its count
+        for chunk, kind, keys, counts, packed, ids, sizes in _rows(batches, ["chunk", "kind", "keys", "counts", "body", "ids", "sizes"]):
+            if at != chunk:
+                at, found, table, words, worth = chunk, [], None, {}, {}
+            if kind == GRAM:
+                found.append((_inflated(keys, U, True), _inflated(counts, U, False).astype(float) / -FRACTION))
+                continue
+            if kind == WORD:
+                n = _inflated(counts, U, False).tolist()
+                for c in set(n) - set(worth):
+                    worth[c] = int(c > 0), float(np.log10((c + 1) / space))
+                words.update(zip(zstandard.decompress(keys).split(b"\n"), [worth[c] for c in n]))
+                continue
+            if table is None:
+                table, found = Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])), []
+            body, ends = zstandard.decompress(packed), np.cumsum([0, *sizes]).tolist()
+            some = [body[s:e] for s, e in zip(ends, ends[1:])]
+            score = np.add.reduceat(table.of(grams(some, depth)), np.array(ends[:-1]) + np.arange(len(some)))
+            out = []
+            for doc, text, s in zip(ids, some, score.tolist()):
+                mine = [words[w] for w in tokens(text)]
+                mine.append(words[CLOSE])
+                out.append((doc, len(mine), len(text) + 1, sum(k for k, _ in mine), sum(b for _, b in mine), s))
+            yield _batch(out, SCORED)
 
     rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
     none = {c: F.lit(None).cast(t) for c, t in (("part", "long"), ("body", "binary"), ("ids", "array<long>"), ("sizes", "array<long>"))}
