@@ -27,11 +27,11 @@ kept. Rows that share a doc_id are scored alone. Empty tables give empty results
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,8 @@ CHUNK = 64 << 20  # bytes of text that ask together
 BLOCK = 1 << 20  # bytes of text worked on at a time
 TOP = 2  # subtrees are built whole below their last two bytes of context
 UNIT = 1 << 19  # grams of the subtrees built at a time
-CLOSE = b"\xff"  # before and after a text's bytes, and its end sign among the words; UTF-8 has no such byte
+CLOSE = b"\xff"  # before and after a text's bytes; UTF-8 has no such byte
+END = "\n"  # stands for the end sign among the words, none of which holds it
 GRAM, WORD = 0, 1
 FRACTION = 1 << 32  # of an answer's unit
 U = np.uint64
@@ -52,9 +53,35 @@ U = np.uint64
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted codes of nodes, and the one and stop of each
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text, A-Z lower-cased; bytes.split cuts at ASCII white space alone."""
-    return text.lower().split()
+def words_of(some: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in order, A-Z lower-cased, cut at ASCII white space alone, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(some, pa.binary()).cast(pa.string())))
+    words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")  # white space at an end of a text leaves an empty one
+    return words.filter(real), np.asarray(owner.filter(real))
+
+
+def _word_sums(held: list[pa.Table]) -> pa.Table:
+    """(word, n): distinct words in order with the sums of their counts."""
+    every = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+    return every.select(["word", "n_sum"]).rename_columns(["word", "n"]).sort_by("word")
+
+
+def _word_table(words: pa.Array, n: np.ndarray) -> pa.Table:
+    return pa.table({"word": words, "n": pa.array(n, pa.uint64())})
+
+
+def _hashes(words: pa.ChunkedArray) -> np.ndarray:
+    """Hashes of distinct words, by which they are dealt to buckets."""
+    return np.array([zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()], U)
+
+
+def _joined(words: pa.ChunkedArray) -> bytes:
+    return zstandard.compress(" ".join(words.to_pylist()).encode(), 1)
+
+
+def _split(data: bytes) -> pa.Array:
+    return pc.list_flatten(pc.split_pattern(pa.array([zstandard.decompress(data).decode()]), " "))
 
 
 def _mask(d: int) -> np.uint64:
@@ -128,15 +155,6 @@ def _parts(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list
         yield int(bucket[a]), [c[order[a:b]] for c in columns]
 
 
-def _named(words: dict[bytes, int], n: int) -> Iterator[tuple[int, list[bytes], list[int]]]:
-    """(bucket, words in order, counts) of each bucket."""
-    dealt: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        dealt.setdefault(zlib.crc32(w) % n, []).append(w)
-    for bucket, some in dealt.items():
-        yield bucket, some, [words[w] for w in some]
-
-
 ASKED = "chunk long, kind int, bucket int, part long, keys binary, counts binary, body binary, ids array<long>, sizes array<long>"
 _ASKED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
@@ -147,8 +165,7 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[Counts] = []
-        known: Counter[bytes] = Counter()
-        other: set[bytes] = set()
+        words: list[pa.Table] = []
         size = part = 0
 
         def row(**values) -> pa.RecordBatch:
@@ -158,9 +175,11 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
             keys, n = _merged(held)
             for bucket, (k, c) in _parts(_bucket(keys, buckets), keys, n):
                 yield row(kind=GRAM, bucket=bucket, keys=_deflated(k, True), counts=_deflated(c, False))
-            words = dict(known) | {w: 0 for w in other if w not in known}
-            for bucket, some, counts in _named(words, buckets):
-                yield row(kind=WORD, bucket=bucket, keys=zstandard.compress(b"\n".join(some), 1), counts=_deflated(np.array(counts, U), False))
+            every = _word_sums(words)
+            bucket = pa.array(_hashes(every["word"]) % U(buckets))
+            for place in pc.unique(bucket).to_pylist():
+                mine = every.filter(pc.equal(bucket, place))
+                yield row(kind=WORD, bucket=place, keys=_joined(mine["word"]), counts=_deflated(mine["n"].to_numpy(), False))
 
         for batch in slices(batches, "text", BLOCK):
             some, train = texts(batch), np.array(batch.column("train").to_pylist(), bool)
@@ -171,17 +190,14 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
                     continue
                 keys, n = _distinct(grams(mine, depth))
                 held = _held([*held, (keys, n if learns else np.zeros(len(n), U))])
-                words = tokens(b"\n".join(mine))
-                if learns:
-                    known.update(words)
-                    known[CLOSE] += len(mine)
-                else:
-                    other.update(words)
-                    other.add(CLOSE)
+                found = pc.value_counts(pa.concat_arrays([words_of(mine)[0], pa.array([END] * len(mine))]))
+                words.append(_word_table(found.field("values"), found.field("counts").to_numpy() * learns))
+            if sum(w.num_rows for w in words[1:]) > max(words[0].num_rows, 1 << 17):
+                words = [_word_sums(words)]
             size, part = size + sum(map(len, some)), part + 1
             if size >= chunk:
                 yield from ask()
-                number, size, part, held, known, other = number + 1, 0, 0, [], Counter(), set()
+                number, size, part, held, words = number + 1, 0, 0, [], []
         if held:
             yield from ask()
 
@@ -198,7 +214,7 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
         held: list[Counts] = []
-        words: Counter[bytes] = Counter()
+        words: list[pa.Table] = []
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = []
@@ -207,22 +223,23 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
                 for tree, (k, c) in _parts(_tree(keys, trees), keys, n):
                     rows.append((GRAM, at[1], tree, _deflated(k, True), _deflated(c, False), 0, 0))
             elif at is not None:
-                some = sorted(words)
-                n = [words[w] for w in some]
-                rows.append((WORD, at[1], -1, zstandard.compress(b"\n".join(some), 1), _deflated(np.array(n, U), False), sum(n), sum(x > 0 for x in n)))
+                every = _word_sums(words)
+                n = every["n"].to_numpy()
+                rows.append((WORD, at[1], -1, _joined(every["word"]), _deflated(n, False), int(n.sum()), int((n > 0).sum())))
             for k in range(0, len(rows), 256):
                 yield _batch(rows[k : k + 256], COUNTED)
 
         for kind, bucket, keys, counts in _rows(batches, ["kind", "bucket", "keys", "counts"]):
             if at != (kind, bucket):
                 yield from done()
-                at, held, words = (kind, bucket), [], Counter()
+                at, held, words = (kind, bucket), [], []
             n = _inflated(counts, U, False)
             if kind == GRAM:
                 held = _held([*held, (_inflated(keys, U, True), n)])
             else:
-                for w, c in zip(zstandard.decompress(keys).split(b"\n"), n.tolist()):
-                    words[w] += c
+                words.append(_word_table(_split(keys), n))
+                if sum(w.num_rows for w in words[1:]) > max(words[0].num_rows, 1 << 17):
+                    words = [_word_sums(words)]
         yield from done()
 
     rows = asks.filter("kind is not null").select("kind", "bucket", "keys", "counts")
@@ -413,20 +430,21 @@ def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
         known: list[Counts] = []
-        words: dict[bytes, int] = {}
+        words: pa.Array | None = None
+        times: np.ndarray | None = None
         for chunk, kind, bucket, keys, counts in _rows(batches, ["chunk", "kind", "bucket", "keys", "counts"]):
             if at != (kind, bucket):
-                at, known, words = (kind, bucket), [], {}
+                at, known = (kind, bucket), []
             if chunk < 0 and kind == GRAM:
                 known.append((_inflated(keys, U, True), _inflated(counts, U, False)))
-            elif chunk < 0:
-                words.update(zip(zstandard.decompress(keys).split(b"\n"), _inflated(counts, U, False).tolist()))
+            elif chunk < 0:  # one row a bucket
+                words, times = _split(keys), _inflated(counts, U, False)
             elif kind == GRAM:
                 known = [_merged(known)]  # the pieces have different grams
                 answer = known[0][1][np.searchsorted(known[0][0], _inflated(keys, U, True))]
                 yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
             else:
-                answer = np.array([words[w] for w in zstandard.decompress(keys).split(b"\n")], U)
+                answer = times[np.asarray(pc.index_in(_split(keys), words))]
                 yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
 
     rows = asks.filter("kind is not null").select("chunk", "kind", "bucket", "keys", "counts").unionByName(model)
@@ -465,6 +483,7 @@ class Table:
 
 
 SCORED = "doc_id long, n_tokens long, n_bytes long, n_known long, base_score double, score double"
+_SCORED = [*[pa.int64()] * 4, *[pa.float64()] * 2]
 
 
 def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataFrame:
@@ -474,31 +493,32 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
         at: int | None = None
         found: list[tuple[np.ndarray, np.ndarray]] = []
         table: Table | None = None
-        words: dict[bytes, tuple[int, float]] = {}
-        worth: dict[int, tuple[int, float]] = {}  # of a word, by its count
+        told: list[pa.Table] = []
+        words: pa.Array | None = None
         for chunk, kind, keys, counts, packed, ids, sizes in _rows(batches, ["chunk", "kind", "keys", "counts", "body", "ids", "sizes"]):
             if at != chunk:
-                at, found, table, words, worth = chunk, [], None, {}, {}
+                at, found, table, told, words = chunk, [], None, [], None
             if kind == GRAM:
                 found.append((_inflated(keys, U, True), _inflated(counts, U, False).astype(float) / -FRACTION))
                 continue
             if kind == WORD:
-                n = _inflated(counts, U, False).tolist()
-                for c in set(n) - set(worth):
-                    worth[c] = int(c > 0), float(np.log10((c + 1) / space))
-                words.update(zip(zstandard.decompress(keys).split(b"\n"), [worth[c] for c in n]))
+                told.append(_word_table(_split(keys), _inflated(counts, U, False)))
                 continue
             if table is None:
                 table, found = Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])), []
+                every, told = pa.concat_tables(told), []
+                words, times = every["word"].combine_chunks(), every["n"].to_numpy()
+                known, base = times > 0, np.log10((times + 1.0) / space)
+                end = pc.index_in(pa.array([END]), words)[0].as_py()
             body, ends = zstandard.decompress(packed), np.cumsum([0, *sizes]).tolist()
             some = [body[s:e] for s, e in zip(ends, ends[1:])]
             score = np.add.reduceat(table.of(grams(some, depth)), np.array(ends[:-1]) + np.arange(len(some)))
-            out = []
-            for doc, text, s in zip(ids, some, score.tolist()):
-                mine = [words[w] for w in tokens(text)]
-                mine.append(words[CLOSE])
-                out.append((doc, len(mine), len(text) + 1, sum(k for k, _ in mine), sum(b for _, b in mine), s))
-            yield _batch(out, SCORED)
+            mine, owner = words_of(some)
+            at_word = np.concatenate([np.asarray(pc.index_in(mine, words)).astype(np.int64), np.full(len(some), end)])
+            owner = np.concatenate([owner, np.arange(len(some))])
+            n_tokens, n_known, bases = (np.bincount(owner, w, len(some)) for w in (None, known[at_word], base[at_word]))
+            columns = [ids, n_tokens, [n + 1 for n in sizes], n_known.astype(np.int64), bases, score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORED)], [f.split()[0] for f in SCORED.split(", ")])
 
     rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
     none = {c: F.lit(None).cast(t) for c, t in (("part", "long"), ("body", "binary"), ("ids", "array<long>"), ("sizes", "array<long>"))}
