@@ -4,12 +4,18 @@ Base spans come from four patterns with checks on digits. Java's matcher finds m
 both split() and regexp_extract_all(), so the lengths of gaps and hits give each match's place in code points. The
 patterns are anchored so that a run of characters is tried once, which keeps long texts linear.
 
-Bootstrapping: base spans are the seeds. The word before and the word after an identifier are its lexical patterns.
-Identifier-like tokens (with a digit or an @) that no base pattern matched are the candidates. Spark scores the graph
-of patterns and instances in rounds: a pattern is accepted for a kind when at least ``SUPPORT`` distinct values of that
-kind occur with it and they are at least ``PRECISION`` of all distinct values that occur with it; a candidate value is
-accepted when at least two accepted patterns agree on its kind and its own characters allow the kind. Accepted values
-are seeds of the next round. Base spans always stay.
+Bootstrapping: the seeds are the base spans, and the values that a few key names (``KEYS``) give away as secrets. Tokens
+with a digit or an @, and runs of digit groups, that are no seed are the candidates. An occurrence has patterns: the word
+before, the word after, the key it is the value of, its shape (digits, lower and upper case letters each as one sign, in
+full and with runs as one), and for mixed letters and digits how often they change and the size of the length. Spark
+scores the graph of patterns and instances in rounds. A pattern's confidence in a kind is
+
+    known / (known + known of other kinds + DOUBT * unknown + 1)
+
+in distinct values; from ``SUPPORT`` known values and a confidence of ``PRECISION`` on it counts. A candidate is accepted
+for a kind that its own characters allow if 1 - product(1 - confidence) over its patterns reaches ``ACCEPT``, so one
+pattern seldom suffices. Accepted values are known in the next round; rounds end when none is accepted. Base spans
+always stay. The kinds found are the four of the base, and ``secret``.
 
 A null text counts as empty. Rows that repeat repeat in the result. Empty tables give empty results; other columns are
 kept by ``redacted`` and ignored by ``spans``.
@@ -26,13 +32,17 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import aside, written
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS, SUPPORT, PRECISION = 2, 5, 0.8
+SECRET = "secret"
+KEYS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"]  # names whose values are seeds of secrets
+SUPPORT, PRECISION, DOUBT, ACCEPT = 5, 0.7, 0.25, 0.9
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+GROUPS = r"(?<![\p{L}\p{N}])[+(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++"  # digits in several groups
+KEY = r"([\p{L}_][\p{L}\p{N}_.-]*)\s*[=:]\s*[\"'(\[{<]?$"  # what stands before the value of a key
 _CONTEXT = 48  # characters in which a neighbouring word is looked for
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -50,23 +60,29 @@ def _sum(array: Column, start: Column, n: Column) -> Column:
 def _found(text: Column, pattern: str) -> Column:
     """Array of (start, end, hit) of all matches, in code points, end exclusive.
 
-    A match starts after the gaps and hits before it and its own gap; their lengths are summed by blocks of 64.
+    A match starts after the gaps and hits before it and its own gap; their lengths are summed by blocks of 64 and of
+    4096, so that a hit costs a few sums however many there are.
     """
 
     def steps(a: Column) -> Column:
         return F.struct(a["gaps"].alias("gaps"), a["hits"].alias("hits"), F.transform(a["hits"], lambda h, i: a["gaps"][i] + F.length(h)).alias("steps"))
 
+    def by_64(array: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(array) / 64).cast("int")), lambda j: _sum(array, j * 64 + 1, F.lit(64)))
+
     def blocks(b: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(b["steps"]) / 64).cast("int")), lambda j: _sum(b["steps"], j * 64 + 1, F.lit(64)))
-        return F.struct(b["gaps"].alias("gaps"), b["hits"].alias("hits"), b["steps"].alias("steps"), sums.alias("sums"))
+        return F.struct(b["gaps"].alias("gaps"), b["hits"].alias("hits"), b["steps"].alias("steps"), by_64(b["steps"]).alias("sums"))
+
+    def more(b: Column) -> Column:
+        return F.struct(b["gaps"].alias("gaps"), b["hits"].alias("hits"), b["steps"].alias("steps"), b["sums"].alias("sums"), by_64(b["sums"]).alias("supers"))
 
     def place(c: Column, hit: Column, i: Column) -> Column:
-        k = F.floor(i / 64).cast("int")
-        start = _sum(c["sums"], F.lit(1), k) + _sum(c["steps"], k * 64 + 1, i % 64) + c["gaps"][i]
+        k, j = F.floor(i / 64).cast("int"), F.floor(i / 4096).cast("int")
+        start = _sum(c["supers"], F.lit(1), j) + _sum(c["sums"], j * 64 + 1, k % 64) + _sum(c["steps"], k * 64 + 1, i % 64) + c["gaps"][i]
         return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
 
     found = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"))
-    return _let(found, lambda a: _let(steps(a), lambda b: _let(blocks(b), lambda c: F.transform(c["hits"], lambda hit, i: place(c, hit, i)))))
+    return _let(found, lambda a: _let(steps(a), lambda b: _let(blocks(b), lambda c: _let(more(c), lambda d: F.transform(d["hits"], lambda hit, i: place(d, hit, i))))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -113,84 +129,139 @@ def _word(text: Column, last: bool) -> Column:
     return F.when(word == "", None).otherwise(word)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Adds left and right to (start, end, kind) spans."""
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["kind"].alias("kind"),
-            F.xxhash64(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("value"),
-            F.regexp_replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), "[^0-9]", "").alias("digits"),
-            F.contains(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("@")).alias("at"),
-            _word(F.substring(text, F.greatest(s["start"] - _CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(_CONTEXT))), True).alias("left"),
-            _word(F.substring(text, s["end"] + 1, F.lit(_CONTEXT)), False).alias("right"),
-        ),
-    )
+def _shape(value: Column) -> Column:
+    """Digits, lower and upper case letters each as one sign."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}", "A"), r"(?!A)\p{L}", "a"), r"\p{Nd}", "9")
+
+
+def _patterns(text: Column, start: Column, end: Column, value: Column) -> Column:
+    """The patterns of an occurrence, null where there is none of a sort."""
+    before = F.substring(text, F.greatest(start - _CONTEXT + 1, F.lit(1)), F.least(start, F.lit(_CONTEXT)))
+    after = F.substring(text, end + 1, F.lit(_CONTEXT))
+    key = F.regexp_extract(before, KEY, 1)
+
+    def of(z: Column) -> Column:
+        mixed = F.when(z["short"].rlike("^[Aa9]*$") & z["short"].contains("9") & z["short"].rlike("[Aa]"), F.length(z["short"]))
+        return F.array(
+            F.concat(F.lit("before "), _word(before, True)),
+            F.concat(F.lit("after "), _word(after, False)),
+            F.concat(F.lit("key "), F.nullif(F.lower(key), F.lit(""))),
+            F.concat(F.lit("shape "), z["full"]),
+            F.concat(F.lit("runs "), z["short"]),
+            F.when(mixed >= 4, F.lit("mixed")),
+            F.concat(F.lit("mixed "), F.floor(F.log2(F.when(mixed >= 4, F.length(value)))).cast("string")),
+        )
+
+    shapes = lambda full: F.struct(full.alias("full"), F.regexp_replace(full, r"(.)\1+", "$1").alias("short"))
+    return F.filter(_let(_let(_shape(value), shapes), of), lambda p: p.isNotNull())
+
+
+def _seen(text: Column, spans: Column) -> Column:
+    """(start, end, kind, value, digits, at, mixed, luhn, patterns) of (start, end, kind) spans; kind is null for candidates, but for the values of KEYS."""
+
+    def one(s: Column) -> Column:
+        def of(value: Column) -> Column:
+            def named(patterns: Column) -> Column:
+                mixed = (F.length(value) >= 8) & value.rlike(r"\p{L}") & value.rlike("[0-9]") & value.rlike(r"^[\p{L}\p{N}_+/=.-]*$")
+                digits = F.regexp_replace(value, "[^0-9]", "")
+                secret = mixed & F.exists(patterns, lambda p: p.isin([f"key {k}" for k in KEYS]))
+                return F.struct(
+                    s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["kind"], F.when(secret, F.lit(SECRET))).alias("kind"), F.xxhash64(value).alias("value"),
+                    F.length(digits).alias("digits"), F.contains(value, F.lit("@")).alias("at"), mixed.alias("mixed"), F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False).alias("luhn"), patterns.alias("patterns"),
+                )
+
+            return _let(_patterns(text, s["start"], s["end"], value), named)
+
+        return _let(F.substring(text, s["start"] + 1, s["end"] - s["start"]), of)
+
+    return F.transform(spans, one)
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens clear of base spans, without the punctuation around them."""
-    tokens = F.when(text.rlike("[0-9@]"), _found(text, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    """Identifier-like tokens and digit groups clear of base spans, without the key and the punctuation around them."""
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    tokens = F.when(text.rlike("[0-9@]"), _found(text, TOKEN)).otherwise(none)
+    groups = F.when(text.rlike(r"[0-9)]\x20[(]?[0-9]"), _found(text, GROUPS)).otherwise(none)
 
     def trim(m: Column) -> Column:
-        lead = F.length(m["hit"]) - F.length(F.regexp_replace(m["hit"], r"^[^\p{L}\p{N}]+", ""))
-        tail = F.length(m["hit"]) - F.length(F.regexp_replace(m["hit"], r"[^\p{L}\p{N}]+$", ""))
-        return F.struct((m["start"] + lead).alias("start"), (m["end"] - tail).alias("end"), F.lit(None).cast("string").alias("kind"))
+        def of(z: Column) -> Column:
+            lead = F.length(m["hit"]) - F.length(F.regexp_replace(z["inner"], r"^[^\p{L}\p{N}+(]+", ""))
+            tail = F.length(z["inner"]) - F.length(F.regexp_replace(z["inner"], r"[^\p{L}\p{N}]+$", ""))
+            return F.struct((m["start"] + lead).alias("start"), (m["end"] - tail).alias("end"), F.lit(None).cast("string").alias("kind"))
+
+        # a key and its sign go from the front
+        return _let(F.struct(F.regexp_replace(m["hit"], r"^[\p{L}_][\p{L}\p{N}_.-]*[=:](?=.)", "").alias("inner")), of)
 
-    inner = F.filter(F.transform(tokens, trim), lambda m: m["start"] < m["end"])
+    inner = F.filter(F.transform(F.concat(tokens, groups), trim), lambda m: m["start"] < m["end"])
     return F.filter(inner, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
 
 def _scanned(documents: DataFrame) -> DataFrame:
-    """(doc_id, h, base, seen): base spans, and seeds and candidates with their contexts, cut from the texts."""
+    """(doc_id, h, base, seen): base spans, and seeds and candidates with their patterns, cut from the texts."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.select("doc_id", "t", F.xxhash64("t").alias("h"), base_spans(F.col("t")).alias("base"))
     seeds = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
-    seen = F.concat(_contexts(F.col("t"), seeds), _contexts(F.col("t"), _candidates(F.col("t"), F.col("base"))))
+    seen = _seen(F.col("t"), F.concat(seeds, _candidates(F.col("t"), F.col("base"))))
     return written(rows.select("doc_id", "h", "base", seen.alias("seen")), "pii-scan")
 
 
 def _allowed(kind: Column) -> Column:
     """Whether a candidate's own characters allow the kind."""
-    n = F.length("digits")
-    return F.when(kind == "email", F.col("at")).when(kind == "ip", n.between(4, 12)).when(kind == "card", n.between(12, 19)).otherwise(n.between(7, 15))
+    n = F.col("digits")
+    return F.when(kind == "email", F.col("at")).when(kind == "ip", n.between(4, 12)).when(kind == "card", F.col("luhn")).when(kind == "phone", n.between(7, 15)).otherwise(F.col("mixed"))
 
 
-def bootstrapped(scan: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, precision: float = PRECISION) -> DataFrame:
-    """(doc_id, h, start, end, kind) of the candidates that high-confidence patterns give away."""
+def accepted(edges: DataFrame, support: int = SUPPORT, precision: float = PRECISION, doubt: float = DOUBT, accept: float = ACCEPT) -> DataFrame:
+    """(value, kind) of seeds and accepted candidates, from the graph (value, kind, digits, at, mixed, luhn, pattern) of distinct rows.
+
+    A value that is a seed of several kinds keeps the first of them by name.
+    """
+    known = edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind"))
+    known = written(known, "pii-known")
+    links = written(edges.groupBy("value", "pattern").agg(F.max("digits").alias("digits"), F.max("at").alias("at"), F.max("mixed").alias("mixed"), F.max("luhn").alias("luhn")), "pii-links")
+    while True:
+        votes = links.select("value", "pattern").join(known, "value", "left").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        totals = votes.groupBy("pattern").agg(F.sum(F.when(F.col("kind").isNull(), F.col("n") * doubt).otherwise(F.col("n"))).alias("all"))
+        good = votes.filter(F.col("kind").isNotNull() & (F.col("n") >= support)).join(totals, "pattern")
+        good = good.select("pattern", F.col("kind").alias("as"), (F.col("n") / (F.col("all") + 1)).alias("sure")).filter(F.col("sure") >= precision)
+        unknown = links.join(known.select("value"), "value", "left_anti")
+        fresh = unknown.join(good, "pattern").filter(_allowed(F.col("as"))).groupBy("value", "as").agg(F.round(F.sum(F.log1p(-F.col("sure"))), 9).alias("against"))
+        fresh = fresh.filter(F.exp("against") <= 1 - accept).groupBy("value").agg(F.min(F.struct("against", "as"))["as"].alias("kind"))
+        fresh = written(fresh, "pii-fresh")
+        if not fresh.head(1):
+            return known
+        known = written(known.unionByName(fresh), "pii-known")
+
+
+def bootstrapped(scan: DataFrame) -> DataFrame:
+    """(doc_id, h, start, end, kind) of the seeds of secrets and the candidates that high-confidence patterns give away."""
     graph = scan.select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.*")
-    sides = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"))
-    edges = graph.select("value", "kind", "digits", "at", F.explode(sides).alias("pattern")).filter("pattern is not null").distinct()
-    edges = written(edges, "pii-graph")
-    known = edges.filter("kind is not null").select("value", "kind").distinct()
-    for _ in range(rounds):
-        votes = edges.select("pattern", "value").distinct().join(known, "value", "left")
-        by_kind = votes.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"))
-        totals = edges.groupBy("pattern").agg(F.countDistinct("value").alias("total"))
-        good = by_kind.filter(F.col("kind").isNotNull() & (F.col("n") >= support)).join(totals, "pattern")
-        good = good.filter(F.col("n") >= precision * F.col("total")).select("pattern", F.col("kind").alias("as"))
-        fresh = edges.filter("kind is null").join(good, "pattern").filter(_allowed(F.col("as"))).groupBy("value", "as").agg(F.countDistinct("pattern").alias("n"))
-        fresh = fresh.filter("n >= 2").groupBy("value").agg(F.max_by("as", F.struct("n", "as")).alias("kind"))
-        known = written(known.unionByName(fresh.join(known, "value", "left_anti")), "pii-known")
-    found = graph.filter("kind is null").drop("kind").join(known, "value")
-    return found.select("doc_id", "h", "start", "end", "kind")
-
-
-def _with_spans(scan: DataFrame, extra: DataFrame) -> DataFrame:
-    """(doc_id, h, base, all): one row for each of scan's."""
-    rank = reduce(lambda w, k: w.when(F.col("kind") == k, KINDS.index(k)), KINDS, F.when(F.lit(False), 0)).cast("int")
-    more = extra.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("more"))
-    rows = scan.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    every = F.array_sort(F.concat("base", F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN))))
-    return rows.select("doc_id", "h", "base", every.alias("all"))
+    edges = graph.select("value", "kind", "digits", "at", "mixed", "luhn", F.explode("patterns").alias("pattern")).distinct()
+    known = accepted(written(edges, "pii-graph"))
+    found = graph.filter(F.col("kind").isNull() | (F.col("kind") == SECRET)).drop("kind").join(known, "value")
+    return found.select("doc_id", "h", "start", "end", "kind").distinct()
+
+
+def _more(extra: DataFrame) -> DataFrame:
+    """(_id, _h, more): the extra spans of each text that has any."""
+    kinds = [*KINDS, SECRET]
+    rank = reduce(lambda w, k: w.when(F.col("kind") == k, kinds.index(k)), kinds, F.when(F.lit(False), 0)).cast("int")
+    return extra.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("more"))
+
+
+def _every(base: Column) -> Column:
+    return F.array_sort(F.concat(base, F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN))))
+
+
+def _same_text() -> Column:
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
 
 
 def spans(documents: DataFrame) -> DataFrame:
     """(doc_id, base, all): arrays of (start, rank, end, kind), sorted."""
     scan = _scanned(documents)
-    return _with_spans(scan, bootstrapped(scan)).select("doc_id", "base", "all")
+    more = written(_more(bootstrapped(scan)), "pii-more")
+    return scan.join(more, _same_text(), "left").select("doc_id", "base", _every(F.col("base")).alias("all"))
 
 
 def count(array: str, kind: str) -> Column:
@@ -208,11 +279,11 @@ def redacted(documents: DataFrame) -> DataFrame:
 
 
 def _redacted(documents: DataFrame) -> DataFrame:
-    scan = _scanned(documents)
-    every = _with_spans(scan, bootstrapped(scan)).filter(F.size("all") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("all").alias("_all")).dropDuplicates(["_id", "_h"])
+    """Base spans are found again in each text, so only the texts with extra spans are looked up, by id and hash."""
+    more = written(_more(bootstrapped(_scanned(documents))), "pii-more")
     columns = documents.columns
-    rows = documents.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("_t"))
-    rows = rows.join(every, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
+    rows = documents.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("_t"))
+    rows = rows.join(more, _same_text(), "left").withColumn("_all", _every(base_spans(F.col("_t"))))
 
     def cut(acc: Column, s: Column) -> Column:
         clear = s["start"] >= acc["at"]
@@ -221,7 +292,8 @@ def _redacted(documents: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     new = F.aggregate("_all", start, cut, lambda acc: F.concat(acc["out"], F.substring("_t", acc["at"] + 1, F.length("_t"))))
-    rows = rows.withColumn("text", F.when(F.col("_all").isNotNull(), new).otherwise(F.col("text")))
+    some = F.size("_all") > 0
+    rows = rows.withColumn("text", F.when(some, new).otherwise(F.col("text")))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_all").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*columns)
