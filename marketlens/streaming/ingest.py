@@ -1,7 +1,9 @@
 """Incremental ingest: a high-water mark with an overlap, made idempotent by upserts.
 
-The mark is the newest created_at of the target minus the overlap. Rows at or before it are never read again; rows after
-it are labelled and upserted by comment_id, the last copy of a comment winning. So reading a file twice changes nothing.
+The mark is the newest created_at of the target minus the overlap. Rows at or before it are late and are not read again
+unless asked for; rows after it are labelled and upserted by comment_id, the last copy of a comment winning. So reading a
+file twice changes nothing. The target is partitioned by day: a run rewrites only the days it touches, each swapped in
+by rename, so a crash loses no data.
 """
 
 from __future__ import annotations
@@ -16,19 +18,16 @@ from pyspark.sql.types import StructType
 
 from marketlens.functions.rules import THAI, Lexicon, label_comments
 from marketlens.sources.comments import fetch_new
-from marketlens.sources.tables import latest, swap_upsert
+from marketlens.sources.scratch import written
+from marketlens.sources.tables import exists, latest, read_table, upsert_partitions
 
 OVERLAP_MINUTES, BACKFILL_DAYS = 60, 30
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def watermark(target: DataFrame, overlap_minutes: int = OVERLAP_MINUTES) -> datetime | None:
-    """One row to the driver; None for an empty target."""
-    newest = target.agg(F.max("created_at")).first()[0]
+    """One row to the driver, from the newest day alone; None for an empty target."""
+    day = target.agg(F.max("day")).first()[0]
+    newest = target.filter(F.col("day") == F.lit(day)).agg(F.max("created_at")).first()[0] if day is not None else None
     return None if newest is None else newest - timedelta(minutes=overlap_minutes)
 
 
@@ -37,7 +36,7 @@ def ingest_batch(spark: SparkSession, comments: DataFrame, target: str, lexicon:
 
     Returns how many comments were fetched. Without a target the last 30 days before ``as_of`` are filled in.
     """
-    mark = watermark(spark.read.parquet(target)) if exists(spark, target) else None
+    mark = watermark(read_table(spark, target)) if exists(spark, target) else None
     since = None if mark is None else F.lit(mark).cast("timestamp")
     fresh = fetch_new(comments, since, BACKFILL_DAYS, 0, None if as_of is None else F.lit(as_of).cast("timestamp"), "comment")
     return _store(spark, fresh, target, lexicon, labels)
@@ -45,31 +44,33 @@ def ingest_batch(spark: SparkSession, comments: DataFrame, target: str, lexicon:
 
 def _store(spark: SparkSession, fresh: DataFrame, target: str, lexicon: Lexicon, labels: DataFrame | None) -> int:
     once = latest(fresh, ["comment_id"], ["created_at"])
-    labelled = label_comments(once, lexicon, labels).persist()
+    labelled = written(label_comments(once, lexicon, labels).withColumn("day", F.to_date("created_at")), "labelled")
     n = labelled.count()
-    if n:
-        if exists(spark, target):
-            swap_upsert(spark, target, labelled, ["comment_id"])
-        else:
-            labelled.write.parquet(target)
-    labelled.unpersist()
+    if n and exists(spark, target):
+        upsert_partitions(spark, target, labelled, ["comment_id"], "day")
+    elif n:
+        labelled.repartition("day").write.partitionBy("day").parquet(target)
     return n
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, lexicon: Lexicon = THAI, on_batch: Callable[[int, int], None] | None = None) -> StreamingQuery:
-    """Ingest Parquet files as they land in ``source``. Each batch is filtered by the target's mark and upserted.
+def stream_ingest(
+    spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, lexicon: Lexicon = THAI, on_batch: Callable[[int, int, int], None] | None = None, take_late: bool = False
+) -> StreamingQuery:
+    """Ingest Parquet files as they land in ``source``; each batch is upserted.
 
-    The upsert keeps the last copy of a comment, which a deduplication within a watermark (the first copy) would not.
+    Comments at or before the target's mark are left out, as in a batch run, or stored too with ``take_late``; ``on_batch``
+    is told the batch's number, how many comments were stored and how many were late. The upsert keeps the last copy of
+    a comment, which a deduplication within a watermark (the first copy) would not.
     """
     stream = spark.readStream.schema(schema).parquet(source).filter("comment is not null and comment <> ''")
 
     def work(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        mark = watermark(session.read.parquet(target)) if exists(session, target) else None
-        rows = batch if mark is None else batch.filter(F.col("created_at") > F.lit(mark).cast("timestamp"))
-        n = _store(session, rows, target, lexicon, None)
+        mark = watermark(read_table(session, target)) if exists(session, target) else None
+        fresh = F.lit(True) if mark is None else F.col("created_at") > F.lit(mark).cast("timestamp")
+        n = _store(session, batch if take_late else batch.filter(fresh), target, lexicon, None)
         if on_batch:
-            on_batch(number, n)
+            on_batch(number, n, batch.filter(~fresh).count())
 
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

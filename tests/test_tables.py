@@ -41,7 +41,8 @@ def test_export(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"', None), ("b", "c")], "x string, y string")
     tb.export_csv(df, f"{tmp_path}/out")
     part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv")
-    assert part.read_text().splitlines() == ['"x","y"', '"say ""hi""",""', '"b","c"']
+    assert part.read_bytes().startswith(b"\xef\xbb\xbf")
+    assert part.read_text(encoding="utf-8-sig").splitlines() == ["x,y", '"say ""hi""",', '"b","c"']
 
 
 def test_gates_and_logs(spark):
@@ -88,6 +89,30 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     assert got == {"a": ("good", "positive", 0), "b": ("fire", "negative", 9), "d": ("good", "positive", 0)}
 
 
+def test_only_touched_days_are_rewritten(spark, tmp_path):
+    target = f"{tmp_path}/days"
+    rows = _comments(spark, [(str(k), k * 600, "good", 5.0) for k in range(8)])  # four days
+    ingest.ingest_batch(spark, rows, target, LEX, datetime(2024, 1, 5))
+    files = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "days").iterdir() if p.is_dir()}
+    again = _comments(spark, [("7", 4201, "bad", 1.0), ("9", 5000, "good", 5.0)])
+    ingest.ingest_batch(spark, again, target, LEX)
+    after = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "days").iterdir() if p.is_dir()}
+    assert [d for d in files if files[d] != after[d]] == ["day=2024-01-03"] and len(after) == 4
+    assert {r.comment_id: r.sentiment for r in spark.read.parquet(target).collect()} == {str(k): "positive" for k in range(7)} | {"7": "negative", "9": "positive"}
+    later = spark.createDataFrame([("7", datetime(2024, 1, 9), "good", 5.0)], rows.schema)  # moves to another day
+    ingest.ingest_batch(spark, later, target, LEX)
+    assert spark.read.parquet(target).filter("comment_id = '7'").count() == 1
+
+
+def test_swap_survives_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    tb.swap_upsert(spark, path, spark.range(2, 5), ["id"])
+    assert sorted(r.id for r in tb.read_table(spark, path).collect()) == [0, 1, 2, 3, 4]
+    (tmp_path / "t").rename(tmp_path / "t.before")  # between the two renames
+    assert tb.read_table(spark, path).count() == 5
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, target = f"{tmp_path}/in", f"{tmp_path}/out"
     rows = _comments(spark, [(str(i), i, "good" if i % 2 else "bad", 3.0) for i in range(50)])
