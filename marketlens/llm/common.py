@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,27 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.sources.scratch import scratch_dir, written  # noqa: F401  for the operators
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one is set only where none is."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = path or f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -70,6 +55,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give the memory that this worker has freed back to the system, as idle workers live on beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def fixed(array: pa.Array, width: int) -> np.ndarray:
     """A binary column whose values all have ``width`` bytes, as a (rows, width) array."""
     n = len(array)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import mix, shuffle_partitions, slices, texts, written
+from marketlens.llm.common import mix, release, shuffle_partitions, slices, texts, written
 
 DEPTH = 6  # bytes of context; with its byte a gram fits 64 bits
 CHUNK = 64 << 20  # bytes of text that ask together
@@ -200,6 +200,8 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
                 number, size, part, held, words = number + 1, 0, 0, [], []
         if held:
             yield from ask()
+        held, words = [], []
+        release()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(True)).alias("train"))
     return rows.mapInArrow(work, ASKED)
@@ -241,6 +243,8 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
                 if sum(w.num_rows for w in words[1:]) > max(words[0].num_rows, 1 << 17):
                     words = [_word_sums(words)]
         yield from done()
+        held, words = [], []
+        release()
 
     rows = asks.filter("kind is not null").select("kind", "bucket", "keys", "counts")
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(work, COUNTED)
@@ -401,6 +405,8 @@ def grown(counts: DataFrame, depth: int) -> DataFrame:
                 at, held = tree, []
             held.append((_inflated(keys, U, True), _inflated(counts, U, False)))
         yield from done()
+        held = []
+        release()
 
     rows = counts.filter(f"kind = {GRAM}").select("tree", "keys", "counts")
     return rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(work, GROWN)
@@ -420,6 +426,7 @@ def modelled(trees: DataFrame, upper: list[Level], depth: int, buckets: int) ->
             answer = np.rint(-logp * FRACTION).astype(U)
             rows = [(-1, GRAM, bucket, _deflated(k, True), _deflated(v, False)) for bucket, (k, v) in _parts(_bucket(keys, buckets), keys, answer)]
             yield _batch(rows, ANSWERS)
+        release()
 
     return trees.filter("keys is not null").select("keys", "counts").mapInArrow(work, ANSWERS)
 
@@ -446,6 +453,8 @@ def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
             else:
                 answer = times[np.asarray(pc.index_in(_split(keys), words))]
                 yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
+        known, words = [], None
+        release()
 
     rows = asks.filter("kind is not null").select("chunk", "kind", "bucket", "keys", "counts").unionByName(model)
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(work, ANSWERS)
@@ -455,7 +464,7 @@ class Table:
     """Open addressing over distinct 64-bit keys, looked up a block at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.bits = max(4, (3 * len(keys) // 2).bit_length())
         self.slots = np.full(1 << self.bits, ~U(0), U)  # no gram: its top byte is empty
         self.values = np.zeros(1 << self.bits)
         todo, at = np.arange(len(keys)), self._first(keys)
@@ -519,6 +528,8 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
             n_tokens, n_known, bases = (np.bincount(owner, w, len(some)) for w in (None, known[at_word], base[at_word]))
             columns = [ids, n_tokens, [n + 1 for n in sizes], n_known.astype(np.int64), bases, score]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORED)], [f.split()[0] for f in SCORED.split(", ")])
+        table = words = None
+        release()
 
     rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
     none = {c: F.lit(None).cast(t) for c, t in (("part", "long"), ("body", "binary"), ("ids", "array<long>"), ("sizes", "array<long>"))}
