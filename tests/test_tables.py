@@ -40,7 +40,7 @@ def test_percent_rank(spark):
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"', None), ("b", "c")], "x string, y string")
     tb.export_csv(df, f"{tmp_path}/out")
-    part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv")
+    part = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".txt")
     assert part.read_bytes().startswith(b"\xef\xbb\xbf")
     assert part.read_text(encoding="utf-8-sig").splitlines() == ["x,y", '"say ""hi""",', '"b","c"']
 
