@@ -151,3 +151,39 @@ def derived_kpis(orders: DataFrame, base: DataFrame) -> DataFrame:
     rest = [percent(gone, F.count("*")).alias("churn_pct"), F.count_if(F.col("segment").isin("champion", "loyal")).cast("double").alias("core_customers"), rounded(F.sum(F.when(F.col("segment").isin("at_risk", "cannot_lose"), F.col("spend")).otherwise(0))).alias("win_back_value")]
     one = per.agg(*ladder).crossJoin(seg.agg(*rest))
     return one.unpivot([], one.columns, "metric", "value")
+
+
+def reviewer_gap(review: DataFrame) -> DataFrame:
+    """(reviewer_rate, other_rate, gap): repeat rates of customers who reviewed and of those who never did, from ``review_retention``."""
+    said = F.col("grp") != "none"
+    rate = rounded(F.try_divide(F.sum(F.when(said, F.col("repeat_rate") * F.col("customers"))), F.sum(F.when(said, F.col("customers")))), 1)
+    out = review.agg(F.coalesce(rate, F.lit(0.0)).alias("reviewer_rate"), F.max(F.when(~said, F.col("repeat_rate"))).alias("other_rate"))
+    return out.withColumn("gap", rounded(F.col("reviewer_rate") - F.col("other_rate"), 1))
+
+
+def loyalty_rank(summary: DataFrame) -> DataFrame:
+    """Brands by repeat rate, the most loyal first; one row a brand."""
+    brands = summary.filter("scope <> 'ALL'")
+    return brands.select("scope", "customers", "repeat_rate", F.row_number().over(Window.orderBy(F.desc("repeat_rate"), "scope")).alias("rank"))
+
+
+def value_by_segment(segments: DataFrame) -> DataFrame:
+    """(segment, total_spend, of_largest, of_all): what each segment of ``rfm_segments`` is worth, in percent of the largest and of all."""
+    every = segments.agg(F.greatest(F.max("total_spend"), F.lit(1.0)).alias("_max"), F.sum("total_spend").alias("_sum"))  # one row
+    rows = segments.crossJoin(F.broadcast(every))
+    return rows.select("segment", "total_spend", percent(F.col("total_spend"), F.col("_max")).alias("of_largest"), percent(F.col("total_spend"), F.col("_sum")).alias("of_all"))
+
+
+def brand_scope(summary: DataFrame, top: DataFrame, quiet: DataFrame) -> DataFrame:
+    """By brand: its summary row, and of the lists of top and quiet customers those who bought of it, with the quiet ones' value.
+
+    ``top`` and ``quiet`` are the bounded lists of ``top_customers`` and ``at_risk``.
+    """
+
+    def of(customers: DataFrame, name: str, *more: Column) -> DataFrame:
+        rows = customers.withColumn("scope", F.explode(F.split("brands", ", ")))
+        return rows.groupBy("scope").agg(F.count("*").alias(name), *more)
+
+    out = summary.filter("scope <> 'ALL'").select("scope", "customers", "repeat_rate")
+    out = out.join(of(top, "vips"), "scope", "left").join(of(quiet, "at_risk", F.sum("spend").alias("win_back_value")), "scope", "left")
+    return out.fillna(0, ["vips", "at_risk"]).fillna(0.0, ["win_back_value"])

@@ -175,10 +175,20 @@ def browse_products(stats: DataFrame, q: str = "", brand: str | None = None, urg
     return rows.orderBy(order, "product_name")
 
 
+def _tabs() -> dict[str, Column]:
+    return {"all": F.lit(True), "negative": F.col("sentiment") == "negative", "positive": F.col("sentiment") == "positive", "urgent": F.col("urgent"), "with_image": F.size("images") > 0}
+
+
 def review_tabs(comments: DataFrame) -> DataFrame:
     """Counts behind the tabs of each product's reviews."""
     rows = comments.filter("product_name is not null")
-    return rows.groupBy("product_name").agg(F.count("*").alias("all"), _n("negative").alias("negative"), _n("positive").alias("positive"), F.count_if("urgent").alias("urgent"), F.count_if(F.size("images") > 0).alias("with_image"))
+    return rows.groupBy("product_name").agg(*(F.count_if(test).alias(name) for name, test in _tabs().items()))
+
+
+def review_tab(comments: DataFrame, tab: str = "all", q: str = "") -> DataFrame:
+    """The reviews of one tab whose text contains ``q``, letter case aside."""
+    rows = comments.filter(_tabs()[tab])
+    return rows.filter(F.contains(F.lower("comment"), F.lit(q.lower()))) if q.strip() else rows
 
 
 def similar_products(stats: DataFrame, k: int = 6) -> DataFrame:
@@ -194,14 +204,25 @@ def similar_products(stats: DataFrame, k: int = 6) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k).select("product_name", "similar", "similar_total", "rank")
 
 
-def product_profile(comments: DataFrame, praise: str, newest: int = 200) -> DataFrame:
-    """Star counts and the main complaint of each product's newest reviews."""
+def product_profile(comments: DataFrame, stats: DataFrame, praise: str, newest: int = 200, issues: int = 6, peers: int = 12) -> DataFrame:
+    """Star counts and the main complaints of each product's newest reviews, and the mean score of its peers.
+
+    ``issues`` is an array of (category, count), most first; ``peer_score`` the mean over up to ``peers`` products of the
+    same brand. Tasks keep a product's ``newest`` reviews before the shuffle, so a product's history isn't gathered.
+    """
     w = Window.partitionBy("product_name").orderBy(F.desc("created_at"), "comment_id")
-    rows = comments.filter("product_name is not null").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= newest)
+    narrow = comments.filter("product_name is not null").select("product_name", "created_at", "comment_id", "rating", "sentiment", "category")
+    rows = narrow.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= newest)
     stars = F.least(F.lit(5), F.greatest(F.lit(1), js_round(F.col("rating"))))
-    bad = rows.filter((F.col("sentiment") == "negative") & (F.col("category") != praise)).groupBy("product_name", "category").agg(F.count("*").alias("c"))
-    main = bad.groupBy("product_name").agg(F.max_by("category", F.struct("c", "category")).alias("main_issue"))
-    return rows.groupBy("product_name").agg(F.count("*").alias("reviews"), *(F.count_if(stars == k).alias(f"stars_{k}") for k in range(1, 6))).join(main, "product_name", "left")
+    complaint = (F.col("sentiment") == "negative") & (F.col("category") != praise)
+    by_category = rows.withColumn("category", F.when(complaint, F.col("category"))).groupBy("product_name", "category")
+    parts = by_category.agg(F.count("*").alias("n"), *(F.count_if(stars == k).alias(f"s{k}") for k in range(1, 6)))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), F.struct((-F.col("n")).alias("n"), "category"))))  # few categories
+    top = F.transform(F.slice(ranked, 1, issues), lambda x: F.struct(x["category"].alias("category"), (-x["n"]).alias("count")))
+    out = parts.groupBy("product_name").agg(F.sum("n").alias("reviews"), *(F.sum(f"s{k}").alias(f"stars_{k}") for k in range(1, 6)), top.alias("issues"))
+    near = similar_products(stats, peers).join(stats.select(F.col("product_name").alias("similar"), "sentiment_score"), "similar")
+    tenths = F.sum(F.round(F.col("sentiment_score") * 10).cast("long"))  # whole numbers, so that ties round alike everywhere
+    return out.join(near.groupBy("product_name").agg((rounded(tenths / F.count("*")) / 10).alias("peer_score")), "product_name", "left")
 
 
 def reply_agent_stats(replies: DataFrame, nobody: str = "ไม่ระบุ") -> DataFrame:
@@ -212,24 +233,37 @@ def reply_agent_stats(replies: DataFrame, nobody: str = "ไม่ระบุ")
     return rows.agg(sent.alias("sent"), failed.alias("failed"), (F.count("*") - sent - failed).alias("draft"), F.count("*").alias("total"), F.max("at").alias("last_at"))
 
 
-def filter_replies(replies: DataFrame, agent: str | None = None, status: str | None = None, q: str = "") -> DataFrame:
-    rows = replies.withColumn("status", F.coalesce("status", F.lit("draft")))
+def reply_agents(stats: DataFrame, nobody: str = "ไม่ระบุ") -> DataFrame:
+    """Names of those who replied."""
+    return stats.filter(F.col("agent") != nobody).select("agent")
+
+
+def reply_details(replies: DataFrame, comments: DataFrame, products: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Replies with their comment, its product's name and picture, and the picture of who replied."""
+    facts = comments.select("comment_id", *(c for c in ("brand", "product_name", "comment", "rating", "sentiment") if c in comments.columns))
+    names = products.select(F.col("item_id").alias("product_name"), "item_name", F.coalesce(F.nullif("thumbnail_url", F.lit("")), F.nullif("image_url", F.lit(""))).alias("product_image"))
+    out = replies.join(facts, "comment_id", "left").join(names, "product_name", "left")
+    if profiles is None:
+        return out
+    faces = profiles.filter("avatar <> ''").groupBy(F.col("name").alias("agent")).agg(F.min("avatar").alias("replier_avatar"))
+    return out.join(faces, "agent", "left")
+
+
+def filter_replies(details: DataFrame, agent: str | None = None, status: str | None = None, q: str = "", brands: list[str] | None = None, limit: int = 500) -> DataFrame:
+    """Replies, newest first: the newest ``limit`` of an agent and status, then those of the brands, with ``q`` in reply or comment."""
+    rows = details
     if agent:
         rows = rows.filter(F.col("agent") == agent)
     if status:
         rows = rows.filter(F.col("status") == status)
+    rows = rows.orderBy(F.desc("at"), "comment_id").limit(limit)
+    if brands:
+        rows = rows.filter(F.col("brand").isin(brands))
     if q:
-        rows = rows.filter(F.contains(F.lower(F.concat_ws(" ", "reply_text", "comment")), F.lit(q.lower())))
+        rows = rows.filter(F.contains(F.lower("reply_text"), F.lit(q.lower())) | F.contains(F.lower("comment"), F.lit(q.lower())))
     return rows
 
 
-def reply_details(replies: DataFrame, comments: DataFrame, products: DataFrame) -> DataFrame:
-    """Replies with their comment and product."""
-    facts = comments.select("comment_id", "brand", "product_name", "comment", "rating")
-    names = products.select(F.col("item_id").alias("product_name"), "item_name")
-    return replies.join(facts, "comment_id", "left").join(names, "product_name", "left")
-
-
 def urgent_by_brand(comments: DataFrame) -> DataFrame:
     return comments.filter("urgent").groupBy(F.coalesce("brand", F.lit(NO_BRAND)).alias("brand")).agg(F.count("*").alias("urgent"))
 

@@ -35,11 +35,21 @@ def product_demand(sales: DataFrame, as_of: Column | None = None, active_days: i
 
 
 def product_catalog(demand: DataFrame, stock: DataFrame, as_of: Column) -> DataFrame:
-    """One row for each product: 30 and 90 day rates and its stock (null where none is known)."""
+    """One row for each product: 30 and 90 day rates and its stock (null where none is known).
+
+    Where the demand has product_name, brand or platform, the product gets the earliest one that isn't empty.
+    """
     within = lambda n: F.sum(F.when(F.col("date") >= F.date_sub(as_of, n), F.col("units")).otherwise(0.0))
-    rates = demand.groupBy("product_id").agg(within(30).alias("units_30"), within(90).alias("units_90"))
+    named = [c for c in ("product_name", "brand", "platform") if c in demand.columns]
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("date", c)))
+    rates = demand.groupBy("product_id").agg(within(30).alias("units_30"), within(90).alias("units_90"), *(first(c).alias(c) for c in named))
     out = rates.join(stock, "product_id", "left")
-    return out.select("product_id", "units_30", "units_90", rounded(F.col("units_30") / 30, 3).alias("avg_daily_30"), rounded(F.col("units_90") / 90, 3).alias("avg_daily_90"), "stock")
+    return out.select("product_id", *named, "units_30", "units_90", rounded(F.col("units_30") / 30, 3).alias("avg_daily_30"), rounded(F.col("units_90") / 90, 3).alias("avg_daily_90"), "stock")
+
+
+def name_list(df: DataFrame, column: str) -> DataFrame:
+    """The distinct non-empty values of a column, in order."""
+    return df.select(column).filter(F.coalesce(F.col(column), F.lit("")) != "").distinct().orderBy(column)
 
 
 def stock_metrics(catalog: DataFrame, lead: int = 14, target: int = 30) -> DataFrame:

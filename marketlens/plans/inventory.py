@@ -81,6 +81,25 @@ MOOD = "SELECT 'Brand#' || (event_id % 25 + 1) AS product_id, CAST(DATE '2019-01
 CORR = "CASE WHEN count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) >= 4 THEN coalesce(covar_pop({x}, {y}) / nullif(sqrt(var_pop(CASE WHEN {y} IS NOT NULL THEN {x} END) * var_pop(CASE WHEN {x} IS NOT NULL THEN {y} END)), 0), 0) ELSE 0 END"
 STRENGTH = "CASE WHEN abs(corr) >= 0.6 THEN 'high' WHEN abs(corr) >= 0.35 THEN 'medium' ELSE 'low' END"
 
+
+
+def _merged_env(s, d):
+    """Weather landed as JSON-like arrays, a month a row, from an archive with gaps, a forecast and hourly particulates."""
+    env = fx.env_daily(s, d)
+    text = F.date_format("date", "yyyy-MM-dd")
+
+    def landed(rows, temp, rain):
+        z = F.collect_list(F.struct(text.alias("time"), temp.alias("t"), rain.alias("p")))
+        by_month = rows.groupBy(F.trunc("date", "MM")).agg(z.alias("z"))
+        return by_month.select(F.struct(F.col("z.time").alias("time"), F.col("z.t").alias("temperature_2m_mean"), F.col("z.p").alias("precipitation_sum")).alias("daily"))
+
+    archive = landed(env.filter(F.month("date") != 7), F.when(F.dayofmonth("date") % 3 == 0, None).otherwise(F.col("temp_mean")), F.col("precip"))
+    ahead = landed(env.filter(F.dayofmonth("date") <= 20), F.col("temp_mean") + 1, F.col("precip") + 1)
+    hours = F.array(F.struct(F.concat(text, F.lit("T00:00")).alias("time"), F.col("pm2_5").alias("v")), F.struct(F.concat(text, F.lit("T01:00")).alias("time"), F.when(F.dayofmonth("date") % 2 == 0, F.col("pm2_5") + 2).alias("v")))
+    air = env.groupBy(F.trunc("date", "MM")).agg(F.flatten(F.collect_list(hours)).alias("z")).select(F.struct(F.col("z.time").alias("time"), F.col("z.v").alias("pm2_5")).alias("hourly"))
+    return sl.merge_environment(archive, ahead, air)
+
+
 JOBS = {
     "gmv_scopes": (
         lambda s, d: sl.gmv_scopes(fx.sales(s, d), fx.financials(s, d)),
@@ -237,4 +256,28 @@ JOBS = {
         lambda s, d: calendar.with_events(fx.sales(s, d).select("date").distinct()),
         sql(f", e AS (SELECT DISTINCT date FROM sales) SELECT date, {TIER} AS tier FROM e WHERE {TIER} IS NOT NULL", "sales"),
     ),
+    "part_catalog": (
+        lambda s, d: sl.product_catalog(sl.product_demand(fx.sales(s, d)), fx.part_stock(s, d), F.lit(AS_OF).cast("date")),
+        sql(
+            f""", mx AS (SELECT max(date) AS t FROM sales), ac AS (SELECT DISTINCT product_id FROM sales, mx WHERE date >= t - 90 AND units > 0),
+            de AS (SELECT product_id, date, max(product_name) AS product_name, max(brand) AS brand, max(platform) AS platform, CAST(sum(units) AS DOUBLE) AS units FROM sales, mx WHERE date >= t - 540 AND units > 0 AND product_id IN (SELECT product_id FROM ac) GROUP BY 1, 2),
+            r AS (SELECT product_id, arg_min(product_name, date) AS product_name, arg_min(brand, date) AS brand, arg_min(platform, date) AS platform, sum(CASE WHEN date >= DATE '{AS_OF}' - 30 THEN units ELSE 0 END) AS units_30, sum(CASE WHEN date >= DATE '{AS_OF}' - 90 THEN units ELSE 0 END) AS units_90 FROM de GROUP BY 1)
+            SELECT r.*, round(units_30 / 30, 3) AS avg_daily_30, round(units_90 / 90, 3) AS avg_daily_90, CAST(CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 3 END AS DOUBLE) AS stock FROM r LEFT JOIN part ON p_partkey = product_id""",
+            "sales",
+        ),
+    ),
+    "brand_list": (lambda s, d: sl.name_list(fx.products(s, d), "brand"), sql("SELECT DISTINCT brand FROM prod WHERE brand IS NOT NULL", "prod")),
+    "stock_snapshot": (
+        lambda s, d: sl.stock_snapshot(fx.table(s, d, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("long").alias("stock"), F.col("l_linenumber").cast("long").alias("reserved")), AS_OF),
+        f"SELECT l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS stock, CAST(sum(l_linenumber) AS BIGINT) AS reserved, DATE '{AS_OF}' AS date FROM lineitem GROUP BY 1",
+    ),
+    "env_merge": (
+        _merged_env,
+        sql(
+            """, a AS (SELECT date, CASE WHEN day(date) % 3 = 0 THEN NULL ELSE temp_mean END AS t, precip AS p FROM env WHERE month(date) <> 7), f AS (SELECT date, temp_mean + 1 AS t, precip + 1 AS p FROM env WHERE day(date) <= 20),
+            q AS (SELECT date, round(avg(v), 1) AS pm2_5 FROM (SELECT date, pm2_5 AS v FROM env UNION ALL SELECT date, pm2_5 + 2 FROM env WHERE day(date) % 2 = 0) GROUP BY 1)
+            SELECT date, pm2_5, coalesce(a.t, f.t) AS temp_mean, coalesce(a.p, f.p) AS precip FROM a FULL JOIN f USING (date) FULL JOIN q USING (date)""",
+            "env",
+        ),
+    ),
 }

@@ -112,4 +112,41 @@ JOBS = {
             "base",
         ),
     ),
+    "reviewer_gap": (
+        lambda s, d: r.reviewer_gap(r.review_retention(fx.orders(s, d), fx.comments(s, d))),
+        sql(
+            """, b AS (SELECT buyer, count(DISTINCT order_sn) AS freq FROM ord GROUP BY 1), c AS (SELECT DISTINCT buyer, min(rating) OVER (PARTITION BY buyer) AS worst FROM com WHERE comment <> ''),
+            g AS (SELECT CASE WHEN c.buyer IS NULL THEN 'none' WHEN worst <= 2 THEN 'bad' WHEN worst = 3 THEN 'middle' ELSE 'good' END AS grp, count(*) AS n, round(CAST(count(*) FILTER (freq >= 2) AS DOUBLE) / count(*) * 100, 1) AS rate FROM b LEFT JOIN c USING (buyer) GROUP BY 1),
+            v AS (SELECT coalesce(round(sum(rate * n) FILTER (grp <> 'none') / sum(n) FILTER (grp <> 'none'), 1), 0) AS reviewer_rate, max(rate) FILTER (grp = 'none') AS other_rate FROM g)
+            SELECT *, round(reviewer_rate - other_rate, 1) AS gap FROM v""",
+            "ord",
+            "com",
+        ),
+    ),
+    "loyalty_rank": (
+        lambda s, d: r.loyalty_rank(r.retention_summary(fx.orders(s, d))),
+        sql(
+            """, g AS (SELECT brand_id AS scope, buyer, count(*) AS o FROM ord WHERE brand_id IS NOT NULL GROUP BY 1, 2), v AS (SELECT scope, count(*) AS customers, round(CAST(count(*) FILTER (o >= 2) AS DOUBLE) / count(*) * 100, 1) AS repeat_rate FROM g GROUP BY 1)
+            SELECT *, CAST(row_number() OVER (ORDER BY repeat_rate DESC, scope) AS INTEGER) AS rank FROM v""",
+            "ord",
+        ),
+    ),
+    "value_by_segment": (
+        lambda s, d: r.value_by_segment(r.rfm_segments(_base(s, d))),
+        sql(
+            f""", v AS (SELECT {SEGMENT} AS segment, round(CAST(sum(spend) AS DOUBLE)) AS total_spend FROM base GROUP BY 1)
+            SELECT *, round(total_spend / max(total_spend) OVER () * 100, 1) AS of_largest, round(total_spend / sum(total_spend) OVER () * 100, 1) AS of_all FROM v""",
+            "base",
+        ),
+    ),
+    "brand_scope": (
+        lambda s, d: r.brand_scope(r.retention_summary(fx.orders(s, d)), r.top_customers(_base(s, d)), r.at_risk(_base(s, d))),
+        sql(
+            """, t AS (SELECT brands FROM base ORDER BY orders DESC, base.spend DESC, buyer LIMIT 100), q AS (SELECT round(CAST(spend AS DOUBLE)) AS spend, brands FROM base WHERE orders >= 2 AND recency BETWEEN 120 AND 540 ORDER BY round(CAST(base.spend AS DOUBLE)) DESC, buyer LIMIT 100),
+            g AS (SELECT brand_id AS scope, buyer, count(*) AS o FROM ord WHERE brand_id IS NOT NULL GROUP BY 1, 2), v AS (SELECT scope, count(*) AS customers, round(CAST(count(*) FILTER (o >= 2) AS DOUBLE) / count(*) * 100, 1) AS repeat_rate FROM g GROUP BY 1)
+            SELECT *, (SELECT count(*) FROM t WHERE list_contains(string_split(brands, ', '), scope)) AS vips, (SELECT count(*) FROM q WHERE list_contains(string_split(brands, ', '), scope)) AS at_risk,
+            coalesce((SELECT sum(spend) FROM q WHERE list_contains(string_split(brands, ', '), scope)), 0) AS win_back_value FROM v""",
+            "base",
+        ),
+    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.functions.rules import label_comments, product_kind, seed_index
+from marketlens.functions.rules import label_comments, parse_label_json, product_kind, seed_index, weather_factors
 from marketlens.operators import reviews as rv
 from marketlens.operators import workflow as wf
 from marketlens.plans.sql import NEEDS, PARTS, sql
@@ -27,7 +27,7 @@ def _vote(w: str, sign: int) -> str:
 _HITS = {c: " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in ws) for c, ws in L.categories.items()}
 _SCORE = "count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative"
 COUNTS = f"count(*) AS total, {_SCORE}, round(avg(rating), 2) AS avg_rating, count(*) FILTER (urgent) AS urgent_count, round(CAST(count(*) FILTER (sentiment = 'positive') - count(*) FILTER (sentiment = 'negative') AS DOUBLE) / count(*) * 100, 1) AS sentiment_score"
-PARTS["lab"] = f"""SELECT comment_id, created_at, username, buyer, brand, product_name, rating, comment, has_image, sentiment, cat AS category, urg AND NOT calm AS urgent, CAST(CASE WHEN urg AND calm THEN least(sev, 4) ELSE sev END AS INTEGER) AS severity FROM (
+PARTS["lab"] = f"""SELECT comment_id, created_at, username, buyer, brand, product_name, rating, comment, has_image, status, sentiment, cat AS category, urg AND NOT calm AS urgent, CAST(CASE WHEN urg AND calm THEN least(sev, 4) ELSE sev END AS INTEGER) AS severity FROM (
   SELECT *, hard OR soft OR low OR sev >= 7 AS urg, coalesce(rating >= 4, FALSE) OR (rating IS NULL AND sentiment = 'positive') AS calm FROM (
   SELECT *, greatest(CASE WHEN sentiment = 'negative' THEN 6 ELSE 0 END, CASE WHEN hard THEN 9 WHEN soft THEN 8 ELSE 0 END, CASE WHEN low THEN 7 ELSE 0 END) AS sev,
     CASE WHEN sentiment = 'positive' THEN '{L.praise}' WHEN greatest({", ".join(f"h{i}" for i in range(len(_HITS)))}) = 0 THEN '{L.other}' {" ".join(f"WHEN h{i} = greatest({', '.join(f'h{j}' for j in range(len(_HITS)))}) THEN '{c}'" for i, c in enumerate(_HITS))} END AS cat FROM (
@@ -78,11 +78,51 @@ def _dispatch(s, d):
 
 
 def _upserted(s, d):
-    base = fx.table(s, d, "part").select("p_partkey", "p_brand", "p_size", F.lit("keep").alias("note")).filter("p_partkey % 3 <> 0")
-    new = fx.table(s, d, "part").filter("p_partkey % 4 = 0").select("p_partkey", F.concat("p_brand", F.lit("!")).alias("p_brand"))
+    """All parts, with updates under re-keyed ids, of which some are known and some new."""
+    base = fx.table(s, d, "part").select("p_partkey", "p_brand", "p_size", F.lit("keep").alias("note"))
+    new = fx.table(s, d, "part").select((F.col("p_partkey") * 3).alias("p_partkey"), F.concat("p_brand", F.lit("!")).alias("p_brand"))
     return tb.upsert(base, new, ["p_partkey"])
 
 
+def _gaps(s, d):
+    """(item_id, brand) of all parts, with nulls to be filled."""
+    return fx.products(s, d).select("item_id", "brand"), fx.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_partkey") % 10 > 0, F.col("p_brand")).alias("brand"))
+
+
+def _details(s, d):
+    return rv.reply_details(fx.replies(s, d), labelled(s, d), fx.products(s, d), fx.profiles(s, d))
+
+
+def _outcomes(s, d):
+    """Comments by status after replies went out or failed."""
+    base = fx.comments(s, d).select("comment_id", F.lit("new").alias("status"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("timestamp").alias("handled_at"))
+    e = fx.table(s, d, "events")
+    sent = e.select((F.col("event_id") % 1500).alias("comment_id"), F.when(F.col("event_type") == "purchase", "sent").otherwise("failed").alias("outcome"), F.lit("t").alias("reply_text"), F.col("ts").cast("timestamp").alias("at"), F.lit("x").alias("by"))
+    return wf.apply_reply_outcomes(base, sent)[0].groupBy("status").agg(F.count("*").alias("comments"), F.count("handled_at").alias("handled"))
+
+
+def _given(s, d):
+    """Comments labelled from replies in JSON, bare, fenced or broken, laid over the rules."""
+    k = F.col("doc_id")
+    body = F.concat(F.lit('{"results":[{"index":0,"sentiment":"'), F.when(F.col("quality") == 1, "positive").otherwise("negative"), F.lit('","severity":2}]}'))
+    text = F.when(k % 3 == 0, body).when(k % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.lit("no labels"))
+    parsed = parse_label_json(fx.table(s, d, "labels").select(k.alias("comment_id"), text.alias("reply")))
+    out = label_comments(fx.comments(s, d), L, parsed)
+    given = F.col("analyzed_by") == "ai"
+    return out.agg(F.count("*").alias("comments"), F.count_if(given).alias("by_label"), F.count_if(given & (F.col("sentiment") == "positive")).alias("positive_labels"))
+
+
+def _top_categories(s, d):
+    """The names of the two pivoted columns."""
+    return [c for c in rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2).columns if c != "date"]
+
+
+def _issues(column):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["category"], x["count"].cast("string"))), ", ")
+
+
+AGENT = "CASE WHEN user_id % 8 IN (0, 1) THEN 'ไม่ระบุ' ELSE 'agent' || (user_id % 8) END"
+
 JOBS = {
     "rule_labels": (lambda s, d: labelled(s, d).select("comment_id", "sentiment", "category", "severity", "urgent"), sql("SELECT comment_id, sentiment, category, severity, urgent FROM lab", "lab")),
     "product_stats": (_stats, sql("SELECT * FROM ps", "ps")),
@@ -104,6 +144,26 @@ JOBS = {
         lambda s, d: rv.brand_slice(_summary(s, d)["brands"], "src1").select("brand", "total", "positive_rate"),
         sql("SELECT bk AS brand, count(*) AS total, round(CAST(count(*) FILTER (sentiment = 'positive') AS DOUBLE) / count(*) * 100) AS positive_rate FROM win WHERE bk = 'src1' GROUP BY 1", "win"),
     ),
+    "window_categories": (
+        lambda s, d: _summary(s, d)["categories"],
+        sql("SELECT category, count(*) AS count FROM win GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 8", "win"),
+    ),
+    "window_issues": (
+        lambda s, d: _summary(s, d)["issues"],
+        sql(f"SELECT category, count(*) AS count FROM win WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 8", "win"),
+    ),
+    "daily_metrics": (
+        lambda s, d: rv.daily_metrics(_summary(s, d)["overall"], _summary(s, d)["brands"], AS_OF).select("date", "total", "sentiment_score", "urgent_count", F.explode("brand_scores").alias("brand", "brand_score")),
+        sql(f", o AS (SELECT {COUNTS} FROM win), b AS (SELECT bk AS brand, {COUNTS} FROM win GROUP BY 1) SELECT DATE '{AS_OF}' AS date, o.total, o.sentiment_score, o.urgent_count, b.brand, b.sentiment_score AS brand_score FROM o CROSS JOIN b", "win"),
+    ),
+    "smart_order": (
+        lambda s, d: tb.page(labelled(s, d), cm.comment_order("smart"), 3, 40).select("comment_id", "status", "severity"),
+        sql("SELECT comment_id, status, severity FROM lab ORDER BY CASE status WHEN 'new' THEN 0 WHEN 'in_progress' THEN 1 ELSE 2 END, severity DESC, created_at DESC NULLS FIRST, comment_id LIMIT 40 OFFSET 80", "lab"),
+    ),
+    "category_pivot": (
+        lambda s, d: rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2, True).select("date", *(F.col(c).alias(f"top_{i}") for i, c in enumerate(_top_categories(s, d)))),
+        sql(", t AS (SELECT category, row_number() OVER (ORDER BY sum(total) DESC, category) AS r FROM dct GROUP BY 1) SELECT date, CAST(coalesce(max(total) FILTER (r = 1), 0) AS BIGINT) AS top_0, CAST(coalesce(max(total) FILTER (r = 2), 0) AS BIGINT) AS top_1 FROM dct JOIN t USING (category) WHERE r <= 2 GROUP BY 1", "dct"),
+    ),
     "top_issues": (
         lambda s, d: _summary(s, d)["brand_issues"],
         sql(f"SELECT bk AS brand_key, category, count(*) AS count, CAST(row_number() OVER (PARTITION BY bk ORDER BY count(*) DESC, category) AS INTEGER) AS rank FROM win WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1, 2 QUALIFY rank <= 5", "win"),
@@ -143,23 +203,45 @@ JOBS = {
         lambda s, d: rv.review_tabs(labelled(s, d)).withColumnRenamed("all", "reviews"),
         sql("SELECT product_name, count(*) AS reviews, count(*) FILTER (sentiment = 'negative') AS negative, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (urgent) AS urgent, count(*) FILTER (has_image) AS with_image FROM lab WHERE product_name IS NOT NULL GROUP BY 1", "lab"),
     ),
+    "review_tab": (
+        lambda s, d: rv.review_tab(labelled(s, d), "with_image", "THST").select("comment_id", "product_name"),
+        sql("SELECT comment_id, product_name FROM lab WHERE has_image AND contains(lower(comment), 'thst')", "lab"),
+    ),
     "product_profile": (
-        lambda s, d: rv.product_profile(labelled(s, d), L.praise, 15),
+        lambda s, d: rv.product_profile(labelled(s, d), _stats(s, d), L.praise).withColumn("issues", _issues("issues")),
         sql(
-            f""", n AS (SELECT *, least(5, greatest(1, floor(rating + 0.5))) AS stars FROM lab WHERE product_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY created_at DESC, comment_id) <= 15),
-            i AS (SELECT product_name, category FROM n WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY count(*) DESC, category DESC) = 1)
-            SELECT product_name, count(*) AS reviews, {STARS}, any_value(i.category) AS main_issue FROM n LEFT JOIN i USING (product_name) GROUP BY 1""",
-            "lab",
+            f""", n AS (SELECT *, least(5, greatest(1, floor(rating + 0.5))) AS stars FROM lab WHERE product_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY created_at DESC, comment_id) <= 200),
+            i AS (SELECT product_name, category, count(*) AS c FROM n WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY product_name ORDER BY count(*) DESC, category) <= 6),
+            t AS (SELECT product_name, string_agg(category || ':' || c, ', ' ORDER BY c DESC, category) AS issues FROM i GROUP BY 1),
+            p AS (SELECT a.product_name, b.sentiment_score FROM ps a JOIN ps b ON a.brand = b.brand AND a.product_name <> b.product_name AND b.total >= 2 QUALIFY row_number() OVER (PARTITION BY a.product_name ORDER BY b.total DESC, b.product_name) <= 12),
+            m AS (SELECT product_name, round(CAST(sum(CAST(round(sentiment_score * 10) AS BIGINT)) AS DOUBLE) / count(*)) / 10 AS peer_score FROM p GROUP BY 1)
+            SELECT product_name, count(*) AS reviews, {STARS}, coalesce(any_value(issues), '') AS issues, any_value(peer_score) AS peer_score FROM n LEFT JOIN t USING (product_name) LEFT JOIN m USING (product_name) GROUP BY 1""",
+            "ps",
         ),
     ),
     "reply_agent_stats": (
-        lambda s, d: rv.reply_agent_stats(fx.replies(s, d)).drop("last_at"),
-        """WITH r AS (SELECT CASE WHEN user_id % 8 IN (0, 1) THEN 'ไม่ระบุ' ELSE 'agent' || (user_id % 8) END AS agent, event_type FROM events)
-        SELECT agent, count(*) FILTER (event_type = 'purchase') AS sent, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS draft, count(*) AS total FROM r GROUP BY 1""",
+        lambda s, d: rv.reply_agent_stats(fx.replies(s, d)).withColumn("last_at", F.unix_timestamp("last_at")),
+        f"""WITH r AS (SELECT {AGENT} AS agent, event_type, ts FROM events) SELECT agent, count(*) FILTER (event_type = 'purchase') AS sent, count(*) FILTER (event_type = 'error') AS failed,
+        count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS draft, count(*) AS total, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_at FROM r GROUP BY 1""",
     ),
+    "reply_agents": (lambda s, d: rv.reply_agents(rv.reply_agent_stats(fx.replies(s, d))), "SELECT DISTINCT 'agent' || (user_id % 8) AS agent FROM events WHERE user_id % 8 NOT IN (0, 1)"),
     "reply_details": (
-        lambda s, d: rv.reply_details(fx.replies(s, d), fx.comments(s, d), fx.products(s, d)).groupBy("brand", "item_name").agg(F.count("*").alias("replies")),
-        sql("SELECT com.brand, item_name, count(*) AS replies FROM events LEFT JOIN com ON event_id = comment_id LEFT JOIN prod ON item_id = product_name GROUP BY 1, 2", "com", "prod"),
+        lambda s, d: _details(s, d).groupBy("brand", "item_name", "product_image", "sentiment", "replier_avatar").agg(F.count("*").alias("replies")),
+        sql(
+            f""", a AS (SELECT 'agent' || (n_nationkey % 9) AS agent, min(lower(n_name) || '.png') AS replier_avatar FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1),
+            r AS (SELECT event_id, CASE WHEN user_id % 8 = 0 THEN NULL WHEN user_id % 8 = 1 THEN '' ELSE 'agent' || (user_id % 8) END AS agent FROM events)
+            SELECT lab.brand, item_name, coalesce(nullif(thumbnail_url, ''), nullif(image_url, '')) AS product_image, sentiment, replier_avatar, count(*) AS replies FROM r LEFT JOIN lab ON event_id = comment_id LEFT JOIN prod ON item_id = product_name LEFT JOIN a USING (agent) GROUP BY 1, 2, 3, 4, 5""",
+            "lab",
+            "prod",
+        ),
+    ),
+    "filter_replies": (
+        lambda s, d: rv.filter_replies(_details(s, d), agent="agent3", status="sent", q="THE", brands=["src1", "src2", "src3", "src4"]).select("comment_id", "brand", "reply_text"),
+        sql(
+            """, r AS (SELECT event_id AS comment_id, 'Thanks for purchase' AS reply_text, ts FROM events WHERE user_id % 8 = 3 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 500)
+            SELECT comment_id, com.brand, reply_text FROM r JOIN com USING (comment_id) WHERE com.brand IN ('src1', 'src2', 'src3', 'src4') AND (contains(lower(reply_text), 'the') OR contains(lower(comment), 'the'))""",
+            "com",
+        ),
     ),
     "urgent_by_brand": (lambda s, d: rv.urgent_by_brand(labelled(s, d)), sql(f"SELECT coalesce(brand, '{rv.NO_BRAND}') AS brand, count(*) AS urgent FROM lab WHERE urgent GROUP BY 1", "lab")),
     "search_comments": (
@@ -200,10 +282,39 @@ JOBS = {
     ),
     "upsert": (
         _upserted,
-        "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '!' ELSE p_brand END AS p_brand, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS p_size, CASE WHEN p_partkey % 3 <> 0 THEN 'keep' END AS note FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 4 = 0",
+        """SELECT coalesce(n.k, b.p_partkey) AS p_partkey, coalesce(n.v, b.p_brand) AS p_brand, b.p_size, CASE WHEN b.p_partkey IS NOT NULL THEN 'keep' END AS note
+        FROM part b FULL JOIN (SELECT p_partkey * 3 AS k, p_brand || '!' AS v FROM part) n ON n.k = b.p_partkey""",
     ),
     "backfill": (
-        lambda s, d: tb.backfill(fx.products(s, d).select("item_id", "brand"), fx.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("brand")), "item_id", ["brand"]),
-        sql("SELECT item_id, coalesce(prod.brand, p_brand) AS brand FROM prod LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = item_id", "prod"),
+        lambda s, d: tb.backfill(*_gaps(s, d), "item_id", ["brand"]),
+        sql("SELECT item_id, coalesce(prod.brand, CASE WHEN p_partkey % 10 > 0 THEN p_brand END) AS brand FROM prod LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = item_id", "prod"),
+    ),
+    "backfill_counts": (
+        lambda s, d: tb.backfill_counts(*_gaps(s, d), "item_id", "brand"),
+        sql("SELECT count(*) FILTER (p_partkey % 10 > 0) AS filled, count(*) FILTER (p_partkey % 10 = 0) AS missing FROM prod JOIN part ON CAST(p_partkey AS VARCHAR) = item_id WHERE prod.brand IS NULL", "prod"),
+    ),
+    "storefront_links": (
+        lambda s, d: fx.comments(s, d).select("comment_id", cm.storefront_link(F.col("shop_id"), F.col("product_name"), "https://shop.example/").alias("link")),
+        sql("SELECT comment_id, CASE WHEN shop_id <> 'shop' AND product_name IS NOT NULL THEN 'https://shop.example/' || shop_id || '/' || product_name END AS link FROM com", "com"),
+    ),
+    "reply_outcomes": (
+        _outcomes,
+        sql(
+            """, l AS (SELECT event_id % 1500 AS comment_id, event_type = 'purchase' AS ok FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 1500 ORDER BY ts DESC) = 1)
+            SELECT CASE WHEN ok IS NULL THEN 'new' WHEN ok THEN 'resolved' ELSE 'in_progress' END AS status, count(*) AS comments, count(*) FILTER (ok) AS handled FROM com LEFT JOIN l USING (comment_id) GROUP BY 1""",
+            "com",
+        ),
+    ),
+    "weather_factors": (
+        lambda s, d: fx.table(s, d, "part").select("p_partkey", F.array_join(weather_factors(F.element_at(F.array(*map(F.lit, ("health_air", "apparel_fashion", "electronics", "home_cooling"))), (F.col("p_partkey") % 4 + 1).cast("int"))), ",").alias("factors")),
+        "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pm2_5' WHEN 1 THEN 'temp_mean,precip' WHEN 2 THEN '' ELSE 'temp_mean' END AS factors FROM part",
+    ),
+    "given_labels": (
+        _given,
+        sql(
+            """, j AS (SELECT doc_id AS comment_id, doc_id % 3 <> 2 AS parsed, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS mood FROM labels)
+            SELECT count(*) AS comments, count(*) FILTER (j.parsed) AS by_label, count(*) FILTER (j.parsed AND j.mood = 'positive') AS positive_labels FROM com LEFT JOIN j USING (comment_id)""",
+            "com",
+        ),
     ),
 }

@@ -18,9 +18,9 @@ PARTS = {
       LEFT JOIN bd b ON b.product_id = k.product_id AND b.date = CAST(k.day AS DATE)""",
     "com": """SELECT doc_id AS comment_id, ts AS created_at, user_id AS username, doc_id AS buyer, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS brand,
       CASE WHEN doc_id % 29 = 0 THEN NULL ELSE CAST(doc_id % 50 AS VARCHAR) END AS product_name, CAST(CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 1 + (doc_id * 7) % 5 END AS DOUBLE) AS rating,
-      substr(text, 1, 500) AS comment, doc_id % 3 = 0 AS has_image FROM documents JOIN events ON doc_id = event_id""",
+      text AS comment, doc_id % 3 = 0 AS has_image, CASE WHEN doc_id % 4 = 0 THEN 'shop' ELSE CAST(doc_id % 9 AS VARCHAR) END AS shop_id, CASE doc_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'in_progress' ELSE 'resolved' END AS status FROM documents LEFT JOIN events ON doc_id = event_id""",
     "prod": """SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand, CAST(p_retailprice AS DECIMAL(18,2)) AS price,
-      CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 't' || p_partkey END AS thumbnail_url, 'i' || p_partkey AS image_url FROM part WHERE p_partkey < 40""",
+      CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 't' || p_partkey END AS thumbnail_url, 'i' || p_partkey AS image_url FROM part""",
     "env": """SELECT date, round(s / n / 1000, 1) AS pm2_5, 20 + n AS temp_mean, round(s % 50, 1) AS precip
       FROM (SELECT date, CAST(sum(net_sales) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM fin GROUP BY 1)""",
 }

@@ -69,21 +69,22 @@ def brand_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(comment_id, created_at, username, buyer, brand, product_name, rating, comment, images)."""
+    """(comment_id, created_at, username, buyer, brand, product_name, rating, comment, images, shop_id, status): whole texts, of all documents."""
     docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
-    rows = docs.join(events, F.col("doc_id") == F.col("event_id"))
+    rows = docs.join(events, F.col("doc_id") == F.col("event_id"), "left")
     k = F.col("doc_id")
     return rows.select(
         k.alias("comment_id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("username"), k.alias("buyer"), F.when(k % 17 == 0, None).otherwise(F.col("source")).alias("brand"),
-        F.when(k % 29 == 0, None).otherwise((k % 50).cast("string")).alias("product_name"), F.when(k % 11 == 0, None).otherwise(1 + (k * 7) % 5).cast("double").alias("rating"), F.substring("text", 1, 500).alias("comment"),
+        F.when(k % 29 == 0, None).otherwise((k % 50).cast("string")).alias("product_name"), F.when(k % 11 == 0, None).otherwise(1 + (k * 7) % 5).cast("double").alias("rating"), F.col("text").alias("comment"),
         F.when(k % 3 == 0, F.array(F.lit("a.jpg"))).otherwise(F.array().cast("array<string>")).alias("images"),
+        F.when(k % 4 == 0, F.lit("shop")).otherwise((k % 9).cast("string")).alias("shop_id"), F.element_at(F.array(F.lit("new"), F.lit("in_progress"), F.lit("resolved")), (k % 3 + 1).cast("int")).alias("status"),
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, item_name, brand, price, thumbnail_url, image_url)."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter(k < 40).select(
+    return table(spark, sf_dir, "part").select(
         k.cast("string").alias("item_id"), F.col("p_name").alias("item_name"), F.when(k % 5 == 0, None).otherwise(F.col("p_brand")).alias("brand"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
         F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("thumbnail_url"), F.concat(F.lit("i"), k.cast("string")).alias("image_url"),
     )
@@ -97,11 +98,23 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(comment_id, agent, status, at)."""
+    """(comment_id, agent, status, at, reply_text)."""
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "sent").when(kind == "error", "failed").otherwise(None)
     agent = F.when(F.col("user_id") % 8 == 0, None).when(F.col("user_id") % 8 == 1, "").otherwise(F.concat(F.lit("agent"), (F.col("user_id") % 8).cast("string")))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("comment_id"), agent.alias("agent"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("comment_id"), agent.alias("agent"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("Thanks for "), kind).alias("reply_text"))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, avatar) of agents; some have no picture, and a name can come twice."""
+    key = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("agent"), (key % 9).cast("string")).alias("name"), F.when(key % 3 == 0, "").otherwise(F.concat(F.lower("n_name"), F.lit(".png"))).alias("avatar"))
+
+
+def part_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, stock) of parts; some have none on record."""
+    size = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 5 == 0, None).otherwise(size * 3).alias("stock"))
 
 
 def env_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
