@@ -533,8 +533,9 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
 
     rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
     none = {c: F.lit(None).cast(t) for c, t in (("part", "long"), ("body", "binary"), ("ids", "array<long>"), ("sizes", "array<long>"))}
+    tasks = max(shuffle_partitions(asks.sparkSession), rows.select("chunk").distinct().count())  # a chunk is a task's work
     rows = rows.unionByName(answers.drop("bucket").withColumns(none))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, SCORED)
+    return rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(work, SCORED)
 
 
 def score(documents: DataFrame, training: Column, depth: int = DEPTH, chunk: int = CHUNK) -> DataFrame:
