@@ -1,4 +1,4 @@
-"""A global boosted-tree forecast beside seasonal naive and Holt-Winters, chosen by product on a holdout.
+"""A global boosted-tree forecast beside seasonal naive and exponential smoothing, chosen by product on a holdout.
 
 The boosted trees are Spark's; their numbers will not equal those of other libraries.
 """
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.calendar import TIERS, tier
@@ -17,17 +17,19 @@ from marketlens.functions.numeric import rounded
 from marketlens.operators.models import holt_winters, seasonal_naive
 from marketlens.operators.series import densify
 from marketlens.sources.scratch import written
+from marketlens.sources.tables import exists, read_table, swap_upsert
 
 LAGS = (1, 7, 14, 28)
 FEATURES = [*(f"lag_{k}" for k in LAGS), "dow", "month", "doy", *(f"ev_{t}" for t in TIERS), "ev_any"]
 
 
-def eligible(series: DataFrame, min_history: int = 35, lookback: int = 540) -> DataFrame:
-    """Dense series of the products with enough days, cut to the lookback."""
+def eligible(series: DataFrame, min_history: int = 35, lookback: int = 540, first: int | None = None) -> DataFrame:
+    """Dense series of the products with enough days, cut to the lookback; of the ``first`` ids alone where given."""
     newest = series.agg(F.max("date").alias("_top"))
     recent = series.crossJoin(F.broadcast(newest)).filter(F.datediff("_top", "date") < lookback).drop("_top")
     dense = densify(recent, ("units",))
     enough = dense.groupBy("product_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_history).select("product_id")
+    enough = enough if first is None else enough.orderBy("product_id").limit(first)
     return dense.join(enough, "product_id", "left_semi")
 
 
@@ -70,8 +72,18 @@ def roll_forward(model, dense: DataFrame, horizon: int) -> DataFrame:
     return state.select("product_id", "date", back).select("product_id", F.date_add(F.date_sub("date", horizon - 1), F.col("k")).alias("date"), "yhat")
 
 
+#: Smoothing constants that the exponential member is chosen from: level, trend and season.
+GRID = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.05) for g in (0.0, 0.25)]
+
+
+def smoothed(y: np.ndarray, dow: np.ndarray):
+    """The Holt-Winters model whose constants give the least sum of squared one-step errors, the first of equals."""
+    tried = [(fit, float(((y - fit[1]()) ** 2).sum())) for c in GRID if (fit := holt_winters(y, dow, *c)) is not None]
+    return min(tried, key=lambda x: x[1])[0] if tried else None
+
+
 def local_models(dense: DataFrame, horizon: int) -> DataFrame:
-    """(product_id, date, model, yhat) of seasonal naive and Holt-Winters."""
+    """(product_id, date, model, yhat) of seasonal naive and exponential smoothing."""
     schema = "product_id string, date date, model string, yhat double"
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +92,7 @@ def local_models(dense: DataFrame, horizon: int) -> DataFrame:
         y, dow = pdf["units"].to_numpy(float), ((days.dt.dayofweek + 1) % 7).to_numpy()
         dates = pd.date_range(days.iloc[-1] + pd.Timedelta(days=1), periods=horizon)
         out = []
-        for name, fit in (("seasonal_naive", seasonal_naive(y, dow)), ("holt_winters", holt_winters(y, dow))):
+        for name, fit in (("seasonal_naive", seasonal_naive(y, dow)), ("smoothing", smoothed(y, dow))):
             if fit is not None:
                 out.append(pd.DataFrame({"product_id": str(pdf["product_id"].iloc[0]), "date": dates.date, "model": name, "yhat": np.maximum(fit[0](np.arange(1, horizon + 1.0), ((dates.dayofweek + 1) % 7).to_numpy()), 0)}))
         return pd.concat(out)
@@ -89,8 +101,11 @@ def local_models(dense: DataFrame, horizon: int) -> DataFrame:
 
 
 def _all_models(dense: DataFrame, horizon: int) -> DataFrame:
+    """(product_id, date, model, yhat, step): all members' forecasts, steps counted from 1."""
     tree = roll_forward(train(features(dense)), dense, horizon)
-    return local_models(dense, horizon).unionByName(tree.select(F.col("product_id").cast("string").alias("product_id"), "date", F.lit("gbt").alias("model"), "yhat"))
+    both = local_models(dense, horizon).unionByName(tree.select(F.col("product_id").cast("string").alias("product_id"), "date", F.lit("gbt").alias("model"), "yhat"))
+    last = dense.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.max("date").alias("_last"))
+    return both.join(last, "product_id").withColumn("step", F.datediff("date", "_last")).drop("_last")
 
 
 def _wape(actual: Column, guess: Column) -> Column:
@@ -104,22 +119,59 @@ def select_best(forecasts: DataFrame, actual: DataFrame) -> DataFrame:
     return scores.groupBy("product_id").agg(F.min_by("model", F.struct("wape", "model")).alias("model"), F.min("wape").alias("wape"))
 
 
-def ml_forecast(series: DataFrame, horizon: int = 30, lookback: int = 540, min_history: int = 35) -> tuple[DataFrame, DataFrame]:
+def interval_widths(errors: DataFrame, coverage: float = 0.8) -> DataFrame:
+    """(product_id, step, w): the half-width of the interval by step ahead, from (product_id, step, error) of all windows.
+
+    With few windows a step has few errors, so a step takes those of the steps up to it: widths grow with the step.
+    """
+    w = Window.partitionBy("product_id").orderBy("step").rangeBetween(Window.unboundedPreceding, 0)
+    some = errors.withColumn("w", F.percentile(F.abs("error"), F.lit(coverage)).over(w)).groupBy("product_id", "step").agg(F.max("w").alias("w"))
+    return some.withColumn("w", F.max("w").over(w))
+
+
+def ml_forecast(series: DataFrame, horizon: int = 30, lookback: int = 540, min_history: int = 35, windows: int = 2, first: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(forecast, meta): product_id, ds, yhat, yhat_lower, yhat_upper; and product_id, model, wape, n_history, horizon.
 
-    The last ``horizon`` days (at most a third of the shortest history) are held out to choose; the width of the 80 %
-    interval is the holdout's 80th percentile of absolute errors.
+    The last ``horizon`` days (at most a third of the shortest history) are held out to choose. The 80 % interval comes
+    from the chosen model's errors by step over ``windows`` holdouts, each one holdout before the other (one, where a
+    product's history is too short for more); steps beyond the holdout take its last width.
     """
-    dense = written(eligible(series, min_history, lookback), "ml-series")
+    dense = written(eligible(series, min_history, lookback, first), "ml-series")
     top = dense.groupBy("product_id").agg(F.max("date").alias("top"), F.count("*").alias("n"))
     test = min(horizon, max(7, min_history // 3))
-    marked = dense.join(top, "product_id")
-    held, known = marked.filter(F.datediff("top", "date") < test), marked.filter(F.datediff("top", "date") >= test).drop("top", "n")
-    tried = written(_all_models(known.select("product_id", "date", "units"), test), "ml-holdout")
-    best = select_best(tried, held)
-    errors = tried.join(best.select("product_id", "model"), ["product_id", "model"]).join(held.select(F.col("product_id").cast("string").alias("product_id"), "date", "units"), ["product_id", "date"])
-    width = errors.groupBy("product_id").agg(F.percentile(F.abs(F.col("yhat") - F.col("units")), F.lit(0.8)).alias("w"))
-    ahead = _all_models(dense, horizon).join(best, ["product_id", "model"]).join(width, "product_id")
+    marked = written(dense.join(top, "product_id").withColumn("back", F.datediff("top", "date")), "ml-marked")
+    actual = marked.select(F.col("product_id").cast("string").alias("product_id"), "date", "units", "back")
+    tried = []
+    for k in range(windows):
+        known = marked.filter((F.col("back") >= test * (k + 1)) & (F.col("n") - test * (k + 1) >= max(LAGS) + 7)).select("product_id", "date", "units")
+        if k and not known.head(1):
+            break
+        tried.append(written(_all_models(known, test), f"ml-holdout-{k}"))
+    best = select_best(tried[0], actual.filter(F.col("back") < test).drop("back"))
+    errors = [t.join(best.select("product_id", "model"), ["product_id", "model"]).join(actual, ["product_id", "date"]).select("product_id", "step", (F.col("yhat") - F.col("units")).alias("error")) for t in tried]
+    every = errors[0]
+    for more in errors[1:]:
+        every = every.unionByName(more)
+    width = written(interval_widths(every), "ml-widths").select("product_id", F.col("step").alias("at"), "w")
+    ahead = _all_models(dense, horizon).join(best, ["product_id", "model"]).withColumn("at", F.least("step", F.lit(test))).join(width, ["product_id", "at"])
     forecast = ahead.select("product_id", F.col("date").alias("ds"), rounded(F.col("yhat"), 2).alias("yhat"), rounded(F.greatest(F.lit(0.0), F.col("yhat") - F.col("w")), 2).alias("yhat_lower"), rounded(F.col("yhat") + F.col("w"), 2).alias("yhat_upper"))
     meta = best.join(top.select(F.col("product_id").cast("string").alias("product_id"), F.col("n").alias("n_history")), "product_id").withColumn("horizon", F.lit(horizon))
     return forecast, meta
+
+
+def store_forecast(spark: SparkSession, path: str, forecast: DataFrame, meta: DataFrame) -> None:
+    """Upsert a forecast and its facts into the tables ``path``/points (by product_id, ds) and ``path``/meta (by product_id)."""
+    for name, rows, keys in (("points", forecast, ["product_id", "ds"]), ("meta", meta, ["product_id"])):
+        table = f"{path}/{name}"
+        if exists(spark, table):
+            swap_upsert(spark, table, rows, keys)
+        else:
+            rows.write.parquet(table)
+
+
+def read_forecast(spark: SparkSession, path: str, product_id: str | None = None) -> DataFrame:
+    """Stored points with their product's model, wape, n_history and horizon, of one product or all."""
+    points, meta = read_table(spark, f"{path}/points"), read_table(spark, f"{path}/meta")
+    if product_id is not None:
+        points = points.filter(F.col("product_id") == product_id)
+    return points.join(meta, "product_id", "left")

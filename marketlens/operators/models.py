@@ -1,7 +1,8 @@
 """Per-product forecasting models, back-tested and chosen: one small group a product, spread by applyInPandas.
 
 The recursions (Holt-Winters, Croston, TSB) aren't window functions; this module is their numpy kernel. A series is
-dense, its days' weekday counts from 0 for Sunday. Groups hold at most the lookback (540 days by default).
+dense, its days' weekday counts from 0 for Sunday. Older days than the lookback (540 by default) are left out before
+the shuffle, so groups hold no more than that.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rules import weather_factors
+
 Fitted = tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[], np.ndarray]]
 
 
@@ -144,6 +147,22 @@ def choose(y: np.ndarray, dow: np.ndarray) -> tuple[str, dict[str, float | None]
 SCHEMA = "product_id string, date date, actual double, forecast double, lower double, upper double, is_future boolean, model string, wape double, mape double, bias double, days int"
 
 
+def _recent(series: DataFrame, lookback: int) -> DataFrame:
+    """Each product's days from ``lookback`` days before its newest one on (that one may be dropped as unfinished)."""
+    newest = series.groupBy("product_id").agg(F.max("date").alias("_top"))
+    return series.select("product_id", "date", "units").join(newest, "product_id").filter(F.datediff("_top", "date") <= lookback).drop("_top")
+
+
+def _days(pdf: pd.DataFrame, drop_last: bool, lookback: int) -> pd.Series:
+    """Dense daily units of one product."""
+    dense = pd.Series(pdf["units"].to_numpy(float), pd.to_datetime(pdf["date"])).groupby(level=0).last().asfreq("D", fill_value=0.0)
+    return (dense.iloc[:-1] if drop_last and len(dense) > 1 else dense).iloc[-lookback:]
+
+
+def _empty(schema: str) -> pd.DataFrame:
+    return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+
 def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True, lookback: int = 540) -> DataFrame:
     """Points of every product with at least 14 days: history as fitted and ``horizon`` days ahead, with an 80 % band.
 
@@ -151,14 +170,10 @@ def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True,
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        days = pd.to_datetime(pdf["date"])
-        dense = pd.Series(pdf["units"].to_numpy(float), days).groupby(level=0).last().asfreq("D", fill_value=0.0)
-        if drop_last and len(dense) > 1:
-            dense = dense.iloc[:-1]
-        dense = dense.iloc[-lookback:]
+        dense = _days(pdf, drop_last, lookback)
         n = len(dense)
         if n < 14:
-            return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            return _empty(SCHEMA)
         y, dow = dense.to_numpy(), ((dense.index.dayofweek + 1) % 7).to_numpy()
         name, _, tested, _ = choose(y, dow)
         ahead, fitted = MODELS[name](y, dow)
@@ -176,7 +191,27 @@ def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True,
             }
         )
 
-    return series.select("product_id", "date", "units").groupBy("product_id").applyInPandas(work, SCHEMA)
+    return _recent(series, lookback).groupBy("product_id").applyInPandas(work, SCHEMA)
+
+
+CANDIDATES = "product_id string, model string, wape double, eligible boolean, rank int, chosen boolean"
+
+
+def candidates(series: DataFrame, drop_last: bool = True, lookback: int = 540) -> DataFrame:
+    """The models that ``auto_forecast`` tries for each product, the best back-test first, those without one last."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = _days(pdf, drop_last, lookback)
+        if len(dense) < 14:
+            return _empty(CANDIDATES)
+        y, dow = dense.to_numpy(), ((dense.index.dayofweek + 1) % 7).to_numpy()
+        best, tried, _, _ = choose(y, dow)
+        order = sorted(tried, key=lambda m: (tried[m] is None, tried[m] or 0.0, list(tried).index(m)))
+        return pd.DataFrame(
+            {"product_id": str(pdf["product_id"].iloc[0]), "model": order, "wape": [tried[m] for m in order], "eligible": [MODELS[m](y, dow) is not None for m in order], "rank": np.arange(1, len(order) + 1), "chosen": [m == best for m in order]}
+        )
+
+    return _recent(series, lookback).groupBy("product_id").applyInPandas(work, CANDIDATES)
 
 
 def forecast_sums(points: DataFrame) -> DataFrame:
@@ -184,7 +219,7 @@ def forecast_sums(points: DataFrame) -> DataFrame:
     return points.groupBy("product_id").agg(F.max("model").alias("model"), F.max("wape").alias("wape"), F.sum(F.when(F.col("is_future"), F.col("forecast"))).alias("forecast_sum"))
 
 
-REGRESSION = "product_id string, factor string, beta double, t double, significant boolean, r2 double, adj_r2 double, n int"
+REGRESSION = "product_id string, factor string, beta double, t double, significant boolean, impact string, direction string, weather_relevant boolean, r2 double, adj_r2 double, n int"
 
 
 def _standard(x: np.ndarray) -> np.ndarray:
@@ -208,27 +243,38 @@ def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, fl
     return coef, error, r2, max(0.0, 1 - (1 - r2) * (n - 1) / (n - k)) if total > 0 else 0.0
 
 
-def env_regression(weeks: DataFrame, factors: tuple[str, ...] = ("pm2_5", "temp_mean", "precip")) -> DataFrame:
+def env_regression(weeks: DataFrame, kinds: DataFrame | None = None, factors: tuple[str, ...] = ("pm2_5", "temp_mean", "precip")) -> DataFrame:
     """Weekly units on trend and weather, standardised: one row a product and term.
 
     ``weeks`` has (product_id, week, units, and a mean of each factor), from products with at least 56 dense days.
-    Weeks without particulates or temperature are left out, missing rain is 0, ten weeks are needed.
+    Weeks without particulates or temperature are left out, missing rain is 0, ten weeks are needed. With ``kinds``
+    (product_id, kind) a product's weather terms are those that may bear on its kind, for some kinds none but the trend;
+    without, all ``factors`` are. A term counts from |t| of 2 on; its impact is high from a beta of 0.3, medium from
+    0.15, and none where it doesn't count.
     """
+    every = kinds is None
+    if not every:
+        weeks = weeks.join(kinds.select("product_id", weather_factors(F.col("kind")).alias("allowed")), "product_id")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=[c.split()[0] for c in REGRESSION.split(", ")])
         rows = pdf.dropna(subset=["pm2_5", "temp_mean"]).fillna({"precip": 0.0}).sort_values("week")
         if len(rows) < 10:
-            return none
-        names = ["trend", *factors]
-        columns = [np.ones(len(rows)), _standard(rows["week"].to_numpy(float)), *(_standard(rows[f].to_numpy(float)) for f in factors)]
+            return _empty(REGRESSION)
+        mine = list(factors) if every else list(rows["allowed"].iloc[0])
+        columns = [np.ones(len(rows)), _standard(rows["week"].to_numpy(float)), *(_standard(rows[f].to_numpy(float)) for f in mine)]
         got = ols(np.column_stack(columns), _standard(rows["units"].to_numpy(float)))
         if got is None:
-            return none
+            return _empty(REGRESSION)
         coef, error, r2, adj = got
-        t = np.where(error[1:] > 0, coef[1:] / np.where(error[1:] > 0, error[1:], 1), 0.0)
-        free = len(rows) - len(columns)
-        return pd.DataFrame({"product_id": str(pdf["product_id"].iloc[0]), "factor": names, "beta": np.round(coef[1:], 2), "t": np.round(t, 1), "significant": (np.abs(t) >= 2) & (free >= 3), "r2": round(r2, 3), "adj_r2": round(adj, 3), "n": len(rows)})
+        beta, t = coef[1:], np.where(error[1:] > 0, coef[1:] / np.where(error[1:] > 0, error[1:], 1), 0.0)
+        counts = (np.abs(t) >= 2) & (len(rows) - len(columns) >= 3)
+        impact = np.where(~counts, "none", np.where(np.abs(beta) >= 0.3, "high", np.where(np.abs(beta) >= 0.15, "medium", "low")))
+        return pd.DataFrame(
+            {
+                "product_id": str(pdf["product_id"].iloc[0]), "factor": ["trend", *mine], "beta": np.round(beta, 2), "t": np.round(t, 1), "significant": counts, "impact": impact, "direction": np.where(beta >= 0, "up", "down"),
+                "weather_relevant": bool(mine), "r2": round(r2, 3), "adj_r2": round(adj, 3), "n": len(rows),
+            }
+        )
 
     return weeks.groupBy("product_id").applyInPandas(work, REGRESSION)
 

@@ -123,3 +123,55 @@ def test_ml_forecast(spark):
     assert forecast.filter("yhat_lower < 0 or yhat_lower > yhat or yhat > yhat_upper").count() == 0
     first = forecast.filter("product_id = 'a'").orderBy("ds").first()
     assert first.ds == date(2024, 3, 31) and abs(first.yhat - (10 + 5 * (90 % 7 == 0))) < 4
+
+
+def test_interval_widths_grow(spark):
+    errors = spark.createDataFrame([("a", 1, 1.0), ("a", 1, -2.0), ("a", 2, 0.5), ("a", 2, 6.0), ("a", 3, 0.0), ("a", 3, 0.0)], "product_id string, step int, error double")
+    got = {r.step: r.w for r in ml.interval_widths(errors).collect()}
+    assert got == pytest.approx({1: np.quantile([1, 2], 0.8), 2: np.quantile([1, 2, 0.5, 6], 0.8), 3: np.quantile([1, 2, 0.5, 6], 0.8)})
+
+
+def test_stored_forecasts(spark, tmp_path):
+    points = spark.createDataFrame([("a", date(2024, 1, 1), 1.0), ("b", date(2024, 1, 1), 2.0)], "product_id string, ds date, yhat double")
+    meta = spark.createDataFrame([("a", "gbt", 5.0), ("b", "smoothing", 6.0)], "product_id string, model string, wape double")
+    ml.store_forecast(spark, str(tmp_path), points, meta)
+    ml.store_forecast(spark, str(tmp_path), spark.createDataFrame([("a", date(2024, 1, 1), 9.0), ("a", date(2024, 1, 2), 3.0)], points.schema), meta.filter("product_id = 'a'"))
+    assert {(r.ds.day, r.yhat, r.model) for r in ml.read_forecast(spark, str(tmp_path), "a").collect()} == {(1, 9.0, "gbt"), (2, 3.0, "gbt")}
+    assert ml.read_forecast(spark, str(tmp_path)).count() == 3
+    dense = _series(spark, {p: enumerate([1] * 40) for p in "abc"})
+    assert {r.product_id for r in ml.eligible(dense, first=2).select("product_id").distinct().collect()} == {"a", "b"}
+
+
+def test_smoothing_is_the_best_of_its_grid(wave):
+    y, dow = wave
+    best = ml.smoothed(y, dow)
+    errors = [((y - models.holt_winters(y, dow, *c)[1]()) ** 2).sum() for c in ml.GRID]
+    assert ((y - best[1]()) ** 2).sum() == pytest.approx(min(errors)) and ml.smoothed(y[:10], dow[:10]) is None
+
+
+def test_weather_terms_follow_the_kind(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(p, w, float(50 + w + 8 * t + rnd.normal()), float(rnd.normal()), float(t), 0.0) for p in "abc" for w in range(40) for t in [rnd.normal()]]
+    weeks = spark.createDataFrame(rows, "product_id string, week int, units double, pm2_5 double, temp_mean double, precip double")
+    kinds = spark.createDataFrame([("a", "home_cooling"), ("b", "electronics"), ("c", "apparel_fashion")], "product_id string, kind string")
+    got = {(r.product_id, r.factor): r for r in models.env_regression(weeks, kinds).collect()}
+    assert set(got) == {("a", "trend"), ("a", "temp_mean"), ("b", "trend")} or ("c", "precip") not in got  # constant rain is singular
+    one = got["a", "temp_mean"]
+    mine = np.array([r[1:] for r in rows if r[0] == "a"])
+    z = lambda v: (v - v.mean()) / v.std(ddof=1)
+    x = np.column_stack([np.ones(40), z(mine[:, 0]), z(mine[:, 3])])
+    coef = np.linalg.lstsq(x, z(mine[:, 1]), rcond=None)[0]
+    assert one.beta == pytest.approx(coef[2], abs=0.006) and one.significant and one.impact == "high" and one.direction == "up"
+    assert not got["b", "trend"].weather_relevant and got["a", "trend"].weather_relevant
+
+
+def test_candidates_are_ranked(spark, wave):
+    y, _ = wave
+    got = models.candidates(_series(spark, {"a": enumerate(y), "s": enumerate(np.where(np.arange(120) % 5 == 3, y, 0)), "short": enumerate([1] * 5)})).collect()
+    by = {p: sorted((r for r in got if r.product_id == p), key=lambda r: r.rank) for p in "as"}
+    assert len(by["a"]) == 3 and len(by["s"]) == 6 and len(got) == 9
+    for rows in by.values():
+        known = [r.wape for r in rows if r.wape is not None]
+        assert known == sorted(known) and [r.chosen for r in rows] == [True] + [False] * (len(rows) - 1)
+    best = {r.product_id: r.model for r in models.auto_forecast(_series(spark, {"a": enumerate(y)})).select("product_id", "model").distinct().collect()}
+    assert best["a"] == by["a"][0].model
