@@ -189,7 +189,6 @@ JOBS = {
             "dbt",
         ),
     ),
-    "trend_insights": (lambda s, d: rv.trend_insights(rv.daily_trend(labelled(s, d)), rv.daily_trend(labelled(s, d), by="brand"), rv.daily_trend(labelled(s, d), by="category", praise=L.praise), _stats(s, d), DAYS), None),
     "product_kpis": (
         lambda s, d: rv.product_kpis(_stats(s, d)),
         sql("SELECT count(*) AS products, count(*) FILTER (sentiment_score < 15 OR urgent_count > 0) AS need_focus, round(avg(sentiment_score), 1) AS mean_score, CAST(coalesce(sum(urgent_count), 0) AS BIGINT) AS urgent FROM ps WHERE total >= 2", "ps"),
