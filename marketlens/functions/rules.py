@@ -37,6 +37,28 @@ PRODUCT_WORDS = {
 }
 WEATHER_FACTORS = {"health_air": ["pm2_5"], "skincare_beauty": ["temp_mean"], "apparel_fashion": ["temp_mean", "precip"], "home_cooling": ["temp_mean"], "supplement_med": ["pm2_5"], "food_beverage": ["temp_mean"], "electronics": [], "generic": []}
 
+# Reply texts by category, several for positive comments, and the rest.
+CATEGORY_REPLIES = {
+    "การจัดส่ง": "ขออภัยในความล่าช้าของการจัดส่งด้วยนะคะ ทางร้านจะรีบตรวจสอบสถานะพัสดุและเร่งติดตามให้ทันที รบกวนแจ้งเลขออเดอร์เพิ่มเติมทางแชทได้เลยค่ะ",
+    "คุณภาพสินค้า": "ขออภัยที่สินค้ามีปัญหาด้วยนะคะ ทางร้านยินดีดูแลเปลี่ยน/คืนสินค้าให้ค่ะ รบกวนส่งรูปสินค้าและเลขออเดอร์มาทางแชทเพื่อดำเนินการเคลมให้ทันทีค่ะ",
+    "การบริการ/แอดมิน": "ขออภัยในความไม่สะดวกด้วยนะคะ ทางร้านน้อมรับและจะปรับปรุงการบริการให้ดียิ่งขึ้น หากมีข้อสงสัยเพิ่มเติมทักแชทมาได้ตลอดเลยค่ะ",
+    "ราคา/โปรโมชั่น": "ขอบคุณสำหรับความคิดเห็นนะคะ ทางร้านมีโปรโมชั่นและส่วนลดสำหรับลูกค้าเป็นประจำ ฝากกดติดตามร้านเพื่อรับสิทธิ์ก่อนใครนะคะ",
+    "บรรจุภัณฑ์": "ขออภัยเรื่องบรรจุภัณฑ์ด้วยนะคะ ทางร้านจะปรับการแพ็คให้แน่นหนายิ่งขึ้น หากสินค้าเสียหายรบกวนแจ้งพร้อมรูปเพื่อเคลมให้เลยค่ะ",
+    "ความปลอดภัย/สุขภาพ": "ขออภัยอย่างยิ่งค่ะ เรื่องความปลอดภัยเราให้ความสำคัญสูงสุด รบกวนหยุดใช้สินค้าก่อนและติดต่อทางร้านโดยด่วน เพื่อตรวจสอบและดูแลรับผิดชอบให้เต็มที่ค่ะ",
+    "การชำระเงิน": "ขออภัยเรื่องการชำระเงินด้วยนะคะ รบกวนแจ้งรายละเอียด/หลักฐานการชำระมาทางแชท ทางร้านจะรีบตรวจสอบและแก้ไขให้ทันทีค่ะ",
+}
+REPLIES: dict[str, list[str] | str] = {
+    "positive": [
+        "ขอบคุณมากเลยนะคะ ดีใจที่ถูกใจสินค้า ฝากกดติดตามร้านและรอโปรโมชั่นดี ๆ ครั้งหน้าด้วยนะคะ",
+        "ขอบคุณสำหรับรีวิวดี ๆ นะคะ เป็นกำลังใจให้ทีมงานมากเลยค่ะ แล้วกลับมาอุดหนุนกันใหม่นะคะ",
+        "ขอบคุณที่ไว้วางใจเลือกซื้อสินค้าของเรานะคะ หากต้องการคำแนะนำเพิ่มเติมทักแชทมาได้ตลอดเลยค่ะ",
+        "ดีใจที่ลูกค้าพอใจค่ะ ขอบคุณที่สละเวลารีวิวนะคะ ฝากบอกต่อเพื่อน ๆ และติดตามร้านไว้ด้วยนะคะ",
+    ],
+    "neutral": "ขอบคุณสำหรับความคิดเห็นนะคะ หากมีข้อสงสัยหรืออยากให้ช่วยเหลือเพิ่มเติม ทักแชทเข้ามาได้เลยค่ะ ทางร้านยินดีดูแลค่ะ",
+    "hard": "ขออภัยอย่างสูงค่ะ ทางร้านขอตรวจสอบเรื่องนี้อย่างเร่งด่วน รบกวนทักแชทมาพร้อมเลขออเดอร์ เราจะรีบดูแลและหาทางแก้ไขให้เร็วที่สุดค่ะ",
+    "negative": "ขออภัยในความไม่สะดวกด้วยนะคะ รบกวนแจ้งรายละเอียดและเลขออเดอร์มาทางแชท ทางร้านจะรีบตรวจสอบและดูแลให้ค่ะ",
+}
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -152,7 +174,7 @@ def seed_index(seed: Column, choices: int) -> Column:
     return F.pmod(h, F.lit(choices)).cast("int")
 
 
-def suggest_reply(rows: DataFrame, templates: dict[str, list[str] | str], by_category: dict[str, str], other: str = OTHER) -> DataFrame:
+def suggest_reply(rows: DataFrame, templates: dict[str, list[str] | str] = REPLIES, by_category: dict[str, str] = CATEGORY_REPLIES, other: str = OTHER) -> DataFrame:
     """Adds reply: templates has positive (a list), neutral, hard and negative; by_category has one for each category."""
     positive = F.element_at(F.array(*map(F.lit, templates["positive"])), seed_index(F.col("comment_id").cast("string"), len(templates["positive"])) + 1)
     out = F.when(F.col("sentiment") == "positive", positive).when(F.col("urgent") & (F.coalesce("category", F.lit(other)) == other), templates["hard"])

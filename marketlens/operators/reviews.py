@@ -30,6 +30,14 @@ def brand_stats(comments: DataFrame) -> DataFrame:
     return comments.groupBy(F.coalesce("brand", F.lit(NO_BRAND)).alias("brand")).agg(*_counts())
 
 
+def listed(stats: DataFrame, kind: str, worst_first: bool = True, limit: int = 500) -> DataFrame:
+    """The order of the lists: products (at most ``limit``) and brands by score, categories by their number of complaints."""
+    if kind == "category":
+        return stats.orderBy(F.desc("total"), "category")
+    rows = stats.orderBy(F.asc("sentiment_score") if worst_first else F.desc("sentiment_score"), "product_name" if kind == "product" else "brand")
+    return rows.limit(limit) if kind == "product" else rows
+
+
 def category_stats(comments: DataFrame, praise: str) -> DataFrame:
     return comments.filter((F.col("sentiment") == "negative") & (F.col("category") != praise)).groupBy("category").agg(F.count("*").alias("total"))
 

@@ -238,19 +238,33 @@ def why_this_month(months: DataFrame, drivers: DataFrame) -> DataFrame:
     return last.join(top, "product_id", "left").select("product_id", "month", "units", F.floor((F.col("units") - F.col("avg")) / F.col("avg") * 100 + 0.5).cast("double").alias("diff_pct"), "top_factor")
 
 
-def sentiment_signals(demand: DataFrame, mood: DataFrame, max_lag: int = 4) -> DataFrame:
-    """(product_id, signal, best_lag_weeks, corr, strength): how reviews lead sales, over lags of 0 to ``max_lag`` weeks.
-
-    ``mood`` has (product_id, date, n, avg_rating, net).
-    """
+def _review_weeks(demand: DataFrame, mood: DataFrame) -> DataFrame:
+    """(product_id, t0, week, units, volume, net, rating): dense weeks of products with enough reviews, from both inputs' first day."""
     total = mood.groupBy("product_id").agg(F.sum("n").alias("reviews"), F.min("date").alias("m0")).filter(F.col("reviews") >= 12)
     start = demand.groupBy("product_id").agg(F.min("date").alias("d0")).join(total, "product_id").select("product_id", F.least("d0", "m0").alias("t0"))
     week = F.floor(F.datediff("date", "t0") / 7).cast("int").alias("week")
     units = demand.join(start, "product_id").groupBy("product_id", week).agg(F.sum("units").alias("units"))
     said = mood.join(start, "product_id").groupBy("product_id", week).agg(F.sum("n").cast("double").alias("volume"), F.avg("net").alias("net"), F.avg("avg_rating").alias("rating"))
     both = units.join(said, ["product_id", "week"], "full_outer")
-    span = both.groupBy("product_id").agg(F.min("week").alias("lo"), F.max("week").alias("hi")).filter(F.col("hi") - F.col("lo") + 1 >= 8)
-    grid = span.select("product_id", F.explode(F.sequence("lo", "hi")).alias("week")).join(both, ["product_id", "week"], "left").fillna(0.0, ["units", "volume", "net", "rating"])
+    span = both.groupBy("product_id").agg(F.min("week").alias("lo"), F.max("week").alias("hi")).filter(F.col("hi") - F.col("lo") + 1 >= 8).join(start, "product_id")
+    grid = span.select("product_id", "t0", F.explode(F.sequence("lo", "hi")).alias("week"))
+    return grid.join(both, ["product_id", "week"], "left").fillna(0.0, ["units", "volume", "net", "rating"])
+
+
+def sentiment_series(demand: DataFrame, mood: DataFrame) -> DataFrame:
+    """(product_id, week_start, units_z, reviews_z, net_z): the weeks behind ``sentiment_signals``, standardised (0 where a series is flat)."""
+    whole = Window.partitionBy("product_id")
+    z = lambda c: F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(whole), F.nullif(F.stddev_pop(c).over(whole), F.lit(0.0))), F.lit(0.0))
+    rows = _review_weeks(demand, mood)
+    return rows.select("product_id", F.expr("date_add(t0, week * 7)").alias("week_start"), rounded(z("units"), 3).alias("units_z"), rounded(z("volume"), 3).alias("reviews_z"), rounded(z("net"), 3).alias("net_z"))
+
+
+def sentiment_signals(demand: DataFrame, mood: DataFrame, max_lag: int = 4) -> DataFrame:
+    """(product_id, signal, best_lag_weeks, corr, strength): how reviews lead sales, over lags of 0 to ``max_lag`` weeks.
+
+    ``mood`` has (product_id, date, n, avg_rating, net).
+    """
+    grid = _review_weeks(demand, mood)
     w = Window.partitionBy("product_id").orderBy("week")
     lagged = grid.withColumns({f"u{k}": F.lead("units", k).over(w) for k in range(max_lag + 1)})
     long = lagged.select("product_id", F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), F.col(c).alias("s")) for name, c in (("review_volume", "volume"), ("net_sentiment", "net"), ("avg_rating", "rating"))])).alias("z"), *[f"u{k}" for k in range(max_lag + 1)])

@@ -252,6 +252,17 @@ JOBS = {
             "bd",
         ),
     ),
+    "sentiment_series": (
+        lambda s, d: se.sentiment_series(fx.brand_daily(s, d), _mood(s, d)),
+        sql(
+            f""", mo AS ({MOOD}), tt AS (SELECT product_id, least(d0, m0) AS t0 FROM (SELECT product_id, min(date) AS d0 FROM bd GROUP BY 1) JOIN (SELECT product_id, min(date) AS m0 FROM mo GROUP BY 1 HAVING sum(n) >= 12) USING (product_id)),
+            un AS (SELECT product_id, (date - t0) // 7 AS week, sum(units) AS units FROM bd JOIN tt USING (product_id) GROUP BY 1, 2), sa AS (SELECT product_id, (date - t0) // 7 AS week, CAST(sum(n) AS DOUBLE) AS volume, avg(net) AS net, avg(avg_rating) AS rating FROM mo JOIN tt USING (product_id) GROUP BY 1, 2),
+            bo AS (SELECT product_id, week, units, volume, net, rating FROM un FULL JOIN sa USING (product_id, week)), gr AS (SELECT product_id, unnest(range(min(week), max(week) + 1)) AS week FROM bo GROUP BY 1 HAVING max(week) - min(week) + 1 >= 8),
+            de AS (SELECT product_id, week, coalesce(units, 0) AS units, coalesce(volume, 0) AS volume, coalesce(net, 0) AS net, coalesce(rating, 0) AS rating FROM gr LEFT JOIN bo USING (product_id, week))
+            SELECT product_id, CAST(t0 + CAST(week * 7 AS INTEGER) AS DATE) AS week_start, {", ".join(f"round(coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0), 3) AS {n}" for c, n in (("units", "units_z"), ("volume", "reviews_z"), ("net", "net_z")))} FROM de JOIN tt USING (product_id) WINDOW w AS (PARTITION BY product_id)""",
+            "bd",
+        ),
+    ),
     "event_calendar": (
         lambda s, d: calendar.with_events(fx.sales(s, d).select("date").distinct()),
         sql(f", e AS (SELECT DISTINCT date FROM sales) SELECT date, {TIER} AS tier FROM e WHERE {TIER} IS NOT NULL", "sales"),

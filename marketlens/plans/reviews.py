@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketlens.functions.rules import label_comments, parse_label_json, product_kind, seed_index, weather_factors
+from marketlens.functions.rules import CATEGORY_REPLIES, OTHER, REPLIES, label_comments, parse_label_json, product_kind, seed_index, suggest_reply, weather_factors
 from marketlens.operators import reviews as rv
 from marketlens.operators import workflow as wf
 from marketlens.plans.sql import NEEDS, PARTS, sql
@@ -117,6 +117,14 @@ def _top_categories(s, d):
     return [c for c in rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2).columns if c != "date"]
 
 
+#: The stand-in categories by the names that replies go by.
+_THAI = {"delivery": "การจัดส่ง", "quality": "คุณภาพสินค้า", "price": "ราคา/โปรโมชั่น", "other": OTHER}
+
+
+def _thai(column):
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in _THAI.items() for x in pair)), F.col(column)), F.col(column))
+
+
 def _issues(column):
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x["category"], x["count"].cast("string"))), ", ")
 
@@ -127,6 +135,20 @@ JOBS = {
     "rule_labels": (lambda s, d: labelled(s, d).select("comment_id", "sentiment", "category", "severity", "urgent"), sql("SELECT comment_id, sentiment, category, severity, urgent FROM lab", "lab")),
     "product_stats": (_stats, sql("SELECT * FROM ps", "ps")),
     "brand_stats": (lambda s, d: rv.brand_stats(labelled(s, d)), sql(f"SELECT coalesce(brand, '{rv.NO_BRAND}') AS brand, {COUNTS} FROM lab GROUP BY 1", "lab")),
+    "product_list": (
+        lambda s, d: rv.listed(_stats(s, d), "product", limit=20).select("product_name", "sentiment_score"),
+        sql("SELECT product_name, sentiment_score FROM ps ORDER BY sentiment_score, product_name LIMIT 20", "ps"),
+    ),
+    "suggested_replies": (
+        lambda s, d: suggest_reply(labelled(s, d).withColumn("category", _thai("category")), other=_THAI["other"]).groupBy("reply").agg(F.count("*").alias("comments")),
+        sql(
+            f""", r AS (SELECT *, CASE category {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _THAI.items())} ELSE category END AS cat,
+            list_reduce(list_transform(string_split(CAST(comment_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: (h * 31 + c) % 4294967296, CAST(0 AS BIGINT)) % 4 AS pick FROM lab)
+            SELECT CASE WHEN sentiment = 'positive' THEN CASE pick {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(REPLIES["positive"]))} END WHEN urgent AND coalesce(cat, '{_THAI["other"]}') = '{_THAI["other"]}' THEN '{REPLIES["hard"]}'
+            {" ".join(f"WHEN cat = '{k}' THEN '{v}'" for k, v in CATEGORY_REPLIES.items())} WHEN sentiment = 'neutral' AND NOT urgent THEN '{REPLIES["neutral"]}' WHEN urgent THEN '{REPLIES["hard"]}' ELSE '{REPLIES["negative"]}' END AS reply, count(*) AS comments FROM r GROUP BY 1""",
+            "lab",
+        ),
+    ),
     "category_stats": (lambda s, d: rv.category_stats(labelled(s, d), L.praise), sql(f"SELECT category, count(*) AS total FROM lab WHERE sentiment = 'negative' AND category <> '{L.praise}' GROUP BY 1", "lab")),
     "daily_trend": (lambda s, d: rv.daily_trend(labelled(s, d)), sql("SELECT * FROM dt", "dt")),
     "daily_brand_trend": (lambda s, d: rv.daily_trend(labelled(s, d), by="brand"), sql("SELECT * FROM dbt", "dbt")),
