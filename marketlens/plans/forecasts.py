@@ -150,6 +150,7 @@ SELECT scope, date, tier, days_away, baseline, forecast AS projected, CASE WHEN
 
 JOBS = {
     "auto_forecast": (_points, None),
+    "part_forecast": (lambda s, d: models.forecast_sums(models.auto_forecast(sl.product_demand(fx.sales(s, d)))), None),
     "forecast_candidates": (lambda s, d: models.candidates(fx.brand_daily(s, d)), None),
     "forecast_quality": (_quality, sql(QUALITY, "dense")),
     "trend_insights": (_trends, sql(TRENDS, "dt", "dbt", "dct", "ps")),

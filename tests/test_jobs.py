@@ -42,3 +42,13 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(jobs.QUERIES) - set(jobs.ORACLE_SQL) - {"ml_forecast"}))
 def test_runs(spark, name):
     assert jobs.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_entry_lives_without_the_text_operators_libraries():
+    """A library that only the text operators need may be missing."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(len(e.queries()), sorted(e.oracle_sql())[:1])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert done.returncode == 0 and int(done.stdout.split()[0]) == len(jobs.QUERIES), done.stderr
