@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic hash of a text's multiset of paragraphs.
 
-A paragraph (a line) hashes to a wide vector, and a text's fingerprint is the sum of its paragraphs' vectors. So the
+A paragraph (a line that isn't empty; empty lines are dropped, so texts that differ in them alone are equal) hashes to a wide vector, and a text's fingerprint is the sum of its paragraphs' vectors. So the
 order of paragraphs doesn't matter, and inserting or deleting a paragraph adds or subtracts its vector. The vector has
 two parts. ``STRONG`` lanes modulo 2**32 come from a cryptographic hash and decide equality. ``NEAR`` lanes modulo
 2**64 are a signed count sketch of the paragraph's windows of eight bytes; as sums are linear, the angle between two
@@ -76,7 +76,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def _bounds(spark: SparkSession, documents: DataFrame, parts: int) -> list[int]:
-    """About ``parts`` ids that cut the documents into ranges of about equal size in bytes of text, from the ids and lengths alone."""
+    """Up to ``parts`` - 1 ids that cut the documents into ranges of about equally many rows; null ids are all in the first range."""
     got = documents.filter("doc_id is not null").select(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("q")).first() if parts > 1 else None
     return sorted(set(got.q)) if got and got.q else []
 

@@ -7,8 +7,10 @@ precisely where it is high. Candidates whose estimate is within a margin of the
 
 Equal sets are collapsed first, so a group of exact copies costs one member. A band's bucket gives only a spanning
 forest of its candidate pairs; the components of these forests are clusters, and every candidate pair lies within one.
-Each cluster's texts then meet once, in tiles that compare all their full sets and return spanning links. So no pair is
-emitted beyond a forest, and none is lost.
+A cluster's texts then meet in tiles that compare their full sets and return spanning links. A cluster of one tile takes
+each text once; in a larger one, sketches meet in the tiles first, and a tile takes the texts of those members alone
+that have a candidate in it. So no pair is emitted beyond a forest, and none is lost. Sets are of 64-bit hashes of the
+shingles: two different shingles of a pair of texts are taken for one with a chance of about 1e-12.
 
 Ties and repeats: rows that share a doc_id are one node. A null doc_id is linked with nothing (component null, kept).
 Null or word-free text has an empty set and is linked with nothing. Empty tables give empty results. Further columns
@@ -160,25 +162,32 @@ def signatures(documents: DataFrame, words: int, threshold: float, id_col: str =
     return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
-def _forest(members: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that span the candidate pairs of each band's members (member, n_shingles, sketch)."""
+def _columns(batch: pa.RecordBatch, plain: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {k: np.asarray(batch.column(k)) for k in plain} | {"sketch": fixed(batch.column("sketch"), BITS // 8).copy().view(U)}
+
+
+def _candidates(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs from x and y whose estimate and sizes allow the threshold, a block of x at a time."""
+    for at in range(0, len(x) if len(y) else 0, 128):
+        part = x[at : at + 128]
+        est = estimates(c["sketch"][part][:, None, :], c["sketch"][y][None, :, :])
+        small, large = np.minimum.outer(c["n_shingles"][part], c["n_shingles"][y]), np.maximum.outer(c["n_shingles"][part], c["n_shingles"][y])
+        i, j = np.nonzero((est >= floor) & (small >= threshold * large - 1e-9) & (part[:, None] != y[None, :]))
+        yield part[i], y[j]
+
+
+def _forest(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that span the candidate pairs of each band's members, in tiles (key, lo, hi, block, member, n_shingles, sketch)."""
     floor = least_estimate(threshold)
 
     def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        cols = {k: np.asarray(batch.column(k)) for k in ("key", "lo", "hi", "block", "member", "n_shingles")}
-        return cols | {"sketch": fixed(batch.column("sketch"), BITS // 8).copy().view(U)}
+        return _columns(batch, ("key", "lo", "hi", "block", "member", "n_shingles"))
 
     def tile(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, y = tiles.sides(c["block"], int(c["lo"][0]), int(c["hi"][0]))
-        if not len(x):  # all members are of the other block
+        found = list(_candidates(c, x, y, threshold, floor))
+        if not found:  # all members are of the other block
             return c["member"][:0], c["member"][:0]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(x), 128):
-            part = x[at : at + 128]
-            est = estimates(c["sketch"][part][:, None, :], c["sketch"][y][None, :, :])
-            small, large = np.minimum.outer(c["n_shingles"][part], c["n_shingles"][y]), np.maximum.outer(c["n_shingles"][part], c["n_shingles"][y])
-            i, j = np.nonzero((est >= floor) & (small >= threshold * large - 1e-9) & (part[:, None] != y[None, :]))
-            found.append((part[i], y[j]))
         a, b = (np.concatenate(z) for z in zip(*found))
         root = tiles.spanning(len(c["member"]), a, b)
         some = np.flatnonzero(root != np.arange(len(root)))
@@ -191,7 +200,31 @@ def _forest(members: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.concatenate(z) for z in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return tiles.sorted_tiles(tiles.dealt(members, "band", "member")).mapInArrow(work, "a long, b long").distinct()
+    return tiles.sorted_tiles(rows).mapInArrow(work, "a long, b long").distinct()
+
+
+def _alike(rows: DataFrame, threshold: float) -> DataFrame:
+    """Of the members in tiles (key, lo, hi, block, member, n_shingles, sketch): those with a candidate in the tile."""
+    floor = least_estimate(threshold)
+
+    def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return _columns(batch, ("key", "lo", "hi", "block", "member", "n_shingles"))
+
+    def tile(c: dict[str, np.ndarray]) -> np.ndarray:
+        x, y = tiles.sides(c["block"], int(c["lo"][0]), int(c["hi"][0]))
+        some = np.zeros(len(c["member"]), bool)
+        for i, j in _candidates(c, x, y, threshold, floor):
+            some[i] = some[j] = True
+        return some
+
+    names = ["key", "lo", "hi", "block", "member"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, bounds in runs(batches, ["key", "lo", "hi"], load):
+            some = np.concatenate([tile({k: v[s:e] for k, v in cols.items()}) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[k][some]) for k in names], names)
+
+    return tiles.sorted_tiles(rows).mapInArrow(work, "key long, lo int, hi int, block int, member long")
 
 
 def linked_sets(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +261,8 @@ def linked_sets(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, hundredths
     return x[i], y[j]
 
 
-def _confirmed(clusters: DataFrame, documents: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) that span the confirmed pairs within each cluster (id, component, n_shingles)."""
+def _confirmed(clusters: DataFrame, sketches: DataFrame, documents: DataFrame, words: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that span the confirmed pairs within each cluster (member, cluster, n_shingles)."""
     hundredths = round(threshold * 100)
 
     def load(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -253,10 +286,11 @@ def _confirmed(clusters: DataFrame, documents: DataFrame, words: int, threshold:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     texts = documents.select(F.col(id_col).cast("long").alias("member"), F.col(text_col).alias("text"))
-    named = clusters.select(F.col("id").alias("member"), F.col("component").alias("cluster"), "n_shingles")
-    members = written(texts.join(named.hint("merge"), "member"), "cluster-texts")  # the one shuffle of texts
-    blocks = tiles.dealt(members, "cluster", "member", weight="n_shingles", weight_limit=BLOCK_SHINGLES)
-    return tiles.sorted_tiles(blocks).mapInArrow(work, "a long, b long")
+    blocks = written(tiles.dealt(clusters, "cluster", "member", weight="n_shingles", weight_limit=BLOCK_SHINGLES), "cluster-blocks")
+    place = ["key", "lo", "hi", "block", "member"]
+    large = blocks.filter("blocks > 1").join(sketches.drop("n_shingles"), "member")
+    placed = written(blocks.filter("blocks = 1").select(*place).unionByName(_alike(large, threshold)), "cluster-members")
+    return tiles.sorted_tiles(texts.join(placed.hint("merge"), "member")).mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,11 +302,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8
     reps = some.join(classes.select(*alike, F.col("rep").alias("doc_id")), [*alike, "doc_id"], "left_semi").dropDuplicates([*alike, "doc_id"])
     reps = written(reps.select(F.col("doc_id").alias("member"), "n_shingles", "bands", "sketch"), "representatives")
 
-    narrow = reps.select("member", F.explode("bands").alias("band"))
-    shared = narrow.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = narrow.join(shared, "band", "left_semi").join(reps.select("member", "n_shingles", "sketch"), "member")
-    clusters = components(written(_forest(members, threshold), "forest")).join(reps.select(F.col("member").alias("id"), "n_shingles"), "id")
-    links = written(_confirmed(clusters, documents, words, threshold, id_col, text_col), "links")
+    facts = reps.select("member", "n_shingles", "sketch")
+    bands = tiles.dealt(reps.select("member", F.explode("bands").alias("band")), "band", "member")  # narrow; sketches join the tiles
+    linked = components(written(_forest(bands.join(facts, "member"), threshold), "forest"))
+    clusters = linked.select(F.col("id").alias("member"), F.col("component").alias("cluster")).join(facts.select("member", "n_shingles"), "member")
+    links = written(_confirmed(clusters, facts, documents, words, threshold, id_col, text_col), "links")
 
     # representatives of different sets that share a doc_id are one node already; so are the copies of a set
     final = components(links.unionByName(_same_node(some, classes, alike)))

@@ -128,5 +128,5 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, quota: int = QUOTA, sha
     dealt = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("cluster").cast("long"), F.col("n_tokens").cast("long"))
     # the whole row is hashed, so that even rows that share an id spread
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "n_tokens"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
+    dealt = dealt.repartitionByRange("shard").sortWithinPartitions("shard")  # few numbers, which a hash would spread unevenly
     return dealt.mapInArrow(work, "doc_id long, source string, cluster long, piece int, piece_tokens long, bin_id string, bin_offset long")

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048  # members of a block
 
-COLUMNS = "key long, lo int, hi int, block int"
-
-
 def dealt(members: DataFrame, key: str, member: str, limit: int = LIMIT, weight: str | None = None, weight_limit: int = 1) -> DataFrame:
-    """One row for each tile that a member takes part in: key, lo, hi, block, and the member's columns.
+    """One row for each tile that a member takes part in: key, lo, hi, block, blocks (of its group), and the member's columns.
 
     A group of m members has ceil(m / limit) blocks (or more, so that a block's weights sum to about ``weight_limit``), to which members are dealt by hash, and a tile for each pair of
     blocks (lo <= hi); a tile holds two blocks at most, so no task has to hold a group. Groups of one are left out.
@@ -26,7 +23,7 @@ def dealt(members: DataFrame, key: str, member: str, limit: int = LIMIT, weight:
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     lo, hi = F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi")
     rest = [c for c in members.columns if c != key]
-    return out.select(F.col(key).alias("key"), lo, hi, "block", *rest)
+    return out.select(F.col(key).alias("key"), lo, hi, "block", F.col("_k").alias("blocks"), *rest)
 
 
 def sorted_tiles(rows: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def test_blocks_lose_no_link(monkeypatch, spark, local):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     whole = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 3, 0.5).collect()}
     limited = tiles.dealt
-    monkeypatch.setattr(tiles, "dealt", lambda m, k, i, **kw: limited(m, k, i, limit=5, **kw))
+    monkeypatch.setattr(tiles, "dealt", lambda m, k, i, **kw: limited(m, k, i, limit=5, **(kw | {"weight_limit": 400} if kw else kw)))
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 3, 0.5).collect()} == whole
 
 

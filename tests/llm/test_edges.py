@@ -72,6 +72,12 @@ def test_stages_take_odd_rows(spark, edge, empty, tmp_path, stage):
     assert run(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_near_dedup_stage_drops_repeated_rows(spark, edge):
+    out = corpus_pipeline.near_duplicates(spark, edge, "").collect()
+    assert sorted((r.doc_id, (r.text or "")[:5]) for r in out if r.doc_id in (1, 5)) == [(1, "hello"), (5, "the i"), (5, "the q")]
+    assert sum(r.doc_id is None for r in out) == 2 and list(out[0].asDict()) == edge.columns
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (10, []), (None, [1.0, 0.0]), (9, [-1.0, 0.0]), (11, [1.0]), (12, [5.0, 1.0, 0.0]), (13, [5.0, 1.0, 0.0]), (14, [5.0, 1.1, 0.0])]

@@ -1,12 +1,18 @@
 """That operators do the whole job: contexts at full depth, long texts, near copies."""
 
+import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import fingerprint, lm_score, queries
+from tokenizers import Tokenizer
+
+from marketlens.llm import fingerprint, lm_score, packing, quality, queries, token_store
+from marketlens.llm.queries import _vocabulary
 
 
 def _streams(trained, depth, query):
@@ -112,3 +118,101 @@ def test_near_copies_share_no_window(spark, tmp_path):
     assert len(set(cluster.values())) == 6
     windows = [r.bin_id for r in queries.op4_packing(spark, str(tmp_path)).collect() if r.doc_id in (0, 1, 2)]
     assert len(windows) == len(set(windows)) == 3
+
+
+def test_bpe_digests(spark):
+    sf = "/root/testdata/sf0.001"
+    lib = Tokenizer.from_file(_vocabulary("byte_bpe_50k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    got = {r.doc_id: r for r in queries.op2_bpe(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        assert got[r.doc_id].n_tokens == len(ids)
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_shared_dictionary_compresses_short_documents(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 2000")
+    path = token_store.build(docs, _vocabulary("word_bpe_49k.json"), 2)
+    with_one = spark.read.parquet(f"{path}/blocks").selectExpr("sum(length(frames)) n").first().n
+    alone = sum(len(zstandard.compress(np.frombuffer(bytes(r.ids), "<u4").astype("<u2").tobytes(), 3)) for r in token_store.read_store(spark, path).collect())
+    assert with_one < 0.95 * alone
+
+
+def _plain_features(t):
+    words, lines = t.split(), [x for x in t.split(b"\n") if x]
+    same, runs = [a == b for a, b in zip(words, words[1:])], [0]
+    for e in same:
+        runs.append(runs[-1] + 1 if e else 0)
+    size = max(len(t), 1)
+    of = lambda chars: sum(b in chars for b in t)
+    upper, symbols = of(bytes(range(65, 91))), of(b"#$%&*@^~<>{}[]\\=")
+    first = [len(t), len(words), sum(map(len, words)) / max(len(words), 1), len(set(words)) / max(len(words), 1), sum(same) / max(len(words), 1), max(runs), len(lines), len(set(lines)) / max(len(lines), 1)]
+    return first + [upper / size, of(b"0123456789") / size, of(b"|") / size, of(b"!") / size, symbols / size, of(b".") / size, of(b",") / size, of(bytes(range(128, 256))) / size, upper, of(b"|"), of(b"!"), symbols]
+
+
+def test_quality_scores_are_sums_of_table_entries(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 300").unionByName(spark.createDataFrame([(-1, None, None, None, 0), (-2, "", "", "", 0), (-3, "A! A! a|a\n\nx é #", "", "", 0)], spark.read.parquet(f"{sf}/documents.parquet").schema))
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    place = lambda x, edges: sum(e <= x for e in edges)
+    for d, t in texts.items():
+        x = _plain_features(t)
+        margin = model.base + sum(table[place(v, e)] for v, e, table in zip(x, model.edges, model.tables))
+        margin += sum(table[place(x[i], model.coarse[i]), place(x[j], model.coarse[j])] for (i, j), table in zip(model.pairs, model.pair_tables))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-9)
+    twice = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    assert quality.score(docs.filter("doc_id < 0"), quality.fit(docs, twice)).count() == 3  # ties and repeats in the labels
+
+
+def _plain_best_fit(pieces, capacity, quota):
+    """Pieces of one cluster and length are placed in one walk over the bins as they were; a bin takes at most one of them."""
+    bins, out, i = [], [None] * len(pieces), 0
+    while i < len(pieces):
+        size, _, cluster = pieces[i]
+        j = i + 1
+        while cluster >= 0 and j < len(pieces) and pieces[j][2] == cluster and pieces[j][0] == size:
+            j += 1
+        waiting, moved = list(range(i, j)), []
+        for room, b in sorted((x["room"], b) for b, x in enumerate(bins) if x["room"] >= size):
+            k = next((k for k in waiting if (cluster < 0 or cluster not in bins[b]["clusters"]) and (pieces[k][1] < 0 or bins[b]["sources"][pieces[k][1]] < quota)), None)
+            if k is not None:
+                waiting.remove(k)
+                out[k] = (b, capacity - room)
+                moved.append((b, k))
+            if not waiting:
+                break
+        for k in waiting:
+            bins.append({"room": capacity, "clusters": set(), "sources": Counter()})
+            out[k] = (len(bins) - 1, 0)
+            moved.append((len(bins) - 1, k))
+        for b, k in moved:
+            bins[b]["room"] -= size
+            bins[b]["clusters"].add(cluster)
+            bins[b]["sources"][pieces[k][1]] += 1
+        i = j
+    return out
+
+
+def test_best_fit_equals_a_plain_one():
+    rnd = random.Random(12)
+    for _ in range(150):
+        n = rnd.randint(1, 70)
+        pieces = sorted(((rnd.randint(1, 40), rnd.randint(-1, 3), rnd.choice([-1, -1, rnd.randint(0, 5)])) for _ in range(n)), key=lambda p: (-p[0], p[2]))
+        assert packing.best_fit([p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], 50, 2) == _plain_best_fit(pieces, 50, 2)
+
+
+def test_packing_takes_empty_sources(spark):
+    rows = [(1, "", 1, 30), (2, "", 2, 30), (3, None, 3, 30), (4, "", 4, 30), (5, "", 5, 30), (6, "", 6, 30), (6, "", 6, 30)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long")).collect()
+    assert len(got) == 7 and max(Counter(r.bin_id for r in got if r.source == "").values()) <= packing.QUOTA
+    assert len({r.bin_id for r in got if r.doc_id == 6}) == 2  # repeated rows are copies of each other
