@@ -28,10 +28,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group (five words, 0.8)."""
-    groups = near_dedup.near_duplicates(docs, words=5, threshold=0.8)
+    """Keep the document with the smallest id of each near-duplicate group (five words, 0.8).
+
+    Of rows that repeat an id and its text one stays; rows of one id with different texts stay or go together. Documents
+    without an id stay.
+    """
+    groups = written(near_dedup.near_duplicates(docs, words=5, threshold=0.8), "pipeline-groups")
     kept = groups.filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    if again.head(1):  # ids repeat, which is rare: only their rows are compared
+        named = named.join(again, "doc_id", "left_anti").unionByName(named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
