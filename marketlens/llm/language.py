@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import aside, slices, texts
+from marketlens.llm.common import aside, slices, texts, written
 
 SAMPLE = 30_000  # characters of labelled text per language
 TOTAL = 3_000_000  # characters of all languages together
@@ -261,7 +261,7 @@ def sample(documents: DataFrame, training: Column, chars: int = SAMPLE, total: i
     """
     rows = documents.filter(training & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    totals = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    totals = written(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")), "language-totals")  # a table whose size Spark knows, so it broadcasts it if small
     chars = max(1, min(chars, total // max(1, totals.count())))
     share = totals.select("lang", F.least(F.lit(1.0), F.lit(8.0 * chars) / F.col("n")).alias("share"))
     thin = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).withColumn("text", F.substring("text", 1, chars))
