@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.sources.tables import latest, upsert
+from marketlens.sources.tables import latest, row_numbers, upsert
 
 STATUSES = ("new", "in_progress", "resolved")
 
@@ -36,5 +36,5 @@ def dispatch_plan(replies: DataFrame, shops: DataFrame, max_length: int = 500, b
     """(shop_id, batch, comment_id, text): trimmed, non-empty replies by shop, in batches; without a shop none is sent."""
     text = F.substring(F.trim("reply_text"), 1, max_length)
     rows = replies.withColumn("text", text).filter("text <> ''").join(shops.filter("shop_id is not null"), "comment_id")
-    nth = F.row_number().over(Window.partitionBy("shop_id").orderBy("comment_id"))
-    return rows.select("shop_id", F.floor((nth - 1) / batch).cast("int").alias("batch"), "comment_id", "text")
+    rows = row_numbers(rows.select("shop_id", "comment_id", "text"), "shop_id", "comment_id")
+    return rows.select("shop_id", F.floor((F.col("nth") - 1) / batch).cast("int").alias("batch"), "comment_id", "text")

@@ -177,6 +177,20 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) ->
     return df.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 
+def row_numbers(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds nth, counted from 1 within ``key`` by ``order``, without gathering a key in one task.
+
+    Rows are range-partitioned by key and order; a window numbers them within a partition, and each key's counts in the
+    partitions before (a row a partition and key) are added. Rows alike in both have neighbouring numbers.
+    """
+    ranged = written(df.repartitionByRange(key, order).withColumn("_p", F.spark_partition_id()), "row-numbers")
+    counts = ranged.groupBy("_p", key).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_p", key, before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_p", key).orderBy(order))
+    return ranged.withColumn("_r", nth).join(offsets, ["_p", key]).withColumn("nth", (F.col("_r") + F.col("_before")).cast("long")).drop("_p", "_r", "_before")
+
+
 def global_percent_rank(df: DataFrame, column: str) -> DataFrame:
     """Adds percent_rank of ``column``, descending, without gathering the table in one task.
 

@@ -37,6 +37,12 @@ def test_percent_rank(spark):
     assert {r.v: r.percent_rank for r in tb.global_percent_rank(df, "v").collect()} == pytest.approx(want)
 
 
+def test_row_numbers(spark):
+    df = spark.createDataFrame([("a" if i % 5 else "b", i * 37 % 101) for i in range(100)], "k string, v int").repartition(7)
+    want = {(r.k, r.v): r.n for r in df.selectExpr("k", "v", "row_number() over (partition by k order by v) n").collect()}
+    assert {(r.k, r.v): r.nth for r in tb.row_numbers(df, "k", "v").collect()} == want
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([('say "hi"', None), ("b", "c")], "x string, y string")
     tb.export_csv(df, f"{tmp_path}/out")
