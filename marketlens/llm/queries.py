@@ -33,19 +33,19 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
-def clustered(documents: DataFrame) -> DataFrame:
-    """The documents with their near-duplicate component as cluster; where the id is null, the hash of the text."""
+def clustered(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows``, of documents' (doc_id, alone, ...), with their near-duplicate component as cluster; without an id, ``alone``."""
     groups = near_dedup.near_duplicates(documents, words=5, threshold=0.8).filter("doc_id is not null")
     groups = written(groups.groupBy("doc_id").agg(F.min("component_id").alias("cluster")), "clusters")
-    alone = F.xxhash64(F.coalesce("text", F.lit("")))
-    return documents.withColumn("doc_id", F.col("doc_id").cast("long")).join(groups, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", alone))
+    return rows.join(groups, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "alone")).drop("alone")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 tokens, near copies (five words, 0.8) and crowding sources kept apart."""
-    documents = clustered(read(spark, sf_dir, "documents"))
-    counts = token_store.token_counts(documents.select("doc_id", "text", "source", "cluster"), _vocabulary("word_bpe_49k.json"), ["source", "cluster"])
-    return packing.pack(written(counts, "token-counts"))
+    documents = read(spark, sf_dir, "documents")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("alone"))
+    counts = written(token_store.token_counts(texts, _vocabulary("word_bpe_49k.json"), ["source", "alone"]), "token-counts")
+    return packing.pack(written(clustered(documents, counts), "clustered"))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,9 @@ def test_near_copies_share_no_window(spark, tmp_path):
     texts = near + [None] + [" ".join(f"x{k}y{i}" for i in range(120)) for k in range(3)]
     rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(None, near[0], "a"), (None, near[0], "b")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    cluster = {(r.doc_id, r.source): r.cluster for r in queries.clustered(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("alone"))
+    cluster = {(r.doc_id, r.source): r.cluster for r in queries.clustered(docs, rows).collect()}
     assert len(cluster) == 9 and cluster[0, "s0"] == cluster[1, "s1"] == cluster[2, "s2"] and cluster[None, "a"] == cluster[None, "b"]
     assert len(set(cluster.values())) == 6
     windows = [r.bin_id for r in queries.op4_packing(spark, str(tmp_path)).collect() if r.doc_id in (0, 1, 2)]
