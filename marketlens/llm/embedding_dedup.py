@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import tiles
-from marketlens.llm.common import fixed, packed, runs, written
+from marketlens.llm.common import packed, runs, written
 from marketlens.llm.graph import components
 
 CELL = 512  # members of a cell, were vectors spread evenly
