@@ -48,6 +48,7 @@ def linear_seasonal(y: np.ndarray, dow: np.ndarray) -> Fitted:
     return lambda k, d: trend(n - 1 + k) * week[d], lambda: trend(i) * week[dow]
 
 
+# The smoothing constants that the models below default to.
 def holt_winters(y: np.ndarray, dow: np.ndarray, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.25) -> Fitted | None:
     if len(y) < 21:
         return None

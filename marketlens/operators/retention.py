@@ -32,6 +32,7 @@ def buyer_base(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 #: Segments in the order in which they are tried: name, condition on frequency and recency.
+# The order counts and days that part the segments.
 def segment(freq: Column, recency: Column) -> Column:
     return (
         F.when((freq >= 3) & (recency <= 90), "champion")
