@@ -55,6 +55,52 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def flat(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a batch as one run of UTF-8 bytes, null as empty, with the n + 1 offsets that bound them."""
+    values = pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z alone lower-cased."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table[data]
+
+
+def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
+    """For each byte whether it lies in one of the ranges, bounds included."""
+    out = np.zeros(256, bool)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of bytes that are inside, none of which crosses the bounds of a text."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.zeros(len(inside) + 1, bool)
+    first[offsets] = True  # at the bounds of texts
+    before = np.append(False, inside[:-1]) & ~first[:-1]
+    after = np.append(inside[1:], False) & ~first[1:]
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def keys_at(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The (up to eight) bytes of ``data`` at each position as a number that sorts as they do; ``left``: how many count.
+
+    ``data`` ends in eight bytes of padding at least.
+    """
+    windows = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
+    keep = np.clip(left, 0, 8)
+    mask = np.append(np.uint64(0), ~np.uint64(0) << (np.arange(7, -1, -1, dtype=np.uint64) * np.uint64(8)))
+    return windows[np.minimum(at, len(data) - 8)].byteswap() & mask[keep]
+
+
 def release() -> None:
     """Give the memory that this worker has freed back to the system, as idle workers live on beside busy ones."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, embedding_dedup, fingerprint, language, lm_score, near_dedup, packing, pii, quality, token_store
+from marketlens.llm import bpe, embedding_dedup, fill_middle, fingerprint, language, license_scan, lm_score, near_dedup, packing, pii, quality, source_audit, token_store
 from marketlens.llm.common import fold, read, written
 
 
@@ -86,6 +86,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(pii.count("base", k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's word use lies from that of the others of its language."""
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fill-in-middle examples, and turned back."""
+    out = fill_middle.transform(read(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    restored = fill_middle.restored(F.col("form"), F.col("output"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    out = license_scan.scan(read(spark, sf_dir, "documents"))
+    first, last = F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word")
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), first, last, license_scan.labels("places").alias("base_labels"), license_scan.labels("places", "matches").alias("labels"), license_scan.score().alias("score"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_bpe": op2_bpe,
@@ -97,6 +117,39 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op10_pii": op10_pii,
+    "op11_source_audit": op11_source_audit,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_license_scan": op13_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_source_audit": r"""
+WITH docs AS (SELECT row_number() OVER () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{80}-\x{10FFFF}]+') words FROM documents),
+words AS (SELECT id, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term FROM docs),
+kept AS (SELECT lang, term, count(*) n FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+langs AS (SELECT lang, count(*) v, sum(n) total FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, count(*) n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) total FROM used GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p)) value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source item, coalesce(s.value, 0) value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (
+  SELECT lang, source, 'pair' part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM cells WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_fill_middle": r"""
+WITH draws AS (SELECT doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) h FROM documents),
+numbers AS (SELECT doc_id, text, t, len(t) n, ('0x' || h[1:8])::BIGINT h1, ('0x' || h[9:16])::BIGINT h2, ('0x' || h[17:24])::BIGINT h3, ('0x' || h[25:32])::BIGINT h4 FROM draws),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END form FROM numbers),
+pieces AS (SELECT *, array_to_string(t[1:a], '') pre, array_to_string(t[a + 1:b], '') mid, array_to_string(t[b + 1:n], '') suf FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces
+""",
+}
