@@ -17,7 +17,8 @@ from marketlens.functions.numeric import rounded
 from marketlens.operators.models import holt_winters, seasonal_naive
 from marketlens.operators.series import densify
 from marketlens.sources.scratch import written
-from marketlens.sources.tables import exists, read_table, swap_upsert
+from marketlens.sources import commits
+from marketlens.sources.tables import upsert_table
 
 LAGS = (1, 7, 14, 28)
 FEATURES = [*(f"lag_{k}" for k in LAGS), "dow", "month", "doy", *(f"ev_{t}" for t in TIERS), "ev_any"]
@@ -163,15 +164,15 @@ def store_forecast(spark: SparkSession, path: str, forecast: DataFrame, meta: Da
     """Upsert a forecast and its facts into the tables ``path``/points (by product_id, ds) and ``path``/meta (by product_id)."""
     for name, rows, keys in (("points", forecast, ["product_id", "ds"]), ("meta", meta, ["product_id"])):
         table = f"{path}/{name}"
-        if exists(spark, table):
-            swap_upsert(spark, table, rows, keys)
+        if commits.exists(spark, table):
+            upsert_table(spark, table, rows, keys)
         else:
-            rows.write.parquet(table)
+            commits.replace(spark, table, rows, base=0)
 
 
 def read_forecast(spark: SparkSession, path: str, product_id: str | None = None) -> DataFrame:
     """Stored points with their product's model, wape, n_history and horizon, of one product or all."""
-    points, meta = read_table(spark, f"{path}/points"), read_table(spark, f"{path}/meta")
+    points, meta = commits.read(spark, f"{path}/points"), commits.read(spark, f"{path}/meta")
     if product_id is not None:
         points = points.filter(F.col("product_id") == product_id)
     return points.join(meta, "product_id", "left")

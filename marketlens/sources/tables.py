@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketlens.sources import commits
 from marketlens.sources.scratch import written
 
 
@@ -52,74 +52,13 @@ def backfill_counts(base: DataFrame, lookup: DataFrame, key: str, column: str) -
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Delete all, then insert."""
-    df.write.mode("overwrite").parquet(path)
+    """Delete all, then insert, in one commit: readers see the rows before or the rows after, a crash loses none."""
+    commits.replace(df.sparkSession, path, df)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table kept by ``swap``: what a crash left half swapped is mended first."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm.Path(path)) and fs.exists(jvm.Path(f"{path}.before")):
-        fs.rename(jvm.Path(f"{path}.before"), jvm.Path(path))
-    return spark.read.parquet(path)
-
-
-def swap(spark: SparkSession, path: str, state: DataFrame, partition: str | None = None) -> None:
-    """Put ``state``, which may read the table at ``path``, in the table's place.
-
-    The state is written next to the table, the old table renamed away, the new one renamed into its place, and the old
-    one deleted; a crash leaves one of the two whole, which ``read_table`` finds.
-    """
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
-    writer = state.write.partitionBy(partition) if partition else state.write
-    writer.parquet(stage)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old, new, before = jvm.Path(path), jvm.Path(stage), jvm.Path(f"{path}.before")
-    fs.delete(before, True)
-    if fs.exists(old) and not fs.rename(old, before):
-        raise OSError(f"can't rename {path}")
-    if not fs.rename(new, old):
-        raise OSError(f"can't rename {stage}")
-    fs.delete(before, True)
-
-
-def swap_upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> None:
-    """Upsert into a Parquet table in place, by ``swap``."""
-    swap(spark, path, upsert(read_table(spark, path), updates, keys, order))
-
-
-def upsert_partitions(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], partition: str) -> None:
-    """Upsert into a table partitioned by ``partition``, rewriting only the partitions that the updates touch.
-
-    ``updates`` has the table's columns; a key lies in one partition at most, but for keys whose partition changes: their
-    old partitions are rewritten too. The touched partitions are staged, then swapped in one by one by rename; the values
-    of the partition column that are touched come to the driver.
-    """
-    table = read_table(spark, path)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    moved = table.join(updates.select(*keys), keys, "left_semi").select(partition)
-    touched = updates.select(partition).unionByName(moved).distinct()
-    old = table.join(F.broadcast(touched), partition, "left_semi").join(updates.select(*keys), keys, "left_anti")
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
-    old.unionByName(updates.select(*table.columns)).repartition(partition).write.partitionBy(partition).parquet(stage)
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in touched.collect():
-        part = f"{partition}={row[0]}" if row[0] is not None else f"{partition}=__HIVE_DEFAULT_PARTITION__"
-        here, new = jvm.Path(f"{path}/{part}"), jvm.Path(f"{stage}/{part}")
-        away = jvm.Path(f"{path}/_{part}.before")  # Spark's readers skip names that begin so
-        if fs.exists(here):
-            fs.rename(here, away)
-        if fs.exists(new):
-            fs.rename(new, here)
-        fs.delete(away, True)
-    fs.delete(jvm.Path(stage), True)
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> None:
+    """Upsert into a table with a commit log, which is written whole (``commits.upsert`` writes the partitions that change)."""
+    commits.change(spark, path, lambda state: upsert(state, updates, keys, order))
 
 
 def export_csv(df: DataFrame, path: str, limit: int = 10_000) -> None:

@@ -2,8 +2,9 @@
 
 The mark is the newest created_at of the target minus the overlap. Rows at or before it are late and are not read again
 unless asked for; rows after it are labelled and upserted by comment_id, the last copy of a comment winning. So reading a
-file twice changes nothing. The target is partitioned by day: a run rewrites only the days it touches, each swapped in
-by rename, so a crash loses no data.
+file twice changes nothing. The target is partitioned by day and has a commit log (``sources.commits``): a run writes the
+days it touches anew and makes them count by one rename. So a crash leaves the state before or after the run, the run
+can be repeated, and readers never see half of it. ``commits.vacuum`` deletes what was replaced.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from marketlens.functions.rules import THAI, Lexicon, label_comments
+from marketlens.sources import commits
 from marketlens.sources.comments import fetch_new
 from marketlens.sources.scratch import written
-from marketlens.sources.tables import exists, latest, read_table, upsert_partitions
+from marketlens.sources.tables import latest
 
 OVERLAP_MINUTES, BACKFILL_DAYS = 60, 30
 
@@ -32,11 +34,11 @@ def watermark(target: DataFrame, overlap_minutes: int = OVERLAP_MINUTES) -> date
 
 
 def ingest_batch(spark: SparkSession, comments: DataFrame, target: str, lexicon: Lexicon = THAI, as_of: datetime | None = None, labels: DataFrame | None = None) -> int:
-    """One incremental run over (comment_id, created_at, comment, rating, ...) into the Parquet table ``target``.
+    """One incremental run over (comment_id, created_at, comment, rating, ...) into the table ``target``.
 
     Returns how many comments were fetched. Without a target the last 30 days before ``as_of`` are filled in.
     """
-    mark = watermark(read_table(spark, target)) if exists(spark, target) else None
+    mark = watermark(commits.read(spark, target)) if commits.exists(spark, target) else None
     since = None if mark is None else F.lit(mark).cast("timestamp")
     fresh = fetch_new(comments, since, BACKFILL_DAYS, 0, None if as_of is None else F.lit(as_of).cast("timestamp"), "comment")
     return _store(spark, fresh, target, lexicon, labels)
@@ -46,10 +48,8 @@ def _store(spark: SparkSession, fresh: DataFrame, target: str, lexicon: Lexicon,
     once = latest(fresh, ["comment_id"], ["created_at"])
     labelled = written(label_comments(once, lexicon, labels).withColumn("day", F.to_date("created_at")), "labelled")
     n = labelled.count()
-    if n and exists(spark, target):
-        upsert_partitions(spark, target, labelled, ["comment_id"], "day")
-    elif n:
-        labelled.repartition("day").write.partitionBy("day").parquet(target)
+    if n:
+        commits.upsert(spark, target, labelled, ["comment_id"], "day")
     return n
 
 
@@ -66,7 +66,7 @@ def stream_ingest(
 
     def work(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        mark = watermark(read_table(session, target)) if exists(session, target) else None
+        mark = watermark(commits.read(session, target)) if commits.exists(session, target) else None
         fresh = F.lit(True) if mark is None else F.col("created_at") > F.lit(mark).cast("timestamp")
         n = _store(session, batch if take_late else batch.filter(fresh), target, lexicon, None)
         if on_batch:

@@ -1,5 +1,6 @@
 """Table upkeep, ingest and workflow."""
 
+import threading
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from marketlens.operators import reviews as rv
 from marketlens.operators import sales as sl
 from marketlens.operators import workflow as wf
 from marketlens.sources import comments as cm
+from marketlens.sources import commits
 from marketlens.sources import tables as tb
 from marketlens.streaming import ingest
 
@@ -91,7 +93,7 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     again = _comments(spark, [("a", 0, "late", 1.0), ("b", 101, "fire", 1.0), ("d", 130, "good", 4.0)])
     for _ in range(2):
         ingest.ingest_batch(spark, again, target, LEX)
-    got = {r.comment_id: (r.comment, r.sentiment, r.severity) for r in spark.read.parquet(target).collect()}
+    got = {r.comment_id: (r.comment, r.sentiment, r.severity) for r in commits.read(spark, target).collect()}
     assert got == {"a": ("good", "positive", 0), "b": ("fire", "negative", 9), "d": ("good", "positive", 0)}
 
 
@@ -99,24 +101,139 @@ def test_only_touched_days_are_rewritten(spark, tmp_path):
     target = f"{tmp_path}/days"
     rows = _comments(spark, [(str(k), k * 600, "good", 5.0) for k in range(8)])  # four days
     ingest.ingest_batch(spark, rows, target, LEX, datetime(2024, 1, 5))
-    files = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "days").iterdir() if p.is_dir()}
+    files = {f.part: f.path for f in commits.manifest(spark, target).folders}
     again = _comments(spark, [("7", 4201, "bad", 1.0), ("9", 5000, "good", 5.0)])
     ingest.ingest_batch(spark, again, target, LEX)
-    after = {p.name: {f.name for f in p.iterdir()} for p in (tmp_path / "days").iterdir() if p.is_dir()}
-    assert [d for d in files if files[d] != after[d]] == ["day=2024-01-03"] and len(after) == 4
-    assert {r.comment_id: r.sentiment for r in spark.read.parquet(target).collect()} == {str(k): "positive" for k in range(7)} | {"7": "negative", "9": "positive"}
+    after = {f.part: f.path for f in commits.manifest(spark, target).folders}
+    assert [d for d in files if files[d] != after[d]] == ["2024-01-03"] and len(after) == 4
+    assert {r.comment_id: r.sentiment for r in commits.read(spark, target).collect()} == {str(k): "positive" for k in range(7)} | {"7": "negative", "9": "positive"}
     later = spark.createDataFrame([("7", datetime(2024, 1, 9), "good", 5.0)], rows.schema)  # moves to another day
     ingest.ingest_batch(spark, later, target, LEX)
-    assert spark.read.parquet(target).filter("comment_id = '7'").count() == 1
+    assert commits.read(spark, target).filter("comment_id = '7'").count() == 1
 
 
-def test_swap_survives_a_crash(spark, tmp_path):
+def _days(spark, rows):
+    return spark.createDataFrame([(i, datetime(2024, 1, d), v) for i, d, v in rows], "id string, day timestamp, v int").withColumn("day", F.to_date("day"))
+
+
+def _state(df):
+    return sorted((r.id, r.day.day, r.v) for r in df.collect())
+
+
+OLD = [(str(i), 1 + i // 10, i) for i in range(40)]  # four days
+NEW = [("5", 1, 500), ("12", 4, 1200), ("40", 4, 40), ("41", 6, 41)]  # one of the same day, one that moves, two new, one of them of a new day
+AFTER = sorted([r for r in OLD if r[0] not in ("5", "12")] + NEW)
+
+
+@pytest.mark.parametrize("at", ["files written", "manifest written", "manifest named"])
+@pytest.mark.parametrize("first", [False, True])
+def test_a_crash_leaves_one_state(spark, tmp_path, monkeypatch, at, first):
+    path = f"{tmp_path}/t"
+    if not first:
+        commits.upsert(spark, path, _days(spark, OLD), ["id"], "day")
+    new, want = (_days(spark, OLD), sorted(OLD)) if first else (_days(spark, NEW), AFTER)
+
+    def stop(name):
+        if name == at:
+            raise KeyboardInterrupt(name)
+
+    monkeypatch.setattr(commits, "_step", stop)
+    with pytest.raises(KeyboardInterrupt):
+        commits.upsert(spark, path, new, ["id"], "day")
+    monkeypatch.undo()
+    if at == "manifest named":
+        assert _state(commits.read(spark, path)) == want
+    elif first:
+        assert not commits.exists(spark, path)
+    else:
+        assert _state(commits.read(spark, path)) == sorted(OLD)
+    commits.upsert(spark, path, new, ["id"], "day")  # the run is repeated
+    assert _state(commits.read(spark, path)) == want
+    commits.vacuum(spark, path, 0)
+    assert _state(commits.read(spark, path)) == want and len(commits.versions(spark, path)) == 1
+    left = {f"{p.parent.name}/{p.name}" for p in (tmp_path / "t" / "_data").glob("*/day=*")}
+    assert left == {f.path for f in commits.manifest(spark, path).folders}  # nothing of the crashed run stays
+
+
+def test_a_crash_of_the_vacuum(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    commits.upsert(spark, path, _days(spark, OLD), ["id"], "day")
+    commits.upsert(spark, path, _days(spark, NEW), ["id"], "day")
+    assert _state(commits.read(spark, path, 1)) == sorted(OLD)  # the version before
+    assert commits.vacuum(spark, path) == 0  # too young
+    monkeypatch.setattr(commits, "_step", lambda name: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        commits.vacuum(spark, path, 0)
+    monkeypatch.undo()
+    assert _state(commits.read(spark, path)) == AFTER
+    assert commits.vacuum(spark, path, 0) == 3 and _state(commits.read(spark, path)) == AFTER
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    commits.upsert(spark, path, _days(spark, OLD), ["id"], "day")
+    pending = [_days(spark, [("99", 1, 99)])]
+
+    def between(name):
+        if name == "files written" and pending:  # another writer is faster, once
+            commits.upsert(spark, path, pending.pop(), ["id"], "day")
+
+    monkeypatch.setattr(commits, "_step", between)
+    assert commits.upsert(spark, path, _days(spark, NEW), ["id"], "day") == 3
+    assert _state(commits.read(spark, path)) == sorted([*AFTER, ("99", 1, 99)])
+    pending.append(_days(spark, [("98", 2, 98)]))
+    commits.change(spark, path, lambda df: df.filter("v < 1000"))
+    assert _state(commits.read(spark, path)) == sorted([r for r in AFTER if r[2] < 1000] + [("99", 1, 99), ("98", 2, 98)])
+
+
+def test_readers_never_fail_while_a_table_is_written(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    commits.upsert(spark, path, _days(spark, OLD), ["id"], "day")
+    states, seen, done = [sorted(OLD)], [], threading.Event()
+    for k in range(6):
+        states.append(sorted([r for r in states[-1] if r[0] != "7"] + [("7", 1 + k % 3, 1000 + k)]))
+
+    def look():
+        while not done.is_set():
+            seen.append(_state(commits.read(spark, path)))
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    try:
+        for k in range(6):
+            commits.upsert(spark, path, _days(spark, [("7", 1 + k % 3, 1000 + k)]), ["id"], "day")
+            commits.vacuum(spark, path, 1)
+    finally:
+        done.set()
+        reader.join()
+    assert len(seen) > 3 and all(s in states for s in seen) and [states.index(s) for s in seen] == sorted(states.index(s) for s in seen)
+    assert _state(commits.read(spark, path)) == states[-1]
+
+
+def test_only_partitions_with_such_keys_are_searched(spark, tmp_path):
     path = f"{tmp_path}/t"
-    spark.range(3).write.parquet(path)
-    tb.swap_upsert(spark, path, spark.range(2, 5), ["id"])
-    assert sorted(r.id for r in tb.read_table(spark, path).collect()) == [0, 1, 2, 3, 4]
-    (tmp_path / "t").rename(tmp_path / "t.before")  # between the two renames
-    assert tb.read_table(spark, path).count() == 5
+    rows = spark.createDataFrame([(i, f"d{i // 10}") for i in range(50)] + [(None, None)], "id long, part string")
+    commits.upsert(spark, path, rows, ["id"], "part")
+    m = commits.manifest(spark, path)
+    hit = commits._overlapping(spark, m, spark.createDataFrame([(9,), (10,)], "id long"))  # as text, 9 is above 10
+    assert sorted(f.part for f in hit) == ["d0", "d1"]
+    commits.upsert(spark, path, spark.createDataFrame([(9, "a=b/c%"), (None, None)], rows.schema), ["id"], "part")
+    got = [(r.id, r.part) for r in commits.read(spark, path).collect()]
+    assert (9, "a=b/c%") in got and (9, "d0") not in got and got.count((None, None)) == 2 and len(got) == 52
+
+
+def test_whole_tables(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tb.replace(spark.range(3), path)
+    tb.upsert_table(spark, path, spark.range(2, 5), ["id"])
+    assert sorted(r.id for r in commits.read(spark, path).collect()) == [0, 1, 2, 3, 4]
+    tb.replace(commits.read(spark, path).filter("id > 9"), path)
+    assert commits.read(spark, path).count() == 0 and commits.read(spark, path).columns == ["id"]
+    with pytest.raises(FileNotFoundError):
+        commits.read(spark, f"{tmp_path}/none")
+    spark.range(3).write.parquet(f"{tmp_path}/plain")
+    with pytest.raises(ValueError):
+        tb.replace(spark.range(3), f"{tmp_path}/plain")
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -129,7 +246,7 @@ def test_stream_equals_batch(spark, tmp_path):
         rows.filter("cast(comment_id as int) >= 40").coalesce(1).write.mode("append").parquet(source)
     one = f"{tmp_path}/batch"
     ingest.ingest_batch(spark, rows, one, LEX, datetime(2024, 1, 2))
-    key = lambda p: sorted((r.comment_id, r.sentiment, r.severity) for r in spark.read.parquet(p).collect())
+    key = lambda p: sorted((r.comment_id, r.sentiment, r.severity) for r in commits.read(spark, p).collect())
     assert key(target) == key(one)
     assert ingest.best_effort([("x", lambda: 1 / 0), ("y", lambda: None)])[0] == "partial"
 
