@@ -1,148 +1,243 @@
-"""Per-product forecasting models, back-tested and chosen: one small group a product, spread by applyInPandas.
+"""Per-product forecasting models, back-tested and chosen, for blocks of products at once.
 
-The recursions (Holt-Winters, Croston, TSB) aren't window functions; this module is their numpy kernel. A series is
-dense, its days' weekday counts from 0 for Sunday. Older days than the lookback (540 by default) are left out before
-the shuffle, so groups hold no more than that.
+The recursions (Holt-Winters, Croston, TSB) aren't window functions. A task takes a block of products as a matrix of days by
+products and steps through the days, each step for all products together; so the work a product and day is a few vector
+operations, in as many tasks as the number of products asks for. A series is dense; its days' weekday counts from 0 for
+Sunday. Older days than the lookback (540 by default) are left out before the shuffle, so rows hold no more than that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.numeric import rounded
 from marketlens.functions.rules import weather_factors
+from marketlens.sources.scratch import written
 
-Fitted = tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[], np.ndarray]]
+BLOCK = 1024  # products of a block
 
 
-def _weekly(ratio: np.ndarray, dow: np.ndarray) -> np.ndarray:
-    """Median ratio of each weekday, 1 where there is none, scaled to a mean of 1."""
-    w = np.array([np.median(ratio[dow == d]) if (dow == d).any() else 1.0 for d in range(7)])
-    return w / (w.mean() or 1.0)
+@dataclass
+class Block:
+    """Series of many products, the longest first: y[:n[p], p] are the days of product p, first[p] the weekday of its first."""
 
+    y: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
 
-def moving_average(y: np.ndarray, dow: np.ndarray) -> Fitted:
-    level = y[-28:].mean()
-    late = np.arange(len(y)) >= len(y) - 84
-    use = late & (y > 0) if level > 0 else np.zeros(len(y), bool)
-    week = _weekly(y[use] / level if level > 0 else np.zeros(0), dow[use])
-    return lambda k, d: np.maximum(level * week[d], 0), lambda: np.maximum(level * week[dow], 0)
+    @property
+    def there(self) -> np.ndarray:
+        return np.arange(len(self.y))[:, None] < self.n
 
+    def mean(self) -> np.ndarray:
+        return np.where(self.there, self.y, 0.0).sum(0) / np.maximum(self.n, 1)
 
-def linear_seasonal(y: np.ndarray, dow: np.ndarray) -> Fitted:
-    n = len(y)
-    i = np.arange(n)
-    use = (i >= n - 180) & (y > 0)
-    x, v = i[use].astype(float), y[use]
-    mx, mv = (x.mean(), v.mean()) if len(x) else (0.0, 0.0)
-    spread = ((x - mx) ** 2).sum()
-    slope = ((x - mx) * (v - mv)).sum() / spread if spread else 0.0
-    start = (mv if len(x) else y.mean()) - slope * mx
+    def active(self, day: int) -> int:
+        """How many products, from the left, have this day."""
+        return int(np.searchsorted(-self.n, -day, "left"))
+
+    def late(self, days: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(values, days, there) of each product's last ``days`` days, the newest first."""
+        at = self.n - 1 - np.arange(days)[:, None]
+        there = at >= 0
+        return np.where(there, np.take_along_axis(self.y, np.maximum(at, 0), 0) if len(self.y) else 0.0, 0.0), at, there
+
+    def until(self, n: np.ndarray) -> Block:
+        return Block(self.y, n, self.first)
+
+    def of(self, products: np.ndarray) -> Block:
+        return Block(self.y[:, products], self.n[products], self.first[products])
+
+
+@dataclass
+class Fit:
+    """ahead(h): forecasts of the h days that follow, by day and product; past(): fitted values; ok: where the model could be had."""
+
+    ahead: Callable[[int], np.ndarray]
+    past: Callable[[], np.ndarray]
+    ok: np.ndarray
+
+
+def _weekly(ratio: np.ndarray, b: Block) -> np.ndarray:
+    """Median ratio of each weekday, 1 where there is none, scaled to a mean of 1; from ratios (nan: left out) of the newest days back."""
+    weeks = -(-len(ratio) // 7)
+    padded = np.full((weeks * 7, ratio.shape[1]), np.nan)
+    padded[: len(ratio)] = ratio
+    cube = np.sort(padded.reshape(weeks, 7, -1), axis=0)  # nan last
+    count = (~np.isnan(cube)).sum(0)
+    low, high = (np.take_along_axis(cube, np.maximum(k, 0)[None], 0)[0] for k in ((count - 1) // 2, np.minimum(count // 2, np.maximum(count - 1, 0))))
+    back = np.where(count > 0, (low + high) / 2, 1.0)  # by days back from the last, modulo 7
+    days = (b.first + b.n - 1 - np.arange(7)[:, None]) % 7
+    w = np.take_along_axis(back, days, 0)  # by weekday
+    mean = w.sum(0) / 7
+    return w / np.where(mean == 0, 1.0, mean)
+
+
+def _weekdays(week: np.ndarray, b: Block, days: np.ndarray) -> np.ndarray:
+    """The weekday factors of these days, counted from the first of each product."""
+    return np.take_along_axis(week, (b.first + days) % 7, 0)
+
+
+def _coming(b: Block, h: int) -> np.ndarray:
+    return b.n + np.arange(h)[:, None]
+
+
+def _every(b: Block) -> np.ndarray:
+    return np.broadcast_to(np.arange(len(b.y))[:, None], b.y.shape)
+
+
+def moving_average(b: Block) -> Fit:
+    level = b.late(28)[0].sum(0) / np.clip(b.n, 1, 28)
+    y, _, there = b.late(84)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        week = _weekly(np.where(there & (y > 0) & (level > 0), y / level, np.nan), b)
+    at = lambda days: np.maximum(level * _weekdays(week, b, days), 0)
+    return Fit(lambda h: at(_coming(b, h)), lambda: at(_every(b)), b.n > 0)
+
+
+def linear_seasonal(b: Block) -> Fit:
+    y, i, there = b.late(180)
+    use = there & (y > 0)
+    k = use.sum(0)
+    x, v = np.where(use, i, 0.0), np.where(use, y, 0.0)
+    mx, mv = x.sum(0) / np.maximum(k, 1), v.sum(0) / np.maximum(k, 1)
+    off = np.where(use, i - mx, 0.0)
+    spread = (off**2).sum(0)
+    slope = np.where(spread > 0, (off * np.where(use, y - mv, 0.0)).sum(0) / np.where(spread > 0, spread, 1), 0.0)
+    start = np.where(k > 0, mv, b.mean()) - slope * mx
     trend = lambda t: np.maximum(start + slope * t, 0)
-    use = (i >= n - 365) & (y > 0) & (trend(i) > 0)
-    week = _weekly(y[use] / trend(i[use]), dow[use])
-    return lambda k, d: trend(n - 1 + k) * week[d], lambda: trend(i) * week[dow]
+    y, i, there = b.late(365)
+    line = trend(i)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        week = _weekly(np.where(there & (y > 0) & (line > 0), y / line, np.nan), b)
+    at = lambda days: trend(days) * _weekdays(week, b, days)
+    return Fit(lambda h: at(_coming(b, h)), lambda: at(_every(b)), b.n > 0)
 
 
 # The smoothing constants that the models below default to.
-def holt_winters(y: np.ndarray, dow: np.ndarray, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.25) -> Fitted | None:
-    if len(y) < 21:
-        return None
-    level, trend = y[:14].mean(), (y[7:14].mean() - y[:7].mean()) / 7
-    season = [float((y[dow == d] - level).mean()) if (dow == d).any() else 0.0 for d in range(7)]
-    fitted = np.empty(len(y))
-    for i, (v, d) in enumerate(zip(y.tolist(), dow.tolist())):
-        fitted[i] = max(level + trend + season[d], 0)
-        before = level
-        level = alpha * (v - season[d]) + (1 - alpha) * (level + trend)
-        trend = beta * (level - before) + (1 - beta) * trend
-        season[d] = gamma * (v - level) + (1 - gamma) * season[d]
-    s = np.array(season)
-    return lambda k, d: np.maximum(level + k * trend + s[d], 0), lambda: fitted
-
-
-def _flat(rate: float, n: int) -> Fitted:
-    rate = max(float(rate), 0.0)
-    return lambda k, d: np.full(len(k), rate), lambda: np.full(n, rate)
-
-
-def croston(y: np.ndarray, dow: np.ndarray, alpha: float = 0.1, correction: float = 1.0) -> Fitted:
-    at = np.flatnonzero(y > 0)
-    if len(at) < 2:
-        return _flat(y.mean() * correction, len(y))
-    size, gap = y[at[0]], at[0] + 1.0
-    for a, b in zip(at, at[1:]):
-        size = alpha * y[b] + (1 - alpha) * size
-        gap = alpha * (b - a) + (1 - alpha) * gap
-    return _flat(size / gap * correction, len(y))
-
-
-def sba(y: np.ndarray, dow: np.ndarray, alpha: float = 0.1) -> Fitted:
-    return croston(y, dow, alpha, 1 - alpha / 2)
-
-
-def tsb(y: np.ndarray, dow: np.ndarray, alpha: float = 0.1, beta: float = 0.05) -> Fitted:
-    sold = y > 0
-    if sold.sum() < 2:
-        return _flat(y.mean(), len(y))
-    chance, size = sold.mean(), y[sold].mean()
-    for v in y.tolist():
-        if v > 0:
-            size = alpha * v + (1 - alpha) * size
-            chance = beta + (1 - beta) * chance
-        else:
-            chance = (1 - beta) * chance
-    return _flat(chance * size, len(y))
-
-
-def seasonal_naive(y: np.ndarray, dow: np.ndarray) -> Fitted:
-    last = y[-7:]
-    return lambda k, d: last[(k.astype(int) - 1) % len(last)], lambda: np.concatenate([y[:7], y[:-7]])[: len(y)]
+def holt_winters(b: Block, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.25) -> Fit:
+    ok = b.n >= 21
+    y = np.where(b.there, b.y, 0.0)
+    level, trend = y[:14].sum(0) / 14, (y[7:14].sum(0) / 7 - y[:7].sum(0) / 7) / 7
+    off = np.where(b.there, y - level, 0.0)
+    season = np.array([off[r::7].sum(0) / np.maximum(-(-(b.n - r) // 7), 1) for r in range(7)])  # by days from the first, modulo 7
+    fitted = np.zeros(y.shape)
+    for i in range(len(y)):
+        a = b.active(i)
+        if not a:
+            break
+        v, s, old = y[i, :a], season[i % 7, :a], level[:a].copy()
+        fitted[i, :a] = np.maximum(old + trend[:a] + s, 0)
+        level[:a] = alpha * (v - s) + (1 - alpha) * (old + trend[:a])
+        trend[:a] = beta * (level[:a] - old) + (1 - beta) * trend[:a]
+        season[i % 7, :a] = gamma * (v - level[:a]) + (1 - gamma) * s
+    ahead = lambda h: np.maximum(level + np.arange(1, h + 1.0)[:, None] * trend + np.take_along_axis(season, _coming(b, h) % 7, 0), 0)
+    return Fit(ahead, lambda: fitted, ok)
+
+
+def _flat(b: Block, rate: np.ndarray) -> Fit:
+    rate = np.maximum(rate, 0.0)
+    return Fit(lambda h: np.tile(rate, (h, 1)), lambda: np.tile(rate, (len(b.y), 1)), b.n > 0)
+
+
+def croston(b: Block, alpha: float = 0.1, correction: float = 1.0) -> Fit:
+    size, gap, last, count = np.zeros(len(b.n)), np.ones(len(b.n)), np.zeros(len(b.n)), np.zeros(len(b.n), int)
+    for i in range(len(b.y)):
+        sold = np.flatnonzero(b.y[i, : b.active(i)] > 0)
+        v, old = b.y[i, sold], count[sold] > 0
+        size[sold] = np.where(old, alpha * v + (1 - alpha) * size[sold], v)
+        gap[sold] = np.where(old, alpha * (i - last[sold]) + (1 - alpha) * gap[sold], i + 1.0)
+        last[sold] = i
+        count[sold] += 1
+    return _flat(b, np.where(count < 2, b.mean(), size / gap) * correction)
+
+
+def sba(b: Block, alpha: float = 0.1) -> Fit:
+    return croston(b, alpha, 1 - alpha / 2)
+
+
+def tsb(b: Block, alpha: float = 0.1, beta: float = 0.05) -> Fit:
+    sold = (b.y > 0) & b.there
+    k = sold.sum(0)
+    chance, size = k / np.maximum(b.n, 1), np.where(sold, b.y, 0.0).sum(0) / np.maximum(k, 1)
+    for i in range(len(b.y)):
+        a = b.active(i)
+        v, hit = b.y[i, :a], sold[i, :a]
+        size[:a] = np.where(hit, alpha * v + (1 - alpha) * size[:a], size[:a])
+        chance[:a] = np.where(hit, beta, 0.0) + (1 - beta) * chance[:a]
+    return _flat(b, np.where(k < 2, b.mean(), chance * size))
+
+
+def seasonal_naive(b: Block) -> Fit:
+    last, _, there = b.late(7)  # the newest first
+    span = np.clip(b.n, 1, 7)
+    ahead = lambda h: np.take_along_axis(last, span - 1 - np.arange(h)[:, None] % span, 0)
+    return Fit(ahead, lambda: np.concatenate([b.y[:7], b.y[:-7]])[: len(b.y)], b.n > 0)
 
 
 MODELS = {"moving_avg": moving_average, "linear_seasonal": linear_seasonal, "holt_winters": holt_winters, "croston": croston, "sba": sba, "tsb": tsb}
-STEADY, SPORADIC = ["moving_avg", "linear_seasonal", "holt_winters"], ["croston", "sba", "tsb"]
+NAMES, STEADY = list(MODELS), 3  # those behind the third are for sporadic sales alone
+LONGEST = 42  # days of the longest back-test
 
 
 def js(x: np.ndarray) -> np.ndarray:
     return np.floor(x + 0.5)
 
 
-def one(x: float) -> float:
+def one(x: np.ndarray) -> np.ndarray:
     """One decimal, half away from zero."""
-    return float(np.sign(x) * np.floor(abs(x) * 10 + 0.5) / 10)
-
-
-def backtest(name: str, y: np.ndarray, dow: np.ndarray, test: int, bucket: int) -> tuple[float, float | None, float] | None:
-    """(WAPE, MAPE, bias) on the last ``test`` days, summed by buckets; None where it can't be had."""
-    train = len(y) - test
-    if train < 14:
-        return None
-    fit = MODELS[name](y[:train], dow[:train])
-    if fit is None:
-        return None
-    place = np.arange(test) // bucket
-    guess, real = np.bincount(place, fit[0](np.arange(1, test + 1.0), dow[train:])), np.bincount(place, y[train:])
-    if real.sum() <= 0:
-        return None
-    off = np.abs(guess - real)
-    positive = real > 0
-    return one(off.sum() / real.sum() * 100), one((off[positive] / real[positive]).mean() * 100) if positive.any() else None, one((guess - real).sum() / real.sum() * 100)
-
-
-def choose(y: np.ndarray, dow: np.ndarray) -> tuple[str, dict[str, float | None], tuple | None, int]:
-    """(model, WAPE of each candidate, its backtest, bucket): the lowest WAPE wins, the first of equals."""
-    n, sold = len(y), int((y > 0).sum())
-    sporadic = sold == 0 or n / sold >= 1.32
-    test, bucket = int(max(14, min(42, np.floor(n * 0.2 + 0.5)))), 7 if sporadic else 1
-    tests = {m: backtest(m, y, dow, test, bucket) for m in STEADY + (SPORADIC if sporadic else [])}
-    scored = [(t[0], i, m) for i, (m, t) in enumerate(tests.items()) if t is not None]
-    best = min(scored)[2] if scored else ("croston" if sporadic else "moving_avg")
-    return best, {m: t[0] if t else None for m, t in tests.items()}, tests[best], bucket
+    return np.sign(x) * np.floor(np.abs(x) * 10 + 0.5) / 10
+
+
+@dataclass
+class Choice:
+    """By product: the model's number, then by model and product WAPE, MAPE and bias (nan: none), and where it could be had."""
+
+    best: np.ndarray
+    wape: np.ndarray
+    mape: np.ndarray
+    bias: np.ndarray
+    ok: np.ndarray
+    sporadic: np.ndarray
+
+
+def choose(b: Block) -> Choice:
+    """Back-test all models on the last days and take the lowest WAPE, the first of equals.
+
+    Sporadic products are compared by weeks, and with the models for them too.
+    """
+    sold = ((b.y > 0) & b.there).sum(0)
+    sporadic = (sold == 0) | (b.n / np.maximum(sold, 1) >= 1.32)
+    test = np.clip(np.floor(b.n * 0.2 + 0.5), 14, LONGEST).astype(int)
+    train = b.until(np.maximum(b.n - test, 0))
+    j = np.arange(LONGEST)[:, None]
+    held = j < test
+    real = np.where(held, np.take_along_axis(b.y, np.clip(train.n + j, 0, len(b.y) - 1), 0), 0.0)
+    weeks = lambda x: np.concatenate([x.reshape(LONGEST // 7, 7, -1).sum(1), np.zeros((LONGEST - LONGEST // 7, x.shape[1]))])
+    real = np.where(sporadic, weeks(real), real)
+    total, positive = real.sum(0), real > 0
+    shape = (len(MODELS), len(b.n))
+    wape, mape, bias, ok = np.full(shape, np.nan), np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, bool)
+    for m, (name, model) in enumerate(MODELS.items()):
+        fit = model(train)
+        ok[m] = b.n >= (21 if name == "holt_winters" else 1)
+        use = fit.ok & (train.n >= 14) & (total > 0) & (sporadic | (m < STEADY))
+        guess = np.where(held, fit.ahead(LONGEST), 0.0)
+        guess = np.where(sporadic, weeks(guess), guess)
+        off = np.abs(guess - real)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            wape[m] = np.where(use, one(off.sum(0) / total * 100), np.nan)
+            mape[m] = np.where(use & positive.any(0), one(np.where(positive, off / real, 0.0).sum(0) / positive.sum(0) * 100), np.nan)
+            bias[m] = np.where(use, one((guess - real).sum(0) / total * 100), np.nan)
+    tried = np.where(np.isnan(wape), np.inf, wape)
+    best = np.where(np.isfinite(tried).any(0), tried.argmin(0), np.where(sporadic, NAMES.index("croston"), NAMES.index("moving_avg")))
+    return Choice(best, wape, mape, bias, ok, sporadic)
 
 
 SCHEMA = "product_id string, date date, actual double, forecast double, lower double, upper double, is_future boolean, model string, wape double, mape double, bias double, days int"
@@ -154,14 +249,47 @@ def _recent(series: DataFrame, lookback: int) -> DataFrame:
     return series.select("product_id", "date", "units").join(newest, "product_id").filter(F.datediff("_top", "date") <= lookback).drop("_top")
 
 
-def _days(pdf: pd.DataFrame, drop_last: bool, lookback: int) -> pd.Series:
-    """Dense daily units of one product."""
-    dense = pd.Series(pdf["units"].to_numpy(float), pd.to_datetime(pdf["date"])).groupby(level=0).last().asfreq("D", fill_value=0.0)
-    return (dense.iloc[:-1] if drop_last and len(dense) > 1 else dense).iloc[-lookback:]
-
+def by_product(series: DataFrame, lookback: int) -> DataFrame:
+    """(product_id, days, units): a row a product with its recent days (as numbers) and sales, dealt evenly to tasks.
 
-def _empty(schema: str) -> pd.DataFrame:
-    return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+    The number of tasks is asked for outright, as the rows are few bytes beside the work that they make. Of rows that
+    repeat a day the largest counts.
+    """
+    once = _recent(series, lookback).groupBy("product_id", F.unix_date("date").alias("day")).agg(F.max("units").cast("double").alias("units"))
+    rows = once.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.collect_list(F.struct("day", "units")).alias("s"))
+    rows = written(rows.select("product_id", F.col("s.day").alias("days"), F.col("s.units").alias("units")), "series")
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 8))))
+
+
+def blocks(batches: Iterable[pa.RecordBatch], drop_last: bool, lookback: int, least: int = 14) -> Iterator[tuple[Block, list[str], np.ndarray]]:
+    """(block, product_ids, number of each product's first day) of the products with ``least`` days or more."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(a, BLOCK)
+            ids, days, units = part.column(0).to_pylist(), part.column(1), part.column(2)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(days.offsets)))
+            day, sold = np.asarray(days.flatten()).astype(np.int64), np.nan_to_num(np.asarray(units.flatten(), float))
+            first, last = np.full(part.num_rows, 1 << 40), np.full(part.num_rows, -(1 << 40))
+            np.minimum.at(first, owner, day)
+            np.maximum.at(last, owner, day)
+            n = last - first + 1
+            if drop_last:
+                n = np.where(n > 1, n - 1, n)
+            first = first + np.maximum(n - lookback, 0)
+            n = np.minimum(n, lookback)
+            order = np.argsort(-n, kind="stable")
+            order = order[n[order] >= least]
+            if not len(order):
+                continue
+            place = np.full(part.num_rows, -1)
+            place[order] = np.arange(len(order))
+            y = np.zeros((int(n[order[0]]), len(order)))
+            row, column = day - first[owner], place[owner]
+            use = (column >= 0) & (row >= 0) & (row < n[owner])
+            y[row[use], column[use]] = sold[use]
+            start = first[order]
+            yield Block(y, n[order], (start + 4) % 7), [ids[i] for i in order], start  # day 0 was a Thursday
 
 
 def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True, lookback: int = 540) -> DataFrame:
@@ -170,29 +298,56 @@ def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True,
     ``series`` has (product_id, date, units); the last, unfinished day is dropped.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        dense = _days(pdf, drop_last, lookback)
-        n = len(dense)
-        if n < 14:
-            return _empty(SCHEMA)
-        y, dow = dense.to_numpy(), ((dense.index.dayofweek + 1) % 7).to_numpy()
-        name, _, tested, _ = choose(y, dow)
-        ahead, fitted = MODELS[name](y, dow)
-        past = fitted()
-        rest = (y - past)[-90:]
-        band = 1.28 * (rest.std(ddof=1) if len(rest) > 1 else 0.0)
-        dates = pd.date_range(dense.index[-1] + pd.Timedelta(days=1), periods=horizon)
-        next_ = ahead(np.arange(1, horizon + 1.0), ((dates.dayofweek + 1) % 7).to_numpy())
-        value = np.concatenate([past, next_])
-        wape, mape, bias = tested or (None, None, None)
-        return pd.DataFrame(
-            {
-                "product_id": str(pdf["product_id"].iloc[0]), "date": [*dense.index.date, *dates.date], "actual": np.concatenate([y, np.full(horizon, np.nan)]), "forecast": js(value), "lower": js(np.maximum(value - band, 0)), "upper": js(value + band),
-                "is_future": np.arange(n + horizon) >= n, "model": name, "wape": wape, "mape": mape, "bias": bias, "days": n,
-            }
-        )
-
-    return _recent(series, lookback).groupBy("product_id").applyInPandas(work, SCHEMA)
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, ids, start in blocks(batches, drop_last, lookback):
+            choice = choose(b)
+            for m in np.unique(choice.best):
+                mine = np.flatnonzero(choice.best == m)
+                part = b.of(mine)
+                fit = MODELS[NAMES[m]](part)
+                past, next_ = fit.past(), fit.ahead(horizon)
+                at = part.n - 1 - np.arange(90)[:, None]
+                rest = np.take_along_axis(part.y - past, np.maximum(at, 0), 0)
+                k = np.minimum(part.n, 90)
+                mean = np.where(at >= 0, rest, 0.0).sum(0) / k
+                band = 1.28 * np.where(k > 1, np.sqrt((np.where(at >= 0, rest - mean, 0.0) ** 2).sum(0) / np.maximum(k - 1, 1)), 0.0)
+                days = np.arange(len(past) + horizon)[:, None]
+                future = (days >= part.n).T
+                there = (days < part.n + horizon).T
+                value = np.zeros((len(days), len(mine)))
+                value[: len(past)] = past
+                np.put_along_axis(value, _coming(part, horizon), next_, 0)
+                actual = np.zeros(value.shape)
+                actual[: len(past)] = part.y
+                flat = lambda x: np.broadcast_to(x, there.shape)[there]  # noqa: E731  product by product
+                facts = [np.array([getattr(choice, f)[m, p] for p in mine])[:, None] for f in ("wape", "mape", "bias")]
+                owner = flat(np.arange(len(mine))[:, None])
+                columns = [
+                    pa.array([ids[i] for i in mine]).take(pa.array(owner)), pa.array(flat(start[mine][:, None] + days.T), pa.int32()).cast(pa.date32()), pa.array(flat(actual.T), mask=flat(future)), *(pa.array(flat(js(v).T)) for v in (value, np.maximum(value - band, 0), value + band)),
+                    pa.array(flat(future)), pa.array([NAMES[m]] * len(owner)), *(pa.array(flat(f), mask=np.isnan(flat(f))) for f in facts), pa.array(flat(part.n[:, None]), pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
+
+    return by_product(series, lookback).mapInArrow(work, SCHEMA)
+
+
+TOTALS = "product_id string, model string, wape double, forecast_sum double"
+
+
+def forecast_totals(series: DataFrame, horizon: int = 30, drop_last: bool = True, lookback: int = 540) -> DataFrame:
+    """What ``forecast_sums`` makes of ``auto_forecast``, without the points."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, ids, _ in blocks(batches, drop_last, lookback):
+            choice = choose(b)
+            total = np.zeros(len(ids))
+            for m in np.unique(choice.best):
+                mine = choice.best == m
+                total[mine] = js(MODELS[NAMES[m]](b.of(mine)).ahead(horizon)).sum(0)
+            wape = choice.wape[choice.best, np.arange(len(ids))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([NAMES[m] for m in choice.best]), pa.array(wape, mask=np.isnan(wape)), pa.array(total)], ["product_id", "model", "wape", "forecast_sum"])
+
+    return by_product(series, lookback).mapInArrow(work, TOTALS)
 
 
 CANDIDATES = "product_id string, model string, wape double, eligible boolean, rank int, chosen boolean"
@@ -201,18 +356,18 @@ CANDIDATES = "product_id string, model string, wape double, eligible boolean, ra
 def candidates(series: DataFrame, drop_last: bool = True, lookback: int = 540) -> DataFrame:
     """The models that ``auto_forecast`` tries for each product, the best back-test first, those without one last."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        dense = _days(pdf, drop_last, lookback)
-        if len(dense) < 14:
-            return _empty(CANDIDATES)
-        y, dow = dense.to_numpy(), ((dense.index.dayofweek + 1) % 7).to_numpy()
-        best, tried, _, _ = choose(y, dow)
-        order = sorted(tried, key=lambda m: (tried[m] is None, tried[m] or 0.0, list(tried).index(m)))
-        return pd.DataFrame(
-            {"product_id": str(pdf["product_id"].iloc[0]), "model": order, "wape": [tried[m] for m in order], "eligible": [MODELS[m](y, dow) is not None for m in order], "rank": np.arange(1, len(order) + 1), "chosen": [m == best for m in order]}
-        )
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, ids, _ in blocks(batches, drop_last, lookback):
+            choice = choose(b)
+            order = np.argsort(np.where(np.isnan(choice.wape), np.inf, choice.wape), axis=0, kind="stable")
+            rows = []
+            for p, name in enumerate(ids):
+                mine = [m for m in order[:, p] if choice.sporadic[p] or m < STEADY]
+                rows += [(name, NAMES[m], None if np.isnan(choice.wape[m, p]) else float(choice.wape[m, p]), bool(choice.ok[m, p]), k, bool(m == choice.best[p])) for k, m in enumerate(mine, 1)]
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in CANDIDATES.split(", ")])
 
-    return _recent(series, lookback).groupBy("product_id").applyInPandas(work, CANDIDATES)
+    return by_product(series, lookback).mapInArrow(work, CANDIDATES)
 
 
 def forecast_sums(points: DataFrame) -> DataFrame:
@@ -220,30 +375,6 @@ def forecast_sums(points: DataFrame) -> DataFrame:
     return points.groupBy("product_id").agg(F.max("model").alias("model"), F.max("wape").alias("wape"), F.sum(F.when(F.col("is_future"), F.col("forecast"))).alias("forecast_sum"))
 
 
-REGRESSION = "product_id string, factor string, beta double, t double, significant boolean, impact string, direction string, weather_relevant boolean, r2 double, adj_r2 double, n int"
-
-
-def _standard(x: np.ndarray) -> np.ndarray:
-    sd = x.std(ddof=1) if len(x) > 1 else 0.0
-    return (x - x.mean()) / (sd or 1.0)
-
-
-def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float] | None:
-    """Coefficients, standard errors, R2 and adjusted R2; None for a singular or too small system."""
-    n, k = x.shape
-    if n <= k + 1:
-        return None
-    xtx = x.T @ x
-    if np.linalg.matrix_rank(xtx, tol=1e-9) < k:
-        return None
-    inverse = np.linalg.inv(xtx)
-    coef = inverse @ (x.T @ y)
-    rest, total = ((y - x @ coef) ** 2).sum(), ((y - y.mean()) ** 2).sum()
-    error = np.sqrt(np.maximum(rest / (n - k) * np.diag(inverse), 0))
-    r2 = max(0.0, 1 - rest / total) if total > 0 else 0.0
-    return coef, error, r2, max(0.0, 1 - (1 - r2) * (n - 1) / (n - k)) if total > 0 else 0.0
-
-
 def env_regression(weeks: DataFrame, kinds: DataFrame | None = None, factors: tuple[str, ...] = ("pm2_5", "temp_mean", "precip")) -> DataFrame:
     """Weekly units on trend and weather, standardised: one row a product and term.
 
@@ -251,33 +382,59 @@ def env_regression(weeks: DataFrame, kinds: DataFrame | None = None, factors: tu
     Weeks without particulates or temperature are left out, missing rain is 0, ten weeks are needed. With ``kinds``
     (product_id, kind) a product's weather terms are those that may bear on its kind, for some kinds none but the trend;
     without, all ``factors`` are. A term counts from |t| of 2 on; its impact is high from a beta of 0.3, medium from
-    0.15, and none where it doesn't count.
+    0.15, and none where it doesn't count. Products with a singular system are left out.
+
+    The weeks are summed to one tableau of correlations a product, combined before the shuffle. One elimination a term
+    (the sweep) turns it into the coefficients, the inverse and what is left of the variance; terms that don't bear on a
+    product's kind stand apart with a correlation of 0.
     """
-    every = kinds is None
-    if not every:
-        weeks = weeks.join(kinds.select("product_id", weather_factors(F.col("kind")).alias("allowed")), "product_id")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=["pm2_5", "temp_mean"]).fillna({"precip": 0.0}).sort_values("week")
-        if len(rows) < 10:
-            return _empty(REGRESSION)
-        mine = list(factors) if every else list(rows["allowed"].iloc[0])
-        columns = [np.ones(len(rows)), _standard(rows["week"].to_numpy(float)), *(_standard(rows[f].to_numpy(float)) for f in mine)]
-        got = ols(np.column_stack(columns), _standard(rows["units"].to_numpy(float)))
-        if got is None:
-            return _empty(REGRESSION)
-        coef, error, r2, adj = got
-        beta, t = coef[1:], np.where(error[1:] > 0, coef[1:] / np.where(error[1:] > 0, error[1:], 1), 0.0)
-        counts = (np.abs(t) >= 2) & (len(rows) - len(columns) >= 3)
-        impact = np.where(~counts, "none", np.where(np.abs(beta) >= 0.3, "high", np.where(np.abs(beta) >= 0.15, "medium", "low")))
-        return pd.DataFrame(
-            {
-                "product_id": str(pdf["product_id"].iloc[0]), "factor": ["trend", *mine], "beta": np.round(beta, 2), "t": np.round(t, 1), "significant": counts, "impact": impact, "direction": np.where(beta >= 0, "up", "down"),
-                "weather_relevant": bool(mine), "r2": round(r2, 3), "adj_r2": round(adj, 3), "n": len(rows),
-            }
-        )
-
-    return weeks.groupBy("product_id").applyInPandas(work, REGRESSION)
+    terms = ["trend", *factors]
+    k, size = len(terms), len(terms) + 1
+    values = [F.col("week").cast("double"), *(F.coalesce(F.col(f), F.lit(0.0)) if f == "precip" else F.col(f) for f in factors), F.col("units")]
+    rows = weeks.filter("pm2_5 is not null and temp_mean is not null")
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = rows.groupBy("product_id").agg(F.count("*").alias("n"), *(F.covar_samp(values[i], values[j]).alias(f"c{i}_{j}") for i, j in pairs)).filter("n >= 10")
+    if kinds is None:
+        sums = sums.withColumn("own", F.array(*map(F.lit, factors)).cast("array<string>"))
+    else:
+        sums = sums.join(kinds.select("product_id", weather_factors(F.col("kind")).alias("own")), "product_id")
+
+    def cell(i: int, j: int) -> Column:
+        i, j = min(i, j), max(i, j)
+        own = [F.lit(True) if x in (0, k) else F.array_contains("own", terms[x]) for x in (i, j)]
+        spread = [F.col(f"c{x}_{x}") for x in (i, j)]
+        if i == j:
+            return F.when(~own[0] | (spread[0] > 0), 1.0).otherwise(0.0)
+        return F.when(own[0] & own[1] & (spread[0] > 0) & (spread[1] > 0), F.col(f"c{i}_{j}") / F.sqrt(spread[0] * spread[1])).otherwise(0.0)
+
+    def at(m: Column, i: Column | int, j: Column | int) -> Column:
+        return F.get(m, i * size + j)
+
+    def sweep(m: Column, p: Column) -> Column:
+        pivot = F.when(at(m, p, p) > 1e-10, at(m, p, p))  # null for a singular system, and so is all that follows
+
+        def turned(t: Column) -> Column:
+            i, j = F.floor(t / size).cast("int"), t % size
+            return (
+                F.when((i == p) & (j == p), 1 / pivot).when(j == p, -at(m, i, p) / pivot).when(i == p, at(m, p, j) / pivot)
+                .otherwise(at(m, i, j) - at(m, i, p) * at(m, p, j) / pivot)
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), turned)
+
+    start = F.array(*(cell(i, j) for i in range(size) for j in range(size)))
+    solved = sums.select("product_id", "n", "own", cell(k, k).alias("whole"), (F.size("own") + 2).alias("k"), F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), start, sweep).alias("m"))
+    solved = solved.withColumn("rest", at(F.col("m"), k, k)).filter("rest is not null and n > k + 1")
+    each = F.array(*(F.struct(F.lit(t).alias("factor"), at(F.col("m"), i, k).alias("b"), at(F.col("m"), i, i).alias("inverse")) for i, t in enumerate(terms)))
+    each = F.filter(each, lambda x: (x["factor"] == "trend") | F.array_contains("own", x["factor"]))
+    out = solved.select("*", F.inline(each)).withColumn("ratio", F.when(F.col("rest") * F.col("inverse") > 0, F.col("b") / F.sqrt(F.col("rest") * F.col("inverse") / (F.col("n") - F.col("k")))).otherwise(0.0))
+    counts, r2 = (F.abs("ratio") >= 2) & (F.col("n") - F.col("k") >= 3), F.greatest(F.lit(0.0), 1 - F.col("rest"))
+    share = lambda x: F.when(F.col("whole") > 0, rounded(x, 3)).otherwise(0.0)
+    return out.select(
+        F.col("product_id").cast("string").alias("product_id"), "factor", (rounded(F.col("b"), 2) + 0.0).alias("beta"), (rounded(F.col("ratio"), 1) + 0.0).alias("t"), counts.alias("significant"),
+        F.when(~counts, "none").when(F.abs("b") >= 0.3, "high").when(F.abs("b") >= 0.15, "medium").otherwise("low").alias("impact"), F.when(F.col("b") >= 0, "up").otherwise("down").alias("direction"), (F.size("own") > 0).alias("weather_relevant"),
+        share(r2).alias("r2"), share(F.greatest(F.lit(0.0), 1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - F.col("k")))).alias("adj_r2"), F.col("n").cast("int").alias("n"),
+    )
 
 
 def env_weeks(dense: DataFrame, env: DataFrame, least: int = 56) -> DataFrame:

@@ -11,6 +11,7 @@ from marketlens.operators import reviews as rv
 from marketlens.operators import sales as sl
 from marketlens.operators import sales_forecast as sf
 from marketlens.operators import series as se
+from marketlens.plans import forecast_sql as fsql
 from marketlens.plans.inventory import AS_OF, CORR, EM, LEAD, MONTHS, TIER, _mood
 from marketlens.plans.reviews import DAYS, labelled
 from marketlens.plans.sql import sql
@@ -148,14 +149,17 @@ FROM ow JOIN ye USING (scope) JOIN mo USING (scope) JOIN nx USING (scope)"""
 UPLIFT = """, f AS (SELECT *, CAST(date - min(date) OVER (PARTITION BY scope) + 1 AS INTEGER) AS days_away FROM po WHERE is_future)
 SELECT scope, date, tier, days_away, baseline, forecast AS projected, CASE WHEN baseline > 0 THEN CAST(floor((forecast - baseline) / baseline * 100 + 0.5) AS BIGINT) ELSE 0 END AS uplift_pct, forecast - baseline AS extra_gmv, tier IN ('mega', 'major', 'cny', 'songkran', 'newyear') AS is_big FROM f WHERE tier IS NOT NULL"""
 
+PARTS_DAILY = """, px AS (SELECT max(date) AS t FROM sales), pq AS (SELECT DISTINCT product_id FROM sales, px WHERE units > 0 AND date >= t - 90 AND product_id IS NOT NULL),
+  pd AS (SELECT product_id, date, CAST(sum(units) AS DOUBLE) AS units FROM sales, px WHERE units > 0 AND date >= t - 540 AND product_id IN (SELECT product_id FROM pq) GROUP BY 1, 2)"""
+
 JOBS = {
-    "auto_forecast": (_points, None),
-    "part_forecast": (lambda s, d: models.forecast_sums(models.auto_forecast(sl.product_demand(fx.sales(s, d)))), None),
-    "forecast_candidates": (lambda s, d: models.candidates(fx.brand_daily(s, d)), None),
+    "auto_forecast": (_points, fsql.recursive(sql(fsql.POINTS.replace("{}", "bd"), "bd"))),
+    "part_forecast": (lambda s, d: models.forecast_totals(sl.product_demand(fx.sales(s, d))), fsql.recursive(sql(PARTS_DAILY + fsql.TOTALS.replace("{}", "pd"), "sales"))),
+    "forecast_candidates": (lambda s, d: models.candidates(fx.brand_daily(s, d)), fsql.recursive(sql(fsql.CANDIDATES.replace("{}", "bd"), "bd"))),
     "forecast_quality": (_quality, sql(QUALITY, "dense")),
     "trend_insights": (_trends, sql(TRENDS, "dt", "dbt", "dct", "ps")),
     "env_weeks": (lambda s, d: _weeks(s, d).select("product_id", "week", "units", *(rounded(F.col(c), 3).alias(c) for c in ("pm2_5", "temp_mean", "precip"))), sql(WEEKS, "dense", "env")),
-    "env_regression": (lambda s, d: models.env_regression(_weeks(s, d), _kinds(s, d)), None),
+    "env_regression": (lambda s, d: models.env_regression(_weeks(s, d), _kinds(s, d)), sql(fsql.REGRESSION, "dense", "env")),
     "why_this_month": (_why, sql(WHY, "bd", "env")),
     "sales_forecast": (lambda s, d: sf.sales_forecast(_daily(s, d))["points"], sql(_forecast_sql(30) + "SELECT * FROM po", "sales")),
     "sales_forecast_facts": (lambda s, d: sf.sales_forecast(_daily(s, d))["facts"], sql(_forecast_sql(30) + FACTS, "sales")),
