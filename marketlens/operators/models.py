@@ -3,7 +3,7 @@
 The recursions (Holt-Winters, Croston, TSB) aren't window functions. A task takes a block of products as a matrix of days by
 products and steps through the days, each step for all products together; so the work a product and day is a few vector
 operations, in as many tasks as the number of products asks for. A series is dense; its days' weekday counts from 0 for
-Sunday. Older days than the lookback (540 by default) are left out before the shuffle, so rows hold no more than that.
+Sunday. Older days than the lookback (540 by default) before a product's newest are left out.
 """
 
 from __future__ import annotations
@@ -243,20 +243,15 @@ def choose(b: Block) -> Choice:
 SCHEMA = "product_id string, date date, actual double, forecast double, lower double, upper double, is_future boolean, model string, wape double, mape double, bias double, days int"
 
 
-def _recent(series: DataFrame, lookback: int) -> DataFrame:
-    """Each product's days from ``lookback`` days before its newest one on (that one may be dropped as unfinished)."""
-    newest = series.groupBy("product_id").agg(F.max("date").alias("_top"))
-    return series.select("product_id", "date", "units").join(newest, "product_id").filter(F.datediff("_top", "date") <= lookback).drop("_top")
-
-
 def by_product(series: DataFrame, lookback: int) -> DataFrame:
-    """(product_id, days, units): a row a product with its recent days (as numbers) and sales, dealt evenly to tasks.
+    """(product_id, days, units): a row a product with its recent days (as numbers) and sales, dealt evenly to tasks; the series is read once.
 
     The number of tasks is asked for outright, as the rows are few bytes beside the work that they make. Of rows that
     repeat a day the largest counts.
     """
-    once = _recent(series, lookback).groupBy("product_id", F.unix_date("date").alias("day")).agg(F.max("units").cast("double").alias("units"))
-    rows = once.groupBy(F.col("product_id").cast("string").alias("product_id")).agg(F.collect_list(F.struct("day", "units")).alias("s"))
+    once = series.groupBy(F.col("product_id").cast("string").alias("product_id"), F.unix_date("date").alias("day")).agg(F.max("units").cast("double").alias("units"))
+    rows = once.groupBy("product_id").agg(F.max("day").alias("top"), F.collect_list(F.struct("day", "units")).alias("s"))  # a product has no more rows than there are days
+    rows = rows.withColumn("s", F.filter("s", lambda x: x["day"] >= F.col("top") - lookback))
     rows = written(rows.select("product_id", F.col("s.day").alias("days"), F.col("s.units").alias("units")), "series")
     n = rows.count()
     return rows.repartition(max(1, -(-n // BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 8))))
