@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketlens.llm import bpe, embedding_dedup, fingerprint, language, lm_score, near_dedup, packing, pii, quality, token_store
+from marketlens.llm import bpe, embedding_dedup, fill_middle, fingerprint, language, license_scan, lm_score, near_dedup, packing, pii, quality, source_audit, token_store
 from marketlens.llm.queries import _vocabulary
 
 WORDS, BYTES = _vocabulary("word_bpe_49k.json"), _vocabulary("byte_bpe_50k.json")
-EXTRA = ["score", "h", "base", "member", "lang_pred", "component", "bin_id", "row", "x", "y", "key", "n", "word", "all", "cluster", "kept", "_t", "place", "n_tokens", "ids", "features"]
+EXTRA = ["score", "h", "base", "member", "lang_pred", "component", "bin_id", "row", "x", "y", "key", "n", "word", "all", "cluster", "kept", "_t", "place", "n_tokens", "ids", "features", "term", "p", "output", "form", "matches", "places", "labels", "side", "block"]
 
 
 def _docs(spark, rows):
@@ -47,6 +47,8 @@ RUNS = {
     "quality": lambda s, d: quality.score(d, quality.fit(d, _labels(s))),
     "pii": lambda s, d: pii.spans(d),
     "redacted": lambda s, d: pii.redacted(d),
+    "fill_middle": lambda s, d: fill_middle.transform(d),
+    "license_scan": lambda s, d: license_scan.scan(d),
     "token_counts": lambda s, d: token_store.token_counts(d, WORDS, ["source"]),
     "packing": lambda s, d: packing.pack(d.select("doc_id", "source", F.xxhash64("text").alias("cluster"), F.length("text").cast("long").alias("n_tokens")), capacity=1 << 20).filter("piece = 0"),
 }
@@ -62,6 +64,14 @@ def test_empty_tables(spark, empty, name):
     assert RUNS[name](spark, empty).count() == 0
 
 
+def test_source_audit_takes_odd_rows(spark, edge, empty):
+    assert source_audit.audit(empty).count() == 0
+    got = source_audit.audit(edge, least_documents=2).collect()
+    assert {(r.lang, r.source) for r in got if r.part == "pair"} == {(a, b) for a, b in (("", ""), ("", "c"), ("en", "a"), ("en", "b"), ("fr", "a"), ("fr", "b"))}
+    assert all(r.value == 0 and r.rank == 1 for r in got if r.lang in ("", "fr"))  # no term is in two of their documents
+    assert {r.item for r in got if r.part == "term" and r.source == "a"} <= {"hello", "world", "again", "and", "mail", "a", "b", "c", "example", "now"}
+
+
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows(spark, edge, empty, tmp_path, stage):
     _labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
