@@ -4,18 +4,22 @@ Base spans come from four patterns with checks on digits. Java's matcher finds m
 both split() and regexp_extract_all(), so the lengths of gaps and hits give each match's place in code points. The
 patterns are anchored so that a run of characters is tried once, which keeps long texts linear.
 
-Bootstrapping: the seeds are the base spans, and the values that a few key names (``KEYS``) give away as secrets. Tokens
-with a digit or an @, and runs of digit groups, that are no seed are the candidates. An occurrence has patterns: the word
-before, the word after, the key it is the value of, its shape (digits, lower and upper case letters each as one sign, in
-full and with runs as one), and for mixed letters and digits how often they change and the size of the length. Spark
+Bootstrapping: the seeds are the base spans, and of secrets the values of any key (``key = value``) that look random: ``RANDOM``
+characters or more, letters and digits mixed, a change from one to the other at every fourth character at least. No list
+of key names is used. Tokens with a digit or an @, and runs of digit groups, that are no seed are the candidates. An
+occurrence has patterns: the word before, the word after, the key it is the value of, its shape (digits, lower and upper
+case letters each as one sign, in full and with runs as one), for mixed letters and digits how often they change and the
+size of the length, and for values with an @ the shape, the last two labels and the last label of the domain. Spark
 scores the graph of patterns and instances in rounds. A pattern's confidence in a kind is
 
     known / (known + known of other kinds + DOUBT * unknown + 1)
 
-in distinct values; from ``SUPPORT`` known values and a confidence of ``PRECISION`` on it counts. A candidate is accepted
-for a kind that its own characters allow if 1 - product(1 - confidence) over its patterns reaches ``ACCEPT``, so one
-pattern seldom suffices. Accepted values are known in the next round; rounds end when none is accepted. Base spans
-always stay. The kinds found are the four of the base, and ``secret``.
+in distinct values; from ``SUPPORT`` known values and a confidence of ``PRECISION`` on it counts. The belief that a candidate is
+of a kind that its own characters allow is 1 - product(1 - confidence) over its patterns; from ``ACCEPT`` on it is accepted,
+so one pattern seldom suffices, and known in the next round. As unknown count the candidates alone that the kind allows, each
+less what is believed of it already. So beliefs grow from round to round; rounds end when none is accepted and the
+beliefs have grown by less than ``SETTLED`` in all. Base spans always stay. The kinds found are the four of the
+base, and ``secret``, which stands last where spans begin together.
 
 A null text counts as empty. Rows that repeat repeat in the result. Empty tables give empty results; other columns are
 kept by ``redacted`` and ignored by ``spans``.
@@ -33,8 +37,8 @@ from marketlens.llm.common import aside, written
 
 KINDS = ["email", "ip", "card", "phone"]
 SECRET = "secret"
-KEYS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"]  # names whose values are seeds of secrets
-SUPPORT, PRECISION, DOUBT, ACCEPT = 5, 0.7, 0.25, 0.9
+RANDOM = 20  # characters of a random-looking value that is a seed
+SUPPORT, PRECISION, DOUBT, ACCEPT, SETTLED = 5, 0.7, 0.25, 0.9, 0.01
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -150,6 +154,9 @@ def _patterns(text: Column, start: Column, end: Column, value: Column) -> Column
             F.concat(F.lit("runs "), z["short"]),
             F.when(mixed >= 4, F.lit("mixed")),
             F.concat(F.lit("mixed "), F.floor(F.log2(F.when(mixed >= 4, F.length(value)))).cast("string")),
+            F.concat(F.lit("domain shape "), F.nullif(F.regexp_extract(z["short"], "@([^@]+)$", 1), F.lit(""))),
+            F.concat(F.lit("domain "), F.nullif(F.lower(F.regexp_extract(value, r"@(?:[^@]*\.)?([^@.]+\.[^@.]+)$", 1)), F.lit(""))),
+            F.concat(F.lit("domain ends "), F.nullif(F.lower(F.regexp_extract(value, r"@[^@]*\.([^@.]+)$", 1)), F.lit(""))),
         )
 
     shapes = lambda full: F.struct(full.alias("full"), F.regexp_replace(full, r"(.)\1+", "$1").alias("short"))
@@ -157,14 +164,15 @@ def _patterns(text: Column, start: Column, end: Column, value: Column) -> Column
 
 
 def _seen(text: Column, spans: Column) -> Column:
-    """(start, end, kind, value, digits, at, mixed, luhn, patterns) of (start, end, kind) spans; kind is null for candidates, but for the values of KEYS."""
+    """(start, end, kind, value, digits, at, mixed, luhn, patterns) of (start, end, kind) spans; kind is null for candidates, but for random-looking values of a key."""
 
     def one(s: Column) -> Column:
         def of(value: Column) -> Column:
             def named(patterns: Column) -> Column:
                 mixed = (F.length(value) >= 8) & value.rlike(r"\p{L}") & value.rlike("[0-9]") & value.rlike(r"^[\p{L}\p{N}_+/=.-]*$")
                 digits = F.regexp_replace(value, "[^0-9]", "")
-                secret = mixed & F.exists(patterns, lambda p: p.isin([f"key {k}" for k in KEYS]))
+                changes = F.length(F.regexp_replace(_shape(value), r"(.)\1+", "$1"))
+                secret = mixed & (F.length(value) >= RANDOM) & F.exists(patterns, lambda p: p.startswith("key ")) & (4 * changes >= F.length(value))
                 return F.struct(
                     s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["kind"], F.when(secret, F.lit(SECRET))).alias("kind"), F.xxhash64(value).alias("value"),
                     F.length(digits).alias("digits"), F.contains(value, F.lit("@")).alias("at"), mixed.alias("mixed"), F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False).alias("luhn"), patterns.alias("patterns"),
@@ -205,10 +213,10 @@ def _scanned(documents: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", "h", "base", seen.alias("seen")), "pii-scan")
 
 
-def _allowed(kind: Column) -> Column:
-    """Whether a candidate's own characters allow the kind."""
+def _allowed() -> dict[str, Column]:
+    """By kind, whether a candidate's own characters allow it."""
     n = F.col("digits")
-    return F.when(kind == "email", F.col("at")).when(kind == "ip", n.between(4, 12)).when(kind == "card", F.col("luhn")).when(kind == "phone", n.between(7, 15)).otherwise(F.col("mixed"))
+    return {"email": F.col("at"), "ip": n.between(4, 12), "card": F.col("luhn"), "phone": n.between(7, 15), SECRET: F.col("mixed")}
 
 
 def accepted(edges: DataFrame, support: int = SUPPORT, precision: float = PRECISION, doubt: float = DOUBT, accept: float = ACCEPT) -> DataFrame:
@@ -219,18 +227,24 @@ def accepted(edges: DataFrame, support: int = SUPPORT, precision: float = PRECIS
     known = edges.filter("kind is not null").groupBy("value").agg(F.min("kind").alias("kind"))
     known = written(known, "pii-known")
     links = written(edges.groupBy("value", "pattern").agg(F.max("digits").alias("digits"), F.max("at").alias("at"), F.max("mixed").alias("mixed"), F.max("luhn").alias("luhn")), "pii-links")
+    known_of = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    open_of = lambda k, allowed: F.sum(F.when(F.col("kind").isNull() & allowed, 1 - F.coalesce(F.col("belief")[k], F.lit(0.0))).otherwise(0.0))
+    fits = reduce(lambda w, k: w.when(F.col("as") == k, _allowed()[k]), [*KINDS, SECRET], F.when(F.lit(False), False))
+    beliefs, total = links.sparkSession.createDataFrame([], "value long, belief map<string, double>"), 0.0
     while True:
-        votes = links.select("value", "pattern").join(known, "value", "left").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-        totals = votes.groupBy("pattern").agg(F.sum(F.when(F.col("kind").isNull(), F.col("n") * doubt).otherwise(F.col("n"))).alias("all"))
-        good = votes.filter(F.col("kind").isNotNull() & (F.col("n") >= support)).join(totals, "pattern")
-        good = good.select("pattern", F.col("kind").alias("as"), (F.col("n") / (F.col("all") + 1)).alias("sure")).filter(F.col("sure") >= precision)
+        votes = links.join(known, "value", "left").join(beliefs, "value", "left").groupBy("pattern")
+        votes = votes.agg(F.count("kind").alias("all"), F.array(*(F.struct(F.lit(k).alias("as"), known_of(k).alias("n"), open_of(k, ok).alias("open")) for k, ok in _allowed().items())).alias("kinds"))
+        good = votes.select("pattern", "all", F.inline("kinds")).filter(F.col("n") >= support)
+        good = good.select("pattern", "as", F.round(F.col("n") / (F.col("all") + F.col("open") * doubt + 1), 6).alias("sure")).filter(F.col("sure") >= precision)
         unknown = links.join(known.select("value"), "value", "left_anti")
-        fresh = unknown.join(good, "pattern").filter(_allowed(F.col("as"))).groupBy("value", "as").agg(F.round(F.sum(F.log1p(-F.col("sure"))), 9).alias("against"))
-        fresh = fresh.filter(F.exp("against") <= 1 - accept).groupBy("value").agg(F.min(F.struct("against", "as"))["as"].alias("kind"))
-        fresh = written(fresh, "pii-fresh")
-        if not fresh.head(1):
+        scored = unknown.join(good, "pattern").filter(fits).groupBy("value", "as").agg(F.round(F.sum(F.log1p(-F.col("sure"))), 6).alias("against"))
+        scored = written(scored.groupBy("value").agg(F.min(F.struct("against", "as")).alias("best"), F.map_from_entries(F.collect_list(F.struct("as", (1 - F.exp("against")).alias("b")))).alias("belief")), "pii-beliefs")
+        sure = F.exp("best.against") <= 1 - accept
+        grown = scored.filter(~sure).agg(F.sum(F.aggregate(F.map_values("belief"), F.lit(0.0), lambda a, b: a + b))).first()[0] or 0.0
+        fresh = scored.filter(sure).select("value", F.col("best.as").alias("kind"))
+        if not fresh.head(1) and grown <= total * (1 + SETTLED):
             return known
-        known = written(known.unionByName(fresh), "pii-known")
+        known, beliefs, total = written(known.unionByName(fresh), "pii-known"), scored.filter(~sure).select("value", "belief"), grown
 
 
 def bootstrapped(scan: DataFrame) -> DataFrame:

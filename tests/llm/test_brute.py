@@ -378,30 +378,36 @@ def _plain_graph(edges):
         links[value].add(pattern)
         facts[value] = (digits, at, mixed, luhn)
     allowed = {"email": lambda d, a, m, u: a, "ip": lambda d, a, m, u: 4 <= d <= 12, "card": lambda d, a, m, u: u, "phone": lambda d, a, m, u: 7 <= d <= 15, "secret": lambda d, a, m, u: m}
+    beliefs, total = {}, 0.0
     while True:
-        known = defaultdict(Counter)
+        known, unknown = defaultdict(Counter), defaultdict(list)
         for value, patterns in links.items():
             for p in patterns:
-                known[p][kinds.get(value)] += 1
+                if value in kinds:
+                    known[p][kinds[value]] += 1
+                else:
+                    unknown[p].append(value)
         sure = defaultdict(dict)
         for p, counts in known.items():
-            total = sum(n * pii.DOUBT if k is None else n for k, n in counts.items())
             for k, n in counts.items():
-                if k is not None and n >= pii.SUPPORT and n / (total + 1) >= pii.PRECISION:
-                    sure[p][k] = n / (total + 1)
-        fresh = {}
+                c = round(n / (sum(counts.values()) + pii.DOUBT * sum(1 - beliefs.get((v, k), 0) for v in unknown[p] if allowed[k](*facts[v])) + 1), 6)
+                if n >= pii.SUPPORT and c >= pii.PRECISION:
+                    sure[p][k] = c
+        fresh, beliefs = {}, {}
         for value, patterns in links.items():
             against = defaultdict(float)
             for p in patterns:
                 for k, c in sure[p].items():
-                    if allowed[k](*facts[value]):
+                    if value not in kinds and allowed[k](*facts[value]):
                         against[k] += math.log1p(-c)
-            good = [(round(x, 9), k) for k, x in against.items() if math.exp(round(x, 9)) <= 1 - pii.ACCEPT]
-            if value not in kinds and good:
-                fresh[value] = min(good)[1]
-        if not fresh:
+            best = min(((round(x, 6), k) for k, x in against.items()), default=(0.0, None))
+            if math.exp(best[0]) <= 1 - pii.ACCEPT:
+                fresh[value] = best[1]
+            else:
+                beliefs |= {(value, k): 1 - math.exp(round(x, 6)) for k, x in against.items()}
+        if not fresh and sum(beliefs.values()) <= total * (1 + pii.SETTLED):
             return kinds
-        kinds |= fresh
+        kinds, total = kinds | fresh, sum(beliefs.values())
 
 
 def test_the_graph_equals_a_plain_one(spark):
@@ -433,6 +439,32 @@ def test_planted_secrets_are_found(spark):
         assert all(_valid("card", texts[d][a:b]) for a, b in spans - want[d])
 
 
+def test_half_of_the_seeds_give_the_other_half_away(spark):
+    """Half of the known values are taken for unknown; the patterns of the others bring nearly all of them back, under their kind."""
+    scan = pii._scanned(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    graph = scan.select(F.explode("seen").alias("s")).select("s.*")
+    edges = graph.select("value", "kind", "digits", "at", "mixed", "luhn", F.explode("patterns").alias("pattern")).distinct()
+    hidden = F.pmod(F.xxhash64("value", F.lit(5)), F.lit(2)) == 0
+    want = {r.value: r.kind for r in edges.filter(hidden & F.col("kind").isNotNull()).groupBy("value").agg(F.min("kind").alias("kind")).collect()}
+    got = {r.value: r.kind for r in pii.accepted(edges.withColumn("kind", F.when(~hidden, F.col("kind")))).collect()}
+    shown = {r.value for r in edges.filter(~hidden & F.col("kind").isNotNull()).select("value").distinct().collect()}
+    for kind in (*pii.KINDS, pii.SECRET):
+        mine = [v for v, k in want.items() if k == kind]
+        found = [v for v in got if got[v] == kind and v not in shown]
+        recall, precision = sum(got.get(v) == kind for v in mine) / len(mine), sum(want.get(v) == kind for v in found) / len(found)
+        print(kind, len(mine), round(recall, 3), round(precision, 3))
+        assert len(mine) > 50 and recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
+
+
+def test_a_key_is_learned(spark):
+    """No key is known beforehand: values that look random seed it, and it then gives away values that don't."""
+    rnd = random.Random(8)
+    rows = [f"set vault_pass: {''.join(rnd.choice('0123456789abcdef') for _ in range(31))}a7 now" for _ in range(20)]
+    rows += [f"set vault_pass: horse{k}battery now" for k in range(5)] + ["turn volume: level7up please", "set vault_pass: none now"]
+    _, _, every = _spans_of(spark, rows)
+    assert all(s.startswith("secret:16:") for s in every[:25]) and every[25:] == ["", ""]
+
+
 def test_folds(spark):
     got = spark.range(50).select("id", fold("id", 7).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 7 for r in got)
