@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import language, near_dedup, packing, pii, quality, token_store
-from marketlens.llm.common import read, written
+from marketlens.llm.common import parted, read, written
 
 #: SQL has no word for most of these stages; they are tested against plain versions.
 ORACLE_SQL = None
@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without an id stay.
     """
     groups = written(near_dedup.near_duplicates(docs, words=5, threshold=0.8), "pipeline-groups")
-    kept = groups.filter("kept").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    gone = written(groups.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
+    some, rest = parted(docs.filter("doc_id is not null"), gone, "doc_id")  # texts that may go are shuffled, the others stay where they are
+    named = rest.unionByName(some.join(gone.hint("merge"), "doc_id", "left_anti"))
     again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     if again.head(1):  # ids repeat, which is rare: only their rows are compared
         named = named.join(again, "doc_id", "left_anti").unionByName(named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

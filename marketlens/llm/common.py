@@ -125,6 +125,30 @@ def packed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
+MOST_WORDS = 1 << 22  # of 64 bits: 64 MB to broadcast at most
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` as (those whose key may be among ``ids``, a written table; those whose key certainly isn't).
+
+    The ids are marked in a bitmap of 16 bits an id, up to ``MOST_WORDS``, that is summed by Spark and broadcast as rows of
+    64 bits. So a join of wide rows with few ids shuffles the rows of the first part alone. Beyond that size more rows
+    fall in the first part; none that belongs there is ever missed. Null keys are in the second.
+    """
+    words = min(MOST_WORDS, max(1 << 10, 1 << (ids.count() // 4).bit_length()))
+
+    def marked(df: DataFrame) -> DataFrame:
+        spot = F.xxhash64(F.col(key), F.lit(29))
+        bit = F.when(F.col(key).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), (spot.bitwiseAND(F.lit(63))).cast("int")))
+        return df.withColumn("_word", F.pmod(F.shiftrightunsigned(spot, 6), F.lit(words).cast("long"))).withColumn("_bit", bit)
+
+    bitmap = marked(ids.select(key)).filter("_bit is not null").groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    bitmap = F.broadcast(written(bitmap, "bitmap"))
+    left, right = marked(rows).alias("l"), bitmap.alias("r")
+    here = (F.col("l._word") == F.col("r._word")) & (F.col("l._bit").bitwiseAND(F.col("r._bits")) != 0)
+    return tuple(left.join(right, here, kind).drop("_word", "_bit") for kind in ("left_semi", "left_anti"))
+
+
 Columns = dict[str, np.ndarray]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import tiles
-from marketlens.llm.common import fixed, mix, packed, runs, slices, written
+from marketlens.llm.common import fixed, mix, packed, parted, runs, slices, written
 from marketlens.llm.graph import components
 
 U = np.uint64
@@ -290,6 +290,7 @@ def _confirmed(clusters: DataFrame, sketches: DataFrame, documents: DataFrame, w
     place = ["key", "lo", "hi", "block", "member"]
     large = blocks.filter("blocks > 1").join(sketches.drop("n_shingles"), "member")
     placed = written(blocks.filter("blocks = 1").select(*place).unionByName(_alike(large, threshold)), "cluster-members")
+    texts, _ = parted(texts, placed, "member")  # so that texts without a candidate aren't shuffled
     return tiles.sorted_tiles(texts.join(placed.hint("merge"), "member")).mapInArrow(work, "a long, b long")
 
 

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import aside, written
+from marketlens.llm.common import aside, parted, written
 
 KINDS = ["email", "ip", "card", "phone"]
 SECRET = "secret"
@@ -293,11 +293,13 @@ def redacted(documents: DataFrame) -> DataFrame:
 
 
 def _redacted(documents: DataFrame) -> DataFrame:
-    """Base spans are found again in each text, so only the texts with extra spans are looked up, by id and hash."""
+    """Base spans are found again in each text, so only texts that may have extra spans are looked up, by id and hash."""
     more = written(_more(bootstrapped(_scanned(documents))), "pii-more")
     columns = documents.columns
     rows = documents.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("_t"))
-    rows = rows.join(more, _same_text(), "left").withColumn("_all", _every(base_spans(F.col("_t"))))
+    some, rest = parted(rows, more.withColumnRenamed("_h", "h"), "h")
+    rows = some.join(more, _same_text(), "left").unionByName(rest.withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in more.columns}))
+    rows = rows.withColumn("_all", _every(base_spans(F.col("_t"))))
 
     def cut(acc: Column, s: Column) -> Column:
         clear = s["start"] >= acc["at"]
