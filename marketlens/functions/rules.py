@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -86,25 +87,28 @@ def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w.lower()) for w in words], F.lit(False))
 
 
-def sentiment(text: Column, rating: Column, lexicon: Lexicon = THAI) -> Column:
-    """positive, negative or neutral: a word counts once, the other way round after the negation; stars weigh in."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    vote = lambda w, sign: F.when(t.contains(lexicon.negation + w), -sign).when(t.contains(w), sign).otherwise(0)
+def sentiment(has: Callable[[str], Column], rating: Column, lexicon: Lexicon = THAI) -> Column:
+    """positive, negative or neutral: a word counts once, the other way round after the negation; stars weigh in.
+
+    ``has`` tells whether a word occurs; the negation is looked for only where its word does.
+    """
+    turned = lambda w, sign: F.when(has(lexicon.negation + w), -sign).otherwise(sign)
+    vote = lambda w, sign: F.when(has(w), turned(w, sign)).otherwise(0)
     words = _total([vote(w, 1) for w in lexicon.positive] + [vote(w, -1) for w in lexicon.negative])
     stars = F.when(rating >= 4, 1).when(rating <= 2, -2).otherwise(0)
     total = words + stars
     return F.when(total > 0, "positive").when(total < 0, "negative").otherwise("neutral")
 
 
-def category(text: Column, lexicon: Lexicon = THAI) -> Column:
+def category_hits(has: Callable[[str], Column], lexicon: Lexicon = THAI) -> Column:
+    """How many words of each category occur, in the order of the categories."""
+    return F.array(*(_total([F.when(has(w), 1).otherwise(0) for w in words]) for words in lexicon.categories.values()))
+
+
+def category(hits: Column, lexicon: Lexicon = THAI) -> Column:
     """The category with most hits, the first of equals; null without a hit."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    hits = {c: _total([F.when(t.contains(w), 1).otherwise(0) for w in words]) for c, words in lexicon.categories.items()}
-    most = F.greatest(*hits.values()) if len(hits) > 1 else next(iter(hits.values()))
-    out = F.when(most <= 0, F.lit(None).cast("string"))
-    for c, n in hits.items():
-        out = out.when(n == most, c)
-    return out
+    names = F.array(*map(F.lit, lexicon.categories))
+    return F.when(F.array_max(hits) > 0, F.element_at(names, F.array_position(hits, F.array_max(hits)).cast("int")))
 
 
 def label_comments(comments: DataFrame, lexicon: Lexicon = THAI, labels: DataFrame | None = None) -> DataFrame:
@@ -116,8 +120,11 @@ def label_comments(comments: DataFrame, lexicon: Lexicon = THAI, labels: DataFra
     """
     text = F.coalesce("comment", F.lit(""))
     rated = F.when(~F.isnan(F.col("rating").cast("double")), F.col("rating").cast("double"))
-    rows = comments.withColumn("_text", text).withColumn("_rating", rated).withColumn("_mood", sentiment(F.col("_text"), F.col("_rating"), lexicon))
-    guess = F.when(F.col("_mood") == "positive", lexicon.praise).otherwise(F.coalesce(category(F.col("_text"), lexicon), F.lit(lexicon.other)))
+    occurs = lambda w: F.col("_lowered").contains(w)
+    some = lambda alarms: reduce(lambda a, b: a | b, [occurs(w.lower()) for w in alarms], F.lit(False))
+    rows = comments.withColumn("_text", text).withColumn("_rating", rated).withColumn("_lowered", F.lower("_text"))
+    rows = rows.withColumns({"_mood": sentiment(occurs, F.col("_rating"), lexicon), "_of": category_hits(occurs, lexicon), "_hard": some(lexicon.danger), "_soft": some(lexicon.warning)})
+    guess = F.when(F.col("_mood") == "positive", lexicon.praise).otherwise(F.coalesce(category(F.col("_of"), lexicon), F.lit(lexicon.other)))
     if labels is None:
         rows = rows.withColumns({"_l": F.lit(None).cast("string"), "_c": guess, "_sev": F.when(F.col("_mood") == "negative", 6).otherwise(0), "_sum": F.substring("_text", 1, 80), "_act": F.lit(""), "_urg": F.lit(False)})
     else:
@@ -132,8 +139,7 @@ def label_comments(comments: DataFrame, lexicon: Lexicon = THAI, labels: DataFra
                 "_urg": F.when(has, F.col("_lu")).otherwise(False),
             }
         )
-    low = F.lower("_text")
-    rows = rows.withColumns({"_hard": _any(low, lexicon.danger), "_soft": _any(low, lexicon.warning), "_low": F.coalesce(F.col("_rating") <= 2, F.lit(False)), "sentiment": F.coalesce("_l", "_mood")})
+    rows = rows.withColumns({"_low": F.coalesce(F.col("_rating") <= 2, F.lit(False)), "sentiment": F.coalesce("_l", "_mood")})
     raised = F.greatest("_sev", F.when(F.col("_hard"), 9).when(F.col("_soft"), 8).otherwise(0), F.when(F.col("_low"), 7).otherwise(0))
     rows = rows.withColumn("_raised", raised)
     urgent = F.col("_urg") | F.col("_hard") | F.col("_soft") | F.col("_low") | (F.col("_raised") >= 7)

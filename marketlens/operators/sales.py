@@ -37,13 +37,18 @@ def product_demand(sales: DataFrame, as_of: Column | None = None, active_days: i
 def product_catalog(demand: DataFrame, stock: DataFrame, as_of: Column) -> DataFrame:
     """One row for each product: 30 and 90 day rates and its stock (null where none is known).
 
-    Where the demand has product_name, brand or platform, the product gets the earliest one that isn't empty.
+    Where the demand has product_name, brand or platform, the product gets the earliest one that isn't empty. Of several
+    stock rows of a product the one of its own platform counts, if both tables tell the platform, else the one of the last
+    platform by name; of rows alike in that the greatest stock.
     """
     within = lambda n: F.sum(F.when(F.col("date") >= F.date_sub(as_of, n), F.col("units")).otherwise(0.0))
     named = [c for c in ("product_name", "brand", "platform") if c in demand.columns]
     first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("date", c)))
     rates = demand.groupBy("product_id").agg(within(30).alias("units_30"), within(90).alias("units_90"), *(first(c).alias(c) for c in named))
-    out = rates.join(stock, "product_id", "left")
+    held = stock.select("product_id", F.col("platform" if "platform" in stock.columns else "product_id").cast("string").alias("_at"), F.col("stock").alias("_s"))
+    own = F.coalesce(F.col("_at") == F.col("platform"), F.lit(False)) if "platform" in named and "platform" in stock.columns else F.lit(False)
+    chosen = rates.join(held, "product_id", "left").groupBy(*rates.columns)
+    out = chosen.agg(F.max(F.struct(own.alias("own"), F.col("_at"), F.col("_s")))["_s"].alias("stock"))
     return out.select("product_id", *named, "units_30", "units_90", rounded(F.col("units_30") / 30, 3).alias("avg_daily_30"), rounded(F.col("units_90") / 90, 3).alias("avg_daily_90"), "stock")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from marketlens.functions import calendar
@@ -9,6 +11,7 @@ from marketlens.operators import sales as sl
 from marketlens.operators import series as se
 from marketlens.plans.sql import sql
 from marketlens.sources import fixtures as fx
+from marketlens.sources import tables as tb
 
 AS_OF = "2025-07-01"
 LEAD = 14
@@ -100,7 +103,45 @@ def _merged_env(s, d):
     return sl.merge_environment(archive, ahead, air)
 
 
+PART_RATES = f""", mx AS (SELECT max(date) AS t FROM sales), ac AS (SELECT DISTINCT product_id FROM sales, mx WHERE date >= t - 90 AND units > 0),
+            de AS (SELECT product_id, date, max(product_name) AS product_name, max(brand) AS brand, max(platform) AS platform, CAST(sum(units) AS DOUBLE) AS units FROM sales, mx WHERE date >= t - 540 AND units > 0 AND product_id IN (SELECT product_id FROM ac) GROUP BY 1, 2),
+            r AS (SELECT product_id, arg_min(product_name, date) AS product_name, arg_min(brand, date) AS brand, arg_min(platform, date) AS platform, sum(CASE WHEN date >= DATE '{AS_OF}' - 30 THEN units ELSE 0 END) AS units_30, sum(CASE WHEN date >= DATE '{AS_OF}' - 90 THEN units ELSE 0 END) AS units_90 FROM de GROUP BY 1)"""
+
+
+def _window_events(s, d):
+    """The events of 400 days from the first sale on."""
+    start = fx.sales(s, d).agg(F.min("date")).first()[0]
+    return calendar.event_calendar(s, str(start), 400)
+
+
+def _gate(s, d):
+    """When sales would be refreshed: whether they are six days old, and from which day."""
+    sales, today = fx.sales(s, d), date(2025, 1, 1)
+    row = (tb.is_due(sales, "date", today, 6), tb.refresh_start(sales, "date", today), tb.refresh_start(sales.filter("units < 0"), "date", today))
+    return s.createDataFrame([row], "due boolean, start date, first_start date")
+
+
 JOBS = {
+    "window_events": (_window_events, sql(f", s AS (SELECT min(date) AS a FROM sales), e AS (SELECT CAST(a + CAST(k AS INTEGER) AS DATE) AS date FROM s, (SELECT unnest(range(401)) AS k)) SELECT date, {TIER} AS tier FROM e WHERE {TIER} IS NOT NULL", "sales")),
+    "refresh_gate": (_gate, sql("SELECT DATE '2025-01-01' - max(date) >= 6 AS due, DATE '2024-12-12' AS start, DATE '2022-12-03' AS first_start FROM sales", "sales")),
+    "platform_catalog": (
+        lambda s, d: sl.product_catalog(sl.product_demand(fx.sales(s, d)), fx.platform_stock(s, d), F.lit(AS_OF).cast("date")),
+        sql(
+            PART_RATES
+            + """, ps AS (SELECT p_partkey, p, CAST(p_size * k AS DOUBLE) AS stock FROM part CROSS JOIN (VALUES ('A', 1), ('N', 2), ('R', 4)) v(p, k) WHERE CASE p WHEN 'A' THEN p_partkey % 2 = 0 WHEN 'N' THEN p_partkey % 3 > 0 ELSE p_partkey % 5 = 1 END)
+            SELECT r.*, round(units_30 / 30, 3) AS avg_daily_30, round(units_90 / 90, 3) AS avg_daily_90, stock FROM r LEFT JOIN ps ON p_partkey = product_id QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY p = platform DESC NULLS LAST, p DESC) = 1""",
+            "sales",
+        ),
+    ),
+    "stock_reconstruction": (
+        lambda s, d: se.reconstruction_summary(se.reconstruct_demand(_dense(s, d), fx.stock_history(_dense(s, d)))),
+        sql(
+            """, f AS (SELECT product_id, floor(quantile_cont(units, 0.5) FILTER (units > 0) + 0.5) AS fill FROM dense GROUP BY 1 HAVING count(*) >= 21 AND count(*) FILTER (units > 0) >= 3),
+            m AS (SELECT dense.*, fill, units = 0 AND dayofyear(date) % 4 = 0 AND dayofyear(date) % 11 > 0 AS imp FROM dense JOIN f USING (product_id))
+            SELECT product_id, count(*) FILTER (imp) AS stockout_days, CAST(sum(CASE WHEN imp THEN fill ELSE 0 END) AS DOUBLE) AS imputed_units, sum(CASE WHEN imp THEN 0 ELSE units END) AS observed_units, round(sum(CASE WHEN imp THEN fill ELSE 0 END) / sum(CASE WHEN imp THEN 0 ELSE units END) * 100, 1) AS uplift_pct FROM m GROUP BY 1""",
+            "dense",
+        ),
+    ),
     "gmv_scopes": (
         lambda s, d: sl.gmv_scopes(fx.sales(s, d), fx.financials(s, d)),
         sql(

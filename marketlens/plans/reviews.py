@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from marketlens.functions.rules import CATEGORY_REPLIES, OTHER, REPLIES, label_comments, parse_label_json, product_kind, seed_index, suggest_reply, weather_factors
@@ -11,6 +13,7 @@ from marketlens.plans.sql import NEEDS, PARTS, sql
 from marketlens.sources import comments as cm
 from marketlens.sources import fixtures as fx
 from marketlens.sources import tables as tb
+from marketlens.sources.scratch import written
 
 L = fx.LEXICON
 DAYS, AS_OF = 2, "2024-01-04"
@@ -131,7 +134,59 @@ def _issues(column):
 
 AGENT = "CASE WHEN user_id % 8 IN (0, 1) THEN 'ไม่ระบุ' ELSE 'agent' || (user_id % 8) END"
 
+MAPPING = {"comment_id": "id", "brand": "shop", "rating": "stars", "comment_text": "body", "created_at": "made", "seller_reply": "answer", "seller_reply_at": "answered", "images": "pics", "username": "gone"}
+
+
+def _mapped(s, d):
+    rows = cm.normalize(cm.read_comments(fx.raw_comments(s, d), MAPPING))
+    return rows.select("comment_id", "brand", "rating", F.length("comment_text").alias("n"), F.unix_timestamp("created_at").alias("created"), "seller_reply", F.unix_timestamp("seller_reply_at").alias("replied"), F.size("images").alias("pictures"), "username")
+
+
+def _texts(s, d):
+    """Summaries and actions, of rules and of longer labels from elsewhere."""
+    rows = fx.comments(s, d)
+    given = rows.filter("comment_id % 3 = 0").select(
+        "comment_id", F.lit("neutral").alias("sentiment"), F.lit("quality").alias("category"), F.lit(1.0).alias("severity"), F.col("comment").alias("summary"), F.when(F.col("comment_id") % 2 == 0, F.col("comment")).alias("suggested_action"), F.lit(False).alias("urgent")
+    )
+    return label_comments(rows, L, given).select("comment_id", "summary", "suggested_action", "analyzed_by")
+
+
+def _third_page(s, d):
+    """The third page by the smart order, from the last rows of the pages before."""
+    rows = written(labelled(s, d).select("comment_id", "status", "severity", "created_at"), "page-labels")  # labelled once, as in a stored table
+    keys, after = cm.comment_keys("smart"), None
+    for _ in range(2):
+        last = tb.seek(rows, keys, after, 40).collect()
+        if not last:
+            break
+        after = last[-1].cursor
+    return tb.seek(rows, keys, after, 40).select("comment_id", "status", "severity")
+
+
+SMART = "SELECT comment_id, status, severity FROM lab ORDER BY CASE status WHEN 'new' THEN 0 WHEN 'in_progress' THEN 1 ELSE 2 END, severity DESC, created_at DESC NULLS FIRST, comment_id LIMIT 40 OFFSET 80"
+
 JOBS = {
+    "mapped_comments": (
+        _mapped,
+        """SELECT CAST(doc_id AS VARCHAR) AS comment_id, source AS brand, CAST(CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN NULL ELSE 1 + doc_id % 5 END AS DOUBLE) AS rating, CAST(length(text) AS INTEGER) AS n, CAST(floor(epoch(ts)) AS BIGINT) AS created,
+        CASE WHEN doc_id % 4 > 0 THEN 'thanks' END AS seller_reply, CASE WHEN doc_id % 3 > 0 THEN 1700000000 + doc_id END AS replied, 1 AS pictures, CAST(NULL AS VARCHAR) AS username FROM documents LEFT JOIN events ON doc_id = event_id WHERE doc_id % 13 > 0""",
+    ),
+    "label_texts": (
+        _texts,
+        sql(
+            """SELECT comment_id, substr(comment, 1, CASE WHEN comment_id % 3 = 0 THEN 120 ELSE 80 END) AS summary, CASE WHEN comment_id % 6 = 0 THEN substr(comment, 1, 300) ELSE '' END AS suggested_action, CASE WHEN comment_id % 3 = 0 THEN 'ai' ELSE 'rule' END AS analyzed_by FROM com""",
+            "com",
+        ),
+    ),
+    "keyset_page": (_third_page, sql(SMART, "lab")),
+    "export_lines": (
+        lambda s, d: labelled(s, d).select(tb.csv_line(["comment_id", "brand", "comment", "severity"]).alias("line")),
+        sql("""SELECT concat_ws(',', '"' || comment_id || '"', coalesce('"' || replace(brand, '"', '""') || '"', ''), coalesce('"' || replace(comment, '"', '""') || '"', ''), '"' || severity || '"') AS line FROM lab""", "lab"),
+    ),
+    "summary_snapshot": (
+        lambda s, d: tb.snapshot(rv.brand_stats(labelled(s, d)).select("brand", "total", "urgent_count"), 30, datetime(2024, 1, 4)).select(F.unix_timestamp("generated_at").alias("generated_at"), "window_days", "summary"),
+        sql(f"SELECT CAST(epoch(TIMESTAMP '2024-01-04') AS BIGINT) AS generated_at, 30 AS window_days, CAST(to_json({{'brand': coalesce(brand, '{rv.NO_BRAND}'), 'total': count(*), 'urgent_count': count(*) FILTER (urgent)}}) AS VARCHAR) AS summary FROM lab GROUP BY coalesce(brand, '{rv.NO_BRAND}')", "lab"),
+    ),
     "rule_labels": (lambda s, d: labelled(s, d).select("comment_id", "sentiment", "category", "severity", "urgent"), sql("SELECT comment_id, sentiment, category, severity, urgent FROM lab", "lab")),
     "product_stats": (_stats, sql("SELECT * FROM ps", "ps")),
     "brand_stats": (lambda s, d: rv.brand_stats(labelled(s, d)), sql(f"SELECT coalesce(brand, '{rv.NO_BRAND}') AS brand, {COUNTS} FROM lab GROUP BY 1", "lab")),
@@ -180,7 +235,7 @@ JOBS = {
     ),
     "smart_order": (
         lambda s, d: tb.page(labelled(s, d), cm.comment_order("smart"), 3, 40).select("comment_id", "status", "severity"),
-        sql("SELECT comment_id, status, severity FROM lab ORDER BY CASE status WHEN 'new' THEN 0 WHEN 'in_progress' THEN 1 ELSE 2 END, severity DESC, created_at DESC NULLS FIRST, comment_id LIMIT 40 OFFSET 80", "lab"),
+        sql(SMART, "lab"),
     ),
     "category_pivot": (
         lambda s, d: rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2, True).select("date", *(F.col(c).alias(f"top_{i}") for i, c in enumerate(_top_categories(s, d)))),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.sources.tables import Key
+
 #: The standard fields.
 FIELDS = {
     "comment_id": "string", "brand": "string", "shop_id": "string", "product_name": "string", "rating": "double", "comment_text": "string", "username": "string", "created_at": "timestamp", "order_sn": "string",
@@ -86,17 +88,22 @@ def visible(df: DataFrame, brands: list[str] | None) -> DataFrame:
 
 
 #: Orders of a comment page; ids break ties.
-def comment_order(kind: str) -> list[Column]:
+def comment_keys(kind: str) -> list[Key]:
+    created, by_id = F.col("created_at"), Key(F.col("comment_id"))
     if kind == "oldest":
-        return [F.asc_nulls_last("created_at"), F.asc("comment_id")]
+        return [Key(created), by_id]
     if kind == "severity":
-        return [F.desc_nulls_first("severity"), F.desc_nulls_first("created_at"), F.asc("comment_id")]
+        return [Key(F.col("severity"), down=True), Key(created, down=True), by_id]
     if kind == "rating":
-        return [F.asc_nulls_last("rating"), F.asc("comment_id")]
+        return [Key(F.col("rating")), by_id]
     if kind == "smart":
         rank = F.when(F.col("status") == "new", 0).when(F.col("status") == "in_progress", 1).otherwise(2)
-        return [rank, F.desc_nulls_first("severity"), F.desc_nulls_first("created_at"), F.asc("comment_id")]
-    return [F.desc_nulls_first("created_at"), F.asc("comment_id")]
+        return [Key(rank), Key(F.col("severity"), down=True), Key(created, down=True), by_id]
+    return [Key(created, down=True), by_id]
+
+
+def comment_order(kind: str) -> list[Column]:
+    return [k.order() for k in comment_keys(kind)]
 
 
 def enrich(comments: DataFrame, products: DataFrame) -> DataFrame:

@@ -117,6 +117,31 @@ def part_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 5 == 0, None).otherwise(size * 3).alias("stock"))
 
 
+def platform_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, platform, stock) of parts on up to three platforms; some parts are on none."""
+    key = F.col("p_partkey")
+    on = F.array(F.when(key % 2 == 0, F.lit("A")), F.when(key % 3 > 0, F.lit("N")), F.when(key % 5 == 1, F.lit("R")))
+    rows = table(spark, sf_dir, "part").select(key.alias("product_id"), "p_size", F.explode(F.array_compact(on)).alias("platform"))
+    return rows.select("product_id", "platform", (F.col("p_size") * F.when(F.col("platform") == "A", 1).when(F.col("platform") == "N", 2).otherwise(4)).cast("double").alias("stock"))
+
+
+def stock_history(dense: DataFrame) -> DataFrame:
+    """(product_id, date, stock): every fourth day out of stock, none on record for some days."""
+    day = F.dayofyear("date")
+    return dense.select("product_id", "date", F.when(day % 11 == 0, None).when(day % 4 == 0, 0.0).otherwise((day % 4).cast("double")).alias("stock"))
+
+
+def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments as a shop's own table might hold them: other names, epoch seconds, stars as text, empty pictures."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "events"), k == F.col("event_id"), "left")
+    star = F.when(k % 7 == 0, "NaN").when(k % 5 == 0, "bad").otherwise((1 + k % 5).cast("string"))
+    return rows.select(
+        F.when(k % 13 == 0, "").otherwise(k.cast("string")).alias("id"), F.col("source").alias("shop"), star.alias("stars"), F.col("text").alias("body"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("made"),
+        F.when(k % 3 == 0, F.lit(0)).otherwise(F.lit(1700000000) + k).cast("long").alias("answered"), F.when(k % 4 == 0, "").otherwise("thanks").alias("answer"), F.array(F.lit("a.jpg"), F.lit(""), F.lit(None).cast("string")).alias("pics"),
+    )
+
+
 def env_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, pm2_5, temp_mean, precip): from order totals by day."""
     daily = financials(spark, sf_dir).groupBy("date").agg(F.sum("net_sales").cast("double").alias("s"), F.count("*").cast("double").alias("n"))

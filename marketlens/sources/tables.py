@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.sources import commits
@@ -61,10 +63,14 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     commits.change(spark, path, lambda state: upsert(state, updates, keys, order))
 
 
+def csv_line(columns: list[str]) -> Column:
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", F.array(*(F.coalesce(quote(c), F.lit("")) for c in columns)))
+
+
 def export_csv(df: DataFrame, path: str, limit: int = 10_000) -> None:
     """A byte-order mark and the header unquoted, then values quoted with quotes doubled, nulls empty; at most ``limit`` rows in the order given."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
-    lines = df.limit(limit).select(F.concat_ws(",", F.array(*(F.coalesce(quote(c), F.lit("")) for c in df.columns))).alias("line")).coalesce(1)
+    lines = df.limit(limit).select(csv_line(df.columns).alias("line")).coalesce(1)
     head = "\ufeff" + ",".join(df.columns)
 
     def write(batches):
@@ -110,12 +116,43 @@ def introspect(df: DataFrame) -> tuple[list[tuple[str, str, bool]], int, list]:
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], df.count(), df.limit(3).collect()
 
 
+@dataclass(frozen=True)
+class Key:
+    """One part of an order. As in the orders of comments, nulls stand last upwards and first downwards."""
+
+    value: Column
+    down: bool = False
+
+    def order(self) -> Column:
+        return self.value.desc_nulls_first() if self.down else self.value.asc_nulls_last()
+
+    def behind(self, mark: object) -> Column:
+        """Whether a row stands behind one whose value is ``mark``."""
+        if self.down:
+            return self.value.isNotNull() if mark is None else self.value < F.lit(mark)
+        return F.lit(False) if mark is None else (self.value > F.lit(mark)) | self.value.isNull()
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:
     """A page of rows; sizes are clamped to 1..200."""
     size = min(200, max(1, size))
     return df.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 
+def seek(df: DataFrame, keys: list[Key], after: Row | None = None, size: int = 50) -> DataFrame:
+    """The page behind the row whose ``cursor`` is ``after`` (the first page without), with a column cursor of its own.
+
+    Rows before the page are filtered out, so each task keeps ``size`` rows however far the page lies, and rows that are
+    added or go meanwhile don't shift it. The keys must tell all rows apart. Sizes are clamped to 1..200.
+    """
+    size = min(200, max(1, size))
+    if after is not None:
+        marks = [after[f"k{i}"] for i in range(len(keys))]
+        level = [reduce(lambda a, b: a & b, [keys[j].value.eqNullSafe(F.lit(marks[j])) for j in range(i)], F.lit(True)) & keys[i].behind(marks[i]) for i in range(len(keys))]
+        df = df.filter(reduce(lambda a, b: a | b, level))
+    return df.withColumn("cursor", F.struct(*(k.value.alias(f"k{i}") for i, k in enumerate(keys)))).orderBy(*(k.order() for k in keys)).limit(size)
+
+
 def row_numbers(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds nth, counted from 1 within ``key`` by ``order``, without gathering a key in one task.
 

@@ -262,6 +262,27 @@ def test_triage_and_replies(spark):
     assert {(r.comment_id, r.status, r.note, r.handled_at) for r in after.collect()} == {(1, "in_progress", "t", None), (2, "resolved", "t2", at(5))}
 
 
+@pytest.mark.parametrize("kind", ["smart", "oldest", "severity", "rating", "newest"])
+def test_pages_by_cursor_make_the_whole_order(spark, kind):
+    rows = [(i, datetime(2024, 1, 1 + i % 5) if i % 7 else None, [None, 1.0, 4.0][i % 3], [None, 3, 9, 3][i % 4], ["new", "in_progress", "resolved", None][i % 4]) for i in range(47)]
+    df = spark.createDataFrame(rows, "comment_id int, created_at timestamp, rating double, severity int, status string").repartition(3)
+    want, keys, after, got = [r.comment_id for r in df.orderBy(*cm.comment_order(kind)).collect()], cm.comment_keys(kind), None, []
+    while page := tb.seek(df, keys, after, 10).collect():
+        got += [r.comment_id for r in page]
+        after = page[-1].cursor
+    assert got == want
+    plan = tb.seek(df, keys, after, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Offset" not in plan and "rangepartitioning" not in plan
+
+
+def test_catalogue_takes_the_stock_of_the_own_platform(spark):
+    demand = spark.createDataFrame([(1, date(2024, 1, 1), "A", 5.0), (2, date(2024, 1, 1), "B", 5.0), (3, date(2024, 1, 1), None, 5.0), (4, date(2024, 1, 1), "A", 1.0)], "product_id int, date date, platform string, units double")
+    stock = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 3.0), (2, "C", 4.0), (3, "A", 5.0), (3, "B", 6.0), (3, "B", 7.0)], "product_id int, platform string, stock double")
+    as_of = F.lit("2024-01-10").cast("date")
+    assert {r.product_id: r.stock for r in sl.product_catalog(demand, stock, as_of).collect()} == {1: 1.0, 2: 4.0, 3: 7.0, 4: None}
+    assert {r.product_id: r.stock for r in sl.product_catalog(demand.drop("platform"), stock.drop("platform"), as_of).collect()} == {1: 2.0, 2: 4.0, 3: 7.0, 4: None}
+
+
 def test_daily_metrics_trend(spark):
     overall = spark.createDataFrame([(5, 20.0, 1)], "total long, sentiment_score double, urgent_count long")
     brands = spark.createDataFrame([("b", 1.0), ("a", 2.0)], "brand string, sentiment_score double")
