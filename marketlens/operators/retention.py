@@ -65,8 +65,14 @@ def retention_summary(orders: DataFrame) -> DataFrame:
 
 
 def _months(orders: DataFrame) -> DataFrame:
-    """(buyer, month, n, first): active months with their orders; one small row each, so distinct buyers are plain counts."""
-    monthly = done(orders).groupBy("buyer", F.trunc("create_date", "MM").alias("month")).agg(F.count("*").alias("n"))
+    """(buyer, month, n, first): active months with their orders; one small row each, so distinct buyers are plain counts.
+
+    In place of orders it takes the months of ``buyer_state``.
+    """
+    if "month" in orders.columns:
+        monthly = orders.select("buyer", "month", "n")
+    else:
+        monthly = done(orders).groupBy("buyer", F.trunc("create_date", "MM").alias("month")).agg(F.count("*").alias("n"))
     return monthly.withColumn("first", F.min("month").over(Window.partitionBy("buyer")))
 
 

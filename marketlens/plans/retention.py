@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
+from marketlens.operators import buyer_state as bs
 from marketlens.operators import retention as r
 from marketlens.plans.sql import sql
 from marketlens.sources import fixtures as fx
+from marketlens.sources.scratch import tables_dir, written
 
 
 def _base(spark, d):
     return r.buyer_base(fx.orders(spark, d), fx.order_items(spark, d))
 
 
+def _state(spark, d):
+    """The buyers' months after three deltas of days, the third of which brings days of the second again."""
+    path, orders, items = f"{tables_dir(spark)}/buyers-{uuid.uuid4().hex}", written(fx.orders(spark, d), "orders"), written(fx.order_items(spark, d), "items")
+    days = sorted(str(r[0]) for r in orders.select("create_date").distinct().collect())
+    third = len(days) // 3
+    for part in (days[:third], days[third : 2 * third + 50], days[2 * third :]):
+        if part:
+            bs.apply_delta(spark, path, orders, items, part)
+    return bs.months(spark, path)
+
+
 AS_OF = "1998-08-01"
 SEGMENT = """CASE WHEN orders >= 3 AND recency <= 90 THEN 'champion' WHEN orders >= 2 AND recency <= 180 THEN 'loyal' WHEN orders = 1 AND recency <= 90 THEN 'new' WHEN orders = 1 AND recency <= 180 THEN 'promising'
   WHEN orders >= 3 AND recency > 365 THEN 'cannot_lose' WHEN orders >= 2 AND recency <= 365 THEN 'at_risk' WHEN recency <= 365 THEN 'hibernating' ELSE 'lost' END"""
 GAPS = "SELECT buyer, row_number() OVER w AS rn, CAST(lead(d) OVER w - d AS INTEGER) AS gap FROM ord WINDOW w AS (PARTITION BY buyer ORDER BY d, order_sn)"
 
 JOBS = {
+    "incremental_base": (lambda s, d: bs.base(_state(s, d)), sql("SELECT buyer, orders, spend, first_order, last_order, brands, recency FROM base", "base")),
+    "incremental_monthly": (
+        lambda s, d: r.retention_monthly(_state(s, d)),
+        sql(
+            """, f AS (SELECT *, date_trunc('month', d) AS month, date_trunc('month', min(d) OVER (PARTITION BY buyer)) AS first FROM ord)
+            SELECT CAST(month AS DATE) AS month, count(DISTINCT CASE WHEN month = first THEN buyer END) AS new_customers, count(DISTINCT CASE WHEN month <> first THEN buyer END) AS returning_customers, count(*) AS orders FROM f GROUP BY 1""",
+            "ord",
+        ),
+    ),
     "rfm_segments": (
         lambda s, d: r.rfm_segments(_base(s, d)),
         sql(

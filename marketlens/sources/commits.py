@@ -215,6 +215,28 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: list[str],
     raise AssertionError
 
 
+def write_partitions(spark: SparkSession, path: str, work: Callable[[DataFrame | None], DataFrame], partition: str, key: str, parts: set[str | None]) -> int:
+    """Put ``work`` of the rows of these partitions (values as text; None for a new table) in their place; the new version's number.
+
+    A partition for which ``work`` gives no row goes. Where another writer comes between, the work is done again.
+    """
+    for left in reversed(range(TRIES)):
+        base = manifest(spark, path)
+        state = work(_frame(spark, path, base, [f for f in base.folders if f.part in parts]) if base else None)
+        folders = tuple(_stage(spark, path, state.hint("rebalance", partition), partition, key))
+        if stray := {f.part for f in folders} - parts:
+            raise ValueError(f"rows of other partitions: {sorted(map(str, stray))[:3]}")
+        kept = tuple(f for f in base.folders if f.part not in parts) if base else ()
+        try:
+            version = base.version + 1 if base else 1
+            _commit(spark, path, Manifest(version, base.schema if base else state.schema, partition, key, kept + folders))
+            return version
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def vacuum(spark: SparkSession, path: str, keep_hours: float = 168.0) -> int:
     """Delete versions that were replaced more than ``keep_hours`` ago, and folders as old that no other version names.
 
