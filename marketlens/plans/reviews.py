@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from marketlens.operators import reviews as rv
 from marketlens.operators import workflow as wf
 from marketlens.plans.sql import NEEDS, PARTS, sql
 from marketlens.sources import comments as cm
+from marketlens.sources import commits
 from marketlens.sources import fixtures as fx
 from marketlens.sources import tables as tb
-from marketlens.sources.scratch import written
+from marketlens.sources import text_index
+from marketlens.sources.scratch import tables_dir, written
 
 L = fx.LEXICON
 DAYS, AS_OF = 2, "2024-01-04"
@@ -151,6 +154,15 @@ def _texts(s, d):
     return label_comments(rows, L, given).select("comment_id", "summary", "suggested_action", "analyzed_by")
 
 
+def _indexed_search(s, d):
+    """The search over a stored table, partitioned by day, through its trigram index."""
+    path = f"{tables_dir(s)}/comments-{uuid.uuid4().hex}"
+    rows = labelled(s, d).withColumn("day", F.to_date("created_at")).drop("images")
+    commits.upsert(s, path, written(rows, "search-labels"), ["comment_id"], "day")
+    text_index.update(s, path, f"{path}-index", "comment")
+    return cm.search(text_index.candidates(s, path, f"{path}-index", "thst"), sentiment="negative", min_severity=6, q="thst").select("comment_id")
+
+
 def _third_page(s, d):
     """The third page by the smart order, from the last rows of the pages before."""
     rows = written(labelled(s, d).select("comment_id", "status", "severity", "created_at"), "page-labels")  # labelled once, as in a stored table
@@ -178,6 +190,7 @@ JOBS = {
             "com",
         ),
     ),
+    "indexed_search": (_indexed_search, sql("SELECT comment_id FROM lab WHERE sentiment = 'negative' AND severity >= 6 AND contains(lower(comment), 'thst')", "lab")),
     "keyset_page": (_third_page, sql(SMART, "lab")),
     "export_lines": (
         lambda s, d: labelled(s, d).select(tb.csv_line(["comment_id", "brand", "comment", "severity"]).alias("line")),

@@ -89,10 +89,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 def _frame(spark: SparkSession, path: str, m: Manifest, folders: list[Folder]) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], m.schema)
-    rows = spark.read.schema(m.schema).option("basePath", f"{path}/{DATA}").parquet(*(f"{path}/{DATA}/{f.path}" for f in folders))
+    return _rows(spark, path, m, [f"{path}/{DATA}/{f.path}" for f in folders])
+
+
+def _rows(spark: SparkSession, path: str, m: Manifest, places: list[str]) -> DataFrame:
+    rows = spark.read.schema(m.schema).option("basePath", f"{path}/{DATA}").parquet(*places)
     return rows.select(*m.schema.names)
 
 
+def read_files(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """The rows of some data files of the newest version."""
+    return _rows(spark, path, manifest(spark, path), files)
+
+
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The table as of a version (the newest)."""
     m = manifest(spark, path, version)

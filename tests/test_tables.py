@@ -15,6 +15,7 @@ from marketlens.operators import workflow as wf
 from marketlens.sources import comments as cm
 from marketlens.sources import commits
 from marketlens.sources import tables as tb
+from marketlens.sources import text_index
 from marketlens.streaming import ingest
 
 LEX = Lexicon(positive=["good"], negative=["bad"], negation="not ", categories={"c": ["box"]}, danger=["fire"], warning=["refund"], known=["c", "other", "praise"], other="other", praise="praise")
@@ -285,6 +286,24 @@ def test_catalogue_takes_the_stock_of_the_own_platform(spark):
     assert {r.product_id: r.stock for r in sl.product_catalog(demand.drop("platform"), stock.drop("platform"), as_of).collect()} == {1: 2.0, 2: 4.0, 3: 7.0, 4: None}
 
 
+def test_a_search_reads_the_files_that_may_hold_the_text(spark, tmp_path):
+    path, index = f"{tmp_path}/t", f"{tmp_path}/index"
+    rows = [(i, f"d{i % 6}", ["plain words here", "Ein Größe-Wort", "xyzzy only here", None, "", "ข้อความ ไทย"][i % 6]) for i in range(60)]
+    commits.upsert(spark, path, spark.createDataFrame(rows, "id int, part string, comment string"), ["id"], "part")
+    look = lambda q: text_index.candidates(spark, path, index, q)
+    assert len(look("xyzzy").inputFiles()) == 6  # no index yet
+    assert text_index.update(spark, path, index, "comment") == 6 and text_index.update(spark, path, index, "comment") == 0
+    for q, files in (("xyzzy", 1), ("XYZZY", 1), ("größe", 1), ("ไทย", 1), ("here", 2), ("words xyzzy", 0), ("ab", 6), ("", 6)):
+        got = look(q)
+        assert len(got.inputFiles()) == files, q
+        assert {r.id for r in cm.search(got, q=q).collect()} == {i for i, _, t in rows if t is not None and q.lower() in t.lower()} or q == ""
+    commits.upsert(spark, path, spark.createDataFrame([(2, "d2", "gone"), (99, "d9", "a new xyzzy")], "id int, part string, comment string"), ["id"], "part")
+    found = lambda: {r.id for r in cm.search(look("xyzzy"), q="xyzzy").collect()}
+    want = {i for i, _, t in rows if t and "xyzzy" in t and i != 2} | {99}
+    assert found() == want and text_index.update(spark, path, index, "comment") == 2 and found() == want
+    assert len(look("xyzzy").inputFiles()) == 2 and len(look("plain").inputFiles()) == 1
+
+
 def test_buyers_by_deltas_equal_the_full_build(spark, tmp_path):
     rnd = random.Random(4)
     orders = [(k, rnd.choice([1, 2, 3, 4, None]), rnd.choice(["COMPLETED", "COMPLETED", "OPEN"]), date(2024, 1 + k % 3, 1 + k % 28), rnd.choice(["x", "y", None])) for k in range(120)]
