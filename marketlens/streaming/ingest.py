@@ -9,12 +9,14 @@ can be repeated, and readers never see half of it. ``commits.vacuum`` deletes wh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from marketlens.functions.rules import THAI, Lexicon, label_comments
@@ -75,6 +77,52 @@ def stream_ingest(
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_copies(stream: DataFrame, delay_minutes: int = OVERLAP_MINUTES) -> DataFrame:
+    """Of a stream of comments the rows that are newer than every copy of their comment seen before.
+
+    The newest time of each comment is the state. It goes once the watermark, which trails the newest row of the stream by
+    ``delay_minutes``, has passed it: older copies are late from the next batch on and are dropped by the watermark itself,
+    as are newer ones that come as late. So the state holds the comments of the last ``delay_minutes`` alone, however long
+    the stream runs.
+    """
+    columns = stream.columns
+    rows = stream.withWatermark("created_at", f"{delay_minutes} minutes").withColumn("_ms", F.unix_millis("created_at"))
+
+    def work(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = state.get[0] if state.exists else None
+        every = pd.concat(list(frames), ignore_index=True)
+        newest = every.loc[[every["_ms"].idxmax()]]
+        at = int(newest["_ms"].iloc[0])
+        if seen is None or at > seen:
+            state.update((at,))
+            yield newest[columns]
+        state.setTimeoutTimestamp(max(at, seen or 0, state.getCurrentWatermarkMs()) + 1)
+
+    return rows.groupBy("comment_id").applyInPandasWithState(work, stream.schema, "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_newest(
+    spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, lexicon: Lexicon = THAI, delay_minutes: int = OVERLAP_MINUTES, files_per_batch: int = 1000, on_batch: Callable[[int, int], None] | None = None
+) -> StreamingQuery:
+    """Ingest Parquet files as ``stream_ingest`` does, with the newest copies kept as state in place of the target's mark.
+
+    A batch never reads the target to find out what is new; files that come again, late or out of order change nothing that
+    is newer. ``on_batch`` is told the batch's number and how many comments were stored.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).filter("comment is not null and comment <> '' and comment_id is not null and created_at is not null")
+
+    def work(batch: DataFrame, number: int) -> None:
+        n = _store(batch.sparkSession, batch, target, lexicon, None)
+        if on_batch:
+            on_batch(number, n)
+
+    fresh = newest_copies(stream, delay_minutes)
+    return fresh.writeStream.outputMode("append").foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def best_effort(steps: list[tuple[str, Callable[[], object]]]) -> tuple[str, list[str]]:
     """Run independent steps; a failing one becomes a warning. Returns the status (success or partial) and warnings."""
     warnings: list[str] = []

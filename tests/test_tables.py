@@ -254,6 +254,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert ingest.best_effort([("x", lambda: 1 / 0), ("y", lambda: None)])[0] == "partial"
 
 
+def test_stateful_stream_keeps_the_newest_copies(spark, tmp_path):
+    """Files with newer, older, repeated and late copies, in several runs: the target holds the newest copy of all."""
+    source, target, checkpoint = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    source.mkdir()
+    files = [
+        [("a", 0, "good", 5.0), ("b", 10, "bad", 1.0), ("c", 20, "good", 5.0)],
+        [("a", 30, "bad", 1.0), ("b", 5, "good", 5.0), ("d", 25, "good", 4.0)],  # b's older copy is out of order
+        [("a", 0, "good", 5.0), ("b", 10, "bad", 1.0), ("c", 20, "good", 5.0)],  # the first file again
+        [("e", 300, "good", 5.0), ("e", 310, "bad", 1.0)],  # two copies in a batch
+        [("a", 1, "good", 5.0), ("f", 290, "good", 5.0), ("e", 305, "good", 5.0)],
+        [("g", 2000, "good", 5.0), ("b", 3, "good", 5.0), ("c", 20, "good", 5.0)],  # long behind the watermark
+    ]
+    progress = []
+    for k, rows in enumerate(files):
+        part = tmp_path / f"part{k}"
+        _comments(spark, rows).coalesce(1).write.parquet(str(part))
+        next(p for p in part.iterdir() if p.suffix == ".parquet").rename(source / f"{k}.parquet")
+        if k in (1, 2, 5):  # runs that take up one or several files
+            q = ingest.stream_newest(spark, str(source), _comments(spark, rows).schema, target, checkpoint, LEX, files_per_batch=1)
+            q.awaitTermination(120)
+            progress.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {r.comment_id: (r.created_at, r.comment) for r in commits.read(spark, target).collect()}
+    newest = {i: (datetime(2024, 1, 1) + timedelta(minutes=m), t) for i, m, t, _ in sorted((r for f in files for r in f), key=lambda r: r[1])}
+    assert got == newest
+    assert progress[0] == 4 and progress[-1] == 1  # comments behind the watermark are forgotten
+
+
 def test_triage_and_replies(spark):
     base = spark.createDataFrame([(1, "new", None, None, None), (2, "new", None, None, None)], "comment_id int, status string, assignee string, note string, handled_at timestamp")
     at = lambda m: datetime(2024, 1, 1, 0, m)
