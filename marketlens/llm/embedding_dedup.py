@@ -195,7 +195,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     good = rows.filter(_usable(F.col("v")))
     alike = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(alike.select(F.xxhash64("rep", "v").alias("member"), "rep", "copies", "v"), "vector-classes")
+    classes = written(alike.select(F.monotonically_increasing_id().alias("member"), "rep", "copies", "v"), "vector-classes")  # numbered once, as they are written
     bits, tables = shape(classes.count(), threshold)
     codes = written(coded(classes, bits, tables), "vector-codes")
 

@@ -24,7 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import scratch_dir, shuffle_partitions, slices, texts, written
+from marketlens.llm.common import shuffle_partitions, slices, texts, written
+from marketlens.sources.scratch import tables_dir
 
 CHUNKS, WORDS = 800_000, 800_000  # entries a worker keeps of either memo
 _memos: dict[tuple, "ChunkEncoder"] = {}
@@ -242,7 +243,7 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
 
 def build(documents: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> str:
     """Encode, train the dictionary and write the store; returns its folder."""
-    path = path or f"{scratch_dir(documents.sparkSession)}/token-store-{os.urandom(8).hex()}"
+    path = path or f"{tables_dir(documents.sparkSession)}/token-store-{os.urandom(8).hex()}"
     ids = written(encode_ids(documents, tokenizer_path, end_id), "token-ids")
     write_store(ids, path, train_dictionary(ids))
     return path
