@@ -13,12 +13,14 @@ once, however often they occur:
 1. A task reads documents into chunks of about ``CHUNK`` bytes and writes each chunk's texts, and its distinct grams and
    words with their training counts, dealt to buckets by hash.
 2. Buckets sum the counts. The grams go on to subtrees (contexts that end in the same two bytes), each whole in one task.
-   The two levels above, at most 65,280 nodes, are folded by the driver and go to all tasks.
+   A subtree of more than ``LIMIT`` grams is split by the next byte of context, and again, until none is too large. The
+   nodes above the subtrees are folded by the driver and go to all tasks: at most 65,280 nodes above those of two
+   bytes, and 255 for each one split, of which there are at most ``SPLITS`` at each number of bytes.
 3. Subtrees give each distinct gram its log probability, which goes back to the bucket.
 4. Buckets answer the chunks, and a chunk scores its texts from the answers.
 
 So what is shuffled are the distinct grams of chunks, packed into a few bytes each, never positions, and no table of
-grams or words is gathered whole. An answer is a whole number of 2**-32, so a byte's log probability is exact to 1e-10.
+grams or words is gathered whole; of words, a task holds those of a bucket, and as many of the chunks'. An answer is a whole number of 2**-32, so a byte's log probability is exact to 1e-10.
 
 A null text counts as empty: one end sign. A null doc_id is trained on (its fold is null, so it isn't held out) and is
 kept. Rows that share a doc_id are scored alone. Empty tables give empty results; other columns are ignored.
@@ -42,8 +44,11 @@ from marketlens.llm.common import mix, release, shuffle_partitions, slices, text
 DEPTH = 6  # bytes of context; with its byte a gram fits 64 bits
 CHUNK = 64 << 20  # bytes of text that ask together
 BLOCK = 1 << 20  # bytes of text worked on at a time
-TOP = 2  # subtrees are built whole below their last two bytes of context
+TOP = 2  # subtrees are built whole below their last two bytes of context, or more where they are large
 UNIT = 1 << 19  # grams of the subtrees built at a time
+LIMIT = 1 << 21  # grams of a subtree, at least, that is split
+SPLITS = 1 << 14  # subtrees split at each number of bytes, at most
+PIECE = 1 << 20  # words of a row
 CLOSE = b"\xff"  # before and after a text's bytes; UTF-8 has no such byte
 END = "\n"  # stands for the end sign among the words, none of which holds it
 GRAM, WORD = 0, 1
@@ -81,7 +86,7 @@ def _joined(words: pa.ChunkedArray) -> bytes:
 
 
 def _split(data: bytes) -> pa.Array:
-    return pc.list_flatten(pc.split_pattern(pa.array([zstandard.decompress(data).decode()]), " "))
+    return pc.list_flatten(pc.split_pattern(pa.array([zstandard.decompress(data).decode()], pa.large_string()), " "))
 
 
 def _mask(d: int) -> np.uint64:
@@ -226,8 +231,10 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
                     rows.append((GRAM, at[1], tree, _deflated(k, True), _deflated(c, False), 0, 0))
             elif at is not None:
                 every = _word_sums(words)
-                n = every["n"].to_numpy()
-                rows.append((WORD, at[1], -1, _joined(every["word"]), _deflated(n, False), int(n.sum()), int((n > 0).sum())))
+                for k in range(0, every.num_rows, PIECE):
+                    some = every.slice(k, PIECE)
+                    n = some["n"].to_numpy()
+                    rows.append((WORD, at[1], -1, _joined(some["word"]), _deflated(n, False), int(n.sum()), int((n > 0).sum())))
             for k in range(0, len(rows), 256):
                 yield _batch(rows[k : k + 256], COUNTED)
 
@@ -269,6 +276,75 @@ def _tree(keys: np.ndarray, trees: int) -> np.ndarray:
     return (mix(keys >> U(40)) % U(trees)).astype(np.int64)
 
 
+def _within(keys: np.ndarray, d: int, contexts: np.ndarray) -> np.ndarray:
+    """Which grams lie in one of these contexts of d bytes, which are sorted."""
+    some = keys & _mask(d)
+    return contexts[np.minimum(np.searchsorted(contexts, some), len(contexts) - 1)] == some
+
+
+def _tops(keys: np.ndarray, large: list[np.ndarray]) -> np.ndarray:
+    """How many bytes of context name each gram's subtree: those of the contexts that are split, and one more."""
+    top = np.full(len(keys), TOP)
+    for d, contexts in enumerate(large, TOP):
+        inside = np.flatnonzero(top == d)
+        top[inside[_within(keys[inside], d, contexts)]] = d + 1
+    return top
+
+
+def too_large(counts: DataFrame, depth: int) -> list[np.ndarray]:
+    """The contexts of TOP, TOP + 1, ... bytes whose subtrees are split, sorted.
+
+    Those of ``depth`` - 1 bytes hold 65,536 grams at most and stay whole.
+    """
+    rows = counts.filter(f"kind = {GRAM}").select("keys")
+    out: list[np.ndarray] = []
+    limit = LIMIT
+    for d in range(TOP, depth - 1):
+
+        def work(batches: Iterator[pa.RecordBatch], d: int = d, inside: np.ndarray | None = out[-1] if out else None) -> Iterator[pa.RecordBatch]:
+            for (packed,) in _rows(batches, ["keys"]):
+                keys = _inflated(packed, U, True)
+                keys = keys if inside is None else keys[_within(keys, d - 1, inside)]
+                contexts, n = _distinct(keys & _mask(d))
+                yield _batch([(c, k) for c, k in zip(contexts.view(np.int64).tolist(), n.tolist())], "context long, n long") if len(n) else _NO_SIZES
+
+        sizes = rows.mapInArrow(work, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+        if d == TOP:  # 65,536 rows at most
+            found = sizes.toArrow()
+            limit = max(LIMIT, (pc.sum(found["n"]).as_py() or 0) // SPLITS)
+            found = found.filter(pc.greater(found["n"], limit))
+        else:
+            found = sizes.filter(F.col("n") > limit).toArrow()
+        if not found.num_rows:
+            break
+        out.append(np.sort(found["context"].to_numpy().astype(np.int64).view(U)))
+    return out
+
+
+_NO_SIZES = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["context", "n"])
+
+
+def dealt(counts: DataFrame, large: list[np.ndarray], trees: int) -> DataFrame:
+    """(tree, keys, counts): the grams, those of subtrees that are split dealt anew by the parts' names."""
+    rows = counts.filter(f"kind = {GRAM}").select("tree", "keys", "counts")
+    if not large:
+        return rows
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, packed, times in _rows(batches, ["tree", "keys", "counts"]):
+            keys = _inflated(packed, U, True)
+            top = _tops(keys, large)
+            if (top == TOP).all():
+                yield _batch([(tree, packed, times)], "tree int, keys binary, counts binary")
+                continue
+            name = np.choose(top - TOP, [keys & _mask(d) for d in range(TOP, TOP + len(large) + 1)]) | top.astype(U)
+            tree_of = np.where(top == TOP, tree, (mix(name) % U(trees)).astype(np.int64))
+            yield _batch([(t, _deflated(k, True), _deflated(c, False)) for t, (k, c) in _parts(tree_of, keys, _inflated(times, U, False))], "tree int, keys binary, counts binary")
+        release()
+
+    return rows.mapInArrow(work, "tree int, keys binary, counts binary")
+
+
 _STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680]
 
 
@@ -295,16 +371,16 @@ def _folded(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.
 
 
 class Subtrees:
-    """Whole subtrees below the last ``TOP`` bytes of context, from their sorted grams and training counts.
+    """Whole subtrees below the last ``top`` bytes of context, from their sorted grams and training counts.
 
     A level has the distinct (context, byte) pairs. A node is a run of them that agree in context and first bits, so all
     nodes of a level and a number of bits are cut from one sorted array. Counts of zero are contexts that nothing
     was learned in: their estimate is one half at every depth.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
-        self.depth, self.keys, self.counts, self.parents = depth, {depth: keys}, {depth: n.astype(float)}, {}
-        for d in range(depth - 1, TOP - 1, -1):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int = TOP):
+        self.depth, self.top, self.keys, self.counts, self.parents = depth, top, {depth: keys}, {depth: n.astype(float)}, {}
+        for d in range(depth - 1, top - 1, -1):
             code = (self.keys[d + 1] & _mask(d)) | self.keys[d + 1] & U(255)
             order = np.argsort(code, kind="stable")
             code = code[order]
@@ -326,9 +402,9 @@ class Subtrees:
         return (keys & _mask(context)) | U(1 << bits) | (keys & U(255)) >> U(8 - bits)
 
     def _levels(self, bits: int) -> tuple[dict[int, tuple], tuple[np.ndarray, ...]]:
-        """{d: (starts, node of each pair, one, stop)}, and (code, a, b, below) that the nodes at TOP give to their parents."""
+        """{d: (starts, node of each pair, one, stop)}, and (code, a, b, below) that the topmost nodes give to their parents."""
         out, below = {}, None
-        for d in range(self.depth, TOP - 1, -1):
+        for d in range(self.depth, self.top - 1, -1):
             starts, node = self.nodes(d, bits)
             total = np.add.reduceat(self.counts[d], starts)
             b = np.add.reduceat(self.counts[d] * (self.keys[d] >> U(7 - bits) & U(1)).astype(float), starts)
@@ -337,7 +413,7 @@ class Subtrees:
                 below = np.bincount(node[self.parents[d + 1][lower]], weighted, len(starts))
             weighted, one, stop = _folded(total - b, b, below)
             out[d] = starts, node, one, stop
-        return out, (self.code(TOP, bits, starts, TOP - 1), total - b, b, weighted)
+        return out, (self.code(self.top, bits, starts, self.top - 1), total - b, b, weighted)
 
     def above(self) -> tuple[np.ndarray, ...]:
         """(code, a, b, below), summed, of the nodes one level above the subtrees."""
@@ -349,14 +425,14 @@ class Subtrees:
         out = np.zeros(len(self.keys[self.depth]))
         for bits in range(8):
             levels = self._levels(bits)[0]
-            starts = levels[TOP][0]
+            starts = levels[self.top][0]
             p, left = np.zeros(len(starts)), np.ones(len(starts))
-            for d, (codes, one, stop) in enumerate(upper):
-                at = np.searchsorted(codes, self.code(TOP, bits, starts, d))
+            for d, (codes, one, stop) in enumerate(upper[: self.top]):
+                at = np.searchsorted(codes, self.code(self.top, bits, starts, d))
                 p, left = p + left * stop[at] * one[at], left * (1 - stop[at])
-            for d in range(TOP, self.depth + 1):
+            for d in range(self.top, self.depth + 1):
                 starts, node, one, stop = levels[d]
-                if d > TOP:
+                if d > self.top:
                     up = levels[d - 1][1][self.parents[d][starts]]
                     p, left = p[up], left[up]
                 p, left = p + left * stop * one, left * (1 - stop)
@@ -365,39 +441,52 @@ class Subtrees:
         return out
 
 
-def _upper(code: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> list[Level]:
-    """The levels above the subtrees, the root first, from the sums for the lowest of them."""
+Given = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # code, a, b and below of nodes, from what lies under them
+
+
+def _upper(given: list[Given]) -> list[Level]:
+    """The levels above the subtrees, the root first; ``given`` has for each level what subtrees give to it."""
     out: list[Level] = []
-    for d in range(TOP - 1, -1, -1):
+    folded: list[Given] = []  # what nodes above the subtrees give to the next level
+    for d in range(len(given) - 1, -1, -1):
+        code, a, b, below = _summed(*(np.concatenate(z) for z in zip(given[d], *folded)))
         weighted, one, stop = _folded(a, b, below)
         out.insert(0, (code, one, stop))
         if d:
-            code, a, b, below = _summed((code & _mask(d - 1)) | code & U(255), a, b, weighted)
+            folded = [((code & _mask(d - 1)) | code & U(255), a, b, weighted)]
     return out
 
 
-GROWN = "tree int, keys binary, counts binary, code long, a double, b double, below double"
+GROWN = "tree int, top int, keys binary, counts binary, code long, a double, b double, below double"
 
 
-def grown(counts: DataFrame, depth: int) -> DataFrame:
-    """Rows of whole subtrees (about ``UNIT`` grams, or one subtree), and what their nodes give to the level above."""
+def grown(grams: DataFrame, large: list[np.ndarray], depth: int) -> DataFrame:
+    """Rows of whole subtrees (about ``UNIT`` grams, or one subtree), and what their nodes give to the level above.
+
+    ``top`` is the number of context bytes that name the subtrees of a row, ``large`` the contexts that are split.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
         held: list[Counts] = []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            keys, n = _merged(held)
-            unit = keys >> U(40)
+        def units(top: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            unit = keys & _mask(top)
             edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             cuts = edges[np.concatenate([[True], edges[1:] // UNIT != edges[:-1] // UNIT])].tolist()
             for s, e in zip(cuts, [*cuts[1:], len(keys)]):
-                code, a, b, below = Subtrees(keys[s:e], n[s:e], depth).above()
-                yield _batch([(at, _deflated(keys[s:e], True), _deflated(n[s:e], False), None, None, None, None)], GROWN)
+                code, a, b, below = Subtrees(keys[s:e], n[s:e], depth, top).above()
+                yield _batch([(at, top, _deflated(keys[s:e], True), _deflated(n[s:e], False), None, None, None, None)], GROWN)
                 none = [pa.nulls(len(code), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(code.view(np.int64)), pa.array(a), pa.array(b), pa.array(below)], [f.split()[0] for f in GROWN.split(", ")])
+                columns = [none[0], pa.array(np.full(len(code), top, np.int32)), *none[1:], pa.array(code.view(np.int64)), pa.array(a), pa.array(b), pa.array(below)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in GROWN.split(", ")])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys, n = _merged(held)
+            for top, columns in _parts(_tops(keys, large), keys, n):
+                yield from units(top, *columns)
 
         for tree, keys, counts in _rows(batches, ["tree", "keys", "counts"]):
             if at != tree:
@@ -408,8 +497,7 @@ def grown(counts: DataFrame, depth: int) -> DataFrame:
         held = []
         release()
 
-    rows = counts.filter(f"kind = {GRAM}").select("tree", "keys", "counts")
-    return rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(work, GROWN)
+    return grams.repartition("tree").sortWithinPartitions("tree").mapInArrow(work, GROWN)
 
 
 ANSWERS = "chunk long, kind int, bucket int, keys binary, counts binary"
@@ -417,43 +505,63 @@ ANSWERS = "chunk long, kind int, bucket int, keys binary, counts binary"
 
 def modelled(trees: DataFrame, upper: list[Level], depth: int, buckets: int) -> DataFrame:
     """(chunk -1, kind, bucket, keys, counts): each bucket's grams with their log probabilities, as answers."""
-    shared = trees.sparkSession.sparkContext.broadcast(upper)  # at most 65,280 nodes
+    shared = trees.sparkSession.sparkContext.broadcast(upper)  # at most 65,280 nodes, and 255 a subtree that is split
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed, counts in _rows(batches, ["keys", "counts"]):
+        for top, packed, counts in _rows(batches, ["top", "keys", "counts"]):
             keys = _inflated(packed, U, True)
-            logp = Subtrees(keys, _inflated(counts, U, False), depth).scores(shared.value)
+            logp = Subtrees(keys, _inflated(counts, U, False), depth, top).scores(shared.value)
             answer = np.rint(-logp * FRACTION).astype(U)
             rows = [(-1, GRAM, bucket, _deflated(k, True), _deflated(v, False)) for bucket, (k, v) in _parts(_bucket(keys, buckets), keys, answer)]
             yield _batch(rows, ANSWERS)
         release()
 
-    return trees.filter("keys is not null").select("keys", "counts").mapInArrow(work, ANSWERS)
+    return trees.filter("keys is not null").select("top", "keys", "counts").mapInArrow(work, ANSWERS)
 
 
 def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
-    """The model's rows (chunk -1) dealt out to the chunks that asked."""
+    """The model's rows (chunk -1) dealt out to the chunks that asked.
+
+    Words wait until they are as many as the bucket's, so that these are hashed no oftener than the asked ones are.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
         known: list[Counts] = []
-        words: pa.Array | None = None
-        times: np.ndarray | None = None
+        words: list[pa.Array] = []
+        times: list[np.ndarray] = []
+        waiting: list[tuple[int, bytes, pa.Array]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            place = np.asarray(pc.index_in(pa.concat_arrays([w for _, _, w in waiting]), words[0]))
+            cuts = np.cumsum([0, *(len(w) for _, _, w in waiting)])
+            for (chunk, keys, _), a, b in zip(waiting, cuts, cuts[1:]):
+                yield _batch([(chunk, WORD, at[1], keys, _deflated(times[0][place[a:b]], False))], ANSWERS)
+            waiting.clear()
+
         for chunk, kind, bucket, keys, counts in _rows(batches, ["chunk", "kind", "bucket", "keys", "counts"]):
             if at != (kind, bucket):
-                at, known = (kind, bucket), []
+                yield from told()
+                at, known, words, times = (kind, bucket), [], [], []
             if chunk < 0 and kind == GRAM:
                 known.append((_inflated(keys, U, True), _inflated(counts, U, False)))
-            elif chunk < 0:  # one row a bucket
-                words, times = _split(keys), _inflated(counts, U, False)
+            elif chunk < 0:
+                words.append(_split(keys))
+                times.append(_inflated(counts, U, False))
             elif kind == GRAM:
                 known = [_merged(known)]  # the pieces have different grams
                 answer = known[0][1][np.searchsorted(known[0][0], _inflated(keys, U, True))]
                 yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
             else:
-                answer = times[np.asarray(pc.index_in(_split(keys), words))]
-                yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
-        known, words = [], None
+                if len(words) > 1:
+                    words, times = [pa.concat_arrays(words)], [np.concatenate(times)]
+                waiting.append((chunk, keys, _split(keys)))
+                if sum(len(w) for _, _, w in waiting) >= len(words[0]):
+                    yield from told()
+        yield from told()
+        known, words, times = [], [], []
         release()
 
     rows = asks.filter("kind is not null").select("chunk", "kind", "bucket", "keys", "counts").unionByName(model)
@@ -518,12 +626,12 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
                 every, told = pa.concat_tables(told), []
                 words, times = every["word"].combine_chunks(), every["n"].to_numpy()
                 known, base = times > 0, np.log10((times + 1.0) / space)
-                end = pc.index_in(pa.array([END]), words)[0].as_py()
+                end = pc.index_in(pa.array([END], words.type), words)[0].as_py()
             body, ends = zstandard.decompress(packed), np.cumsum([0, *sizes]).tolist()
             some = [body[s:e] for s, e in zip(ends, ends[1:])]
             score = np.add.reduceat(table.of(grams(some, depth)), np.array(ends[:-1]) + np.arange(len(some)))
             mine, owner = words_of(some)
-            at_word = np.concatenate([np.asarray(pc.index_in(mine, words)).astype(np.int64), np.full(len(some), end)])
+            at_word = np.concatenate([np.asarray(pc.index_in(mine.cast(words.type), words)).astype(np.int64), np.full(len(some), end)])
             owner = np.concatenate([owner, np.arange(len(some))])
             n_tokens, n_known, bases = (np.bincount(owner, w, len(some)) for w in (None, known[at_word], base[at_word]))
             columns = [ids, n_tokens, [n + 1 for n in sizes], n_known.astype(np.int64), bases, score]
@@ -548,11 +656,11 @@ def score(documents: DataFrame, training: Column, depth: int = DEPTH, chunk: int
     buckets = shuffle_partitions(documents.sparkSession)
     asks = written(asked(documents, training, depth, buckets, chunk), "lm-asked")
     counts = written(counted(asks, 4 * buckets), "lm-counted")
+    large = too_large(counts, depth)
     words = counts.filter(f"kind = {WORD}").select(F.lit(-1).cast("long").alias("chunk"), "kind", "bucket", "keys", "counts")
-    trees = written(grown(counts, depth), "lm-grown")
-    top = trees.filter("code is not null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).toArrow()
-    code = top["code"].to_numpy().astype(np.int64).view(U)
-    upper = _upper(*_summed(code, *(top[c].to_numpy() for c in ("a", "b", "below"))))
+    trees = written(grown(dealt(counts, large, 4 * buckets), large, depth), "lm-grown")
+    top = trees.filter("code is not null").groupBy("top", "code").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).toArrow()
+    upper = _upper([_given(top, d + 1) for d in range(TOP + len(large))])
     answers = answered(asks, modelled(trees, upper, depth, buckets).unionByName(words))
     total, space = _totals(counts)
     out = scored(asks, answers, space, depth)
@@ -560,6 +668,12 @@ def score(documents: DataFrame, training: Column, depth: int = DEPTH, chunk: int
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
+def _given(sums: pa.Table, top: int) -> Given:
+    """What the subtrees that ``top`` bytes name give to the level above them."""
+    mine = sums.filter(pc.equal(sums["top"], top))
+    return mine["code"].to_numpy().astype(np.int64).view(U), *(mine[c].to_numpy() for c in ("a", "b", "below"))
+
+
 def _totals(counts: DataFrame) -> tuple[int, int]:
     """Training tokens, and the base's divisor: they, the distinct ones and one more."""
     row = counts.filter(f"kind = {WORD}").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()

@@ -90,6 +90,21 @@ def test_subtrees_in_several_units(spark, monkeypatch):
     assert {r.doc_id: r.score for r in lm_score.score(df, F.col("doc_id") % 3 > 0, chunk=200).collect()} == pytest.approx(whole, rel=1e-9)
 
 
+@pytest.mark.parametrize("limit, piece", [(1, 1), (4, 3), (40, 1000)])
+def test_large_subtrees_are_split(spark, monkeypatch, limit, piece):
+    rows = [(i, f"text {i % 7} of {i} words, {i * i} more, หนังสือ {i % 5} ที่อ่าน") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: tuple(r)[1:] for r in lm_score.score(df, F.col("doc_id") % 3 > 0).collect()}
+    split = []
+    find = lm_score.too_large
+    monkeypatch.setattr(lm_score, "LIMIT", limit)
+    monkeypatch.setattr(lm_score, "PIECE", piece)
+    monkeypatch.setattr(lm_score, "too_large", lambda *a: split.append(find(*a)) or split[-1])
+    got = {r.doc_id: tuple(r)[1:] for r in lm_score.score(df, F.col("doc_id") % 3 > 0, chunk=500).collect()}
+    assert len(split[0]) == 3 and all(len(c) for c in split[0])  # by the third, fourth and fifth byte
+    assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i], rel=1e-9) for i in whole)
+
+
 def test_scores_take_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a"), (2, ""), (3, "é\t\n  x"), (3, "é\t\n  x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
