@@ -569,12 +569,15 @@ def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
 
 
 class Table:
-    """Open addressing over distinct 64-bit keys, looked up a block at a time."""
+    """Open addressing over up to ``size`` distinct 64-bit keys, looked up a block at a time."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (3 * len(keys) // 2).bit_length())
+    def __init__(self, size: int):
+        self.bits = max(4, (3 * size // 2).bit_length())
         self.slots = np.full(1 << self.bits, ~U(0), U)  # no gram: its top byte is empty
         self.values = np.zeros(1 << self.bits)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in keys that the table doesn't hold."""
         todo, at = np.arange(len(keys)), self._first(keys)
         while len(todo):
             place = at[todo]
@@ -608,7 +611,7 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[bytes, bytes]] = []  # packed until the table is made
         table: Table | None = None
         told: list[pa.Table] = []
         words: pa.Array | None = None
@@ -616,13 +619,16 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
             if at != chunk:
                 at, found, table, told, words = chunk, [], None, [], None
             if kind == GRAM:
-                found.append((_inflated(keys, U, True), _inflated(counts, U, False).astype(float) / -FRACTION))
+                found.append((keys, counts))
                 continue
             if kind == WORD:
                 told.append(_word_table(_split(keys), _inflated(counts, U, False)))
                 continue
             if table is None:
-                table, found = Table(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])), []
+                table = Table(sum(zstandard.frame_content_size(k) for k, _ in found) // 8)
+                for some_keys, some_counts in found:
+                    table.add(_inflated(some_keys, U, True), _inflated(some_counts, U, False).astype(float) / -FRACTION)
+                found = []
                 every, told = pa.concat_tables(told), []
                 words, times = every["word"].combine_chunks(), every["n"].to_numpy()
                 known, base = times > 0, np.log10((times + 1.0) / space)
