@@ -120,12 +120,25 @@ Counts = tuple[np.ndarray, np.ndarray]  # sorted keys and their counts
 
 
 def _merged(held: list[Counts]) -> Counts:
-    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])) if len(held) > 1 else held[0]
-
-
-def _held(held: list[Counts]) -> list[Counts]:
-    """The same counts, merged once the later pieces outgrow the first."""
-    return [_merged(held)] if sum(len(k) for k, _ in held[1:]) > max(len(held[0][0]), 1 << 19) else held
+    """The counts as one piece, which takes the place of the others in the list, so that their memory is free meanwhile."""
+    if len(held) > 1:
+        keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+        held.clear()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        n = n[order]
+        del order
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(n, starts) if len(starts) < len(keys) else n
+        held.append((keys[starts], n))
+    return held[0]
+
+
+def _hold(held: list[Counts], keys: np.ndarray, n: np.ndarray) -> None:
+    """Add a piece; all are merged once the later ones outgrow the first."""
+    held.append((keys, n))
+    if sum(len(k) for k, _ in held[1:]) > max(len(held[0][0]), 1 << 19):
+        _merged(held)
 
 
 def _distinct(keys: np.ndarray) -> Counts:
@@ -194,7 +207,7 @@ def asked(documents: DataFrame, training: Column, depth: int, buckets: int, chun
                 if not mine:
                     continue
                 keys, n = _distinct(grams(mine, depth))
-                held = _held([*held, (keys, n if learns else np.zeros(len(n), U))])
+                _hold(held, keys, n if learns else np.zeros(len(n), U))
                 found = pc.value_counts(pa.concat_arrays([words_of(mine)[0], pa.array([END] * len(mine))]))
                 words.append(_word_table(found.field("values"), found.field("counts").to_numpy() * learns))
             if sum(w.num_rows for w in words[1:]) > max(words[0].num_rows, 1 << 17):
@@ -244,7 +257,7 @@ def counted(asks: DataFrame, trees: int) -> DataFrame:
                 at, held, words = (kind, bucket), [], []
             n = _inflated(counts, U, False)
             if kind == GRAM:
-                held = _held([*held, (_inflated(keys, U, True), n)])
+                _hold(held, _inflated(keys, U, True), n)
             else:
                 words.append(_word_table(_split(keys), n))
                 if sum(w.num_rows for w in words[1:]) > max(words[0].num_rows, 1 << 17):
@@ -551,7 +564,7 @@ def answered(asks: DataFrame, model: DataFrame) -> DataFrame:
                 words.append(_split(keys))
                 times.append(_inflated(counts, U, False))
             elif kind == GRAM:
-                known = [_merged(known)]  # the pieces have different grams
+                _merged(known)  # the pieces have different grams
                 answer = known[0][1][np.searchsorted(known[0][0], _inflated(keys, U, True))]
                 yield _batch([(chunk, kind, bucket, keys, _deflated(answer, False))], ANSWERS)
             else:
@@ -642,7 +655,7 @@ def scored(asks: DataFrame, answers: DataFrame, space: int, depth: int) -> DataF
             n_tokens, n_known, bases = (np.bincount(owner, w, len(some)) for w in (None, known[at_word], base[at_word]))
             columns = [ids, n_tokens, [n + 1 for n in sizes], n_known.astype(np.int64), bases, score]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORED)], [f.split()[0] for f in SCORED.split(", ")])
-        table = words = None
+        table = told = words = every = times = known = base = mine = owner = at_word = None
         release()
 
     rows = asks.filter("kind is null").select("chunk", F.lit(2).alias("kind"), "part", "keys", "counts", "body", "ids", "sizes")
