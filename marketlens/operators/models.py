@@ -186,13 +186,14 @@ NAMES, STEADY = list(MODELS), 3  # those behind the third are for sporadic sales
 LONGEST = 42  # days of the longest back-test
 
 
-def js(x: np.ndarray) -> np.ndarray:
-    return np.floor(x + 0.5)
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, half upwards, of x to six decimals: a half is a half whatever the order of the sums that led to it."""
+    return np.floor(np.round(x, 6) + 0.5)
 
 
 def one(x: np.ndarray) -> np.ndarray:
-    """One decimal, half away from zero."""
-    return np.sign(x) * np.floor(np.abs(x) * 10 + 0.5) / 10
+    """One decimal, half away from zero, as ``half_up``."""
+    return np.sign(x) * half_up(np.abs(x) * 10) / 10
 
 
 @dataclass
@@ -318,7 +319,7 @@ def auto_forecast(series: DataFrame, horizon: int = 30, drop_last: bool = True,
                 facts = [np.array([getattr(choice, f)[m, p] for p in mine])[:, None] for f in ("wape", "mape", "bias")]
                 owner = flat(np.arange(len(mine))[:, None])
                 columns = [
-                    pa.array([ids[i] for i in mine]).take(pa.array(owner)), pa.array(flat(start[mine][:, None] + days.T), pa.int32()).cast(pa.date32()), pa.array(flat(actual.T), mask=flat(future)), *(pa.array(flat(js(v).T)) for v in (value, np.maximum(value - band, 0), value + band)),
+                    pa.array([ids[i] for i in mine]).take(pa.array(owner)), pa.array(flat(start[mine][:, None] + days.T), pa.int32()).cast(pa.date32()), pa.array(flat(actual.T), mask=flat(future)), *(pa.array(flat(half_up(v).T)) for v in (value, np.maximum(value - band, 0), value + band)),
                     pa.array(flat(future)), pa.array([NAMES[m]] * len(owner)), *(pa.array(flat(f), mask=np.isnan(flat(f))) for f in facts), pa.array(flat(part.n[:, None]), pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
@@ -338,7 +339,7 @@ def forecast_totals(series: DataFrame, horizon: int = 30, drop_last: bool = True
             total = np.zeros(len(ids))
             for m in np.unique(choice.best):
                 mine = choice.best == m
-                total[mine] = js(MODELS[NAMES[m]](b.of(mine)).ahead(horizon)).sum(0)
+                total[mine] = half_up(MODELS[NAMES[m]](b.of(mine)).ahead(horizon)).sum(0)
             wape = choice.wape[choice.best, np.arange(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([NAMES[m] for m in choice.best]), pa.array(wape, mask=np.isnan(wape)), pa.array(total)], ["product_id", "model", "wape", "forecast_sum"])
 

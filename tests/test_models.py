@@ -140,6 +140,22 @@ def _series(spark, spec):
     return spark.createDataFrame(rows, "product_id string, date date, units double, gmv double")
 
 
+def test_halves_go_up_whatever_the_sums(spark):
+    """37.03 / 10.58 is 3.5, which sums in binary miss by their last digit; the SQL says the same."""
+    import duckdb
+
+    from marketlens.plans import forecast_sql as fsql
+
+    first = date(2025, 4, 12)
+    rows = [("p", first + timedelta(d), float(v)) for d, v in ((0, 37), (53, 34), (103, 40), (149, 25))]
+    got = models.forecast_totals(spark.createDataFrame(rows, "product_id string, date date, units double")).first()
+    assert (got.model, got.wape, got.forecast_sum) == ("croston", None, 120.0)
+    values = ", ".join(f"('{p}', DATE '{d}', {v}::DOUBLE)" for p, d, v in rows)
+    text = "WITH RECURSIVE t(product_id, date, units) AS (VALUES " + values + ")" + fsql.TOTALS.replace("{}", "t")
+    assert duckdb.sql(text).fetchall() == [("p", "croston", None, 120.0)]
+    assert models.half_up(np.array([3.5 - 4e-16, 2.4999, 0.5])).tolist() == [4, 2, 1] and models.one(np.array([-0.25, 12.35])).tolist() == [-0.3, 12.4]
+
+
 def test_minimum_lengths(spark):
     spec = {"short": enumerate([5] * 14), "enough": enumerate([5] * 15), "gap": [(0, 3), (20, 4), (40, 5)], "one": [(0, 1)]}
     got = models.auto_forecast(_series(spark, spec), 7)
