@@ -87,19 +87,26 @@ def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w.lower()) for w in words], F.lit(False))
 
 
-def sentiment(has: Callable[[str], Column], rating: Column, lexicon: Lexicon = THAI) -> Column:
-    """positive, negative or neutral: a word counts once, the other way round after the negation; stars weigh in.
+def votes(has: Callable[[str], Column], rating: Column, lexicon: Lexicon = THAI) -> Column:
+    """Sum of moods: a word counts once, the other way round after the negation; stars weigh in.
 
     ``has`` tells whether a word occurs; the negation is looked for only where its word does.
     """
     turned = lambda w, sign: F.when(has(lexicon.negation + w), -sign).otherwise(sign)
     vote = lambda w, sign: F.when(has(w), turned(w, sign)).otherwise(0)
     words = _total([vote(w, 1) for w in lexicon.positive] + [vote(w, -1) for w in lexicon.negative])
-    stars = F.when(rating >= 4, 1).when(rating <= 2, -2).otherwise(0)
-    total = words + stars
+    return words + F.when(rating >= 4, 1).when(rating <= 2, -2).otherwise(0)
+
+
+def mood(total: Column) -> Column:
     return F.when(total > 0, "positive").when(total < 0, "negative").otherwise("neutral")
 
 
+def sentiment(has: Callable[[str], Column], rating: Column, lexicon: Lexicon = THAI) -> Column:
+    """positive, negative or neutral, by the sum of ``votes``."""
+    return mood(votes(has, rating, lexicon))
+
+
 def category_hits(has: Callable[[str], Column], lexicon: Lexicon = THAI) -> Column:
     """How many words of each category occur, in the order of the categories."""
     return F.array(*(_total([F.when(has(w), 1).otherwise(0) for w in words]) for words in lexicon.categories.values()))
@@ -123,7 +130,9 @@ def label_comments(comments: DataFrame, lexicon: Lexicon = THAI, labels: DataFra
     occurs = lambda w: F.col("_lowered").contains(w)
     some = lambda alarms: reduce(lambda a, b: a | b, [occurs(w.lower()) for w in alarms], F.lit(False))
     rows = comments.withColumn("_text", text).withColumn("_rating", rated).withColumn("_lowered", F.lower("_text"))
-    rows = rows.withColumns({"_mood": sentiment(occurs, F.col("_rating"), lexicon), "_of": category_hits(occurs, lexicon), "_hard": some(lexicon.danger), "_soft": some(lexicon.warning)})
+    # Rows of a generator: a filter by a label can't be moved below it, where each word it asks for would lower the text anew.
+    signs = F.struct(votes(occurs, F.col("_rating"), lexicon).alias("_votes"), category_hits(occurs, lexicon).alias("_of"), some(lexicon.danger).alias("_hard"), some(lexicon.warning).alias("_soft"))
+    rows = rows.select("*", F.inline(F.array(signs))).withColumn("_mood", mood(F.col("_votes")))
     guess = F.when(F.col("_mood") == "positive", lexicon.praise).otherwise(F.coalesce(category(F.col("_of"), lexicon), F.lit(lexicon.other)))
     if labels is None:
         rows = rows.withColumns({"_l": F.lit(None).cast("string"), "_c": guess, "_sev": F.when(F.col("_mood") == "negative", 6).otherwise(0), "_sum": F.substring("_text", 1, 80), "_act": F.lit(""), "_urg": F.lit(False)})

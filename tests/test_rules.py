@@ -74,3 +74,12 @@ def test_replies_and_kinds(spark):
 def test_last_business_day(spark):
     df = spark.createDataFrame([(date(2024, 3, 5),), (date(2024, 6, 1),), (date(2024, 9, 30),)], "d date").select(calendar.last_business_day(F.col("d")))
     assert [r[0] for r in df.collect()] == [date(2024, 3, 29), date(2024, 6, 28), date(2024, 9, 30)]
+
+
+def test_filters_by_a_label_read_the_text_once(spark):
+    """A filter below the labels would lower the text anew for each word it asks for."""
+    rows = spark.createDataFrame([(1, "good", 5.0), (2, "bad", 1.0), (3, None, None)], "comment_id long, comment string, rating double")
+    lexicon = rules.Lexicon(positive=["good", "fine"], negative=["bad", "late"], negation="not ", categories={"a": ["late", "slow"], "b": ["dear", "bad"]}, known=["a", "b"], other="other", praise="praise")
+    complaints = rules.label_comments(rows, lexicon).filter("sentiment = 'negative' and category <> 'praise'").select("comment_id", "category")
+    assert [tuple(r) for r in complaints.collect()] == [(2, "b")]
+    assert complaints._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
