@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import js_round, percent, rounded, score
 from marketlens.functions.rules import direction
+from marketlens.sources.scratch import written
 
 NO_PRODUCT, NO_BRAND = "(ไม่ระบุสินค้า)", "ไม่ระบุแบรนด์"
 
@@ -158,7 +159,11 @@ def trend_insights(daily: DataFrame, brand_daily: DataFrame, category_daily: Dat
 
 
 def pivot_top(daily: DataFrame, key: str, value: str, k: int, zero: bool = False) -> DataFrame:
-    """Daily values of the ``k`` biggest keys, a column each; few keys, so their names come to the driver."""
+    """Daily values of the ``k`` biggest keys, a column each; few keys, so their names come to the driver.
+
+    The daily rows are written, as they are read for the names and again for the values.
+    """
+    daily = written(daily.select("date", *dict.fromkeys((key, value, "total"))), "days")
     tops = [r[0] for r in daily.groupBy(key).agg(F.sum("total").alias("n")).orderBy(F.desc("n"), key).limit(k).collect()]
     out = daily.filter(F.col(key).isin(tops)).groupBy("date").pivot(key, tops).agg(F.first(value))
     return out.fillna(0) if zero else out

@@ -118,9 +118,10 @@ def _given(s, d):
     return out.agg(F.count("*").alias("comments"), F.count_if(given).alias("by_label"), F.count_if(given & (F.col("sentiment") == "positive")).alias("positive_labels"))
 
 
-def _top_categories(s, d):
-    """The names of the two pivoted columns."""
-    return [c for c in rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2).columns if c != "date"]
+def _category_pivot(s, d):
+    """The two biggest categories of complaints by day, under names that don't tell them."""
+    out = rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2, True)
+    return out.select("date", *(F.col(c).alias(f"top_{i}") for i, c in enumerate(c for c in out.columns if c != "date")))
 
 
 #: The stand-in categories by the names that replies go by.
@@ -251,7 +252,7 @@ JOBS = {
         sql(SMART, "lab"),
     ),
     "category_pivot": (
-        lambda s, d: rv.pivot_top(rv.daily_trend(labelled(s, d), by="category", praise=L.praise), "category", "total", 2, True).select("date", *(F.col(c).alias(f"top_{i}") for i, c in enumerate(_top_categories(s, d)))),
+        _category_pivot,
         sql(", t AS (SELECT category, row_number() OVER (ORDER BY sum(total) DESC, category) AS r FROM dct GROUP BY 1) SELECT date, CAST(coalesce(max(total) FILTER (r = 1), 0) AS BIGINT) AS top_0, CAST(coalesce(max(total) FILTER (r = 2), 0) AS BIGINT) AS top_1 FROM dct JOIN t USING (category) WHERE r <= 2 GROUP BY 1", "dct"),
     ),
     "top_issues": (

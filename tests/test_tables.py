@@ -361,3 +361,18 @@ def test_daily_metrics_trend(spark):
     long = spark.createDataFrame([(date(2024, 1, 1), "a", 3), (date(2024, 1, 1), "b", 5), (date(2024, 1, 2), "b", 1), (date(2024, 1, 2), "c", 1)], "date date, category string, total long")
     wide = {str(r.date): (r.b, r.a) for r in rv.pivot_top(long, "category", "total", 2, True).collect()}
     assert wide == {"2024-01-01": (5, 3), "2024-01-02": (1, 0)}
+
+
+def test_pivot_reads_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(n):
+        read.add(1)
+        return n
+
+    long = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-01", "b", 5), ("2024-01-02", "a", 2)], "date string, category string, n long")
+    wide = rv.pivot_top(long.select("date", "category", seen("n").alias("total")), "category", "total", 2, True).collect()
+    assert sorted((r.date, r.b, r.a) for r in wide) == [("2024-01-01", 5, 1), ("2024-01-02", 0, 2)] and read.value == 3
