@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,28 @@ def release() -> None:
         trim(0)
 
 
+_kept: dict[tuple, Any] = {}
+
+
+def keep(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this worker keeps from task to task, of one operator at a time: another one's is dropped before ``make`` is called."""
+    if key not in _kept:
+        _kept.clear()
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after whose end the worker gives back what it has freed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def fixed(array: pa.Array, width: int) -> np.ndarray:
     """A binary column whose values all have ``width`` bytes, as a (rows, width) array."""
     n = len(array)

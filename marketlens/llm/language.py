@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import aside, slices, texts, written
+from marketlens.llm import common
+from marketlens.llm.common import aside, slices, texts, tidy, written
 
 SAMPLE = 30_000  # characters of labelled text per language
 TOTAL = 3_000_000  # characters of all languages together
@@ -36,7 +37,6 @@ WINDOW = 1 << 21  # symbols of a text that are laid out at a time
 UND = "und"
 SHIFT = 28  # bits of a state; phrases that end are counted above
 MASK = (1 << SHIFT) - 1
-_models: dict[tuple, "Model"] = {}
 
 
 def normal(text: str) -> np.ndarray:
@@ -191,9 +191,9 @@ def _lanes(sequences: list[np.ndarray]) -> dict[str, np.ndarray]:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     following = np.where(within + 1 < lanes[owner], np.concatenate([place[1:], [-1]]), -1)
-    grid = np.zeros((len(owner), SEGMENT), np.int64)
+    grid = np.zeros((len(owner), SEGMENT), np.int32)
     grid[np.arange(SEGMENT) < lengths[:, None]] = np.concatenate(sequences)
-    steps = np.ascontiguousarray(grid[order].T)[: lengths.max()]
+    steps = np.ascontiguousarray(grid[order].T, np.int64)[: lengths.max()]
     active = np.searchsorted(-lengths[order], -np.arange(len(steps)), "left")
     return {"steps": steps, "active": active, "following": following[order], "lengths": lengths[order], "owner": owner[order], "first": place[ends - lanes], "last": place[ends - 1]}
 
@@ -217,7 +217,7 @@ class Model:
         if len(self.letters):
             at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
             s = np.where((self.letters[at] == codes) & (s > 0), at + 2, s)
-        return s[(s != 0) | (np.concatenate([[1], s[:-1]]) != 0)] if len(s) else s
+        return (s[(s != 0) | (np.concatenate([[1], s[:-1]]) != 0)] if len(s) else s).astype(np.int32)
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases each text needs."""
@@ -277,20 +277,18 @@ def predict(documents: DataFrame, samples: list[tuple[str, list[str]]], keep: li
     """The ``keep`` columns (doc_id by default) with lang_pred, score and phrase_length (letters a phrase)."""
     keep = keep or ["doc_id"]
     shared = documents.sparkSession.sparkContext.broadcast(samples)  # bounded: twice TOTAL characters
-    key = (id(samples), tuple((lang, sum(map(len, t))) for lang, t in samples), hash(str(samples)))
+    key = ("language", id(samples), tuple((lang, sum(map(len, t))) for lang, t in samples), hash(str(samples)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(shared.value)
+        model = common.keep(key, lambda: Model(shared.value))
         for batch in slices(batches, "_text"):
-            langs, scores, lengths = _models[key].predict(texts(batch, "_text"))
+            langs, scores, lengths = model.predict(texts(batch, "_text"))
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *added], [*keep, "lang_pred", "score", "phrase_length"])
 
     rows = documents.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
-    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, phrase_length double")
+    return rows.mapInArrow(tidy(work), f"{kinds}, lang_pred string, score double, phrase_length double")
 
 
 def accepted(documents: DataFrame, least_length: float = 1.5) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import tiles
-from marketlens.llm.common import fixed, mix, packed, parted, runs, slices, written
+from marketlens.llm.common import fixed, keep, mix, packed, parted, runs, slices, tidy, written
 from marketlens.llm.graph import components
 
 U = np.uint64
@@ -38,22 +38,22 @@ SAMPLES = 256
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 BLOCK_SHINGLES = 1 << 21  # of the sets that a block of a cluster holds
 MARGIN = 5.0  # standard deviations of the estimate below the threshold that are still confirmed
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        base = 0x9E3779B97F4A7C15
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, U)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=U))
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
+
+    def powers(b: int) -> np.ndarray:
+        steps = np.full(size, b, U)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=U)
+
+    base = 0x9E3779B97F4A7C15
+    held = keep(("powers",), dict)
+    if len(held.get("up", ())) < size:  # longer ones serve shorter texts too
+        held.update(up=powers(base), down=powers(pow(base, -1, 1 << 64)))
+    return held["up"], held["down"]
 
 
 _SPACE = np.zeros(256, bool)
@@ -159,7 +159,7 @@ def signatures(documents: DataFrame, words: int, threshold: float, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(s1), pa.array(s2), lists, packed(all_odd)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
+    return rows.mapInArrow(tidy(work), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
 
 
 def _columns(batch: pa.RecordBatch, plain: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -200,7 +200,7 @@ def _forest(rows: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.concatenate(z) for z in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return tiles.sorted_tiles(rows).mapInArrow(work, "a long, b long").distinct()
+    return tiles.sorted_tiles(rows).mapInArrow(tidy(work), "a long, b long").distinct()
 
 
 def _alike(rows: DataFrame, threshold: float) -> DataFrame:
@@ -224,7 +224,7 @@ def _alike(rows: DataFrame, threshold: float) -> DataFrame:
             some = np.concatenate([tile({k: v[s:e] for k, v in cols.items()}) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
             yield pa.RecordBatch.from_arrays([pa.array(cols[k][some]) for k in names], names)
 
-    return tiles.sorted_tiles(rows).mapInArrow(work, "key long, lo int, hi int, block int, member long")
+    return tiles.sorted_tiles(rows).mapInArrow(tidy(work), "key long, lo int, hi int, block int, member long")
 
 
 def linked_sets(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +291,7 @@ def _confirmed(clusters: DataFrame, sketches: DataFrame, documents: DataFrame, w
     large = blocks.filter("blocks > 1").join(sketches.drop("n_shingles"), "member")
     placed = written(blocks.filter("blocks = 1").select(*place).unionByName(_alike(large, threshold)), "cluster-members")
     texts, _ = parted(texts, placed, "member")  # so that texts without a candidate aren't shuffled
-    return tiles.sorted_tiles(texts.join(placed.hint("merge"), "member")).mapInArrow(work, "a long, b long")
+    return tiles.sorted_tiles(texts.join(placed.hint("merge"), "member")).mapInArrow(tidy(work), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

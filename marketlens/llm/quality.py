@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import aside, slices, texts
+from marketlens.llm.common import aside, slices, texts, tidy
 
 FIT_ROWS = 20_000
 BINS, PAIR_BINS = 64, 12
@@ -172,7 +172,7 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column | None = None,
             yield pa.RecordBatch.from_arrays([batch.column("y"), lists], ["y", "x"])
 
     found = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", "text")  # at most ``rows`` pairs of numbers
-    got = found.mapInArrow(work, "y int, x array<double>").toArrow()
+    got = found.mapInArrow(tidy(work), "y int, x array<double>").toArrow()
     x, y = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(got), len(FEATURES)), got["y"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same fit however rows come
     return Gam(x[order], y[order])
@@ -189,7 +189,7 @@ def score(documents: DataFrame, model: Gam, keep: list[str] | None = None) -> Da
 
     rows = documents.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
-    return rows.mapInArrow(work, f"{kinds}, score double")
+    return rows.mapInArrow(tidy(work), f"{kinds}, score double")
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -24,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import shuffle_partitions, slices, texts, written
+from marketlens.llm import common
+from marketlens.llm.common import shuffle_partitions, slices, texts, tidy, written
 from marketlens.sources.scratch import tables_dir
 
 CHUNKS, WORDS = 800_000, 800_000  # entries a worker keeps of either memo
-_memos: dict[tuple, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
@@ -87,10 +87,7 @@ class ChunkEncoder:
 
 def encoder(path: str, chunks: int = CHUNKS, words: int = WORDS) -> ChunkEncoder:
     """The worker's encoder; memos of fewer entries trade time for memory."""
-    key = (path, chunks, words)
-    if key not in _memos:
-        _memos[key] = ChunkEncoder(*key)
-    return _memos[key]
+    return common.keep(("encoder", path, chunks, words), lambda: ChunkEncoder(path, chunks, words))
 
 
 def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,7 +101,7 @@ def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([memo.type.itemsize] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, ids binary, width int")
+    return rows.mapInArrow(tidy(encode), "doc_id long, ids binary, width int")
 
 
 def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | None = None, chunks: int = CHUNKS, words: int = WORDS) -> DataFrame:
@@ -119,7 +116,7 @@ def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | No
 
     rows = documents.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
-    return rows.mapInArrow(count, f"{kinds}, n_tokens long")
+    return rows.mapInArrow(tidy(count), f"{kinds}, n_tokens long")
 
 
 def _train(samples: list[bytes], size: int) -> bytes:

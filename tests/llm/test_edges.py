@@ -97,3 +97,22 @@ def test_vectors(spark):
     assert all((i, 0, i, True) in got for i in (4, 5, 6, 7, 8, 10, 11))
     assert {(12, 2, 12, True), (13, 2, 12, False), (14, 2, 12, False), (None, 0, None, True)} <= got
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    """Workers serve the stages one after the other; a later one's memory comes in place of an earlier one's."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from marketlens.llm import language, near_dedup, token_store
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = weakref.ref(token_store.encoder(path, 100, 100))
+    assert token_store.encoder(path, 100, 100) is encoder()
+    near_dedup.shingle_sets([b"a b c"], 2)
+    gc.collect()
+    assert encoder() is None
+    layout = language._lanes([language.Model([("x", ["abc"])]).symbols(language.normal("a bc"))])
+    assert layout["steps"].dtype == "int64"  # what automata are stepped with
