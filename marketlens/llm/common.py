@@ -58,7 +58,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def flat(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """The texts of a batch as one run of UTF-8 bytes, null as empty, with the n + 1 offsets that bound them."""
-    values = pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+    return laid_out(pc.fill_null(batch.column(column).cast(pa.binary()), b""))
+
+
+def laid_out(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Binary values without nulls as ``flat`` gives them."""
     _, offsets, data = values.buffers()
     offsets = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +25,66 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import common
-from marketlens.llm.common import shuffle_partitions, slices, texts, tidy, written
+from marketlens.llm.bpe import byte_symbols
+from marketlens.llm.common import flat, laid_out, lower, shuffle_partitions, slices, tidy, written
 from marketlens.sources.scratch import tables_dir
 
 CHUNKS, WORDS = 800_000, 800_000  # entries a worker keeps of either memo
+SLICE = 4 << 20  # bytes of text that are cut into units together
+
+# classes of bytes, and after which class a byte of which begins a unit
+SPACE, LETTER, DIGIT, QUOTE, MARK, WIDE = range(6)
+_CLASS = np.full(256, MARK, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]], _CLASS[39], _CLASS[128:] = SPACE, QUOTE, WIDE
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = DIGIT, LETTER, LETTER
+_BEGINS = np.zeros((6, 8), bool)
+_BEGINS[SPACE] = True
+_BEGINS[[LETTER, MARK], DIGIT] = _BEGINS[QUOTE, DIGIT] = _BEGINS[DIGIT, : MARK + 1] = True
+_BEGINS[LETTER, [QUOTE, MARK]] = _BEGINS[MARK, LETTER] = True  # what follows an apostrophe may belong to it
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The units of texts that ``flat`` laid out, A-Z lower-cased, with the n + 1 bounds of each text's.
+
+    Units are space-free chunks, cut further between two ASCII characters where the tokenizer's pattern always cuts:
+    beside digits, after letters, and before letters but after an apostrophe. A text that may name a special token,
+    which is found before lower-casing, is one unit as it is.
+    """
+    kind = _CLASS[data]
+    begins, inside = np.ones(len(data), bool), kind != SPACE
+    begins[1:] = _BEGINS.ravel()[kind[:-1] * np.uint8(8) + kind[1:]]
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    low = lower(data)
+    if b"<|" in data.tobytes():
+        at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        owner = np.searchsorted(offsets, at, "right") - 1
+        for d in np.unique(owner[at + 1 < offsets[owner + 1]]).tolist():
+            a, b = int(offsets[d]), int(offsets[d + 1])
+            inside[a:b], begins[a + 1 : b], low[a:b] = True, False, data[a:b]
+    starts = np.flatnonzero(begins[inside])
+    kept = np.concatenate([[0], np.cumsum(inside)])
+    ends = np.append(starts, kept[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]), np.searchsorted(starts, kept[offsets])
+
+
+class _Known(dict):
+    """What ``make`` makes of units, made where it is missing."""
+
+    def __init__(self, make: Callable[[str], Any]):
+        self.make = make
+
+    def __missing__(self, unit: bytes) -> Any:
+        made = self.make(unit.decode())
+        if b"<|" not in unit:  # else a whole text
+            self[unit] = made
+        return made
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, each distinct space-free chunk once.
+    """Encodes with the tokenizers library, each distinct unit of a text once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks. A plain
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks, and a chunk's
+    those of its units. ``encode_all`` finds the units of many texts at once and looks up the distinct ones. A plain
     chunk (printable, below U+0300, where composition and lower-casing go letter by letter) is cut by the
     tokenizer's own split pattern and its words go to the library's model; any other chunk goes to the library whole.
     """
@@ -42,7 +92,7 @@ class ChunkEncoder:
     def __init__(self, path: str, chunks: int = CHUNKS, words: int = WORDS):
         self.most_chunks, self.most_words = chunks, words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -50,16 +100,22 @@ class ChunkEncoder:
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known, self.sizes = _Known(self.unit), _Known(self.size)
+        self.tokenize, self.packed = self.tokenizer.model.tokenize, [i.to_bytes(self.type.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.stand_ins = {b: c for c, b in byte_symbols().items()}
         self.marks: dict[str, bytes] = {}
         self.marks = {m: self.word(m) for m in ".,;:!?"}
-        self.spell = lambda word: level.pre_tokenize_str(word)[0][0]
+
+    def spell(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self.stand_ins)
+
+    def model(self, word: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.tokenize(word if word.isascii() else self.spell(word))])
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            tokens = self.tokenizer.model.tokenize(word if word.isascii() else self.spell(word))
-            ids = struct.pack(f"<{len(tokens)}{'I' if self.wide else 'H'}", *[t.id for t in tokens])
+            ids = self.model(word)
             if len(self.words) >= self.most_words:
                 self.words.clear()
             self.words[word] = ids
@@ -73,6 +129,45 @@ class ChunkEncoder:
             return b"".join([self.word(w) for w in self.split.findall(chunk.lower())])
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.type).tobytes()
 
+    def unit(self, unit: str) -> bytes:
+        low = unit.lower()
+        if low.isalpha() and (low.isascii() or max(low) < "̀"):  # one word, without the pattern and the memo of words
+            return self.model(low)
+        return self.encode(unit) if "<|" in unit else self.chunk(unit)
+
+    def size(self, unit: str) -> int:
+        if unit.isascii() and unit.isalpha():
+            return len(self.tokenize(unit))
+        return len(self.unit(unit)) // self.type.itemsize
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the n + 1 bounds of each text's) of texts as ``flat`` lays them out; ``end_id`` closes each text."""
+        ids, code, bounds = self._coded(self.known, data, offsets)
+        if end_id is not None:
+            code = np.insert(code, bounds[1:], len(ids))
+            bounds = bounds + np.arange(len(bounds))
+            ids.append(self.packed[end_id])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.type.itemsize
+        firsts = np.cumsum(sizes) - sizes
+        before = np.concatenate([[0], np.cumsum(sizes[code])])
+        at = np.repeat(firsts[code] - before[:-1], sizes[code]) + np.arange(before[-1])
+        return np.frombuffer(b"".join(ids), self.type)[at], before[bounds]
+
+    def count_all(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many ids each text has."""
+        sizes, code, bounds = self._coded(self.sizes, data, offsets)
+        return np.diff(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[code])])[bounds])
+
+    def _coded(self, known: _Known, data: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """What is known of each distinct unit, the units of all texts as places in that list, and the bounds of each text's."""
+        every, bounds = units(data, offsets)
+        coded = every.dictionary_encode()
+        if len(known) >= self.most_chunks:
+            known.clear()
+        run, ends = laid_out(coded.dictionary)
+        run, ends = run.tobytes(), ends.tolist()
+        return [known[run[a:b]] for a, b in zip(ends, ends[1:])], np.asarray(coded.indices), bounds
+
     def encode(self, text: str) -> bytes:
         known, chunks = self.chunks, text.replace("\n", " ").split(" ")
         try:
@@ -95,10 +190,11 @@ def encode_ids(documents: DataFrame, tokenizer_path: str, end_id: int, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = encoder(tokenizer_path)
-        end = np.array([end_id], memo.type).tobytes()
-        for batch in slices(batches, "text"):
-            ids = [memo.encode(t.decode()) + end for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([memo.type.itemsize] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+        for batch in slices(batches, "text", SLICE):
+            ids, bounds = memo.encode_all(*flat(batch), end_id)
+            ends = (bounds * memo.type.itemsize).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(np.full(len(ids), memo.type.itemsize, np.int32))], ["doc_id", "ids", "width"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidy(encode), "doc_id long, ids binary, width int")
@@ -110,9 +206,9 @@ def token_counts(documents: DataFrame, tokenizer_path: str, keep: list[str] | No
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = encoder(tokenizer_path, chunks, words)
-        for batch in slices(batches, "_text"):
-            counts = [len(memo.encode(t.decode())) // memo.type.itemsize for t in texts(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64())], [*keep, "n_tokens"])
+        for batch in slices(batches, "_text", SLICE):
+            counts = memo.count_all(*flat(batch, "_text"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts)], [*keep, "n_tokens"])
 
     rows = documents.select(*keep, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields)
