@@ -119,9 +119,10 @@ def sketch(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> tuple[np.nda
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
     every = np.concatenate(sets)
     low = (every ^ (every >> U(32))).astype(np.uint32)
-    least = np.empty((len(sets), SAMPLES), np.uint32)
+    least, work = np.empty((len(sets), SAMPLES), np.uint32), np.empty_like(low)
     for i in range(SAMPLES):
-        least[:, i] = np.minimum.reduceat((low ^ flips[i]) * factors[i], starts)
+        np.multiply(np.bitwise_xor(low, flips[i], out=work), factors[i], out=work)
+        least[:, i] = np.minimum.reduceat(work, starts)
     with np.errstate(over="ignore"):
         keys = np.zeros((len(sets), bands), U) + mix(np.arange(1, bands + 1).astype(U))
         for r in range(rows):
@@ -132,6 +133,16 @@ def sketch(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> tuple[np.nda
     return keys, np.packbits(odd.reshape(len(sets), BITS), axis=1)
 
 
+def _sums(sets: list[np.ndarray], at: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums, modulo 2**64, of the mixed hashes of each non-empty set, at its place among n; 0 for the others."""
+    out = np.zeros((2, n), U)
+    if sets:
+        every, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
+        for k, flip in enumerate((U(0), U(0xA5A5A5A5A5A5A5A5))):
+            out[k, at] = np.add.reduceat(mix(every ^ flip), starts)
+    return tuple(out.view(np.int64))
+
+
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of sketches, given as (n, BITS / 64) words and broadcast against each other."""
     differing = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
@@ -151,9 +162,7 @@ def signatures(documents: DataFrame, words: int, threshold: float, id_col: str =
             keys, odd = sketch([sets[i] for i in some], bands, height) if some else (np.zeros((0, bands), U), np.zeros((0, BITS // 8), np.uint8))
             all_keys, all_odd = np.zeros((len(sets), bands), U), np.zeros((len(sets), BITS // 8), np.uint8)
             all_keys[some], all_odd[some] = keys, odd
-            with np.errstate(over="ignore"):
-                s1 = np.array([mix(s).sum(dtype=U) for s in sets], U).view(np.int64)
-                s2 = np.array([mix(s ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U) for s in sets], U).view(np.int64)
+            s1, s2 = _sums([sets[i] for i in some], some, len(sets))
             lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, pa.array(all_keys.view(np.int64).ravel()))
             counts = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(s1), pa.array(s2), lists, packed(all_odd)], ["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])

@@ -13,6 +13,7 @@ kept next to each other. An empty table gives an empty store. Other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -62,9 +63,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
             a, b = int(offsets[d]), int(offsets[d + 1])
             inside[a:b], begins[a + 1 : b], low[a:b] = True, False, data[a:b]
     starts = np.flatnonzero(begins[inside])
-    kept = np.concatenate([[0], np.cumsum(inside)])
-    ends = np.append(starts, kept[-1]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]), np.searchsorted(starts, kept[offsets])
+    before = offsets - np.searchsorted(np.flatnonzero(~inside), offsets)
+    ends = np.append(starts, before[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])]), np.searchsorted(starts, before)
 
 
 class _Known(dict):
@@ -80,6 +81,82 @@ class _Known(dict):
         return made
 
 
+class _Merges:
+    """Counts the ids of many words at once, by the merges of a byte-level model whose words' last symbols are marked.
+
+    Words of one length are rows of a matrix of ids. In each round every row merges its pair of least rank, the leftmost
+    of equals, so all rows lose one column; rows without a pair to merge are done.
+    """
+
+    NONE, LONGEST = 1 << 30, 32
+
+    def __init__(self, model: dict, stand_ins: dict[int, str]):
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        self.bytes = np.array([vocab[stand_ins[b]] for b in range(256)], np.uint32)
+        self.last = np.array([vocab[stand_ins[b] + end] for b in range(256)], np.uint32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        bits = (8 * len(pairs)).bit_length()
+        self.shift, self.most = np.uint64(64 - bits), (1 << bits) - 1
+        keys, ranks = np.zeros(1 << bits, np.uint64), np.full(1 << bits, self.NONE, np.int32)
+        every = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.uint64)
+        for rank, (key, slot) in enumerate(zip(every.tolist(), self.slots(every).tolist())):
+            while ranks[slot] != self.NONE and keys[slot] != key:  # taken: the next one
+                slot = slot + 1 & self.most
+            if ranks[slot] == self.NONE:  # of equal pairs the first counts
+                keys[slot], ranks[slot] = key, rank
+        self.keys, self.table = keys, ranks
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.uint64) << np.uint64(32) | right).ravel()
+        slots = self.slots(keys)
+        out = self.table.take(slots)
+        other = np.flatnonzero((self.keys.take(slots) != keys) & (out != self.NONE))
+        while len(other):  # on to the next slot until the pair or a free one comes
+            slots[other] = slots[other] + 1 & self.most
+            out[other] = self.table[slots[other]]
+            other = other[(self.keys[slots[other]] != keys[other]) & (out[other] != self.NONE)]
+        return out.reshape(left.shape)
+
+    def sizes(self, words: list[bytes]) -> list[int]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros(len(words), np.int64)
+        data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            for at in range(0, len(rows), 2048):
+                some = rows[at : at + 2048]
+                out[some] = self._alike(data[starts[some][:, None] + np.arange(n)])
+        return out.tolist()
+
+    def _alike(self, words: np.ndarray) -> np.ndarray:
+        parts = self.bytes[words]
+        parts[:, -1] = self.last[words[:, -1]]
+        ranks, row = self.ranks(parts[:, :-1], parts[:, 1:]), np.arange(len(parts))
+        out = np.ones(len(parts), np.int64)
+        while (left := parts.shape[1]) > 1:
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(at)), at]
+            go = least < self.NONE
+            if not go.all():
+                out[row[~go]] = left
+                parts, ranks, row, at, least = parts[go], ranks[go], row[go], at[go], least[go]
+            if not len(row):
+                break
+            each = np.arange(len(row))
+            parts[each, at] = self.made[least]
+            keep = np.arange(1, left) != (at + 1)[:, None]  # of the parts but the first, and of the ranks: the merged pair goes
+            parts = np.concatenate([parts[:, :1], parts[:, 1:][keep].reshape(len(row), left - 2)], axis=1)
+            ranks = ranks[keep].reshape(len(row), left - 2)
+            for some, x in ((np.flatnonzero(at > 0), -1), (np.flatnonzero(at < left - 2), 0)):
+                i, j = each[some], at[some] + x
+                ranks[i, j] = self.ranks(parts[i, j], parts[i, j + 1])
+        return out
+
+
 class ChunkEncoder:
     """Encodes with the tokenizers library, each distinct unit of a text once.
 
@@ -100,7 +177,8 @@ class ChunkEncoder:
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.known, self.sizes = _Known(self.unit), _Known(self.size)
+        self.known, self.sizes = _Known(self.unit), _Known(lambda unit: len(self.unit(unit)) // self.type.itemsize)
+        self.merges: _Merges | None = None
         self.tokenize, self.packed = self.tokenizer.model.tokenize, [i.to_bytes(self.type.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.stand_ins = {b: c for c, b in byte_symbols().items()}
         self.marks: dict[str, bytes] = {}
@@ -129,17 +207,16 @@ class ChunkEncoder:
             return b"".join([self.word(w) for w in self.split.findall(chunk.lower())])
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.type).tobytes()
 
+    @staticmethod
+    def one_word(low: str) -> bool:
+        return low.isalpha() and (low.isascii() or max(low) < "̀")
+
     def unit(self, unit: str) -> bytes:
         low = unit.lower()
-        if low.isalpha() and (low.isascii() or max(low) < "̀"):  # one word, without the pattern and the memo of words
+        if self.one_word(low):  # without the pattern and the memo of words
             return self.model(low)
         return self.encode(unit) if "<|" in unit else self.chunk(unit)
 
-    def size(self, unit: str) -> int:
-        if unit.isascii() and unit.isalpha():
-            return len(self.tokenize(unit))
-        return len(self.unit(unit)) // self.type.itemsize
-
     def encode_all(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, the n + 1 bounds of each text's) of texts as ``flat`` lays them out; ``end_id`` closes each text."""
         ids, code, bounds = self._coded(self.known, data, offsets)
@@ -155,10 +232,17 @@ class ChunkEncoder:
 
     def count_all(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """How many ids each text has."""
-        sizes, code, bounds = self._coded(self.sizes, data, offsets)
+        sizes, code, bounds = self._coded(self.sizes, data, offsets, self._count_words)
         return np.diff(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[code])])[bounds])
 
-    def _coded(self, known: _Known, data: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    def _count_words(self, fresh: list[bytes]) -> None:
+        """Counts those of the units that are one word by merging all of them at once."""
+        if self.merges is None:
+            self.merges = _Merges(json.loads(self.tokenizer.to_str())["model"], self.stand_ins)
+        words = [(u, u if u.isalpha() else low.encode()) for u in fresh if len(u) <= _Merges.LONGEST and (u.isalpha() or self.one_word(low := u.decode().lower()))]
+        self.sizes.update(zip([u for u, _ in words], self.merges.sizes([w for _, w in words])))
+
+    def _coded(self, known: _Known, data: np.ndarray, offsets: np.ndarray, learn: Callable[[list[bytes]], None] = lambda fresh: None) -> tuple[list, np.ndarray, np.ndarray]:
         """What is known of each distinct unit, the units of all texts as places in that list, and the bounds of each text's."""
         every, bounds = units(data, offsets)
         coded = every.dictionary_encode()
@@ -166,7 +250,9 @@ class ChunkEncoder:
             known.clear()
         run, ends = laid_out(coded.dictionary)
         run, ends = run.tobytes(), ends.tolist()
-        return [known[run[a:b]] for a, b in zip(ends, ends[1:])], np.asarray(coded.indices), bounds
+        distinct = [run[a:b] for a, b in zip(ends, ends[1:])]
+        learn([u for u in distinct if u not in known])
+        return [known[u] for u in distinct], np.asarray(coded.indices), bounds
 
     def encode(self, text: str) -> bytes:
         known, chunks = self.chunks, text.replace("\n", " ").split(" ")
